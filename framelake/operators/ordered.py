@@ -176,7 +176,8 @@ def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Seq
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SPLITS - 1))).otherwise(F.array(F.lit(0)))
     spread_right = (
         right.join(hot.hint("broadcast"), keys, "left")
-        .withColumn("_split", F.explode(copies).cast("long"))
+        .withColumn("_split", F.explode(copies))
+        .withColumn("_split", F.col("_split").cast("long"))
         .drop("_hot")
     )
     return spread_left.join(spread_right, [*keys, "_split"], how).drop("_split")

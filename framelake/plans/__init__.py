@@ -12,4 +12,4 @@ def load_catalog():
     return QUERIES, ORACLES
 
 
-MODULES = ("raster",)
+MODULES = ("raster", "timelines", "records")
