@@ -84,24 +84,28 @@ def inventory_hash(artifacts: DataFrame) -> DataFrame:
     """One hash per run over its artifacts in path order.
 
     Up to ``INVENTORY_PART`` artifacts the value is the hash of the ordered list itself. Larger runs
-    are split by a hash of the path into parts of that size and the value binds the part hashes, so
-    that no list grows with the run.
+    are split by a hash of the path into parts of about that size, part hashes are bound in groups
+    of that many, and group hashes by the run, so that no list grows with the run.
     """
+    part = F.lit(INVENTORY_PART)
     size = artifacts.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    parts = size.select("run_id", F.ceil(F.col("n") / INVENTORY_PART).cast("long").alias("parts"), "n")
-    placed = hot_join(artifacts, parts, ["run_id"], ["path"], "inner").withColumn(
+    split = size.withColumn("parts", F.ceil(F.col("n") / part).cast("long"))
+    split = split.withColumn("groups", F.ceil(F.col("parts") / part).cast("long"))
+    placed = hot_join(artifacts, split, ["run_id"], ["path"], "inner").withColumn(
         "part", F.pmod(F.xxhash64("path"), F.col("parts"))
     )
-    listed = placed.groupBy("run_id", "parts", "n", "part").agg(
-        F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("items")
-    )
-    hashed = listed.select("run_id", "parts", "n", "part", F.sha2(F.to_json("items"), 256).alias("h"))
-    bound = hashed.groupBy("run_id", "parts", "n").agg(F.array_sort(F.collect_list(F.struct("part", "h"))).alias("hs"))
-    joined = F.sha2(F.array_join(F.transform("hs", lambda e: e.h), ","), 256)
-    return bound.select(
-        "run_id", F.col("n").alias("artifacts"),
-        F.when(F.col("parts") == 1, F.get("hs", F.lit(0)).h).otherwise(joined).alias("inventory_sha256"),
-    )
+    run = ["run_id", "n", "parts", "groups"]
+
+    def bind(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+        listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "h"))).alias("hs"))
+        joined = F.sha2(F.array_join(F.transform("hs", lambda e: e.h), ","), 256)
+        single = F.get("hs", F.lit(0)).h
+        return listed.withColumn("h", F.when(F.size("hs") == 1, single).otherwise(joined)).drop("hs")
+
+    leaves = placed.groupBy(*run, "part").agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("items"))
+    leaves = leaves.withColumn("h", F.sha2(F.to_json("items"), 256)).withColumn("grp", F.pmod("part", "groups"))
+    bound = bind(bind(leaves, [*run, "grp"], "part"), run, "grp")
+    return bound.select("run_id", F.col("n").alias("artifacts"), F.col("h").alias("inventory_sha256"))
 
 
 def verify_ancestry(approvals: DataFrame, edits: DataFrame, sources: DataFrame, projects: DataFrame) -> DataFrame:
