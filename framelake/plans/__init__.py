@@ -12,4 +12,4 @@ def load_catalog():
     return QUERIES, ORACLES
 
 
-MODULES = ("raster", "timelines", "records", "contracts", "production")
+MODULES = ("raster", "timelines", "records", "contracts", "production", "intake")

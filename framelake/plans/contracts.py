@@ -93,7 +93,7 @@ def v1(spark, sf_dir):
 
 
 @query("v3_validate_project", "", """WITH c AS (SELECT *, CAST(floor(abs(c_acctbal)) AS INT) AS bal FROM customer)
-  SELECT c_custkey AS project_id, 'logical-height' AS code FROM c WHERE bal%150>128
+  SELECT c_custkey AS project_id, 'logical-height' AS code FROM c WHERE bal%150>127
   UNION ALL SELECT c_custkey, 'canonical-anchor' FROM c WHERE c_mktsegment='BUILDING'
   UNION ALL SELECT c_custkey, 'anchor-fields' FROM c WHERE c_acctbal<0
   UNION ALL SELECT c_custkey, 'source-kinds' FROM c WHERE c_nationkey=3
@@ -107,7 +107,7 @@ def v3(spark, sf_dir):
     documents = X.table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS contract_id",
         f"""to_json(named_struct('schemaVersion',1,'id',concat('project-',c_custkey),
-  'character',named_struct('name',c_name,'identity','courier','logicalHeight',1+(CAST(floor(abs(c_acctbal)) AS INT)%150+149)%150,
+  'character',named_struct('name',c_name,'identity','courier','logicalHeight',1+CAST(floor(abs(c_acctbal)) AS INT)%150,
     'anchors',array(named_struct('id','front','role',CASE WHEN c_mktsegment='BUILDING' THEN 'trait' ELSE 'canonical' END,'path',CASE WHEN c_acctbal<0 THEN '../front.png' ELSE 'anchors/front.png' END,'sha256',sha2(c_name,256)))),
   'canvas',named_struct('width',128,'height',128,'pivot',named_struct('x',64,'y',112),'baseline',111),
   'scale',named_struct('integer',2,'runtime',named_struct('width',256,'height',256)),
