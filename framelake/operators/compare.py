@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import color as C
+from framelake.operators.ordered import hot_join
 
 
 def _cell(buffer: str, index: Column) -> Column:
@@ -95,10 +96,9 @@ def attachment_failures(outputs: DataFrame, tracks: DataFrame, sockets: DataFram
     tracks(track_id, kind, attach_to); sockets(clip_id, socket_id).
     """
     contracted = tracks.select("track_id", F.col("kind").alias("want_kind"), F.col("attach_to").alias("want_socket"))
-    joined = outputs.join(contracted, "track_id", "left").join(
-        sockets.select("clip_id", F.col("socket_id").alias("want_socket"), F.lit(True).alias("has_socket")).distinct(),
-        ["clip_id", "want_socket"], "left",
-    )
+    owned = sockets.select("clip_id", F.col("socket_id").alias("want_socket"), F.lit(True).alias("has_socket")).distinct()
+    joined = hot_join(outputs, contracted, ["track_id"], ["clip_id", "frame_id"], "left")
+    joined = hot_join(joined, owned, ["clip_id", "want_socket"], ["frame_id"], "left")
     code = (
         F.when(F.col("want_kind").isNull(), "SOURCE_HASH_MISMATCH")
         .when((F.col("kind") != F.col("want_kind")) | ~F.col("attach_to").eqNullSafe(F.col("want_socket")), "SOURCE_HASH_MISMATCH")

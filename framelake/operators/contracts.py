@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import text as S
-from framelake.operators.ordered import Scan, ordered_scan
+from framelake.operators.ordered import Scan, hot_join, ordered_scan
 from framelake.operators.rules import all_in, any_of, failing, pluck, repeated, unless
 
 # Enumerations and geometry of the document formats.
@@ -69,7 +69,7 @@ def review_rules(review: Column) -> dict[str, Column]:
 def contract_v1_failures(contracts: DataFrame) -> DataFrame:
     """contracts(contract_id, contract: CONTRACT_V1)."""
     c = F.col("contract")
-    frames = F.flatten(pluck(c.clips, "frames"))
+    frames = F.col("_frames")
     anchors = c.anchor.traitReferenceSha256
 
     def transition_broken(clip: Column) -> Column:
@@ -103,7 +103,7 @@ def contract_v1_failures(contracts: DataFrame) -> DataFrame:
         "frame-landmark": any_of(frames, lambda f: unless((f.landmarkSemantic["name"] != "") & _point_is(f.landmarkSemantic.target, *V1_TARGET))),
         "loop-transition": any_of(c.clips, transition_broken),
     }
-    return failing(contracts, ["contract_id"], rules)
+    return failing(contracts.withColumn("_frames", F.flatten(pluck(c.clips, "frames"))), ["contract_id"], rules)
 
 
 def _shared_geometry(c: Column) -> dict[str, Column]:
@@ -121,10 +121,20 @@ def _shared_geometry(c: Column) -> dict[str, Column]:
     }
 
 
+def _with_lists(df: DataFrame, document: str) -> DataFrame:
+    """The id lists that many rules read, computed once per document instead of once per element."""
+    c = F.col(document)
+    return df.withColumns({
+        "_tracks": pluck(c.tracks, "id"), "_sockets": pluck(c.sockets, "id"), "_contacts": pluck(c.contacts, "id"),
+        "_actors": pluck(F.filter(c.tracks, lambda t: t.kind == "actor"), "id"),
+        "_required": pluck(F.filter(c.tracks, lambda t: t.required), "id"),
+        "_attached": F.filter(c.tracks, lambda t: t.attachTo.isNotNull()),
+    })
+
+
 def _shared_parts(c: Column, is_id) -> dict[str, Column]:
     tracks, sockets, contacts = c.tracks, c.sockets, c.contacts
-    track_ids, socket_ids = pluck(tracks, "id"), pluck(sockets, "id")
-    actors = pluck(F.filter(tracks, lambda t: t.kind == "actor"), "id")
+    track_ids, socket_ids, actors = F.col("_tracks"), F.col("_sockets"), F.col("_actors")
     bad_id = lambda items: any_of(items, lambda i: unless(is_id(i.id)))
     return {
         "track-ids": unless(F.size(tracks) > 0) | bad_id(tracks) | repeated(track_ids),
@@ -147,18 +157,12 @@ def _shared_parts(c: Column, is_id) -> dict[str, Column]:
 
 def contract_v2_failures(contracts: DataFrame) -> DataFrame:
     """contracts(contract_id, contract: CONTRACT_V2)."""
-    c = F.col("contract")
-    tracks = c.tracks
-    track_ids, socket_ids, contact_ids = pluck(tracks, "id"), pluck(c.sockets, "id"), pluck(c.contacts, "id")
-    actors = pluck(F.filter(tracks, lambda t: t.kind == "actor"), "id")
-    required = pluck(F.filter(tracks, lambda t: t.required), "id")
-    frames = F.flatten(pluck(c.clips, "frames"))
+    c, frames = F.col("contract"), F.col("_frames")
+    track_ids, socket_ids, contact_ids = F.col("_tracks"), F.col("_sockets"), F.col("_contacts")
+    actors, required, attached = F.col("_actors"), F.col("_required"), F.col("_attached")
 
     def omits_socket(frame: Column) -> Column:
-        return any_of(
-            tracks,
-            lambda t: t.attachTo.isNotNull() & F.array_contains(frame.tracks, t.id) & ~F.array_contains(frame.sockets, t.attachTo),
-        )
+        return any_of(attached, lambda t: F.array_contains(frame.tracks, t.id) & ~F.array_contains(frame.sockets, t.attachTo))
 
     rules = {
         "version": unless(c.version == 2),
@@ -184,21 +188,21 @@ def contract_v2_failures(contracts: DataFrame) -> DataFrame:
         "frame-travel": any_of(frames, lambda f: f.groundTravel.x.isNull() | f.groundTravel.y.isNull()),
         **review_rules(c.review),
     }
-    return failing(contracts, ["contract_id"], rules)
+    prepared = _with_lists(contracts, "contract").withColumn("_frames", F.flatten(pluck(c.clips, "frames")))
+    return failing(prepared, ["contract_id"], rules)
 
 
 def project_failures(projects: DataFrame) -> DataFrame:
     """projects(project_id, project: PROJECT)."""
     p = F.col("project")
     anchors, actions, sources = p.character.anchors, p.actions, p.sources
-    track_ids, socket_ids, contact_ids = pluck(p.tracks, "id"), pluck(p.sockets, "id"), pluck(p.contacts, "id")
-    actors = pluck(F.filter(p.tracks, lambda t: t.kind == "actor"), "id")
+    track_ids, socket_ids, contact_ids = F.col("_tracks"), F.col("_sockets"), F.col("_contacts")
+    actors = F.col("_actors")
     chosen = lambda a: F.concat(F.array(a.sources.preferred), a.sources.fallbacks)
 
     def omits_socket(action: Column) -> Column:
         return any_of(
-            p.tracks,
-            lambda t: t.attachTo.isNotNull() & F.array_contains(action.tracks, t.id) & ~F.array_contains(action.sockets, t.attachTo),
+            F.col("_attached"), lambda t: F.array_contains(action.tracks, t.id) & ~F.array_contains(action.sockets, t.attachTo)
         )
 
     rules = {
@@ -240,7 +244,7 @@ def project_failures(projects: DataFrame) -> DataFrame:
         | any_of(p.approvals.identities, lambda i: ~S.is_schema_id(i)),
         "approval-gates": unless(p.approvals.requiredGates == _strings(REQUIRED_GATES)),
     }
-    return failing(projects, ["project_id"], rules)
+    return failing(_with_lists(projects, "project"), ["project_id"], rules)
 
 
 def recovery_contract_failures(contracts: DataFrame) -> DataFrame:
@@ -395,7 +399,7 @@ def source_failures(frames: DataFrame) -> DataFrame:
         [Scan("place", "position"), Scan("expected_ms", "sum_before", F.col("duration_ms"))],
     )
     own = frames.select("clip_id", F.col("frame_id").alias("duplicate_of"), F.col("idx").alias("original_idx"))
-    linked = scanned.join(own, ["clip_id", "duplicate_of"], "left")
+    linked = hot_join(scanned, own, ["clip_id", "duplicate_of"], ["idx"], "left", counted=frames)
     rules = {
         "frame-index": F.col("idx") != F.col("place"),
         "frame-id": unless(S.is_schema_id(F.col("frame_id"))),
@@ -480,11 +484,9 @@ def generation_request_failures(requests: DataFrame, runs: DataFrame, actions: D
     requests(request_id, run_id, project_sha, action_id, pose_id); runs(run_id, project_sha,
     action_id, kind); actions(action_id, poses array).
     """
-    from framelake.operators.ordered import hot_join
-
     run = runs.select("run_id", F.col("project_sha").alias("run_project"), F.col("action_id").alias("run_action"), "kind")
     joined = hot_join(requests, run, ["run_id"], ["request_id"], "left")
-    joined = hot_join(joined, actions.select("action_id", "poses"), ["action_id"], ["request_id"], "left")
+    joined = hot_join(joined, actions.select("action_id", "poses"), ["action_id"], ["request_id"], "left", counted=requests)
     rules = {
         "project-hash": unless(F.col("run_project") == F.col("project_sha")),
         "run-request": unless((F.col("run_action") == F.col("action_id")) & (F.col("kind") == "generated-still")),

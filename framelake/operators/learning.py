@@ -45,9 +45,9 @@ def lesson_failures(lessons: DataFrame, runs: DataFrame, reports: DataFrame, act
     report = reports.select("run_id", F.col("report_sha").alias("r_report"), "report_passed")
     action = actions.select("run_id", "action_index", *[F.col(c).alias(f"a_{c}") for c in (
         "correction_sha", "code", "correction", "approved", "status", "before_passed", "after_passed", "before_sha", "after_sha")])
-    chained = hot_join(lessons, run, ["run_id"], ["row_no"], "left")
-    chained = hot_join(chained, report, ["run_id"], ["row_no"], "left")
-    chained = hot_join(chained, action, ["run_id", "action_index"], ["row_no"], "left")
+    # Manifest and report are both one row per run, so the lessons meet them in a single join.
+    chained = hot_join(lessons, run.join(report, "run_id", "full_outer"), ["run_id"], ["row_no"], "left")
+    chained = hot_join(chained, action, ["run_id", "action_index"], ["row_no"], "left", counted=lessons)
     hashes = F.lit(True)
     for name in ("manifest_sha", "report_sha", "correction_sha", "before_sha", "after_sha"):
         hashes = hashes & F.col(name).rlike(S.SHA256)

@@ -161,16 +161,24 @@ def dense_index(df: DataFrame, keys: Sequence[str], order: str, name: str = "idx
     return indexed.withColumn(name, F.col(name).cast("long"))
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "left") -> DataFrame:
+def hot_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str],
+    how: str = "left",
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Join to a lookup whose keys may be hot on the left.
 
     Keys above ``HOT_ROWS`` rows are found by a partially aggregated count (at most
     rows / HOT_ROWS of them); only their lookup rows are repeated, once per split, so a hot key is
-    joined by ``HOT_SPLITS`` tasks and every other key exactly as usual.
+    joined by ``HOT_SPLITS`` tasks and every other key exactly as usual. ``counted`` names a cheaper
+    table with the same keys to count, such as the scan in front of a chain of joins.
     """
     keys = list(keys)
-    hot = left.groupBy(*keys).count().filter(F.col("count") > HOT_ROWS).select(*keys, F.lit(True).alias("_hot"))
-    hot = hot.na.drop(subset=keys)
+    counts = (left if counted is None else counted).groupBy(*keys).count()
+    hot = counts.filter(F.col("count") > HOT_ROWS).select(*keys, F.lit(True).alias("_hot")).na.drop(subset=keys)
     split = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(HOT_SPLITS))).otherwise(F.lit(0))
     spread_left = left.join(hot.hint("broadcast"), keys, "left").withColumn("_split", split.cast("long")).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SPLITS - 1))).otherwise(F.array(F.lit(0)))

@@ -22,9 +22,9 @@ def contract_status(edits: DataFrame, approvals: DataFrame, projects: DataFrame,
         F.bool_and(~F.col("included") | actor_only(F.col("tracks"))).alias("frames_single_track"),
     )
     joined = chosen.join(approvals, "clip_id", "left")
-    joined = hot_join(joined, projects.select("project_id", "anchor_sha"), ["project_id"], ["clip_id"], "left")
+    joined = hot_join(joined, projects.select("project_id", "anchor_sha"), ["project_id"], ["clip_id"], "left", counted=approvals)
     joined = hot_join(
-        joined, actions.select("action_id", "semantic", "loop_mode", F.col("tracks").alias("action_tracks")), ["action_id"], ["clip_id"], "left"
+        joined, actions.select("action_id", "semantic", "loop_mode", F.col("tracks").alias("action_tracks")), ["action_id"], ["clip_id"], "left", counted=approvals
     )
     granted = F.coalesce(F.col("verified") & (F.col("decision") == "approved"), F.lit(False))
     code = (
@@ -47,7 +47,7 @@ def contract_documents(edits: DataFrame, status: DataFrame) -> DataFrame:
     clean = status.filter(F.col("code").isNull()).select(
         "clip_id", "approval_sha", "anchor_sha", "loop_mode", "semantic"
     )
-    frames = hot_join(edits.filter("included"), clean, ["clip_id"], ["idx"], "inner")
+    frames = hot_join(edits.filter("included"), clean, ["clip_id"], ["idx"], "inner", counted=edits)
     label = F.trim("label")
     record = F.struct(
         F.col("frame_id").alias("id"),

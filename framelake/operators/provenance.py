@@ -115,7 +115,7 @@ def verify_ancestry(approvals: DataFrame, edits: DataFrame, sources: DataFrame,
     edits(edit_id, sha256), sources(source_id, sha256), projects(project_id, sha256).
     """
     def attach(df: DataFrame, side: DataFrame, key: str, name: str) -> DataFrame:
-        return hot_join(df, side.select(key, F.col("sha256").alias(name)), [key], ["approval_id"], "left")
+        return hot_join(df, side.select(key, F.col("sha256").alias(name)), [key], ["approval_id"], "left", counted=approvals)
 
     chained = attach(approvals, edits, "edit_id", "edit_now")
     chained = attach(chained, sources, "source_id", "source_now")

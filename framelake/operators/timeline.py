@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.ordered import Scan, ordered_scan
+from framelake.operators.ordered import Scan, hot_join, ordered_scan
 
 # Allowed review speeds and duration limits in milliseconds.
 SPEEDS = (0.25, 0.5, 1.0, 2.0)
@@ -92,7 +92,8 @@ def frame_at_elapsed(frames: DataFrame, samples: DataFrame, loop: bool) -> DataF
     """Frame showing at each sampled time.
 
     frames(clip_id, idx, duration_ms, included); samples(clip_id, sample_id, elapsed_ms).
-    Frames and samples are merged into one ordered scan per clip, so no pair of them is ever formed.
+    Frames and the distinct moments asked for are merged into one ordered scan per clip, so no pair
+    of them is ever formed, and a moment asked a billion times is looked up once.
     """
     shown = cumulative_timestamps(frames.filter("included"))
     marks = shown.select(
@@ -106,17 +107,14 @@ def frame_at_elapsed(frames: DataFrame, samples: DataFrame, loop: bool) -> DataF
     ends = ordered_scan(
         marks.unionByName(asked), ["clip_id"], ["pos"],
         [Scan("total_ms", "total", F.col("frame.duration_ms")), Scan("final", "last", F.col("frame"))],
-    )
-    moment = F.when(F.col("sample_id").isNull(), F.col("frame.start_ms"))
-    moment = moment.otherwise(F.col("elapsed_ms") % F.nullif("total_ms", F.lit(0)) if loop else F.col("elapsed_ms"))
-    timed = ends.withColumns({
-        "moment": F.coalesce(moment, F.lit(0)).cast("long"),
-        "asked": F.when(F.col("sample_id").isNull(), 0).otherwise(1),
-    })
-    found = ordered_scan(timed, ["clip_id"], ["moment", "asked"], [Scan("current", "last_before", F.col("frame"))])
+    ).filter(F.col("sample_id").isNotNull())
+    moment = F.col("elapsed_ms") % F.nullif("total_ms", F.lit(0)) if loop else F.col("elapsed_ms")
+    timed = ends.withColumn("moment", F.coalesce(moment, F.lit(0)).cast("long"))
+    found = _frames_at(marks, timed.select("clip_id", "moment").distinct())
+    placed = hot_join(timed, found, ["clip_id", "moment"], ["sample_id"], "left", counted=timed.select("clip_id", "moment"))
     empty = F.coalesce(F.col("total_ms"), F.lit(0)) == 0
     past = F.lit(False) if loop else F.col("elapsed_ms") >= F.col("total_ms")
-    return found.filter(F.col("asked") == 1).select(
+    return placed.select(
         "clip_id", "sample_id",
         F.when(~empty, F.when(past, F.col("final.idx")).otherwise(F.col("current.idx"))).alias("idx"),
         F.when(empty, F.lit(0)).otherwise(F.col("total_ms")).cast("long").alias("total_ms"),
@@ -127,6 +125,18 @@ def frame_at_elapsed(frames: DataFrame, samples: DataFrame, loop: bool) -> DataF
     )
 
 
+def _frames_at(marks: DataFrame, moments: DataFrame) -> DataFrame:
+    """(clip_id, moment, current): the frame last started at each distinct moment."""
+    starts = marks.select("clip_id", F.col("frame.start_ms").alias("moment"), F.lit(0).alias("asked"), "frame")
+    wanted = moments.select(
+        "clip_id", "moment", F.lit(1).alias("asked"), F.lit(None).cast(marks.schema["frame"].dataType).alias("frame")
+    )
+    found = ordered_scan(
+        starts.unionByName(wanted), ["clip_id"], ["moment", "asked"], [Scan("current", "last_before", F.col("frame"))]
+    )
+    return found.filter(F.col("asked") == 1).select("clip_id", "moment", "current")
+
+
 def compare_timelines(left: DataFrame, right: DataFrame) -> DataFrame:
     """Frames of two revisions at every moment either one changes frame."""
     a = cumulative_timestamps(left.filter("included")).select(

@@ -22,7 +22,7 @@ HEX_SQL = "array('141e3c','c82828')"
 
 def contract_documents(spark, sf_dir):
     """One version-2 contract document per order, with faults that follow from the order's values."""
-    return X.table(spark, sf_dir, "orders").selectExpr(
+    return X.spread_table(spark, sf_dir, "orders", "o_orderkey").selectExpr(
         "o_orderkey AS contract_id",
         f"""to_json(named_struct('version', CASE WHEN o_orderpriority='5-LOW' AND o_orderstatus='P' THEN 1 ELSE 2 END,
   'selectionApprovalSha256', sha2(CAST(o_orderkey AS STRING),256),
@@ -67,7 +67,7 @@ def s5(spark, sf_dir):
 
 def contract_v1_documents(spark, sf_dir):
     """One version-1 contract per part."""
-    return X.table(spark, sf_dir, "part").selectExpr(
+    return X.spread_table(spark, sf_dir, "part", "p_partkey").selectExpr(
         "p_partkey AS contract_id",
         f"""to_json(named_struct('version',1,'anchor',named_struct('sha256',sha2(p_name,256),'traitReferenceSha256',CASE WHEN p_size=7 THEN array(sha2('a',256),sha2('a',256)) ELSE array(sha2('a',256)) END),
   'sizes',named_struct('canonical',array(128,128),'generation',array(1024,1024),'runtime',array(256,CASE WHEN p_size>45 THEN 255 ELSE 256 END),'pixelSize',8),
@@ -104,7 +104,7 @@ def v1(spark, sf_dir):
   UNION ALL SELECT c_custkey, 'approval-gates' FROM c WHERE c_nationkey=8
   UNION ALL SELECT c_custkey, 'approval-status' FROM c WHERE c_nationkey=9""")
 def v3(spark, sf_dir):
-    documents = X.table(spark, sf_dir, "customer").selectExpr(
+    documents = X.spread_table(spark, sf_dir, "customer", "c_custkey").selectExpr(
         "c_custkey AS contract_id",
         f"""to_json(named_struct('schemaVersion',1,'id',concat('project-',c_custkey),
   'character',named_struct('name',c_name,'identity','courier','logicalHeight',1+CAST(floor(abs(c_acctbal)) AS INT)%150,
@@ -137,7 +137,7 @@ def v3(spark, sf_dir):
   UNION ALL SELECT p_partkey, 'group-components' FROM part WHERE p_size=3
   UNION ALL SELECT p_partkey, 'group-membership' FROM part WHERE p_size=5""")
 def v7(spark, sf_dir):
-    documents = X.table(spark, sf_dir, "part").selectExpr(
+    documents = X.spread_table(spark, sf_dir, "part", "p_partkey").selectExpr(
         "p_partkey AS contract_id",
         """to_json(named_struct('schemaVersion',1,'background',named_struct('mode','color','rgba',CASE WHEN p_size%4=0 THEN array(0,256,0,255) ELSE array(0,255,0,255) END,'tolerance',p_size*6,
     'spill',CASE WHEN p_size%5=0 THEN named_struct('minimumDominance',0) END),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators.ordered import dense_index
-from framelake.session import configure
+from framelake.session import configure, use_all_cores
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -19,11 +19,13 @@ BASE_TABLES = (
 ).split()
 
 # Colour of quantised level q; -1 and 0 are the transparent background level.
-COLOUR = """
-  CASE WHEN q IN (-1,0) THEN 0 ELSE 128+8*q END AS r,
-  CASE WHEN q IN (-1,0) THEN 0 ELSE 127-8*q END AS g,
-  CASE WHEN q IN (-1,0) THEN 0 ELSE (q*q*4)%256 END AS b,
-  CASE WHEN q IN (-1,0) THEN 0 WHEN q=1 THEN 128 ELSE 255 END AS a"""
+COLOUR_PARTS = [
+    "CASE WHEN q IN (-1,0) THEN 0 ELSE 128+8*q END AS r",
+    "CASE WHEN q IN (-1,0) THEN 0 ELSE 127-8*q END AS g",
+    "CASE WHEN q IN (-1,0) THEN 0 ELSE (q*q*4)%256 END AS b",
+    "CASE WHEN q IN (-1,0) THEN 0 WHEN q=1 THEN 128 ELSE 255 END AS a",
+]
+COLOUR = ", ".join(COLOUR_PARTS)
 
 
 def level_colour(q: int) -> tuple[int, int, int, int]:
@@ -151,6 +153,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table for work that is heavy per row."""
+    return use_all_cores(table(spark, sf_dir, name), key)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view without positions, straight from the parquet scan."""
     configure(spark)
@@ -173,7 +180,16 @@ def _replace_table(sql: str, name: str, path: str) -> str:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "pixels")
+    """The view's pixels, from arrays that were spread over the cores before they are exploded."""
+    configure(spark)
+    source = spread_table(spark, sf_dir, "embeddings", "vec_id").select(
+        F.col("vec_id").alias("frame_key"), F.col("label").cast("long").alias("clip_id"), F.posexplode("embedding").alias("i", "v")
+    )
+    raster = source.select(
+        "frame_key", "clip_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"),
+        F.floor(F.col("v") * 16).cast("int").alias("q"),
+    )
+    return raster.selectExpr("frame_key", "clip_id", "x", "y", *COLOUR_PARTS)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +217,7 @@ def _level_hex(value):
 def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame_key, clip_id, width, height, rgba): one row per frame with its byte buffer."""
     configure(spark)
-    return table(spark, sf_dir, "embeddings").select(
+    return spread_table(spark, sf_dir, "embeddings", "vec_id").select(
         F.col("vec_id").alias("frame_key"),
         F.col("label").cast("long").alias("clip_id"),
         F.lit(8).alias("width"),
@@ -221,7 +237,7 @@ def runtime_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(blended & (i % 2 == 1), F.lit("7f7f64ff")).otherwise(colour)
 
     return (
-        table(spark, sf_dir, "embeddings")
+        spread_table(spark, sf_dir, "embeddings", "vec_id")
         .withColumn("hexes", F.transform("embedding", _level_hex))
         .select(
             F.col("vec_id").alias("frame_key"),

@@ -22,6 +22,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small scan over the cores by ``key``; scans with enough splits pass unchanged.
+
+    For work that is heavy per row. A large table already has more splits than cores, so nothing is
+    shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster; a scratch folder only where none is named."""
     context = spark.sparkContext

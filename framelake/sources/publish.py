@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.operators.ordered import hot_join
+
 MANIFEST = "revision int, path string, sha256 string, reused boolean"
 
 
@@ -39,7 +41,7 @@ def publish_revision(artifacts: DataFrame, root: str) -> int:
         raise PublishConflict("published bytes are immutable")
     revision = (manifest.agg(F.max("revision")).first()[0] or 0) + 1
     known = manifest.select("sha256").distinct().withColumn("reused", F.lit(True))
-    marked = artifacts.join(known, "sha256", "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
+    marked = hot_join(artifacts, known, ["sha256"], ["path"], "left").withColumn("reused", F.coalesce("reused", F.lit(False)))
     fresh = marked.filter(~F.col("reused")).dropDuplicates(["sha256"]).select("sha256", "payload")
     fresh.write.mode("errorifexists").parquet(f"{root}/content/revision={revision}")
     marked.select("path", "sha256", "reused").write.mode("errorifexists").parquet(f"{root}/manifest/revision={revision}")
