@@ -9,6 +9,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Keys that describe where a document came from, not what it says.
 PROVENANCE_KEYS = (
@@ -35,7 +36,7 @@ def signer(key: bytes, domain: str):
     """
     lead = domain.encode() + b"\0"
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def sign(payloads: pd.Series) -> pd.Series:
         return payloads.map(lambda p: None if p is None else hmac.new(key, lead + p.encode(), hashlib.sha256).hexdigest())
 
@@ -50,7 +51,7 @@ def _without_provenance(value):
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_provenance(documents: pd.Series) -> pd.Series:
     """The document without its provenance keys at any depth."""
     return documents.map(

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Identifier patterns, reserved device names and secret-like keys, in natural order.
 CONTRACT_ID = r"^[a-z0-9](?:[a-z0-9._-]{0,62}[a-z0-9])?$"
@@ -56,7 +57,7 @@ def is_portable_path(value: Column) -> Column:
     return (value != "") & ~value.contains("\\") & ~is_absolute(value) & F.forall(F.split(value, "/"), fine)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def portability_key(values: pd.Series) -> pd.Series:
     """Compatibility-normalised lower case; names that collide on some platform share it."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).lower())

@@ -17,10 +17,12 @@ RUNS_SCHEMA = "frame_key long, clip_id long, label long, y int, x0 int, x1 int"
 POLICIES = ("all", "largest", "reject-multiple")
 
 
-def _foreground(pixels: np.ndarray, key: np.ndarray, tolerance: int, dominance: int | None) -> np.ndarray:
+def _foreground(pixels: np.ndarray, key: np.ndarray, tolerance: int, clear_matches: bool, dominance: int | None) -> np.ndarray:
     near = (np.abs(pixels - key) <= tolerance).all(axis=2)
+    if clear_matches:
+        near |= (pixels[:, :, 3] == 0) & (key[3] == 0)
     if dominance is None:
-        return ~(near | ((pixels[:, :, 3] == 0) & (key[3] == 0)))
+        return ~near
     rgb = key[:3]
     if (rgb == rgb.max()).sum() != 1:
         raise ValueError("chroma spill needs one uniquely dominant key channel")
@@ -59,9 +61,17 @@ def _label_runs(mask: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def component_runs(
-    frames: DataFrame, background: Column, tolerance: int = 0, minimum_dominance: int | None = None
+    frames: DataFrame,
+    background: Column,
+    tolerance: int = 0,
+    clear_matches: bool = True,
+    minimum_dominance: int | None = None,
 ) -> DataFrame:
-    """(frame_key, clip_id, label, y, x0, x1); ``label`` is the raster index where the component starts."""
+    """(frame_key, clip_id, label, y, x0, x1); ``label`` is the raster index where the component starts.
+
+    ``clear_matches``: a transparent pixel matches a transparent background whatever its RGB, as for
+    single frames; pose boards compare all four channels and may also remove chroma spill.
+    """
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -69,7 +79,7 @@ def component_runs(
             for row in batch.itertuples(index=False):
                 raster = np.frombuffer(row.rgba, dtype=np.uint8).reshape(row.height, row.width, 4).astype(np.int16)
                 y, x0, x1, labels = _label_runs(
-                    _foreground(raster, np.array(row.key, dtype=np.int16), tolerance, minimum_dominance)
+                    _foreground(raster, np.array(row.key, dtype=np.int16), tolerance, clear_matches, minimum_dominance)
                 )
                 parts.append(pd.DataFrame({
                     "frame_key": row.frame_key, "clip_id": row.clip_id, "label": labels, "y": y, "x0": x0, "x1": x1,

@@ -1,4 +1,4 @@
-"""Session helpers: settings the library relies on, and lineage cuts that survive executor loss."""
+"""Session helpers: settings the library relies on and the shared folder for derived files."""
 
 from __future__ import annotations
 
@@ -43,12 +43,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the written blocks live in the shared folder, not on an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name inside the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from framelake import schemas
 from framelake.operators.ordered import hot_join
@@ -13,7 +14,7 @@ from framelake.operators.ordered import hot_join
 MAX_HASHED_BYTES = 1 << 30
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _to_rgba(data: pd.Series, channels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     def convert(raw, n, w, h):
         pixels = np.frombuffer(raw, dtype=np.uint8).reshape(h * w, n)
