@@ -95,23 +95,16 @@ def frame_at_elapsed(frames: DataFrame, samples: DataFrame, loop: bool) -> DataF
     Frames and the distinct moments asked for are merged into one ordered scan per clip, so no pair
     of them is ever formed, and a moment asked a billion times is looked up once.
     """
-    shown = cumulative_timestamps(frames.filter("included"))
-    marks = shown.select(
-        "clip_id", F.col("idx").alias("pos"), F.struct("idx", "start_ms", "duration_ms").alias("frame"),
-        F.lit(None).cast("long").alias("sample_id"), F.lit(None).cast("long").alias("elapsed_ms"),
-    )
-    asked = samples.select(
-        "clip_id", F.col("sample_id").alias("pos"), F.lit(None).cast(marks.schema["frame"].dataType).alias("frame"),
-        "sample_id", F.greatest(F.lit(0), F.coalesce("elapsed_ms", F.lit(0))).cast("long").alias("elapsed_ms"),
-    )
-    ends = ordered_scan(
-        marks.unionByName(asked), ["clip_id"], ["pos"],
-        [Scan("total_ms", "total", F.col("frame.duration_ms")), Scan("final", "last", F.col("frame"))],
-    ).filter(F.col("sample_id").isNotNull())
+    active = frames.filter("included")
+    totals = active.groupBy("clip_id").agg(
+        F.sum("duration_ms").alias("total_ms"), F.max_by(F.struct("idx", "duration_ms"), "idx").alias("final")
+    )
+    timed = hot_join(samples, totals, ["clip_id"], ["sample_id"], "left")
+    asked = F.greatest(F.lit(0), F.coalesce("elapsed_ms", F.lit(0))).cast("long")
     moment = F.col("elapsed_ms") % F.nullif("total_ms", F.lit(0)) if loop else F.col("elapsed_ms")
-    timed = ends.withColumn("moment", F.coalesce(moment, F.lit(0)).cast("long"))
-    found = _frames_at(marks, timed.select("clip_id", "moment").distinct())
-    placed = hot_join(timed, found, ["clip_id", "moment"], ["sample_id"], "left", counted=timed.select("clip_id", "moment"))
+    timed = timed.withColumn("elapsed_ms", asked).withColumn("moment", F.coalesce(moment, F.lit(0)).cast("long"))
+    found = _frames_at(cumulative_timestamps(active), timed.select("clip_id", "moment").distinct())
+    placed = hot_join(timed, found, ["clip_id", "moment"], ["sample_id"], "left")
     empty = F.coalesce(F.col("total_ms"), F.lit(0)) == 0
     past = F.lit(False) if loop else F.col("elapsed_ms") >= F.col("total_ms")
     return placed.select(
@@ -125,11 +118,13 @@ def frame_at_elapsed(frames: DataFrame, samples: DataFrame, loop: bool) -> DataF
     )
 
 
-def _frames_at(marks: DataFrame, moments: DataFrame) -> DataFrame:
+def _frames_at(shown: DataFrame, moments: DataFrame) -> DataFrame:
     """(clip_id, moment, current): the frame last started at each distinct moment."""
-    starts = marks.select("clip_id", F.col("frame.start_ms").alias("moment"), F.lit(0).alias("asked"), "frame")
+    starts = shown.select(
+        "clip_id", F.col("start_ms").alias("moment"), F.lit(0).alias("asked"), F.struct("idx", "start_ms", "duration_ms").alias("frame")
+    )
     wanted = moments.select(
-        "clip_id", "moment", F.lit(1).alias("asked"), F.lit(None).cast(marks.schema["frame"].dataType).alias("frame")
+        "clip_id", "moment", F.lit(1).alias("asked"), F.lit(None).cast(starts.schema["frame"].dataType).alias("frame")
     )
     found = ordered_scan(
         starts.unionByName(wanted), ["clip_id"], ["moment", "asked"], [Scan("current", "last_before", F.col("frame"))]

@@ -326,7 +326,7 @@ def v20(spark, sf_dir):
         F.col("o_orderkey").alias("run_id"), F.lit("project").alias("project_sha"), F.lit("walk").alias("action_id"),
         F.when(F.col("o_orderstatus") == "P", "gif").otherwise("generated-still").alias("kind"),
     )
-    actions = orders.groupBy().agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("walk").alias("action_id"), F.array(F.lit("contact"), F.lit("passing")).alias("poses")
-    )
+    actions = orders.select(
+        F.when(F.col("o_orderstatus") != "", "walk").alias("action_id"), F.array(F.lit("contact"), F.lit("passing")).alias("poses")
+    ).distinct()
     return R.generation_request_failures(requests, runs, actions)

@@ -7,11 +7,13 @@ as a common table expression. Positions inside a clip are added by ``dense_index
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators.ordered import dense_index
-from framelake.session import configure, use_all_cores
+from framelake.session import configure, scratch_folder, use_all_cores
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -72,7 +74,7 @@ def _artifacts_left(engine: str) -> str:
 
 
 def _artifacts_right(engine: str) -> str:
-    # Spanish records were never published; German ones were rewritten; labelled ones are signed off.
+    # Spanish records were never published; German ones were rewritten.
     forged = _sha(engine, "concat(text,'x')")
     return f"""SELECT concat(source,'/',CAST(doc_id AS STRING)) AS path, source AS run_id, doc_id,
       CASE WHEN lang='de' THEN {forged} ELSE {_sha(engine, 'text')} END AS sha256, n_chars AS size
@@ -192,8 +194,29 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.selectExpr("frame_key", "clip_id", "x", "y", *COLOUR_PARTS)
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per session into the shared folder.
+
+    Positions and links belong to frame tables at rest. Writing them once keeps every query that
+    needs them one scan deep, instead of repeating the numbering below each of its own scans.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        folder = scratch_folder(spark, name)
+        build().write.parquet(folder)
+        _STORED[key] = folder
+    return spark.read.parquet(_STORED[key])
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame_key, clip_id, idx): one row per frame, positions per clip."""
+    return stored(spark, sf_dir, "frames", lambda: _frames(spark, sf_dir))
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     base = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("frame_key"), F.col("label").cast("long").alias("clip_id")
@@ -258,11 +281,29 @@ DERIVED_SQL["runtime_pixels"] = ("pixels", RUNTIME_SQL)
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense_index(view(spark, sf_dir, "timeline_raw"), ["clip_id"], "frame_id")
+    """Frames of every clip with their positions."""
+    return stored(
+        spark, sf_dir, "timeline", lambda: dense_index(view(spark, sf_dir, "timeline_raw"), ["clip_id"], "frame_id")
+    )
+
+
+def later_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later revision: sign-up frames were cut, the rest holds a little longer."""
+
+    def build() -> DataFrame:
+        kept = view(spark, sf_dir, "timeline_raw").filter("event_type<>'signup'")
+        longer = kept.select("clip_id", "frame_id", (F.col("duration_ms") + F.col("k")).alias("duration_ms"), "included")
+        return dense_index(longer, ["clip_id"], "frame_id")
+
+    return stored(spark, sf_dir, "later-timeline", build)
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revision chains; long turns carry a forged link."""
+    return stored(spark, sf_dir, "revisions", lambda: _revisions_linked(spark, sf_dir))
+
+
+def _revisions_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelake.operators.ordered import Scan, ordered_scan
 
     base = ordered_scan(

@@ -174,7 +174,7 @@ def s4(spark, sf_dir):
         F.col("clip_id").alias("source_id"), (F.col("idx") + 1).alias("line_no"),
         F.format_string("0, %d, %d, %d, 64, %s", pts, pts, span, F.sha2(F.col("k").cast("string"), 256)).alias("line"),
     )
-    headers = line.filter("idx=0").select(
+    headers = X.timeline(spark, sf_dir).filter("idx=0").select(
         F.col("clip_id").alias("source_id"), F.lit(0).cast("long").alias("line_no"),
         F.when(fine, F.lit("#tb 0: 1/90000")).otherwise(F.lit("#tb 0: 1/1000")).alias("line"),
     )

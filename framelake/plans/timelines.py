@@ -136,17 +136,10 @@ def w11(spark, sf_dir):
 REVISION_B = """revb AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame_id)-1 AS idx, frame_id, duration_ms+k AS duration_ms, included FROM timeline_raw WHERE event_type<>'signup')"""
 
 
-def revision_b(spark, sf_dir):
-    """A later revision: sign-up frames were cut, the rest holds a little longer."""
-    kept = X.view(spark, sf_dir, "timeline_raw").filter("event_type<>'signup'")
-    longer = kept.select("clip_id", "frame_id", (F.col("duration_ms") + F.col("k")).alias("duration_ms"), "included")
-    return dense_index(longer, ["clip_id"], "frame_id")
-
-
 @query("j5_ordered_coverage", "timeline timeline_raw", f"""WITH {REVISION_B} SELECT clip_id, idx, t.frame_id AS expected, r.frame_id AS actual
   FROM timeline t FULL JOIN revb r USING (clip_id, idx) WHERE t.frame_id IS DISTINCT FROM r.frame_id""")
 def j5(spark, sf_dir):
-    return T.ordered_coverage(X.timeline(spark, sf_dir), revision_b(spark, sf_dir))
+    return T.ordered_coverage(X.timeline(spark, sf_dir), X.later_timeline(spark, sf_dir))
 
 
 def samples(spark, sf_dir):
@@ -187,7 +180,7 @@ def j12_loop(spark, sf_dir):
   m AS (SELECT clip_id, s FROM a UNION SELECT clip_id, s FROM b)
   SELECT m.clip_id, m.s AS elapsed_ms, a.idx AS left_idx, b.idx AS right_idx FROM m ASOF LEFT JOIN a ON a.clip_id=m.clip_id AND a.s<=m.s ASOF LEFT JOIN b ON b.clip_id=m.clip_id AND b.s<=m.s""")
 def j13(spark, sf_dir):
-    return T.compare_timelines(X.timeline(spark, sf_dir), revision_b(spark, sf_dir))
+    return T.compare_timelines(X.timeline(spark, sf_dir), X.later_timeline(spark, sf_dir))
 
 
 @query("a13_source_summary", "pixels frames", f"""WITH h AS ({FRAME_SHA}), p AS (SELECT frame_key, bool_or(a<255) AS alpha, bool_and(a=0) AS empty FROM pixels GROUP BY frame_key),
