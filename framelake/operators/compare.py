@@ -9,50 +9,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import color as C
+from framelake.operators import buffers as B
 from framelake.operators.ordered import hot_join
 
 
-def _cell(buffer: str, index: Column) -> Column:
-    return F.substr(buffer, index.cast("int") * 4 + 1, F.lit(4))
-
-
-def block_match(source: DataFrame, output: DataFrame, scale: int) -> DataFrame:
-    """Pixels of the scaled output that differ from their source pixel, per frame."""
-    pair = source.select("frame_key", "clip_id", "width", "height", F.col("rgba").alias("src")).join(
+def _pairs(source: DataFrame, output: DataFrame) -> DataFrame:
+    return source.select("frame_key", "clip_id", "width", "height", F.col("rgba").alias("src")).join(
         output.select("frame_key", F.col("width").alias("out_width"), F.col("height").alias("out_height"), F.col("rgba").alias("out")),
         "frame_key",
     )
-    ow = F.col("out_width")
-    origin = lambda i: F.floor(i / (ow * scale)) * F.col("width") + F.floor((i % ow) / scale)
-    sized = (ow == F.col("width") * scale) & (F.col("out_height") == F.col("height") * scale)
-    wrong = F.filter(
-        F.sequence(F.lit(0), ow * F.col("out_height") - 1), lambda i: _cell("out", i) != _cell("src", origin(i))
-    )
-    return pair.select(
-        "frame_key", "clip_id",
-        F.when(sized, F.size(wrong)).alias("mismatches"),
-        F.when(sized, F.size(wrong) == 0).otherwise(F.lit(False)).alias("matches"),
-    )
+
+
+def block_match(source: DataFrame, output: DataFrame, scale: int) -> DataFrame:
+    """Pixels of the scaled output that differ from their source pixel, per frame; null for a wrong size."""
+    wrong = B.scaled_mismatches("src", "width", "height", "out", "out_width", "out_height", F.lit(scale))
+    counted = _pairs(source, output).select("frame_key", "clip_id", wrong.alias("mismatches"))
+    return counted.withColumn("matches", F.coalesce(F.col("mismatches") == 0, F.lit(False)))
 
 
 def translated_match(source: DataFrame, output: DataFrame, dx: Column, dy: Column, scale: int = 1) -> DataFrame:
     """Output pixels that are not the shifted (and scaled) source pixel, or not zero where none maps."""
-    pair = source.select("frame_key", "clip_id", "width", "height", F.col("rgba").alias("src")).withColumns(
-        {"dx": dx, "dy": dy}
-    ).join(
-        output.select("frame_key", F.col("width").alias("ow"), F.col("height").alias("oh"), F.col("rgba").alias("out")), "frame_key"
+    wrong = B.shifted_mismatches(
+        "src", "width", "height", "out", "out_width", "out_height", dx.cast("int"), dy.cast("int"), F.lit(scale)
     )
-
-    def expected(i: Column) -> Column:
-        sx = F.floor((i % F.col("ow")) / scale) - F.col("dx")
-        sy = F.floor(F.floor(i / F.col("ow")) / scale) - F.col("dy")
-        inside = (sx >= 0) & (sy >= 0) & (sx < F.col("width")) & (sy < F.col("height"))
-        at = _cell("src", sy * F.col("width") + sx)
-        visible = inside & (F.substr(at, F.lit(4), F.lit(1)) != F.lit(bytearray(1)))
-        return F.when(visible, at).otherwise(F.lit(bytearray(4)))
-
-    wrong = F.filter(F.sequence(F.lit(0), F.col("ow") * F.col("oh") - 1), lambda i: _cell("out", i) != expected(i))
-    return pair.select("frame_key", "clip_id", F.size(wrong).alias("mismatches"), (F.size(wrong) == 0).alias("matches"))
+    counted = _pairs(source, output).select("frame_key", "clip_id", wrong.alias("mismatches"))
+    return counted.withColumn("matches", F.col("mismatches") == 0)
 
 
 def sheet_match(sheet: DataFrame, frame_pixels: DataFrame, columns: int, width: int, height: int) -> DataFrame:

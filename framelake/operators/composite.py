@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from framelake.functions import color as C
 # Fixed value: container limit on frames per animation; it bounds the per-pixel fold.
 MAX_FRAMES = 10_000
 
+BAND_LINES = 16
+
 
 def _clear() -> Column:
     return F.struct(*[F.lit(0).cast("int").alias(c) for c in C.CHANNELS])
@@ -31,36 +35,51 @@ def replay_disposal(patches: DataFrame, frames: DataFrame, keys: list[str]) -> D
     patches(keys, step, x, y, r, g, b, a): decoded pixels of each frame's rectangle.
     frames(keys, step, rect_x, rect_y, rect_w, rect_h, dispose, blend): one row per frame, at most
     ``MAX_FRAMES`` per animation. Pages come back for every pixel any frame touches.
+
+    Pixels never influence each other, so the work is split by animation and band of lines: one task
+    group holds one band of one animation and walks its frames once.
     """
-    program = frames.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("step", "rect_x", "rect_y", "rect_w", "rect_h", "dispose", "blend"))).alias("program")
-    )
-    per_pixel = patches.groupBy(*keys, "x", "y").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("step"), C.packed(C.channels())))).alias("patch")
-    )
-    replay = per_pixel.join(program, keys)
-    start = F.struct(
-        _clear().alias("canvas"),
-        F.array().cast("array<struct<step:bigint,pixel:struct<r:int,g:int,b:int,a:int>>>").alias("pages"),
+    banded = patches.withColumn("band", F.floor(F.col("y") / BAND_LINES).cast("int"))
+    own = [*keys, "band"]
+    program = banded.select(*own).distinct().join(frames, keys).select(
+        *[F.col(k).alias(f"p_{k}") for k in own], "step", "rect_x", "rect_y", "rect_w", "rect_h", "dispose", "blend"
     )
+    types = {f.name: f.dataType.simpleString() for f in patches.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", x int, y int, step bigint, r int, g int, b int, a int"
+
+    def replay(key: tuple, drawn: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
+        steps = steps.sort_values("step")
+        order = steps["step"].to_numpy()
+        places, at = np.unique((drawn["y"].to_numpy(np.int64) << 32) | drawn["x"].to_numpy(np.int64), return_inverse=True)
+        ys, xs = places >> 32, places & 0xFFFFFFFF
+        patch = np.zeros((len(steps), len(places), 4), dtype=np.int64)
+        patch[np.searchsorted(order, drawn["step"].to_numpy()), at] = drawn[list("rgba")].to_numpy()
+        pages, canvas = np.empty_like(patch), np.zeros((len(places), 4), dtype=np.int64)
+        for i, frame in enumerate(steps.itertuples(index=False)):
+            inside = (xs >= frame.rect_x) & (xs < frame.rect_x + frame.rect_w)
+            inside &= (ys >= frame.rect_y) & (ys < frame.rect_y + frame.rect_h)
+            page = canvas.copy()
+            page[inside] = patch[i][inside] if frame.blend == "source" else _over(patch[i][inside], canvas[inside])
+            pages[i] = page
+            if frame.dispose != "previous":
+                canvas = page.copy()
+                if frame.dispose == "background":
+                    canvas[inside] = 0
+        return pd.DataFrame({
+            **dict(zip(keys, key)), "x": np.tile(xs, len(steps)), "y": np.tile(ys, len(steps)), "step": np.repeat(order, len(places)),
+            **{c: pages[:, :, n].ravel() for n, c in enumerate("rgba")},
+        })
+
+    return banded.groupBy(*own).cogroup(program.groupBy(*[f"p_{k}" for k in own])).applyInPandas(replay, schema)
+
 
-    def advance(state: Column, frame: Column) -> Column:
-        canvas = state.canvas
-        inside = (
-            (F.col("x") >= frame.rect_x) & (F.col("x") < frame.rect_x + frame.rect_w)
-            & (F.col("y") >= frame.rect_y) & (F.col("y") < frame.rect_y + frame.rect_h)
-        )
-        patch = F.coalesce(F.element_at("patch", frame.step), _clear())
-        drawn = F.when(~inside, canvas).when(frame.blend == "source", patch).otherwise(
-            C.packed(C.alpha_over(C.fields(patch), C.fields(canvas)))
-        )
-        left = (
-            F.when(inside & (frame.dispose == "background"), _clear())
-            .when(frame.dispose == "previous", canvas)
-            .otherwise(drawn)
-        )
-        page = F.struct(frame.step.cast("long").alias("step"), drawn.alias("pixel"))
-        return F.struct(left.alias("canvas"), F.concat(state.pages, F.array(page)).alias("pages"))
-
-    done = replay.withColumn("pages", F.aggregate("program", start, advance, lambda s: s.pages))
-    return done.select(*keys, "x", "y", F.explode("pages").alias("page")).select(*keys, "x", "y", "page.step", "page.pixel.*")
+def _over(top: np.ndarray, under: np.ndarray) -> np.ndarray:
+    """Source-over on byte rows with half-up rounding."""
+    cover = top[:, 3:4]
+    hidden = under[:, 3:4] * (255 - cover)
+    weight = cover * 255 + hidden
+    safe = np.maximum(weight, 1)
+    colour = np.floor((top[:, :3] * cover * 255 + under[:, :3] * hidden) / safe + 0.5)
+    alpha = np.floor(weight / 255 + 0.5)
+    mixed = np.hstack([colour, alpha]).astype(np.int64)
+    return np.where(cover == 255, top, np.where(cover == 0, under, mixed))

@@ -16,12 +16,6 @@ MAX_MODES = 3
 LARGE_PALETTE = 256
 
 
-def hex_channels(text: Column) -> dict[str, Column]:
-    """rrggbbaa text to channels."""
-    part = lambda at: F.conv(F.substr(text, F.lit(at), F.lit(2)), 16, 10).cast("int")
-    return {c: part(at) for c, at in zip(C.CHANNELS, (1, 3, 5, 7))}
-
-
 def run_histogram(runs: DataFrame) -> DataFrame:
     """Foreground runs per frame, axis and length, with the earliest place each length appears."""
     return runs.groupBy("frame_key", "axis", "length").agg(
@@ -96,8 +90,7 @@ def foreground_runs(frames: DataFrame, backgrounds: DataFrame, tolerance: int) -
     """Runs of each frame that are not its background colour."""
     keyed = frames.join(backgrounds, "frame_key")
     runs = P.axis_runs(keyed, keep=("frame_key", "background"))
-    background = C.fields(F.col("background"))
-    return runs.filter(~C.same_color(hex_channels(F.col("colour")), background, tolerance))
+    return runs.filter(~C.same_color(C.channels(), C.fields(F.col("background")), tolerance))
 
 
 def inspect_frames(frames: DataFrame, width: int, height: int, tolerance: int = 0) -> DataFrame:

@@ -10,26 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import color as C
+from framelake.operators import buffers as B
 from framelake.operators.ordered import Scan, ordered_scan
 
 
 def explode_pixels(frames: DataFrame, keep: tuple[str, ...] = ("frame_key", "clip_id")) -> DataFrame:
-    """Byte buffer to (x, y, r, g, b, a): first into lines, then into pixels, so that no step repeats the buffer."""
-    line = lambda y: F.substr("rgba", y * F.col("width") * 4 + 1, F.col("width") * 4)
-    lines = frames.select(
-        *keep, "width", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("height") - 1), line)).alias("y", "line")
-    )
-    cell = lambda x: F.substr("line", x * 4 + 1, F.lit(4))
-    cells = lines.select(
-        *keep, "y", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("width") - 1), cell)).alias("x", "cell")
-    )
-    word = F.conv(F.hex("cell"), 16, 10).cast("long")
-    cells = cells.select(*keep, "x", "y", word.alias("word"))
-    shifts = {"r": 24, "g": 16, "b": 8, "a": 0}
-    return cells.select(
-        *keep, "x", "y",
-        *[F.shiftright("word", s).bitwiseAND(F.lit(255)).cast("int").alias(c) for c, s in shifts.items()],
-    )
+    """Byte buffer to (x, y, r, g, b, a), one row per pixel."""
+    return B.expand(frames, keep, "x int, y int, r int, g int, b int, a int", B.pixel_rows)
 
 
 def frame_colours(pixels: DataFrame, width: int, height: int, keep: tuple[str, ...] = ("frame_key", "clip_id")) -> DataFrame:
@@ -309,31 +296,7 @@ def frame_hash(frames: DataFrame) -> DataFrame:
 
 
 def axis_runs(frames: DataFrame, keep: tuple[str, ...] = ("frame_key", "clip_id")) -> DataFrame:
-    """Maximal same-colour runs of every row and column, without a shuffle: lines are cut out in place."""
-    pixel = lambda i: F.substr("hexes", i * 8 + 1, F.lit(8))
-    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    rows = F.transform(
-        span("height"), lambda y: F.struct(F.lit("horizontal").alias("axis"), y.alias("line"),
-                                           F.transform(span("width"), lambda x: pixel(y * F.col("width") + x)).alias("cells"))
-    )
-    columns = F.transform(
-        span("width"), lambda x: F.struct(F.lit("vertical").alias("axis"), x.alias("line"),
-                                          F.transform(span("height"), lambda y: pixel(y * F.col("width") + x)).alias("cells"))
-    )
-    lines = frames.withColumn("hexes", F.lower(F.hex("rgba"))).select(
-        *keep, F.explode(F.concat(rows, columns)).alias("part")
-    ).select(*keep, "part.*")
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("cells") - 1),
-        lambda n: (n == 0) | (F.get("cells", n) != F.get("cells", n - 1)),
-    )
-    cut = lines.withColumn("starts", starts)
-    runs = F.transform(
-        "starts",
-        lambda s, i: F.struct(
-            F.get("cells", s).alias("colour"),
-            s.alias("start"),
-            (F.coalesce(F.get("starts", i + 1), F.size("cells")) - s).alias("length"),
-        ),
-    )
-    return cut.select(*keep, "axis", "line", F.explode(runs).alias("run")).select(*keep, "axis", "line", "run.*")
+    """Maximal same-colour runs of every row and column: (axis, line, start, length, r, g, b, a), without a shuffle."""
+    schema = "vertical boolean, line int, start int, length int, r int, g int, b int, a int"
+    runs = B.expand(frames, keep, schema, B.run_rows)
+    return runs.withColumn("axis", F.when(F.col("vertical"), "vertical").otherwise("horizontal")).drop("vertical")

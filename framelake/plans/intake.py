@@ -61,15 +61,10 @@ def s1(spark, sf_dir):
     """Boards read as stills, cut back into cells; cells of known frames must carry the frames' bytes."""
     boards = frames.read_frames(spark, write_boards(spark, sf_dir))
     number = F.regexp_extract("file", r"board-(\d+)\.png", 1).cast("long")
-    line = lambda cell, y: F.substr(
-        "rgba", (F.floor(cell / GRID) * 8 + y).cast("int") * F.lit(GRID * 8 * 4) + (cell % GRID).cast("int") * 32 + 1, F.lit(32)
+    cells = frames.sheet_cells(boards.withColumn("board", number), 8, 8, keep=("board",))
+    found = cells.select(
+        (F.col("board") * (GRID * GRID) + F.col("cell")).alias("frame_key"), F.sha2("pixels", 256).alias("sha256")
     )
-    cell = F.transform(
-        F.sequence(F.lit(0), F.lit(GRID * GRID - 1)),
-        lambda c: F.struct(c.alias("cell"), F.sha2(F.concat(*[line(c, F.lit(y)) for y in range(8)]), 256).alias("sha256")),
-    )
-    cells = boards.select(number.alias("board"), F.explode(cell).alias("c"))
-    found = cells.select((F.col("board") * (GRID * GRID) + F.col("c.cell")).alias("frame_key"), "c.sha256")
     return found.join(X.packed_frames(spark, sf_dir).select("frame_key"), "frame_key", "left_semi")
 
 

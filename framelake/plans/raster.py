@@ -245,7 +245,7 @@ HIST = f"""{RUNS}, {BORDER}, fg_runs AS (SELECT runs.* FROM runs JOIN key USING
 @query("a8_run_lengths", "pixels", f"""WITH {RUNS} SELECT clip_id, axis, CAST(length AS INT) AS length, count(*) AS runs
   FROM runs WHERE a>0 GROUP BY clip_id, axis, length""")
 def a8(spark, sf_dir):
-    runs = P.axis_runs(X.packed_frames(spark, sf_dir)).filter(F.substr("colour", F.lit(7), F.lit(2)) != "00")
+    runs = P.axis_runs(X.packed_frames(spark, sf_dir)).filter("a>0")
     return runs.groupBy("clip_id", "axis", "length").agg(F.count(F.lit(1)).alias("runs"))
 
 

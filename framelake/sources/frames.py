@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from framelake import schemas
+from framelake.operators import buffers as B
 from framelake.operators.ordered import hot_join
 
 MAX_HASHED_BYTES = 1 << 30
@@ -45,6 +46,11 @@ def read_frames(spark: SparkSession, path: str, expected: DataFrame | None = Non
     return both.select("file", "sha256", "width", "height", _to_rgba("data", "nChannels", "width", "height").alias("rgba"))
 
 
+def sheet_cells(sheets: DataFrame, cell_width: int, cell_height: int, keep: tuple[str, ...]) -> DataFrame:
+    """(keep.., cell, pixels): the cells of sprite sheets in reading order with their bytes."""
+    return B.expand(sheets, keep, "cell int, pixels binary", B.cell_rows(cell_width, cell_height))
+
+
 def parse_sequences(documents: DataFrame) -> DataFrame:
     """documents(source_id, part, document) -> ordered frames (source_id, part, pos, frame_id, path, duration_ms)."""
     nested = documents.select("source_id", "part", F.from_json("document", schemas.SEQUENCE).alias("d"))
