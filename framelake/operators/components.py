@@ -140,8 +140,6 @@ def retain_components(stats: DataFrame, policy: str, minimum: int = 1) -> DataFr
         raise ValueError(f"retention policy must be one of {POLICIES}")
     eligible = F.col("pixel_count") >= minimum
     kept = eligible & (F.col("size_rank") == 1) if policy == "largest" else eligible
-    if policy == "largest":
-        kept = eligible & (F.col("size_rank") == 1)
     pick = lambda agg, c: agg(F.when(kept, F.col(c)))
     report = ranked_components(stats).groupBy("frame_key").agg(
         F.count(F.lit(1)).alias("component_count"),

@@ -415,7 +415,7 @@ def contract_inputs(spark, sf_dir):
         F.when(F.col("o_totalprice") > 450000, F.col("n") + 1).otherwise(F.col("n")).alias("selected_frames"),
     )
     customers = X.table(spark, sf_dir, "customer")
-    projects = customers.select(F.col("c_custkey").alias("project_id"), F.sha2("c_name", 256).alias("anchor_sha")).filter(F.col("project_id") != 7)
+    projects = customers.filter("c_acctbal>=-900").select(F.col("c_custkey").alias("project_id"), F.sha2("c_name", 256).alias("anchor_sha"))
     strings = lambda *v: F.array(*[F.lit(s) for s in v])
     actions = X.table(spark, sf_dir, "orders").filter("o_orderpriority<>'5-LOW'").select(F.col("o_orderpriority").alias("action_id")).distinct().select(
         "action_id", F.lower("action_id").alias("semantic"), F.lit("loop").alias("loop_mode"),
@@ -426,7 +426,7 @@ def contract_inputs(spark, sf_dir):
 
 STATUS = """ed AS (SELECT l_orderkey AS clip_id, count(*) FILTER (l_returnflag<>'R') AS frames, bool_and(l_returnflag='R' OR l_tax<>0) AS single FROM lineitem GROUP BY 1),
   st AS (SELECT ed.clip_id, frames, CASE WHEN o_orderstatus='P' THEN 'OWNER_APPROVAL_REQUIRED' WHEN o_orderpriority='5-LOW' THEN 'ACTION_UNKNOWN' WHEN o_orderpriority='1-URGENT' THEN 'MULTI_TRACK_ACTION'
-    WHEN frames=0 THEN 'NO_SELECTED_FRAMES' WHEN o_totalprice>450000 THEN 'APPROVAL_MEMBERSHIP' WHEN NOT single THEN 'MULTI_TRACK_FRAME' WHEN o_custkey=7 THEN 'NO_CANONICAL_ANCHOR' END AS code, o_orderpriority, c_name
+    WHEN frames=0 THEN 'NO_SELECTED_FRAMES' WHEN o_totalprice>450000 THEN 'APPROVAL_MEMBERSHIP' WHEN NOT single THEN 'MULTI_TRACK_FRAME' WHEN c_acctbal<-900 THEN 'NO_CANONICAL_ANCHOR' END AS code, o_orderpriority, c_name
     FROM ed JOIN orders ON o_orderkey=ed.clip_id LEFT JOIN customer ON c_custkey=o_custkey)"""
 
 

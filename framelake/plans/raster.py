@@ -527,9 +527,9 @@ def a6(spark, sf_dir):
 
 
 CANDIDATES = f"""{COMPONENTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY frame_key ORDER BY pixel_count DESC, label) AS rk FROM named WHERE NOT noise),
-  tagged AS (SELECT *, CASE WHEN rk<=2 AND clip_id%2=0 THEN 'candidate-0001' END AS gid FROM ranked),
+  tagged AS (SELECT *, CASE WHEN rk<=2 THEN 'candidate-0001' END AS gid FROM ranked),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY frame_key, gid IS NULL ORDER BY label) AS nth FROM tagged),
-  ids AS (SELECT *, coalesce(gid, 'candidate-'||lpad(CAST(nth+CASE WHEN clip_id%2=0 THEN 1 ELSE 0 END AS VARCHAR),4,'0')) AS cid FROM numbered),
+  ids AS (SELECT *, coalesce(gid, 'candidate-'||lpad(CAST(nth+1 AS VARCHAR),4,'0')) AS cid FROM numbered),
   cands AS (SELECT frame_key, cid AS candidate_id, string_agg(component_id, ',' ORDER BY component_id) AS component_ids, CAST(sum(pixel_count) AS BIGINT) AS pixel_count,
     min(l) AS left, min(t) AS top, max(r) AS right, max(b) AS bottom, sum(cx*pixel_count)/sum(pixel_count) AS centroid_x, sum(cy*pixel_count)/sum(pixel_count) AS centroid_y
     FROM ids GROUP BY frame_key, cid)"""
@@ -537,7 +537,7 @@ CANDIDATES = f"""{COMPONENTS}, ranked AS (SELECT *, row_number() OVER (PARTITION
 
 def candidates(spark, sf_dir):
     stats = components.component_stats(runs(spark, sf_dir), minimum=3)
-    pairs = components.ranked_components(stats.filter(~F.col("noise"))).filter("size_rank<=2 AND clip_id%2=0")
+    pairs = components.ranked_components(stats.filter(~F.col("noise"))).filter("size_rank<=2")
     groups = pairs.select("frame_key", F.lit("candidate-0001").alias("group_id"), "component_id")
     return components.build_candidates(stats, groups, 1, 4)
 

@@ -2,7 +2,6 @@ import os
 import struct
 import zlib
 
-import numpy as np
 import pytest
 from conftest import png_bytes, raster, rows
 from pyspark.sql import functions as F
