@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -44,7 +45,8 @@ def write_boards(spark, sf_dir) -> str:
         for frame_key, rgba in zip(batch["frame_key"], batch["rgba"]):
             row, column = divmod(int(frame_key) % (GRID * GRID), GRID)
             board[row * 8 : row * 8 + 8, column * 8 : column * 8 + 8] = np.frombuffer(rgba, dtype=np.uint8).reshape(8, 8, 4)
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        address = re.sub("^file:/+", "/", folder)
+        system, root = fs.FileSystem.from_uri(address) if "://" in address else (fs.LocalFileSystem(), address)
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/board-{key[0]:012d}.png") as out:
             out.write(_png(board))
@@ -67,9 +69,10 @@ def s1(spark, sf_dir):
     return found.join(X.packed_frames(spark, sf_dir).select("frame_key"), "frame_key", "left_semi")
 
 
-@query("s9_inventory")
+@query("s9_inventory", "", """SELECT DISTINCT 'board-'||lpad(CAST(vec_id//4096 AS VARCHAR),12,'0')||'.png' AS path, CAST(NULL AS VARCHAR) AS code, true AS hashed FROM embeddings""")
 def s9(spark, sf_dir):
-    return frames.inventory(spark, write_boards(spark, sf_dir))
+    listed = frames.inventory(spark, write_boards(spark, sf_dir))
+    return listed.select("path", "code", (F.length("sha256") == 64).alias("hashed"))
 
 
 @query("s2_read_frame_sequence", "timeline", """SELECT clip_id AS source_id, idx, frame_id AS frame, CASE WHEN event_type='error' THEN NULL ELSE CAST(duration_ms AS INT) END AS duration_ms,
