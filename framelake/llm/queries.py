@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import langid, mixing, packing, quality, topk, toxicity
+from framelake.llm import langid, mixing, packing, quality, secrets, topk, toxicity
 from framelake.llm import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,16 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(T.documents(spark, sf_dir))
+    base = F.filter("found", lambda s: s["rule"] < len(secrets.BASE_RULES))
+    numbers = F.transform("found", lambda s: s["rule"])
+    counts = [F.size(F.array_remove(numbers, i)) for i, _ in enumerate(secrets.BASE_RULES)]
+    counts = [(F.size("found") - n).cast("long").alias(f"n_{r.kind}") for n, r in zip(counts, secrets.BASE_RULES)]
+    digest = F.sha2(secrets.listing(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secrets.listing(F.col("found")).alias("spans"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = T.documents(spark, sf_dir)
     held_out = T.fold_of(modulus=4) == 2
@@ -55,6 +65,32 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(T.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def _op1_sql() -> str:
+    """One list of matches per rule, each with its place from the lengths of the gaps before it."""
+    lists, texts = [], []
+    for i, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        texts.append(
+            f"list_transform(regexp_split_to_array(t, '{pattern}'), lambda x: length(x)) AS g{i}, "
+            f"list_transform(regexp_extract_all(t, '{pattern}', 0), lambda x: length(x)) AS m{i}, "
+            f"list_transform(regexp_extract_all(t, '{pattern}', {rule.group}), lambda x: length(x)) AS v{i}"
+        )
+        lists.append(
+            f"list_transform(list_filter(range(1, len(m{i}) + 1), lambda k: v{i}[k] >= {rule.least}), lambda k: "
+            f"{{'s': list_sum(g{i}[1:k]) + coalesce(list_sum(m{i}[1:k-1]), 0), 'r': {i}, 'e': list_sum(g{i}[1:k]) + list_sum(m{i}[1:k])}})"
+        )
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in secrets.RULES) + "]"
+    listing = f"array_to_string(list_transform({{}}, lambda x: {kinds}[x.r + 1] || ':' || CAST(x.s AS BIGINT) || ':' || CAST(x.e AS BIGINT)), ',')"
+    counts = ", ".join(f"CAST(len(list_filter(f, lambda x: x.r = {i})) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(secrets.BASE_RULES))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, {", ".join(texts)} FROM d),
+f AS (SELECT doc_id, list_sort({" || ".join(lists)}) AS f FROM p)
+SELECT doc_id, {counts}, sha256({listing.format(f"list_filter(f, lambda x: x.r < {len(secrets.BASE_RULES)})")}) AS base_sha256,
+       {listing.format("f")} AS spans FROM f
+"""
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -114,6 +150,7 @@ LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.key = k.key
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_language_id": op3_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -122,4 +159,4 @@ QUERIES: dict[str, Query] = {
     "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLES: dict[str, str] = {"op9_mixing": OP9_SQL, "op10_exact_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op9_mixing": OP9_SQL, "op10_exact_top_k": OP10_SQL}
