@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import langid, mixing, packing, quality, secrets, topk, toxicity
+from framelake.llm import langid, lm, mixing, packing, quality, secrets, topk, toxicity
 from framelake.llm import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", held_out)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = T.documents(spark, sf_dir), T.fold_of(modulus=10)
+    return lm.score(docs, fold != 0, fold == 9).withColumn("held_out", fold == 0)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = T.documents(spark, sf_dir)
     return quality.score(docs, quality.fit(docs, T.table(spark, sf_dir, "labels")))
@@ -152,6 +157,7 @@ LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.key = k.key
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_language_id": op3_language_id,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
