@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import langid, lm, mixing, packing, quality, secrets, topk, toxicity
+from framelake.llm import jaccard, langid, lm, mixing, packing, quality, secrets, topk, toxicity
 from framelake.llm import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, T.table(spark, sf_dir, "labels")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(T.documents(spark, sf_dir), width=4, least=85)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(T.documents(spark, sf_dir), tokenizer_path())
     digest = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -159,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
