@@ -1,8 +1,12 @@
-"""Connected components of a graph whose edges are a table."""
+"""Connected components of a graph whose edges are a table, and links searched inside its clusters."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm import text as T
@@ -59,3 +63,55 @@ def forest(pairs, n: int) -> list[tuple[int, int]]:
             parent[max(x, y)] = min(x, y)
             kept.append((a, b))
     return kept
+
+
+def clustered(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The rows of ``nodes`` (column node) that are in a cluster of ``candidates`` (a, b), with cluster and members."""
+    cluster = connected_components(candidates).select(F.col("node").alias("_node"), F.col("component").alias("cluster"))
+    sized = cluster.groupBy(F.col("cluster").alias("_cluster")).agg(F.count("*").alias("members"))
+    placed = cluster.join(sized, F.col("cluster") == F.col("_cluster")).drop("_cluster")
+    return nodes.join(placed, F.col("node") == F.col("_node")).drop("_node")
+
+
+def cluster_links(
+    placed: DataFrame, payload: list[str], own: Column, run: Callable[[pa.Table], pa.Table], block: int, pivots: int
+) -> DataFrame:
+    """Edges (a, b) that leave no link inside a cluster undecided, without forming all pairs of a cluster.
+
+    ``placed`` are the rows of ``clustered``; ``run`` gets rows (node, payload, asks) and gives a spanning
+    forest of their links, or, where asks is not null, of those between rows that ask and rows that don't.
+    Clusters of up to ``block`` rows go whole, several to a task. Larger ones are cut into blocks; each also
+    gets the ``pivots`` rows with the least ``own``, so groups around a common original join through them.
+    The rows that are then outside their cluster's main component ask all other blocks.
+    """
+    edge, shape = "a long, b long", ["node", *payload]
+    placed = T.stored(
+        placed.withColumn("_own", own).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block))), "clusters"
+    )
+    none = F.lit(None).cast("boolean").alias("asks")
+    small, large = placed.where(F.col("members") <= block), placed.where(F.col("members") > block)
+    bins = max(1, math.ceil(small.count() / (2 * block)))
+    edges = small.select(*shape, none, F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("bin")).groupBy("bin").applyInArrow(run, edge)
+    if large.isEmpty():
+        return edges
+    best = large.groupBy("cluster", "members", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(pivots)).alias("_deal"))
+    best = best.agg(F.min(F.struct("_own", *shape)).alias("p"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("members") / block) - 1).cast("long"))).alias("block")
+    best = best.select("cluster", *[F.col(f"p.{c}").alias(c) for c in shape], blocks)
+    met = large.select("cluster", *shape, "block").unionByName(best).dropDuplicates(["cluster", "block", "node"])
+    edges = T.stored(edges.unionAll(met.select("*", none).groupBy("cluster", "block").applyInArrow(run, edge)), "cluster-edges")
+
+    joined = connected_components(edges).select(F.col("node").alias("_node"), "component")
+    state = large.select("cluster", "node").join(joined, F.col("node") == F.col("_node"), "left")
+    state = state.select("cluster", "node", F.coalesce("component", "node").alias("component"))
+    main = state.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy(F.col("cluster").alias("_cluster"))
+    main = main.agg(F.max(F.struct("n", "component"))["component"].alias("_main"))
+    rest = state.join(main, F.col("cluster") == F.col("_cluster")).where("component <> _main")
+    rest = T.stored(rest.select(F.col("cluster").alias("_cluster"), F.col("node").alias("_rest")), "cluster-rest")
+    counts = rest.groupBy(F.col("_cluster").alias("_of")).agg(F.ceil(F.count("*") / block).alias("_parts"))
+    asking = large.join(rest, F.col("node") == F.col("_rest")).join(counts, F.col("cluster") == F.col("_of"))
+    asking = asking.select("cluster", *shape, F.pmod(F.xxhash64("node", F.lit(3)), F.col("_parts")).alias("part"), F.lit(True).alias("asks"), blocks)
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_parts") - 1).cast("long"))).alias("part")
+    given = large.join(counts, F.col("cluster") == F.col("_of")).select("cluster", *shape, parts, F.lit(False).alias("asks"), "block")
+    across = asking.unionByName(given).groupBy("cluster", "part", "block").applyInArrow(run, edge)
+    return edges.unionAll(across)

@@ -27,8 +27,6 @@ are all returned. Extra columns stay out. Keys are 64-bit hashes of n-grams.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,7 +35,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm import exchange as X
 from framelake.llm import text as T
-from framelake.llm.graph import connected_components, forest
+from framelake.llm.graph import cluster_links, clustered, connected_components, forest
 
 WIDTH = 5
 LEAST = 80
@@ -168,42 +166,8 @@ def components(rows: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
     held = nodes.select("node", F.explode("first").alias("key"))
     hubs = held.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub <> _last")
     stars = held.join(hubs.select(F.col("key").alias("_key"), "hub"), F.col("key") == F.col("_key")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    cluster = connected_components(stars.distinct()).withColumnRenamed("component", "cluster").withColumnRenamed("node", "_node")
-    sized = cluster.groupBy("cluster").agg(F.count("*").alias("members")).withColumnRenamed("cluster", "_cluster")
-    placed = cluster.join(sized, F.col("cluster") == F.col("_cluster")).drop("_cluster")
-    placed = nodes.drop("first").join(placed, F.col("node") == F.col("_node")).drop("_node")
-    placed = T.stored(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block))), "jaccard-clusters")
-    shape = "node", "n_shingles", "shared"
-
-    small = placed.where(F.col("members") <= block)
-    bins = max(1, math.ceil(small.count() / (2 * block)))
-    run, edge = _linker(least), "a long, b long"
-    none = F.lit(None).cast("boolean").alias("asks")
-    edges = small.select(*shape, none, F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("bin")).groupBy("bin").applyInArrow(run, edge)
-
-    large = placed.where(F.col("members") > block)
-    if large.isEmpty():
-        return connected_components(edges)
-    best = F.min(F.struct((F.col("alone") / F.col("n_shingles")).alias("_own"), "node", "n_shingles", "shared", "members"))
-    pivots = large.groupBy("cluster", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(PIVOTS)).alias("_deal")).agg(best.alias("p"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("members") / block) - 1).cast("long"))).alias("block")
-    pivots = pivots.select("cluster", "p.*").select("cluster", "node", *shape[1:], every)
-    met = large.select("cluster", *shape, "block").unionByName(pivots.select("cluster", *shape, "block")).dropDuplicates(["cluster", "block", "node"])
-    edges = T.stored(edges.unionAll(met.select("*", none).groupBy("cluster", "block").applyInArrow(run, edge)), "jaccard-edges")
-
-    # Rows of large clusters that are not joined to the cluster's main component meet all other rows.
-    joined = connected_components(edges).withColumnRenamed("node", "_node")
-    state = large.select("cluster", "node").join(joined, F.col("node") == F.col("_node"), "left")
-    state = state.select("cluster", "node", F.coalesce("component", "node").alias("component"))
-    main = state.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m"))
-    rest = state.join(main.select(F.col("cluster").alias("_cluster"), F.col("m.component").alias("_main")), F.col("cluster") == F.col("_cluster"))
-    rest = T.stored(rest.where("component <> _main").select(F.col("cluster").alias("_cluster"), F.col("node").alias("_rest")), "jaccard-rest")
-    counts = rest.groupBy(F.col("_cluster").alias("_of")).agg(F.ceil(F.count("*") / block).alias("_parts"))
-    asking = large.join(rest, F.col("node") == F.col("_rest")).join(counts, F.col("cluster") == F.col("_of"))
-    asking = asking.select("cluster", *shape, F.pmod(F.xxhash64("node", F.lit(3)), F.col("_parts")).alias("part"), F.lit(True).alias("asks"), every)
-    given = large.join(counts, F.col("cluster") == F.col("_of")).select("cluster", *shape, F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_parts") - 1).cast("long"))).alias("part"), F.lit(False).alias("asks"), "block")
-    across = asking.unionByName(given).groupBy("cluster", "part", "block").applyInArrow(run, edge)
-    return connected_components(edges.unionAll(across))
+    placed = clustered(nodes.drop("first"), stars.distinct())
+    return connected_components(cluster_links(placed, ["n_shingles", "shared"], F.col("alone") / F.col("n_shingles"), _linker(least), block, PIVOTS))
 
 
 def join(docs: DataFrame, width: int = WIDTH, least: int = LEAST, parts: tuple[int, int] | None = None) -> DataFrame:

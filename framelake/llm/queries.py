@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import jaccard, langid, lm, mixing, packing, quality, secrets, topk, toxicity
+from framelake.llm import jaccard, langid, line_dedup, lm, mixing, packing, quality, secrets, topk, toxicity
 from framelake.llm import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, secrets.listing(F.col("found")).alias("spans"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(T.documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = T.documents(spark, sf_dir)
     held_out = T.fold_of(modulus=4) == 2
@@ -160,6 +164,7 @@ LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.key = k.key
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
