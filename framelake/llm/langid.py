@@ -4,7 +4,7 @@ A text becomes a vector of its character n-grams (1 to 3 characters of the lower
 anything but letters read as one space), hashed to ``2 ** BITS`` bins. A bin weighs
 ``(1 + ln tf) * idf`` and the vector is normalised. The document frequencies behind idf come from all
 training documents; the centroids are spherical k-means of at most ``sample`` training documents of
-each language, those with the smallest hash of the id. A text gets the language of the centroid with
+each language (and of none that the sample holds no letters of), those with the smallest hash of the id. A text gets the language of the centroid with
 the largest cosine, which is its score (0 to 1).
 
 Rejection by distance: a language's bound is the smallest cosine that ``1 - trim`` of its own sample
@@ -135,21 +135,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE, per_language: int = CENTROIDS, tr
     known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     held, n = document_frequencies(known)
     idf = np.log((n + 1) / (held + 1)) + 1
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
+    few = T.sampled_texts(known, known, "lang", sample)
+    rows = T.map_texts(few, ["lang"], lambda texts: [[_packed(t) for t in texts]], "found binary").where("found is not null").collect()
+    languages = sorted({r.lang for r in rows})
     owner, centres, bounds = [], [], []
     for i, lang in enumerate(languages):
-        few = known.where(F.col("lang") == lang).select("text", F.xxhash64("doc_id").alias("_order"), "doc_id")
-        few = few.orderBy("_order", "doc_id", F.xxhash64("text")).limit(sample)
-        packed = T.map_texts(few, [], lambda texts: [[_packed(t) for t in texts]], "found binary").collect()
-        rows = [np.frombuffer(r.found, dtype=np.float32) for r in packed if r.found is not None]
-        if rows:
-            vectors = weighted(np.stack(rows), idf)
-            mine = clusters(vectors, per_language)
-            centres.append(mine)
-            owner += [i] * len(mine)
-            bounds.append(float(np.quantile((vectors @ mine.T).max(axis=1), trim)) * slack)
-        else:
-            bounds.append(0.0)
+        vectors = weighted(np.stack([np.frombuffer(r.found, dtype=np.float32) for r in rows if r.lang == lang]), idf)
+        mine = clusters(vectors, per_language)
+        centres.append(mine)
+        owner += [i] * len(mine)
+        bounds.append(float(np.quantile((vectors @ mine.T).max(axis=1), trim)) * slack)
     found = np.concatenate(centres) if centres else np.empty((0, 1 << BITS))
     return Model(languages, np.array(owner, dtype=np.int64), found.astype(np.float32), np.array(bounds), idf)
 

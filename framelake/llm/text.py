@@ -9,7 +9,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -104,20 +104,32 @@ def map_texts(docs: DataFrame, keep: list[str], make: Callable[[list[str | None]
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], *made.names)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, mark: str, sample: int) -> DataFrame:
-    """(text, mark) of at most ``sample`` labelled documents of each of the marks 0 and 1.
+def sampled_texts(docs: DataFrame, marks: DataFrame, mark: str, sample: int) -> DataFrame:
+    """(text, mark) of at most ``sample`` documents for each value of ``mark``; ``marks`` is (doc_id, mark).
 
-    The choice is made on ids alone, by their hash; the broadcast ids are at most ``2 * sample``, and
-    texts move only for the chosen ones. Rows without id or mark are not chosen.
+    The choice is made on ids alone: those with the smallest hashes. A bound on the hash, from the number of
+    ids with that mark, leaves about three times ``sample`` of them to be ranked, whatever the corpus; the
+    chosen ids are broadcast, and texts move only for them. Rows without id or mark are not chosen.
     """
-    ids = docs.select("doc_id").join(
-        labels.select("doc_id", F.col(mark).cast("int").alias("_mark")).where(F.col(mark).isin(0, 1)).distinct(), "doc_id"
-    )
-    order = [F.xxhash64("doc_id").alias("_order"), "doc_id", "_mark"]
-    chosen = [ids.where(F.col("_mark") == k).select(*order).distinct().orderBy("_order", "doc_id").limit(sample) for k in (0, 1)]
-    few = F.broadcast(chosen[0].unionAll(chosen[1]))
-    texts = docs.select("doc_id", "text").join(few, "doc_id")
-    return texts.orderBy("_order", "doc_id", "_mark").limit(2 * sample).select("text", F.col("_mark").alias(mark))
+    ids = marks.where(F.col("doc_id").isNotNull() & F.col(mark).isNotNull()).select("doc_id", F.col(mark).alias("_mark")).distinct()
+    ids = ids.withColumn("_order", F.xxhash64("doc_id"))
+    counts = ids.groupBy("_mark").count().collect()
+    if not counts:
+        return docs.select("text", F.lit(None).cast(marks.schema[mark].dataType).alias(mark)).limit(0)
+    reach = [int(-(1 << 63) + ((1 << 64) - 1) * min(1.0, 3 * sample / r["count"])) for r in counts]
+    bound = F.create_map(*[x for r, b in zip(counts, reach) for x in (F.lit(r["_mark"]), F.lit(min(b, (1 << 63) - 1)))])
+    near = ids.where(F.col("_order") <= F.element_at(bound, F.col("_mark")))
+    order = Window.partitionBy("_mark").orderBy("_order", "doc_id")
+    chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    few = texts.orderBy("_order", "doc_id", "_mark", F.xxhash64("text")).limit(sample * len(counts))
+    return few.select("text", F.col("_mark").alias(mark))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, mark: str, sample: int) -> DataFrame:
+    """``sampled_texts`` of the documents among ``docs`` that ``labels`` marks 0 or 1."""
+    marks = labels.where(F.col(mark).isin(0, 1)).select("doc_id", F.col(mark).cast("int").alias(mark))
+    return sampled_texts(docs, docs.select("doc_id").join(marks, "doc_id"), mark, sample)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

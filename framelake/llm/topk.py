@@ -3,8 +3,8 @@
 Components are made whole numbers, ``floor(scale * x)``, so scores are exact. The Gram matrix of all
 vectors, summed by Spark, gives a rotation whose first axes carry most of the length. Candidates are
 ordered by descending length and cut into blocks; every block of queries meets every block of
-candidates, and a block starts with what each query is sure of already: the k-th best score among a
-first set of the longest vectors. Then, in a block,
+candidates, and a block starts with what each query is sure of already: the k-th best score among the
+first block, that of the longest vectors. Then, in a block,
 
 * a query skips the block if its length times the longest candidate is below that bound;
 * candidates are dropped whose partial product over the first axes plus the product of the two
@@ -138,8 +138,8 @@ def search(
     ranged = rows.repartitionByRange(blocks, F.desc("length"), F.xxhash64("id")).withColumn("block", F.spark_partition_id())
     blocked = T.stored(ranged.select("block", "id", "vector", "length"), "topk-blocks")
 
-    # What each query is sure of: its k-th best among the longest vectors.
-    first = rows.orderBy(F.desc("length"), "id").limit(BLOCK).select("id", "vector").toArrow()
+    # What each query is sure of: its k-th best among the longest vectors, which are the first block.
+    first = blocked.where("block = 0").select("id", "vector").toArrow()
     head, head_ids = _matrix(first.column("vector"), width), first.column("id").to_numpy()
 
     def bound(batches):
