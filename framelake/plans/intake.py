@@ -153,7 +153,7 @@ def animated_files(spark, sf_dir):
   SELECT file, CASE clip_id%3 WHEN 0 THEN 'gif' WHEN 1 THEN 'apng' ELSE 'webp' END AS format, CAST(pos AS INT) AS idx, CASE WHEN clip_id%3=2 THEN marker_x//2*2 ELSE marker_x END AS x,
     CAST(CASE WHEN clip_id%3=0 THEN ms//10*10 ELSE ms END AS INT) AS duration_ms, CASE clip_id%3 WHEN 0 THEN 'background' WHEN 1 THEN 'none' ELSE 'background' END AS dispose,
     CASE clip_id%3 WHEN 0 THEN 'over' WHEN 1 THEN 'over' ELSE 'source' END AS blend, true AS has_alpha, CAST(NULL AS VARCHAR) AS error FROM t WHERE file NOT IN (SELECT file FROM bad)
-  UNION ALL SELECT file, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'zero frame delay' FROM bad""")
+  UNION ALL SELECT file, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'DELAY_ZERO' FROM bad""")
 def s3(spark, sf_dir):
     return containers.parse_headers(animated_files(spark, sf_dir)).select(
         "file", "format", "idx", "x", "duration_ms", "dispose", "blend", "has_alpha", "error"

@@ -1,7 +1,8 @@
 """Frame headers of animated GIF, APNG and WebP files: one row per frame, or one error row per file.
 
-Only headers are read, never pixels. The byte walk is a small helper run by ``mapInPandas`` over the
-``binaryFile`` source (or any table with a ``content`` column).
+Two steps. ``chunk_rows`` takes files apart into their chunks: a tag, the first bytes and the length of
+each, nothing decoded. Everything else is Column expressions over that table: numbers are read from the
+chunk heads, rules give each chunk at most one code, and the first code of a file stands for the file.
 """
 
 from __future__ import annotations
@@ -10,196 +11,216 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Container limits and the meaning of header codes.
+# Container limits and signatures.
 MAX_FRAMES = 10_000
 MAX_DURATION = 65_535
-DEFAULT_APNG_DENOMINATOR = 100
-GIF_DISPOSAL = {0: "none", 1: "none", 2: "background", 3: "previous"}
-APNG_DISPOSAL = {0: "none", 1: "background", 2: "previous"}
-APNG_BLEND = {0: "source", 1: "over"}
 PNG_SIGNATURE = bytes.fromhex("89504e470d0a1a0a")
 
-HEADER_SCHEMA = (
-    "file string, format string, canvas_width int, canvas_height int, idx int, x int, y int, width int, height int, "
-    "duration_ms int, dispose string, blend string, has_alpha boolean, error string"
-)
+HEAD = 48
+ROWS = 4_096
+CHUNKS = "file string, format string, n int, tag string, head binary, size long, inner string, note string"
+Chunk = tuple[str, bytes, int, str, str | None]
 
 
-class HeaderError(ValueError):
-    """A file that is not a complete, valid animation."""
+def _gif_chunks(data: bytes) -> Iterator[Chunk]:
+    """head, control, image (length: bytes of its data), other, bad and end (length: what follows it)."""
 
+    def skip(at: int) -> tuple[int, int]:
+        total = 0
+        while at < len(data) and data[at]:
+            total += data[at]
+            at += data[at] + 1
+        return at + 1, total
 
-def _need(condition: bool, message: str) -> None:
-    if not condition:
-        raise HeaderError(message)
-
-
-def _frame(rect, duration, dispose, blend, alpha, canvas) -> tuple:
-    x, y, w, h = rect
-    _need(w > 0 and h > 0 and x + w <= canvas[0] and y + h <= canvas[1], "frame rectangle exceeds the canvas")
-    _need(duration > 0, "zero frame delay")
-    return (x, y, w, h, duration, dispose, blend, alpha)
-
-
-def _gif(data: bytes):
-    _need(data[:6] in (b"GIF87a", b"GIF89a"), "signature is invalid")
-    canvas = struct.unpack_from("<HH", data, 6)
-    _need(min(canvas) > 0, "canvas dimensions must be positive")
-    table = lambda flags: 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-    at, frames, control = 13 + table(data[10]), [], (0, "none", False)
+    colours = lambda flags: 6 << (flags & 7) if flags & 0x80 else 0
+    yield "head", data[:13], 13, "", None
+    at = 13 + colours(data[10]) if len(data) > 10 else len(data)
+    while at < len(data):
+        marker = data[at]
+        if marker == 0x3B:
+            yield "end", b"", len(data) - at - 1, "", None
+            return
+        if marker == 0x21:
+            follows, total = skip(at + 2)
+            tag = "control" if data[at + 1 : at + 2] == b"\xf9" else "other"
+            yield tag, data[at + 2 : at + 8], total, "", "cut" if follows > len(data) else None
+            at = follows
+        elif marker == 0x2C:
+            body = at + 10 + (colours(data[at + 9]) if at + 9 < len(data) else 0)
+            follows, total = skip(body + 1)
+            yield "image", data[at + 1 : at + 10] + data[body : body + 1], total, "", "cut" if follows > len(data) else None
+            at = follows
+        else:
+            yield "bad", b"", 0, "", None
+            return
+    yield "", b"", 0, "", "cut"
 
-    def after_blocks(pos: int) -> tuple[int, int]:
-        payload = 0
-        while data[pos]:
-            payload, pos = payload + data[pos], pos + 1 + data[pos]
-        return pos + 1, payload
 
-    while data[at] != 0x3B:
-        kind, at = data[at], at + 1
-        if kind == 0x21 and data[at] == 0xF9:
-            size, flags, delay, _, end = struct.unpack_from("<BBHBB", data, at + 1)
-            dispose = GIF_DISPOSAL.get((flags >> 2) & 7)
-            _need(size == 4 and end == 0 and dispose is not None, "graphic control extension is invalid")
-            control, at = (delay * 10, dispose, bool(flags & 1)), at + 7
-        elif kind == 0x21:
-            at, _ = after_blocks(at + 1)
-        else:
-            _need(kind == 0x2C, "block marker is invalid")
-            x, y, w, h, flags = struct.unpack_from("<HHHHB", data, at)
-            at += 9 + table(flags)
-            _need(2 <= data[at] <= 8, "minimum code size is invalid")
-            at, payload = after_blocks(at + 1)
-            _need(payload > 0, "image data is empty")
-            frames.append(_frame((x, y, w, h), control[0], control[1], "over", control[2], canvas))
-            control = (0, "none", False)
-    _need(at + 1 == len(data), "data after the trailer")
-    return canvas, frames
-
-
-def _png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    at = len(PNG_SIGNATURE)
-    while at < len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
+def _sized_chunks(data: bytes, at: int, png: bool) -> Iterator[Chunk]:
+    """PNG and RIFF chunks; ``inner`` lists the tags inside a WebP frame."""
+    layout, extra = (">I4s", 12) if png else ("<4sI", 8)
+    while at + extra <= len(data):
+        first, second = struct.unpack_from(layout, data, at)
+        tag, size = (second, first) if png else (first, second)
         body = data[at + 8 : at + 8 + size]
-        (crc,) = struct.unpack_from(">I", data, at + 8 + size)
-        _need(zlib.crc32(kind + body) == crc, "chunk checksum mismatch")
-        at += 12 + size
-        yield kind, body
-        if kind == b"IEND":
-            _need(at == len(data), "data after the end chunk")
-            return
-    raise HeaderError("end chunk is missing")
-
-
-def _apng(data: bytes):
-    canvas, declared, sequence, alpha = None, None, 0, False
-    frames: list[list] = []
-    filled: list[bool] = []
-    for kind, body in _png_chunks(data):
-        if kind == b"IHDR":
-            _need(canvas is None and len(body) == 13, "header chunk is invalid")
-            canvas = struct.unpack_from(">II", body)
-            alpha = body[9] in (4, 6)
-        elif kind == b"acTL":
-            _need(canvas is not None and declared is None and not any(filled), "animation chunk is out of order")
-            (declared,) = struct.unpack_from(">I", body)
-            _need(0 < declared <= MAX_FRAMES, "declared frame count is invalid")
-        elif kind == b"fcTL":
-            _need(declared is not None and len(body) == 26, "frame control is out of order")
-            seq, w, h, x, y, num, den, dispose, blend = struct.unpack(">IIIIIHHBB", body)
-            _need(seq == sequence, "sequence numbers are not contiguous")
-            sequence += 1
-            den = den or DEFAULT_APNG_DENOMINATOR
-            _need(num * 1000 % den == 0 and num * 1000 // den <= MAX_DURATION, "delay is not a whole number of milliseconds")
-            _need(dispose in APNG_DISPOSAL and blend in APNG_BLEND, "disposal or blend is invalid")
-            frames.append(list(_frame((x, y, w, h), num * 1000 // den, APNG_DISPOSAL[dispose], APNG_BLEND[blend], alpha, canvas)))
-            filled.append(False)
-        elif kind == b"IDAT":
-            _need(len(frames) == 1, "default image lies outside the animation")
-            filled[0] = filled[0] or bool(body)
-        elif kind == b"fdAT":
-            _need(bool(filled) and filled[0] and len(body) > 4, "frame data is out of order")
-            _need(struct.unpack_from(">I", body)[0] == sequence, "sequence numbers are not contiguous")
-            sequence += 1
-            filled[-1] = True
-        elif kind == b"tRNS":
-            _need(not any(filled), "transparency chunk is out of order")
-            alpha = True
-    _need(declared is not None, "file is not animated")
-    _need(len(frames) == declared, "frame count disagrees with the header")
-    _need(all(filled), "frame is missing image data")
-    return canvas, [tuple(f[:7]) + (alpha,) for f in frames]
-
-
-def _riff_chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, bytes]]:
-    while at < end:
-        kind, size = struct.unpack_from("<4sI", data, at)
-        _need(at + 8 + size <= end, "chunk is truncated")
-        yield kind, data[at + 8 : at + 8 + size]
-        at += 8 + size + (size & 1)
-
-
-def _webp(data: bytes):
-    _need(struct.unpack_from("<I", data, 4)[0] + 8 == len(data), "size is invalid or truncated")
-    u24 = lambda body, at: int.from_bytes(body[at : at + 3], "little")
-    canvas, animated, alpha, ready, frames = None, False, False, False, []
-    for kind, body in _riff_chunks(data, 12, len(data)):
-        if kind == b"VP8X":
-            _need(canvas is None and len(body) == 10 and body[0] & 0xC1 == 0, "extended header is invalid")
-            animated, alpha = bool(body[0] & 0x02), bool(body[0] & 0x10)
-            canvas = (u24(body, 4) + 1, u24(body, 7) + 1)
-        elif kind == b"ANIM":
-            _need(canvas is not None and not ready and len(body) == 6, "animation header is out of order")
-            ready = True
-        elif kind == b"ANMF":
-            _need(ready and len(body) >= 24 and body[15] & 0xFC == 0, "frame header is invalid")
-            inner = [k for k, _ in _riff_chunks(body, 16, len(body))]
-            _need(b"VP8 " in inner or b"VP8L" in inner, "frame has no image payload")
-            rect = (u24(body, 0) * 2, u24(body, 3) * 2, u24(body, 6) + 1, u24(body, 9) + 1)
-            dispose = "background" if body[15] & 1 else "none"
-            blend = "source" if body[15] & 2 else "over"
-            frames.append(_frame(rect, u24(body, 12), dispose, blend, alpha or b"ALPH" in inner, canvas))
-    _need(animated and ready, "file is not a complete animation")
-    return canvas, frames
-
-
-def _scan(data: bytes) -> tuple[str, tuple[int, int], list[tuple]]:
-    if data[:3] == b"GIF":
-        name, walk = "gif", _gif
-    elif data[:8] == PNG_SIGNATURE:
-        name, walk = "apng", _apng
-    elif data[:4] == b"RIFF" and data[8:12] == b"WEBP":
-        name, walk = "webp", _webp
-    else:
-        raise HeaderError("format is not supported")
-    try:
-        canvas, frames = walk(data)
-    except (IndexError, struct.error) as problem:
-        raise HeaderError("file is truncated") from problem
-    _need(0 < len(frames) <= MAX_FRAMES, "frame count is out of range")
-    return name, canvas, frames
+        whole = at + extra + size <= len(data)
+        damaged = png and whole and zlib.crc32(tag + body) != int.from_bytes(data[at + 8 + size : at + 12 + size], "big")
+        inside = ",".join(c[0] for c in _sized_chunks(body, 16, False)) if tag == b"ANMF" else ""
+        yield tag.decode("latin-1"), body[:HEAD], size, inside, "damaged" if damaged else None if whole else "cut"
+        at += extra + size + (0 if png else size & 1)
+    if at < len(data):
+        yield "", b"", len(data) - at, "", "cut"
+
+
+def _chunks(data: bytes) -> tuple[str | None, Iterator[Chunk]]:
+    if data[:6] in (b"GIF87a", b"GIF89a"):
+        return "gif", _gif_chunks(data)
+    if data.startswith(PNG_SIGNATURE):
+        return "apng", _sized_chunks(data, len(PNG_SIGNATURE), True)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        told = int.from_bytes(data[4:8], "little") + 8
+        start = ("RIFF", b"", told, "", None if told == len(data) else "cut")
+        return "webp", iter([start, *_sized_chunks(data, 12, False)])
+    return None, iter([("", b"", len(data), "", None)])
+
+
+def chunk_rows(files: DataFrame) -> DataFrame:
+    """files(file, content) -> ``CHUNKS`` in file order, emitted in batches of bounded length."""
+    names = [part.split()[0] for part in CHUNKS.split(", ")]
+    types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for part in batches:
+            for file, content in zip(part.column(0).to_pylist(), part.column(1)):
+                kind, chunks = _chunks(content.as_py() or b"")
+                for n, chunk in enumerate(chunks):
+                    rows.append((file, kind, n, *chunk))
+                    if len(rows) == ROWS:
+                        yield batch(rows)
+                        rows = []
+        if rows:
+            yield batch(rows)
+
+    return files.select("file", "content").mapInArrow(split, CHUNKS)
+
+
+def _number(at: int, size: int, big: bool = False) -> Column:
+    """An unsigned number in the chunk's head; null beyond its end."""
+    places = range(at, at + size) if big else range(at + size - 1, at - 1, -1)
+    digits = F.concat(*[F.substr(F.hex("head"), F.lit(2 * p + 1), F.lit(2)) for p in places])
+    return F.when(F.length("head") >= at + size, F.conv(digits, 16, 10).cast("long"))
+
+
+def _bits(at: int, shift: int, mask: int) -> Column:
+    return F.shiftright(_number(at, 1), shift).bitwiseAND(mask)
+
+
+def _name(code: Column, *names: str) -> Column:
+    return F.get(F.array(*[F.lit(n) for n in names]), code.cast("int"))
+
+
+def _frames(chunks: DataFrame) -> DataFrame:
+    """Chunks with what the heads say, by format, and running facts of their file."""
+    gif, apng, webp = (F.col("format") == k for k in ("gif", "apng", "webp"))
+    by_file = Window.partitionBy("file").orderBy("n")
+    before = by_file.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    tag = lambda *names: F.col("tag").isin(*names)
+    seen = lambda *names: F.coalesce(F.count_if(tag(*names)).over(before), F.lit(0))
+    anywhere = lambda *names: F.count_if(tag(*names)).over(whole)
+
+    control = F.struct(
+        (_number(2, 2) * 10).alias("delay"), _bits(1, 2, 7).alias("dispose"), (_bits(1, 0, 1) == 1).alias("clear"), F.lit(True).alias("set")
+    )
+    used = F.struct(F.lit(0).cast("long").alias("delay"), F.lit(0).cast("long").alias("dispose"), F.lit(False).alias("clear"), F.lit(False).alias("set"))
+    marks = F.when(gif & tag("control"), control).when(gif & tag("image"), used)
+    rows = chunks.withColumn("last", F.last(marks, ignorenulls=True).over(before))
+    held = lambda field, other: F.coalesce(F.col(f"last.{field}"), F.lit(other))
+    ratio = F.when(_number(22, 2, True) == 0, 100).otherwise(_number(22, 2, True))
+    pick = lambda a, b, c: F.when(gif, a).when(apng, b).otherwise(c)
+    size = F.first(F.when(tag("head", "IHDR", "VP8X"), F.struct(
+        pick(_number(6, 2), _number(0, 4, True), _number(4, 3) + 1).alias("w"), pick(_number(8, 2), _number(4, 4, True), _number(7, 3) + 1).alias("h"))
+    ), ignorenulls=True).over(whole)
+    clear = F.count_if((tag("IHDR") & F.conv(F.hex(F.substring("head", 10, 1)), 16, 10).isin("4", "6")) | tag("tRNS")).over(whole) > 0
+    rows = rows.withColumns({
+        "is_frame": (gif & tag("image")) | (apng & tag("fcTL")) | (webp & tag("ANMF")),
+        "canvas_width": size["w"], "canvas_height": size["h"],
+        "x": pick(_number(0, 2), _number(12, 4, True), _number(0, 3) * 2), "y": pick(_number(2, 2), _number(16, 4, True), _number(3, 3) * 2),
+        "width": pick(_number(4, 2), _number(4, 4, True), _number(6, 3) + 1), "height": pick(_number(6, 2), _number(8, 4, True), _number(9, 3) + 1),
+        "scaled": pick(held("delay", 0), _number(20, 2, True) * 1000, _number(12, 3)), "ratio": pick(F.lit(1), ratio, F.lit(1)),
+        "dispose": pick(
+            _name(held("dispose", 0), "none", "none", "background", "previous"),
+            _name(_number(24, 1), "none", "background", "previous"), _name(_bits(15, 0, 1), "none", "background"),
+        ),
+        "blend": pick(F.lit("over"), _name(_number(25, 1), "source", "over"), _name(_bits(15, 1, 1), "over", "source")),
+        "has_alpha": pick(
+            held("clear", False), clear,
+            (F.max(F.when(tag("VP8X"), _bits(0, 4, 1))).over(whole) == 1) | F.array_contains(F.split("inner", ","), "ALPH"),
+        ),
+        "numbered": seen("fcTL", "fdAT"), "begun": seen("fcTL"), "pictured": seen("IDAT"), "filled": seen("IDAT", "fdAT"),
+        "declared": seen("acTL", "ANIM"), "headed": seen("IHDR", "VP8X"), "ended": seen("IEND"),
+        "end": anywhere("IEND", "end"), "animations": anywhere("acTL", "ANIM"),
+        "told": F.max(F.when(tag("acTL"), _number(0, 4, True))).over(whole),
+        "flagged": F.max(F.when(tag("VP8X"), _bits(0, 1, 1))).over(whole), "is_last": F.row_number().over(by_file) == F.count("*").over(whole),
+    })
+    owner = F.when(apng, F.count_if(tag("fcTL")).over(by_file))
+    rows = rows.withColumn("owner", owner)
+    return rows.withColumns({
+        "frames": F.count_if("is_frame").over(whole), "idx": F.count_if("is_frame").over(by_file) - 1,
+        "own_data": F.count_if(tag("IDAT", "fdAT") & (F.col("size") > 0)).over(Window.partitionBy("file", "owner")),
+    })
+
+
+def _rules() -> list[tuple[str, str]]:
+    """(code, condition) in the order of precedence for one chunk; the conditions are data, one line each."""
+    frame_order = "(format='apng' AND declared=0) OR (format='webp' AND declared=0)"
+    return [
+        ("FORMAT_UNKNOWN", "format IS NULL"),
+        ("FILE_CUT", "note='cut'"),
+        ("CHECKSUM_WRONG", "note='damaged'"),
+        ("BLOCK_UNKNOWN", "tag='bad'"),
+        ("TRAILING_DATA", "(tag='end' AND size>0) OR ended>0"),
+        ("HEADER_INVALID", "(tag='IHDR' AND (n<>0 OR size<>13)) OR (tag='VP8X' AND (headed>0 OR size<>10 OR conv(substr(hex(head),1,2),16,10) & 193 <> 0))"),
+        ("CANVAS_INVALID", "tag IN ('head','IHDR','VP8X') AND coalesce(least(canvas_width,canvas_height),0)<1"),
+        ("ANIMATION_INVALID", f"(tag='acTL' AND (headed=0 OR declared>0 OR filled>0 OR size<>8 OR NOT coalesce(told BETWEEN 1 AND {MAX_FRAMES},false))) OR (tag='ANIM' AND (headed=0 OR declared>0 OR size<>6))"),
+        ("CONTROL_INVALID", "(tag='control' AND (size<>4 OR substr(hex(head),1,2)<>'04' OR substr(hex(head),11,2)<>'00' OR (shiftright(conv(substr(hex(head),3,2),16,10),2) & 7)>3))"),
+        ("CONTROL_INVALID", f"is_frame AND (({frame_order}) OR (tag='fcTL' AND size<>26) OR (tag='ANMF' AND (size<24 OR conv(substr(hex(head),31,2),16,10) & 252 <> 0)) OR dispose IS NULL OR blend IS NULL)"),
+        ("SEQUENCE_GAP", "tag IN ('fcTL','fdAT') AND conv(substr(hex(head),1,8),16,10)<>numbered"),
+        ("DATA_ORDER", "(tag='IDAT' AND declared>0 AND begun<>1) OR (tag='IDAT' AND declared=0 AND animations>0) OR (tag='fdAT' AND (pictured=0 OR size<5)) OR (tag='tRNS' AND filled>0)"),
+        ("DATA_MISSING", "(tag='image' AND (size=0 OR NOT coalesce(conv(substr(hex(head),19,2),16,10) BETWEEN 2 AND 8,false))) OR (tag='ANMF' AND NOT arrays_overlap(split(inner,','),array('VP8 ','VP8L')))"),
+        ("RECT_OUTSIDE", "is_frame AND NOT coalesce(width>0 AND height>0 AND x+width<=canvas_width AND y+height<=canvas_height,false)"),
+        ("DELAY_FRACTION", f"is_frame AND (scaled % ratio<>0 OR scaled/ratio>{MAX_DURATION} AND format='apng')"),
+        ("DELAY_ZERO", "is_frame AND scaled=0"),
+        ("DATA_MISSING", "tag='fcTL' AND own_data=0"),
+        ("NOT_ANIMATED", "is_last AND (frames=0 OR (format<>'gif' AND animations=0) OR (format='webp' AND coalesce(flagged,0)=0))"),
+        ("FRAME_COUNT", f"is_last AND (frames>{MAX_FRAMES} OR (format='apng' AND frames<>told))"),
+        ("FILE_CUT", "is_last AND format<>'webp' AND end=0"),
+    ]
 
 
 def parse_headers(files: DataFrame) -> DataFrame:
-    """files(file, content) -> one row per frame, or one row with the error."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [part.split()[0] for part in HEADER_SCHEMA.split(", ")]
-        for batch in batches:
-            out = []
-            for file, content in zip(batch["file"], batch["content"]):
-                try:
-                    name, canvas, frames = _scan(bytes(content))
-                    out.extend((file, name, *canvas, i, *frame, None) for i, frame in enumerate(frames))
-                except HeaderError as problem:
-                    out.append((file, *[None] * 12, str(problem)))
-            yield pd.DataFrame(out, columns=columns).astype({"has_alpha": "object"})
-
-    return files.select("file", "content").mapInPandas(rows, HEADER_SCHEMA)
+    """files(file, content) -> one row per frame, or one row per file with the code of its first fault."""
+    rows = _frames(chunk_rows(files))
+    code = F.coalesce(*[F.when(F.expr(condition), F.lit(name)) for name, condition in _rules()])
+    whole = Window.partitionBy("file")
+    rows = rows.withColumn("_code", code).withColumn("error", F.min(F.when(F.col("_code").isNotNull(), F.struct("n", "_code"))).over(whole)["_code"])
+    good = F.col("error").isNull()
+    shown = rows.where((good & F.col("is_frame")) | (~good & (F.col("n") == 0)))
+    ints = ("canvas_width", "canvas_height", "idx", "x", "y", "width", "height")
+    kept = lambda c, kind: F.when(good, F.col(c)).cast(kind).alias(c)
+    return shown.select(
+        "file", kept("format", "string"), *[kept(c, "int") for c in ints],
+        F.when(good, F.floor(F.col("scaled") / F.col("ratio"))).cast("int").alias("duration_ms"),
+        kept("dispose", "string"), kept("blend", "string"), kept("has_alpha", "boolean"), "error",
+    )
 
 
 def scan_animation_headers(spark: SparkSession, path: str) -> DataFrame:
