@@ -96,11 +96,11 @@ def alpha_over(top: dict[str, Column], under: dict[str, Column]) -> dict[str, Co
 def check_palette(palette: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """A contract palette: one leading transparent entry, then at most sixteen distinct opaque ones."""
     if len(palette) - 1 > MAX_OPAQUE:
-        raise ValueError("palette exceeds sixteen opaque colours")
+        raise ValueError(f"at most {MAX_OPAQUE} opaque entries, not {len(palette) - 1}")
     if len(palette) < 2 or palette[0][3] != 0 or any(c[3] != 255 for c in palette[1:]):
-        raise ValueError("palette needs one leading transparent entry and opaque colours after it")
+        raise ValueError("entry 0 must have alpha 0 and every later one alpha 255")
     if len(set(palette)) != len(palette):
-        raise ValueError("palette colours must be distinct")
+        raise ValueError("an entry is listed twice")
     return palette
 
 

@@ -21,8 +21,8 @@ PROVENANCE_KEYS = (
 
 
 def canonical_json(text: Column) -> Column:
-    """Compact JSON with the keys of every object sorted by code unit. Numbers must be integers."""
-    return F.to_json(F.parse_json(text))
+    """Compact JSON with the keys of every object sorted by code unit; null for text that is no JSON. Numbers must be integers."""
+    return F.to_json(F.try_parse_json(text))
 
 
 def stable_hash(text: Column) -> Column:
@@ -53,10 +53,15 @@ def _without_provenance(value):
 
 @F.pandas_udf(StringType())
 def strip_provenance(documents: pd.Series) -> pd.Series:
-    """The document without its provenance keys at any depth."""
-    return documents.map(
-        lambda d: None if d is None else json.dumps(_without_provenance(json.loads(d)), ensure_ascii=False, separators=(",", ":"))
-    )
+    """The document without its provenance keys at any depth; null for text that is no JSON."""
+
+    def strip(document):
+        try:
+            return json.dumps(_without_provenance(json.loads(document)), ensure_ascii=False, separators=(",", ":"))
+        except (TypeError, ValueError):
+            return None
+
+    return documents.map(strip)
 
 
 def rows_hash(pairs: Column) -> Column:

@@ -118,7 +118,7 @@ def scaled_mismatches(
     """Output pixels that differ from their source pixel; null when the size is not the scaled size."""
 
     def count(src, w, h, out, ow, oh, k):
-        if (ow, oh) != (w * k, h * k):
+        if out is None or (ow, oh) != (w * k, h * k):
             return None
         expected = _raster(src, w, h).repeat(k, axis=0).repeat(k, axis=1)
         return int((expected != _raster(out, ow, oh)).any(axis=2).sum())
@@ -134,6 +134,9 @@ def shifted_mismatches(
     """Output pixels that are not the shifted, scaled, visible source pixel, or not zero where none maps."""
 
     def count(src, w, h, out, ow, oh, x, y, k):
+        if out is None:
+            return None
+        ow, oh = int(ow), int(oh)
         visible = _raster(src, w, h) * (_raster(src, w, h)[:, :, 3:4] > 0)
         image = visible.repeat(k, axis=0).repeat(k, axis=1)
         expected = np.zeros((oh, ow, 4), dtype=np.uint8)

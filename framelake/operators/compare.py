@@ -14,14 +14,15 @@ from framelake.operators.ordered import hot_join
 
 
 def _pairs(source: DataFrame, output: DataFrame) -> DataFrame:
+    """Every source frame with its output, whose columns are null where there is none."""
     return source.select("frame_key", "clip_id", "width", "height", F.col("rgba").alias("src")).join(
         output.select("frame_key", F.col("width").alias("out_width"), F.col("height").alias("out_height"), F.col("rgba").alias("out")),
-        "frame_key",
+        "frame_key", "left",
     )
 
 
 def block_match(source: DataFrame, output: DataFrame, scale: int) -> DataFrame:
-    """Pixels of the scaled output that differ from their source pixel, per frame; null for a wrong size."""
+    """Pixels of the scaled output that differ from their source pixel, per frame; null for a wrong size or no output."""
     wrong = B.scaled_mismatches("src", "width", "height", "out", "out_width", "out_height", F.lit(scale))
     counted = _pairs(source, output).select("frame_key", "clip_id", wrong.alias("mismatches"))
     return counted.withColumn("matches", F.coalesce(F.col("mismatches") == 0, F.lit(False)))
@@ -33,7 +34,7 @@ def translated_match(source: DataFrame, output: DataFrame, dx: Column, dy: Colum
         "src", "width", "height", "out", "out_width", "out_height", dx.cast("int"), dy.cast("int"), F.lit(scale)
     )
     counted = _pairs(source, output).select("frame_key", "clip_id", wrong.alias("mismatches"))
-    return counted.withColumn("matches", F.col("mismatches") == 0)
+    return counted.withColumn("matches", F.coalesce(F.col("mismatches") == 0, F.lit(False)))
 
 
 def sheet_match(sheet: DataFrame, frame_pixels: DataFrame, columns: int, width: int, height: int) -> DataFrame:

@@ -13,6 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
+def numbered(prefix: Column, number: Column) -> Column:
+    """The prefix and the number in at least four digits."""
+    text = number.cast("string")
+    return F.concat(prefix, F.lpad(text, F.greatest(F.length(text), F.lit(4)), "0"))
+
+
 RUNS_SCHEMA = "frame_key long, clip_id long, label long, y int, x0 int, x1 int"
 POLICIES = ("all", "largest", "reject-multiple")
 
@@ -39,16 +46,14 @@ def _label_runs(mask: np.ndarray) -> tuple[np.ndarray, ...]:
     y, x0 = np.nonzero(edges == 1)
     x1 = np.nonzero(edges == -1)[1] - 1
     label = y * width + x0
-    first = np.searchsorted(y, np.arange(height + 1))
-    left, right = [], []
-    for row in range(1, height):
-        up, low = slice(first[row - 1], first[row]), slice(first[row], first[row + 1])
-        a, b = np.nonzero((x0[up][:, None] <= x1[low]) & (x1[up][:, None] >= x0[low]))
-        left.append(a + first[row - 1])
-        right.append(b + first[row])
-    if left:
-        left, right = np.concatenate(left), np.concatenate(right)
-        while left.size:
+    # Runs lie in raster order, so the runs above that touch one are a range: two searches per run.
+    stride = width + 2
+    low = np.searchsorted(y * stride + x1, (y - 1) * stride + x0)
+    touching = np.maximum(np.searchsorted(y * stride + x0, (y - 1) * stride + x1, side="right") - low, 0)
+    right = np.repeat(np.arange(len(y)), touching)
+    left = np.arange(len(right)) - np.repeat(np.cumsum(touching) - touching, touching) + low[right]
+    if left.size:
+        while True:
             best = np.minimum(label[left], label[right])
             before = label.copy()
             np.minimum.at(label, left, best)
@@ -105,7 +110,7 @@ def component_stats(runs: DataFrame, minimum: int = 1) -> DataFrame:
     )
     noise = F.col("pixel_count") < minimum
     number = F.row_number().over(Window.partitionBy("frame_key", noise).orderBy("label"))
-    name = F.concat(F.when(noise, "noise-").otherwise("component-"), F.lpad(number.cast("string"), 4, "0"))
+    name = numbered(F.when(noise, "noise-").otherwise("component-"), number)
     return stats.select(
         "frame_key", "clip_id", "label", name.alias("component_id"), "pixel_count",
         "left", "top", "right", "bottom",
@@ -134,8 +139,11 @@ def ranked_components(stats: DataFrame) -> DataFrame:
     return stats.withColumn("size_rank", F.row_number().over(order))
 
 
-def retain_components(stats: DataFrame, policy: str, minimum: int = 1) -> DataFrame:
-    """What survives the policy per frame: counts, union box and the failure when nothing may pass."""
+def retain_components(stats: DataFrame, policy: str, minimum: int = 1, frames: DataFrame | None = None) -> DataFrame:
+    """What survives the policy per frame: counts, union box and the failure when nothing may pass.
+
+    ``frames`` (frame_key) names all frames, so that one without any foreground is reported too.
+    """
     if policy not in POLICIES:
         raise ValueError(f"retention policy must be one of {POLICIES}")
     eligible = F.col("pixel_count") >= minimum
@@ -149,31 +157,31 @@ def retain_components(stats: DataFrame, policy: str, minimum: int = 1) -> DataFr
         pick(F.min, "left").alias("left"), pick(F.min, "top").alias("top"),
         pick(F.max, "right").alias("right"), pick(F.max, "bottom").alias("bottom"),
     )
+    if frames is not None:
+        counts = ["component_count", "eligible_count", "retained_count", "retained_pixels"]
+        report = frames.select("frame_key").distinct().join(report, "frame_key", "left").fillna(0, counts)
     code = F.when(F.col("eligible_count") == 0, "NO_COMPONENT")
     if policy == "reject-multiple":
         code = code.when(F.col("eligible_count") > 1, "MULTIPLE_COMPONENTS")
     return report.withColumn("code", code)
 
 
-def build_candidates(stats: DataFrame, groups: DataFrame, low: int, high: int) -> DataFrame:
+def build_candidates(stats: DataFrame, groups: DataFrame, low: int, high: int, frames: DataFrame | None = None) -> DataFrame:
     """Grouped and single components as candidates with weighted centroids, and the count-in-range verdict.
 
-    groups(frame_key, group_id, component_id). Automatic ids skip numbers taken by groups.
+    groups(frame_key, group_id, component_id). Automatic ids skip numbers taken by groups. ``frames``
+    (frame_key) names all frames: one without a component gets a row without candidate, out of range.
     """
     real = stats.filter(~F.col("noise"))
     tagged = real.join(groups, ["frame_key", "component_id"], "left")
     taken = groups.groupBy("frame_key").agg(F.collect_set("group_id").alias("taken"))
     single = Window.partitionBy("frame_key", F.col("group_id").isNull()).orderBy("label")
     tagged = tagged.withColumn("nth", F.row_number().over(single)).join(taken, "frame_key", "left")
-    used = F.coalesce("taken", F.array().cast("array<string>"))
-    free = F.array_except(
-        F.transform(
-            F.sequence(F.lit(1), F.col("nth") + F.size(used)),
-            lambda i: F.concat(F.lit("candidate-"), F.lpad(i.cast("string"), 4, "0")),
-        ),
-        used,
-    )
-    named = tagged.withColumn("candidate_id", F.coalesce("group_id", F.element_at(free, F.col("nth"))))
+    # The n-th free number is n plus the taken numbers below it; the j-th taken one is below it if it exceeds j by less than n.
+    used = F.transform(F.coalesce("taken", F.array().cast("array<string>")), lambda g: F.regexp_extract(g, r"^candidate-(\d{4,18})$", 1).try_cast("long"))
+    used = F.array_sort(F.filter(used, lambda i: (i > 0) & F.array_contains("taken", numbered(F.lit("candidate-"), i))))
+    below = F.size(F.filter(F.transform(used, lambda i, j: i - j), lambda gap: gap <= F.col("nth")))
+    named = tagged.withColumn("candidate_id", F.coalesce("group_id", numbered(F.lit("candidate-"), F.col("nth") + below)))
     n = F.col("pixel_count")
     candidates = named.groupBy("frame_key", "candidate_id").agg(
         F.array_join(F.array_sort(F.collect_list("component_id")), ",").alias("component_ids"),
@@ -183,7 +191,11 @@ def build_candidates(stats: DataFrame, groups: DataFrame, low: int, high: int) -
         (F.sum(F.col("centroid_y") * n) / F.sum(n)).alias("centroid_y"),
     )
     count = F.count(F.lit(1)).over(Window.partitionBy("frame_key"))
-    return candidates.withColumn("count_in_range", (count >= low) & (count <= high))
+    judged = candidates.withColumn("count_in_range", (count >= low) & (count <= high))
+    if frames is None:
+        return judged
+    every = frames.select("frame_key").distinct().join(judged, "frame_key", "left")
+    return every.withColumn("count_in_range", F.coalesce("count_in_range", F.lit(low <= 0)))
 
 
 def row_major_order(candidates: DataFrame) -> DataFrame:

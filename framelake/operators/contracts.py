@@ -42,7 +42,7 @@ def _point_is(point: Column, x: int, y: int) -> Column:
 def palette_rules(palette: Column, with_hex: bool) -> dict[str, Column]:
     """Leading transparent entry, at most sixteen opaque distinct ones, bound by hash and hex list."""
     rgba = palette.rgba
-    opaque = F.slice(rgba, 2, MAX_OPAQUE + 1)
+    opaque = F.slice(rgba, F.lit(2), F.greatest(F.size(rgba), F.lit(1)))
     bad_entry = any_of(rgba, lambda e: (F.size(e) != 4) | any_of(e, lambda v: ~v.between(0, 255)))
     rules = {
         "palette-entries": unless((F.size(rgba) >= 2) & ~bad_entry),
@@ -53,7 +53,7 @@ def palette_rules(palette: Column, with_hex: bool) -> dict[str, Column]:
     }
     if with_hex:
         byte = lambda e, i: F.lpad(F.lower(F.hex(F.get(e, F.lit(i)).cast("long"))), 2, "0")
-        hexes = F.transform(F.slice(rgba, 2, 1 << 20), lambda e: F.concat(byte(e, 0), byte(e, 1), byte(e, 2)))
+        hexes = F.transform(opaque, lambda e: F.concat(byte(e, 0), byte(e, 1), byte(e, 2)))
         rules["palette-hex"] = unless(palette.snapperPaletteHex == hexes)
     return rules
 
@@ -298,12 +298,16 @@ def dangling_references(references: DataFrame, definitions: DataFrame) -> DataFr
     return used.join(definitions.select("kind", "ref").distinct(), ["kind", "ref"], "left_anti")
 
 
-def missing_required(members: DataFrame, required: list[str]) -> DataFrame:
+def missing_required(members: DataFrame, required: list[str], frames: DataFrame | None = None) -> DataFrame:
     """Required tracks a frame does not list; members(clip_id, frame_id, track_id).
 
-    ``required`` comes from one contract and is at most as long as its track list.
+    ``required`` comes from one contract and is at most as long as its track list. ``frames``
+    (clip_id, frame_id) names all frames, so that one without any member lacks them all.
     """
-    flags = [F.bool_or(F.col("track_id") == t).alias(f"_has_{i}") for i, t in enumerate(required)]
+    if frames is not None:
+        listed = frames.select("clip_id", "frame_id", F.lit(None).cast(members.schema["track_id"].dataType).alias("track_id"))
+        members = members.select("clip_id", "frame_id", "track_id").unionByName(listed)
+    flags = [F.bool_or(F.col("track_id").eqNullSafe(t)).alias(f"_has_{i}") for i, t in enumerate(required)]
     seen = members.groupBy("clip_id", "frame_id").agg(*flags)
     absent = F.array_compact(F.array(*[F.when(~F.col(f"_has_{i}"), F.lit(t)) for i, t in enumerate(required)]))
     return seen.select("clip_id", "frame_id", F.explode(absent).alias("missing_track"))

@@ -61,19 +61,31 @@ def classify_failures(failures: DataFrame) -> DataFrame:
     return failures.withColumn("correction", correction_for(F.col("code"), F.col("stage"), F.col("trusted")))
 
 
+# Which artifact a failure is repaired in: (priority, artifact, failure code or "", stage pattern for LIKE).
+OWNERS = (
+    (1, "sheet", "", "%sheet%"),
+    (1, "sheet", "FRAME_BLEED", "%"),
+    (2, "preview", "", "%preview%"),
+    (2, "preview", "PREVIEW_MISMATCH", "%"),
+    (3, "metadata", "FRAME_COUNT", "metadata"),
+    (4, "preview", "FRAME_COUNT", "%"),
+    (5, "metadata", "", "metadata%"),
+    (5, "metadata", "METADATA_MISMATCH", "%"),
+    (5, "metadata", "TIMING_MISMATCH", "%"),
+    (5, "metadata", "SOURCE_HASH_MISMATCH", "%"),
+    (6, "runtime-frame", "", "runtime"),
+    (6, "runtime-frame", "BACKGROUND_REMAINS", "%"),
+    (6, "runtime-frame", "INTERMEDIATE_COLORS", "%"),
+    (7, "normalized-frame", "", "%"),
+)
+
+
 def owner_artifact(code: Column, stage: Column) -> Column:
-    """Which artifact a failure is repaired in."""
+    """The artifact of the first row of ``OWNERS`` that fits the failure."""
     place = F.coalesce(stage, F.lit(""))
-    in_preview = (code == "PREVIEW_MISMATCH") | ((code == "FRAME_COUNT") & (place != "metadata"))
-    in_metadata = code.isin("METADATA_MISMATCH", "TIMING_MISMATCH", "SOURCE_HASH_MISMATCH") | F.startswith(place, F.lit("metadata"))
-    in_runtime = (place == "runtime") | code.isin("BACKGROUND_REMAINS", "INTERMEDIATE_COLORS")
-    return (
-        F.when(F.contains(place, F.lit("sheet")) | (code == "FRAME_BLEED"), "sheet")
-        .when(F.contains(place, F.lit("preview")) | in_preview, "preview")
-        .when(in_metadata, "metadata")
-        .when(in_runtime, "runtime-frame")
-        .otherwise("normalized-frame")
-    )
+    fits = lambda want, pattern: place.like(pattern) & (F.lit(True) if not want else F.coalesce(code == want, F.lit(False)))
+    rows = [F.when(fits(want, pattern), F.struct(F.lit(rank).alias("rank"), F.lit(artifact).alias("artifact"))) for rank, artifact, want, pattern in OWNERS]
+    return F.array_min(F.array_compact(F.array(*rows)))["artifact"]
 
 
 def retry_budget(classified: DataFrame, attempts: DataFrame, limit: int) -> DataFrame:
@@ -84,15 +96,21 @@ def retry_budget(classified: DataFrame, attempts: DataFrame, limit: int) -> Data
 
 
 def dedupe_corrections(classified: DataFrame) -> DataFrame:
-    """Automatic corrections of one target run once: the first failure executes, the others share it."""
+    """Automatic corrections of one target run once: the first failure executes, the others share it.
+
+    Work is shared only for the same artifact of the same target and, where the failures carry
+    ``before_sha``, the same bytes: drift of one frame in two artifacts is two repairs.
+    """
     automatic = classified.filter(F.col("correction").isin(*AUTOMATIC)).withColumn(
         "target", F.coalesce(F.col("frame").cast("string"), F.col("stage"), F.lit(""))
-    )
+    ).withColumn("artifact", owner_artifact(F.col("code"), F.col("stage")))
+    bytes_before = F.coalesce("before_sha", F.lit("")) if "before_sha" in classified.columns else F.lit("")
+    automatic = automatic.withColumn("_before", bytes_before)
     shared = ordered_scan(
-        automatic, ["run_id", "correction", "target"], ["idx"], [Scan("primary_idx", "first", F.col("idx"))], SPARSE_CHUNK
+        automatic, ["run_id", "correction", "target", "artifact", "_before"], ["idx"], [Scan("primary_idx", "first", F.col("idx"))], SPARSE_CHUNK
     )
     return shared.select(
-        "run_id", "idx", "correction", "target", "primary_idx",
+        "run_id", "idx", "correction", "target", "artifact", "primary_idx",
         F.when(F.col("idx") == F.col("primary_idx"), "applied").otherwise("deduplicated").alias("status"),
     )
 

@@ -11,7 +11,7 @@ from framelake.operators.rules import unless
 
 
 def evidence_count(lessons: DataFrame, threshold: int) -> DataFrame:
-    """Independent verified runs per proposed rule, and the matching records that were rejected.
+    """Independent verified runs per proposed rule against the threshold in force, and the rejected records.
 
     lessons(rule, run_id, valid). Runs are merged per rule first, so a rule's records never meet in one task.
     """
@@ -21,15 +21,10 @@ def evidence_count(lessons: DataFrame, threshold: int) -> DataFrame:
     counted = per_run.groupBy("rule").agg(
         F.count_if("verified").alias("evidence_count"), F.sum("rejected").alias("rejected_count")
     )
-    n, t = F.col("evidence_count"), F.lit(threshold)
-    rejected = F.when(
-        F.col("rejected_count") > 0,
-        F.concat(F.lit(" "), F.col("rejected_count").cast("string"), F.lit(" matching record(s) failed evidence verification and were not counted.")),
-    ).otherwise(F.lit(""))
-    verdict = F.when(n >= t, F.lit(" The rule is only a proposal and has not been applied.")).otherwise(F.lit(" Evidence is insufficient."))
+    enough = F.col("evidence_count") >= threshold
     return counted.select(
-        "rule", "evidence_count", "rejected_count", (n >= t).alias("eligible"),
-        F.concat(n.cast("string"), F.lit(" of "), t.cast("string"), F.lit(" required independent verified runs are available."), rejected, verdict).alias("disclosure"),
+        "rule", "evidence_count", "rejected_count", F.lit(threshold).cast("long").alias("threshold"),
+        enough.alias("eligible"), F.when(enough, "PROPOSAL").otherwise("MORE_RUNS_NEEDED").alias("code"),
     )
 
 

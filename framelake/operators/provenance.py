@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from framelake.operators.ordered import Scan, hot_join, ordered_scan
 
-INVENTORY_PART = 16_384
-
 
 def verify_artifacts(manifest: DataFrame, inventory: DataFrame) -> DataFrame:
     """Files that are missing, extra or changed; inputs (run_id, path, sha256)."""
@@ -63,7 +61,9 @@ def verify_revision_chain(revisions: DataFrame, root: Column) -> DataFrame:
     )
     first = F.col("before").isNull()
     gap = F.when(first, F.col("revision") != 1).otherwise(F.col("revision") != F.col("before.revision") + 1)
-    wrong = F.when(first, F.col("previous_sha256") != root).otherwise(F.col("previous_sha256") != F.col("before.sha256"))
+    # A missing link is a wrong one, also where both sides lack it.
+    must = F.when(first, root).otherwise(F.col("before.sha256"))
+    wrong = ~F.coalesce(F.col("previous_sha256") == must, F.lit(False))
     flagged = linked.select("run_id", "revision", gap.alias("gap"), wrong.alias("wrong_link"))
     spread = ordered_scan(
         flagged, ["run_id"], ["revision"], [Scan("broken", "max_upto", F.col("gap") | F.col("wrong_link"))]
@@ -81,31 +81,25 @@ def latest_revisions(revisions: DataFrame) -> DataFrame:
 
 
 def inventory_hash(artifacts: DataFrame) -> DataFrame:
-    """One hash per run over its artifacts in path order.
+    """One hash per run over its artifacts, defined alike for runs of every size.
 
-    Up to ``INVENTORY_PART`` artifacts the value is the hash of the ordered list itself. Larger runs
-    are split by a hash of the path into parts of about that size, part hashes are bound in groups
-    of that many, and group hashes by the run, so that no list grows with the run.
+    An artifact belongs to the part named by the first four hex digits of its path's sha256. A part's
+    hash is that of the JSON list of its artifacts by path and hash; parts of the same first two digits
+    are bound by the hash of their comma-joined hashes in order, and these once more by the run. No list
+    holds more than a small share of a long run.
     """
-    part = F.lit(INVENTORY_PART)
-    size = artifacts.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    split = size.withColumn("parts", F.ceil(F.col("n") / part).cast("long"))
-    split = split.withColumn("groups", F.ceil(F.col("parts") / part).cast("long"))
-    placed = hot_join(artifacts, split, ["run_id"], ["path"], "inner").withColumn(
-        "part", F.pmod(F.xxhash64("path"), F.col("parts"))
+    place = F.sha2("path", 256)
+    leaf = artifacts.groupBy("run_id", F.substring(place, 1, 4).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("items"), F.count(F.lit(1)).alias("n")
     )
-    run = ["run_id", "n", "parts", "groups"]
+    leaf = leaf.select("run_id", "part", "n", F.sha2(F.to_json("items"), 256).alias("h"))
 
-    def bind(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-        listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "h"))).alias("hs"))
-        joined = F.sha2(F.array_join(F.transform("hs", lambda e: e.h), ","), 256)
-        single = F.get("hs", F.lit(0)).h
-        return listed.withColumn("h", F.when(F.size("hs") == 1, single).otherwise(joined)).drop("hs")
+    def bind(df: DataFrame, *keys) -> DataFrame:
+        listed = df.groupBy("run_id", *keys).agg(F.array_sort(F.collect_list(F.struct("part", "h"))).alias("hs"), F.sum("n").alias("n"))
+        return listed.withColumn("h", F.sha2(F.array_join(F.transform("hs", lambda e: e.h), ","), 256)).drop("hs")
 
-    leaves = placed.groupBy(*run, "part").agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("items"))
-    leaves = leaves.withColumn("h", F.sha2(F.to_json("items"), 256)).withColumn("grp", F.pmod("part", "groups"))
-    bound = bind(bind(leaves, [*run, "grp"], "part"), run, "grp")
-    return bound.select("run_id", F.col("n").alias("artifacts"), F.col("h").alias("inventory_sha256"))
+    middle = bind(leaf, F.substring("part", 1, 2).alias("_part")).withColumnRenamed("_part", "part")
+    return bind(middle).select("run_id", F.col("n").alias("artifacts"), F.col("h").alias("inventory_sha256"))
 
 
 def verify_ancestry(approvals: DataFrame, edits: DataFrame, sources: DataFrame, projects: DataFrame) -> DataFrame:
@@ -134,7 +128,10 @@ def eligible_for_production(selections: DataFrame, approvals: DataFrame) -> Data
 
 
 def flatten_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, path, value) per JSON leaf; a small recursive walk per document."""
+    """(key, path, value) per JSON leaf; a small recursive walk per document.
+
+    Text that is no JSON (or null) gives one row with the path ``!`` and no value.
+    """
     import json
 
     import pandas as pd
@@ -153,8 +150,11 @@ def flatten_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             rows = []
             for k, t in zip(batch[key], batch[text]):
-                found: list[tuple[str, str]] = []
-                walk(json.loads(t), "", found)
+                found: list[tuple[str, str | None]] = []
+                try:
+                    walk(json.loads(t), "", found)
+                except (TypeError, ValueError):
+                    found = [("!", None)]
                 rows.extend((k, p, v) for p, v in found)
             yield pd.DataFrame(rows, columns=[key, "path", "value"])
 

@@ -177,11 +177,13 @@ def j3(spark, sf_dir):
     return R.dangling_references(references, sockets.unionByName(tracks))
 
 
-@query("j4_missing_required", "clip_frames", """WITH m AS (SELECT clip_id, status AS frame_id, bool_or(track_id='A') AS a, bool_or(track_id='N') AS n, bool_or(track_id='R') AS r FROM clip_frames GROUP BY clip_id, status)
+@query("j4_missing_required", "clip_frames", """WITH m AS (SELECT clip_id, status AS frame_id, bool_or(track_id='A') AS a, bool_or(track_id='N') AS n, bool_or(track_id='R') AS r FROM (SELECT clip_id, status, track_id FROM clip_frames UNION ALL SELECT o_orderkey, s, '' FROM orders, (VALUES ('F'),('O')) v(s)) GROUP BY clip_id, status)
   SELECT clip_id, frame_id, 'A' AS missing_track FROM m WHERE NOT a UNION ALL SELECT clip_id, frame_id, 'N' FROM m WHERE NOT n UNION ALL SELECT clip_id, frame_id, 'R' FROM m WHERE NOT r""")
 def j4(spark, sf_dir):
     members = X.view(spark, sf_dir, "clip_frames").select("clip_id", F.col("status").alias("frame_id"), "track_id")
-    return R.missing_required(members, ["A", "N", "R"])
+    states = F.explode(F.array(F.lit("F"), F.lit("O"))).alias("frame_id")
+    every = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip_id"), states)
+    return R.missing_required(members, ["A", "N", "R"], every)
 
 
 @query("j16_selection_disposition", "clip_frames", """WITH c AS (SELECT DISTINCT clip_id, ord, part_id FROM clip_frames), s AS (SELECT clip_id, ord, part_id, count(*) AS n FROM clip_frames WHERE track_id<>'R' GROUP BY ALL),

@@ -20,8 +20,10 @@ AUTO_SQL = "('repad','nearest-rescale','rekey','realign','reexport-metadata','re
 REVIEW_SQL = "('palette-remap-review','timing-or-transition-review','stop-for-review')"
 BUDGET = f"""att AS (SELECT user_id AS run_id, CAST(regexp_extract(props,'([0-9]+)',1) AS INT) AS frame, count(*) AS used FROM events WHERE value>25 GROUP BY 1,2),
   budget AS (SELECT run_id, frame, least(2, greatest(0, 2-coalesce(used,0))) AS remaining FROM (SELECT DISTINCT run_id, frame FROM classified WHERE correction='stop-for-regeneration') LEFT JOIN att USING (run_id, frame))"""
-SHARED = f"""auto AS (SELECT *, CAST(frame AS VARCHAR) AS target FROM classified WHERE correction IN {AUTO_SQL}),
-  shared AS (SELECT run_id, idx, correction, target, min(idx) OVER (PARTITION BY run_id, correction, target) AS primary_idx FROM auto)"""
+ARTIFACT_SQL = """CASE WHEN contains(stage,'sheet') THEN 'sheet' WHEN contains(stage,'preview') OR (code='FRAME_COUNT' AND stage<>'metadata') THEN 'preview' WHEN starts_with(stage,'metadata') OR code='SOURCE_HASH_MISMATCH' THEN 'metadata'
+     WHEN stage='runtime' THEN 'runtime-frame' ELSE 'normalized-frame' END"""
+SHARED = f"""auto AS (SELECT *, CAST(frame AS VARCHAR) AS target, {ARTIFACT_SQL} AS artifact FROM classified WHERE correction IN {AUTO_SQL}),
+  shared AS (SELECT run_id, idx, correction, target, artifact, min(idx) OVER (PARTITION BY run_id, correction, target, artifact) AS primary_idx FROM auto)"""
 
 
 def classified(spark, sf_dir):
@@ -43,14 +45,13 @@ def a18(spark, sf_dir):
     return corrections.retry_budget(classified(spark, sf_dir), attempts(spark, sf_dir), 2)
 
 
-@query("w13_dedupe_corrections", "failures", f"""WITH {CLASSIFIED}, {SHARED} SELECT run_id, idx, correction, target, primary_idx, CASE WHEN idx=primary_idx THEN 'applied' ELSE 'deduplicated' END AS status FROM shared""")
+@query("w13_dedupe_corrections", "failures", f"""WITH {CLASSIFIED}, {SHARED} SELECT run_id, idx, correction, target, artifact, primary_idx, CASE WHEN idx=primary_idx THEN 'applied' ELSE 'deduplicated' END AS status FROM shared""")
 def w13(spark, sf_dir):
     return corrections.dedupe_corrections(classified(spark, sf_dir))
 
 
 @query("v21_repair_plan", "failures", f"""WITH {CLASSIFIED}, {BUDGET}, {SHARED} SELECT c.run_id, c.idx, code, c.correction,
-   CASE WHEN contains(stage,'sheet') THEN 'sheet' WHEN contains(stage,'preview') OR (code='FRAME_COUNT' AND stage<>'metadata') THEN 'preview' WHEN starts_with(stage,'metadata') THEN 'metadata'
-     WHEN stage='runtime' THEN 'runtime-frame' ELSE 'normalized-frame' END AS artifact,
+   {ARTIFACT_SQL} AS artifact,
    CASE WHEN c.correction='stop-for-regeneration' THEN CASE WHEN remaining>0 THEN 'generative-retry' ELSE 'generative-retry-exhausted' END
      WHEN c.correction IN {REVIEW_SQL} THEN 'user-review' WHEN c.idx=primary_idx THEN 'applied' ELSE 'deduplicated' END AS action,
    CASE WHEN c.correction='stop-for-regeneration' THEN remaining END AS attempts_remaining, CASE WHEN c.idx<>primary_idx THEN primary_idx END AS duplicate_of
@@ -90,8 +91,7 @@ def v18(spark, sf_dir):
 
 @query("a17_evidence_count", "lessons", """WITH r AS (SELECT failure_code||'/'||action_index AS rule, run_id, bool_or(valid) AS v, count(*) FILTER (NOT valid) AS x FROM lessons GROUP BY 1,2),
   c AS (SELECT rule, count(*) FILTER (v) AS n, CAST(sum(x) AS BIGINT) AS x FROM r GROUP BY rule)
-  SELECT rule, n AS evidence_count, x AS rejected_count, n>=120 AS eligible, n||' of 120 required independent verified runs are available.'||CASE WHEN x>0 THEN ' '||x||' matching record(s) failed evidence verification and were not counted.' ELSE '' END
-   ||CASE WHEN n>=120 THEN ' The rule is only a proposal and has not been applied.' ELSE ' Evidence is insufficient.' END AS disclosure FROM c""")
+  SELECT rule, n AS evidence_count, x AS rejected_count, CAST(120 AS BIGINT) AS threshold, n>=120 AS eligible, CASE WHEN n>=120 THEN 'PROPOSAL' ELSE 'MORE_RUNS_NEEDED' END AS code FROM c""")
 def a17(spark, sf_dir):
     lessons = X.view(spark, sf_dir, "lessons")
     rules = lessons.withColumn("rule", F.concat_ws("/", "failure_code", F.col("action_index").cast("string")))

@@ -354,7 +354,7 @@ def j2(spark, sf_dir):
 
 @query("j6_block_match", "pixels runtime_pixels", """SELECT s.frame_key, s.clip_id, CAST(count(*) FILTER ((s.r,s.g,s.b,s.a)<>(o.r,o.g,o.b,o.a)) AS INT) AS mismatches,
   count(*) FILTER ((s.r,s.g,s.b,s.a)<>(o.r,o.g,o.b,o.a))=0 AS matches
-  FROM runtime_pixels o JOIN pixels s ON s.frame_key=o.frame_key AND s.x=o.x//2 AND s.y=o.y//2 GROUP BY s.frame_key, s.clip_id""")
+  FROM pixels s LEFT JOIN runtime_pixels o ON s.frame_key=o.frame_key AND s.x=o.x//2 AND s.y=o.y//2 GROUP BY s.frame_key, s.clip_id""")
 def j6(spark, sf_dir):
     return compare.block_match(X.packed_frames(spark, sf_dir), X.runtime_frames(spark, sf_dir), 2)
 
@@ -492,7 +492,7 @@ COMPONENTS = """WITH RECURSIVE fg AS (SELECT frame_key, clip_id, x, y, y*8+x AS
   comp AS (SELECT l.frame_key, clip_id, CAST(label AS BIGINT) AS label, count(*) AS pixel_count, min(l.x) AS l, min(l.y) AS t, max(l.x) AS r, max(l.y) AS b,
     avg(l.x) AS cx, avg(l.y) AS cy FROM labelled l JOIN fg USING (frame_key, x, y) GROUP BY l.frame_key, clip_id, label),
   named AS (SELECT *, pixel_count<3 AS noise, concat(CASE WHEN pixel_count<3 THEN 'noise-' ELSE 'component-' END,
-    lpad(CAST(row_number() OVER (PARTITION BY frame_key, pixel_count<3 ORDER BY label) AS VARCHAR),4,'0')) AS component_id FROM comp)"""
+    printf('%04d', row_number() OVER (PARTITION BY frame_key, pixel_count<3 ORDER BY label))) AS component_id FROM comp)"""
 
 
 def runs(spark, sf_dir):
@@ -519,33 +519,34 @@ def a5_hash(spark, sf_dir):
 
 
 @query("a6_retain_components", "pixels", f"""{COMPONENTS}, k AS (SELECT *, pixel_count>=3 AND row_number() OVER (PARTITION BY frame_key ORDER BY pixel_count DESC, label)=1 AS kept FROM comp)
-  SELECT frame_key, count(*) AS component_count, count(*) FILTER (pixel_count>=3) AS eligible_count, count(*) FILTER (kept) AS retained_count,
+  SELECT frame_key, count(label) AS component_count, count(*) FILTER (pixel_count>=3) AS eligible_count, count(*) FILTER (kept) AS retained_count,
   CAST(coalesce(sum(pixel_count) FILTER (kept),0) AS BIGINT) AS retained_pixels, min(l) FILTER (kept) AS left, min(t) FILTER (kept) AS top,
-  max(r) FILTER (kept) AS right, max(b) FILTER (kept) AS bottom, CASE WHEN count(*) FILTER (pixel_count>=3)=0 THEN 'NO_COMPONENT' END AS code FROM k GROUP BY frame_key""")
+  max(r) FILTER (kept) AS right, max(b) FILTER (kept) AS bottom, CASE WHEN count(*) FILTER (pixel_count>=3)=0 THEN 'NO_COMPONENT' END AS code
+  FROM (SELECT DISTINCT frame_key FROM pixels) LEFT JOIN k USING (frame_key) GROUP BY frame_key""")
 def a6(spark, sf_dir):
-    return components.retain_components(components.component_stats(runs(spark, sf_dir)), "largest", 3)
+    return components.retain_components(components.component_stats(runs(spark, sf_dir)), "largest", 3, X.packed_frames(spark, sf_dir))
 
 
 CANDIDATES = f"""{COMPONENTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY frame_key ORDER BY pixel_count DESC, label) AS rk FROM named WHERE NOT noise),
   tagged AS (SELECT *, CASE WHEN rk<=2 THEN 'candidate-0001' END AS gid FROM ranked),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY frame_key, gid IS NULL ORDER BY label) AS nth FROM tagged),
-  ids AS (SELECT *, coalesce(gid, 'candidate-'||lpad(CAST(nth+1 AS VARCHAR),4,'0')) AS cid FROM numbered),
+  ids AS (SELECT *, coalesce(gid, 'candidate-'||printf('%04d', nth+1)) AS cid FROM numbered),
   cands AS (SELECT frame_key, cid AS candidate_id, string_agg(component_id, ',' ORDER BY component_id) AS component_ids, CAST(sum(pixel_count) AS BIGINT) AS pixel_count,
     min(l) AS left, min(t) AS top, max(r) AS right, max(b) AS bottom, sum(cx*pixel_count)/sum(pixel_count) AS centroid_x, sum(cy*pixel_count)/sum(pixel_count) AS centroid_y
     FROM ids GROUP BY frame_key, cid)"""
 
 
-def candidates(spark, sf_dir):
+def candidates(spark, sf_dir, frames=None):
     stats = components.component_stats(runs(spark, sf_dir), minimum=3)
     pairs = components.ranked_components(stats.filter(~F.col("noise"))).filter("size_rank<=2")
     groups = pairs.select("frame_key", F.lit("candidate-0001").alias("group_id"), "component_id")
-    return components.build_candidates(stats, groups, 1, 4)
+    return components.build_candidates(stats, groups, 1, 4, frames)
 
 
 @query("a7_candidates", "pixels", f"""{CANDIDATES} SELECT frame_key, candidate_id, component_ids, pixel_count, "left", top, "right", bottom, round(centroid_x,6) AS centroid_x,
-  round(centroid_y,6) AS centroid_y, count(*) OVER (PARTITION BY frame_key) BETWEEN 1 AND 4 AS count_in_range FROM cands""")
+  round(centroid_y,6) AS centroid_y, count(candidate_id) OVER (PARTITION BY frame_key) BETWEEN 1 AND 4 AS count_in_range FROM (SELECT DISTINCT frame_key FROM pixels) LEFT JOIN cands USING (frame_key)""")
 def a7(spark, sf_dir):
-    return candidates(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("centroid_x", "centroid_y")})
+    return candidates(spark, sf_dir, X.packed_frames(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("centroid_x", "centroid_y")})
 
 
 @query("t2_largest_component", "pixels", f"""{COMPONENTS} SELECT frame_key, label, pixel_count FROM (

@@ -253,7 +253,9 @@ def a19(spark, sf_dir):
     return paths.duplicate_keys(X.view(spark, sf_dir, "clip_frames"), ["clip_id", "ord"])
 
 
-@query("a23_inventory_hash", "artifacts_left", """SELECT run_id, count(*) AS artifacts, sha256('['||string_agg('{"path":"'||path||'","sha256":"'||sha256||'"}', ',' ORDER BY path, sha256)||']') AS inventory_sha256 FROM artifacts_left GROUP BY run_id""")
+@query("a23_inventory_hash", "artifacts_left", """WITH leaf AS (SELECT run_id, left(sha256(path),4) AS part, count(*) AS n, sha256('['||string_agg('{"path":"'||path||'","sha256":"'||sha256||'"}', ',' ORDER BY path, sha256)||']') AS h FROM artifacts_left GROUP BY 1, 2),
+  mid AS (SELECT run_id, left(part,2) AS p, sum(n) AS n, sha256(string_agg(h, ',' ORDER BY part)) AS h FROM leaf GROUP BY 1, 2)
+  SELECT run_id, CAST(sum(n) AS BIGINT) AS artifacts, sha256(string_agg(h, ',' ORDER BY p)) AS inventory_sha256 FROM mid GROUP BY run_id""")
 def a23(spark, sf_dir):
     return provenance.inventory_hash(X.view(spark, sf_dir, "artifacts_left"))
 
@@ -262,7 +264,7 @@ ROOT_SQL = "sha256(concat('root-',CAST(run_id AS VARCHAR)))"
 
 
 @query("w6_verify_revision_chain", "revisions", f"""WITH l AS (SELECT *, lag(revision) OVER w AS pr, lag(sha256) OVER w AS ps FROM revisions WINDOW w AS (PARTITION BY run_id ORDER BY revision)),
-  f AS (SELECT run_id, revision, CASE WHEN pr IS NULL THEN revision<>1 ELSE revision<>pr+1 END AS gap, CASE WHEN pr IS NULL THEN previous_sha256<>{ROOT_SQL} ELSE previous_sha256<>ps END AS wrong_link FROM l)
+  f AS (SELECT run_id, revision, CASE WHEN pr IS NULL THEN revision<>1 ELSE revision<>pr+1 END AS gap, NOT coalesce(previous_sha256=CASE WHEN pr IS NULL THEN {ROOT_SQL} ELSE ps END, false) AS wrong_link FROM l)
   SELECT *, NOT bool_or(gap OR wrong_link) OVER (PARTITION BY run_id ORDER BY revision) AS valid FROM f""")
 def w6(spark, sf_dir):
     root = F.sha2(F.concat(F.lit("root-"), F.col("run_id").cast("string")), 256)
