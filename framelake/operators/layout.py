@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from framelake.operators.ordered import Scan, ordered_scan
 
-PART_FRAMES = 1_024
-
 
 def sheet_layout(frames: DataFrame, columns: int, width: int, height: int) -> DataFrame:
     """Atlas cell of every frame and the row count of its sheet."""
@@ -36,13 +34,12 @@ def contact_sheet_layout(frames: DataFrame, width: int, height: int, padding: in
 
 
 def clip_documents(records: DataFrame, header: list[str]) -> DataFrame:
-    """JSON documents per clip in parts of at most ``PART_FRAMES`` frames.
+    """A clip's document as JSON lines: its header (idx -1) and one line per frame in order of idx.
 
-    records(clip_id, idx, <header...>, record struct). Usual clips have one part; a very long clip
-    is written as numbered parts instead of one unbounded document.
+    records(clip_id, idx, <header...>, record struct). The layout is the same for clips of every
+    length, and no row grows with the clip.
     """
-    parts = records.withColumn("part", F.floor(F.col("idx") / PART_FRAMES).cast("long")).groupBy("clip_id", "part", *header).agg(
-        F.array_sort(F.collect_list(F.struct("idx", "record"))).alias("listed")
-    )
-    body = F.struct(*[F.col(c) for c in header], F.transform("listed", lambda e: e.record).alias("frames"))
-    return parts.select("clip_id", "part", F.to_json(body).alias("document"))
+    heads = records.groupBy("clip_id", *header).agg(F.count(F.lit(1)).alias("frameCount"))
+    heads = heads.select("clip_id", F.lit(-1).cast("long").alias("idx"), F.to_json(F.struct(*header, "frameCount")).alias("document"))
+    lines = records.select("clip_id", F.col("idx").cast("long").alias("idx"), F.to_json("record").alias("document"))
+    return heads.unionByName(lines)

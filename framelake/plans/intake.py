@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from framelake.operators.layout import clip_documents
 from framelake.plans import fixtures as X
 from framelake.plans.catalog import query
 from framelake.plans.raster import FRAME_SHA
@@ -60,7 +59,7 @@ def write_boards(spark, sf_dir) -> str:
 @query("s1_read_frames", "pixels", FRAME_SHA.replace("frame_key, clip_id, sha256", "frame_key, sha256").replace("GROUP BY frame_key, clip_id", "GROUP BY frame_key"))
 def s1(spark, sf_dir):
     """Boards read as stills, cut back into cells; cells of known frames must carry the frames' bytes."""
-    boards = frames.read_frames(spark, write_boards(spark, sf_dir))
+    boards = frames.read_frames(spark, write_boards(spark, sf_dir)).filter("code IS NULL")
     number = F.regexp_extract("file", r"board-(\d+)\.png", 1).cast("long")
     cells = frames.sheet_cells(boards.withColumn("board", number), 8, 8, keep=("board",))
     found = cells.select(
@@ -69,10 +68,10 @@ def s1(spark, sf_dir):
     return found.join(X.packed_frames(spark, sf_dir).select("frame_key"), "frame_key", "left_semi")
 
 
-@query("s9_inventory", "", """SELECT DISTINCT 'board-'||lpad(CAST(vec_id//4096 AS VARCHAR),12,'0')||'.png' AS path, CAST(NULL AS VARCHAR) AS code, true AS hashed FROM embeddings""")
+@query("s9_inventory", "", """SELECT DISTINCT 'board-'||lpad(CAST(vec_id//4096 AS VARCHAR),12,'0')||'.png' AS path, true AS hashed FROM embeddings""")
 def s9(spark, sf_dir):
     listed = frames.inventory(spark, write_boards(spark, sf_dir))
-    return listed.select("path", "code", (F.length("sha256") == 64).alias("hashed"))
+    return listed.select("path", (F.length("sha256") == 64).alias("hashed"))
 
 
 @query("s2_read_frame_sequence", "timeline", """SELECT clip_id AS source_id, idx, frame_id AS frame, CASE WHEN event_type='error' THEN NULL ELSE CAST(duration_ms AS INT) END AS duration_ms,
@@ -84,7 +83,11 @@ def s2(spark, sf_dir):
         F.concat(F.lit("f"), F.col("frame_id").cast("string")).alias("id"), name.alias("path"),
         F.when(F.col("event_type") != "error", F.col("duration_ms")).alias("durationMs"),
     )
-    manifests = clip_documents(line.select("clip_id", "idx", F.lit(1).alias("schemaVersion"), record.alias("record")), ["schemaVersion"])
+    # A manifest file lists at most 1,024 frames; longer clips come in several files.
+    parts = line.select("clip_id", F.floor(F.col("idx") / 1024).cast("long").alias("part"), F.struct("idx", record.alias("record")).alias("e"))
+    parts = parts.groupBy("clip_id", "part").agg(F.array_sort(F.collect_list("e")).alias("listed"))
+    body = F.struct(F.lit(1).alias("schemaVersion"), F.transform("listed", lambda e: e.record).alias("frames"))
+    manifests = parts.select("clip_id", "part", F.to_json(body).alias("document"))
     sequence = frames.parse_sequences(manifests.select(F.col("clip_id").alias("source_id"), "part", "document"))
     images = X.view(spark, sf_dir, "timeline_raw").filter("NOT (event_type='view' AND value>20)").select(
         name.alias("path"), F.sha2(F.col("frame_id").cast("string"), 256).alias("sha256")

@@ -437,14 +437,14 @@ def j17(spark, sf_dir):
 
 @query("j17_production_contract_documents", "", f"""WITH {STATUS}, fr AS (SELECT l_orderkey AS clip_id, l_linenumber AS idx, 'f-'||l_linenumber||'-'||l_partkey AS id, CASE WHEN l_linestatus='O' THEN 'step' ELSE lower(o_orderpriority) END AS sem,
     CAST(l_quantity*10 AS BIGINT) AS d, sha256(CAST(l_partkey AS VARCHAR)) AS h, o_orderpriority, c_name FROM lineitem JOIN st ON st.clip_id=l_orderkey WHERE code IS NULL AND l_returnflag<>'R')
-  SELECT clip_id, CAST(0 AS BIGINT) AS part, '{{"version":2,"selectionApprovalSha256":"'||sha256(CAST(clip_id AS VARCHAR))||'","anchorSha256":"'||sha256(c_name)||'","loopMode":"loop","frames":['||
-    string_agg('{{"id":"'||id||'","semantic":"'||sem||'","duration":'||d||',"tracks":["actor"],"contacts":["left-foot"],"sha256":"'||h||'"}}', ',' ORDER BY idx, id, sem, d, h)||']}}' AS document FROM fr GROUP BY clip_id, c_name""")
+  SELECT clip_id, CAST(-1 AS BIGINT) AS idx, '{{"version":2,"selectionApprovalSha256":"'||sha256(CAST(clip_id AS VARCHAR))||'","anchorSha256":"'||sha256(c_name)||'","loopMode":"loop","frameCount":'||count(*)||'}}' AS document FROM fr GROUP BY clip_id, c_name
+  UNION ALL SELECT clip_id, CAST(idx AS BIGINT), '{{"id":"'||id||'","semantic":"'||sem||'","duration":'||d||',"tracks":["actor"],"contacts":["left-foot"],"sha256":"'||h||'"}}' FROM fr""")
 def j17_documents(spark, sf_dir):
     return production.contract_documents(*contract_inputs(spark, sf_dir))
 
 
-@query("s8_write_clip_metadata", "timeline", """SELECT clip_id, CAST(0 AS BIGINT) AS part, '{"name":"clip-'||clip_id||'","frameSize":{"width":256,"height":256},"columns":6,"rows":'||CAST(ceil(count(*)/6.0) AS BIGINT)||',"frames":['||
-  string_agg('{"index":'||idx||',"file":"f'||frame_id||'.png","x":'||idx%6*256||',"y":'||idx//6*256||',"width":256,"height":256,"duration":'||duration_ms||',"sha256":"'||sha256(CAST(k AS VARCHAR))||'"}', ',' ORDER BY idx)||']}' AS document FROM timeline GROUP BY clip_id""")
+@query("s8_write_clip_metadata", "timeline", """SELECT clip_id, CAST(-1 AS BIGINT) AS idx, '{"name":"clip-'||clip_id||'","frameSize":{"width":256,"height":256},"columns":6,"rows":'||CAST(ceil(count(*)/6.0) AS BIGINT)||',"frameCount":'||count(*)||'}' AS document FROM timeline GROUP BY clip_id
+  UNION ALL SELECT clip_id, idx, '{"index":'||idx||',"file":"f'||frame_id||'.png","x":'||idx%6*256||',"y":'||idx//6*256||',"width":256,"height":256,"duration":'||duration_ms||',"sha256":"'||sha256(CAST(k AS VARCHAR))||'"}' FROM timeline""")
 def s8(spark, sf_dir):
     frames = X.timeline(spark, sf_dir).select(
         "clip_id", "idx", F.concat(F.lit("f"), F.col("frame_id").cast("string"), F.lit(".png")).alias("file"), "duration_ms",
@@ -453,8 +453,8 @@ def s8(spark, sf_dir):
     return production.clip_metadata(frames, 6, 256, 256)
 
 
-@query("s10_engine_index", "timeline", """SELECT clip_id, CAST(0 AS BIGINT) AS part, '{"id":'||clip_id||',"loopMode":"'||CASE WHEN clip_id%2=0 THEN 'loop' ELSE 'hold-last' END||'","restart":"'||CASE WHEN clip_id%2=0 THEN 'loop' ELSE 'stop' END||'","frames":['||
-  string_agg('{"id":'||frame_id||',"duration":'||duration_ms||',"root":{"x":'||marker_x||',"y":112},"baseline":111,"outputs":[{"trackId":"actor","kind":"actor","sha256":"'||sha256('a'||k)||'"}'||CASE WHEN event_type='click' THEN ',{"trackId":"lamp","kind":"prop","sha256":"'||sha256('p'||k)||'"}' ELSE '' END||']}', ',' ORDER BY idx)||']}' AS document FROM timeline GROUP BY clip_id""")
+@query("s10_engine_index", "timeline", """SELECT clip_id, CAST(-1 AS BIGINT) AS idx, '{"id":'||clip_id||',"loopMode":"'||CASE WHEN clip_id%2=0 THEN 'loop' ELSE 'hold-last' END||'","restart":"'||CASE WHEN clip_id%2=0 THEN 'loop' ELSE 'stop' END||'","frameCount":'||count(*)||'}' AS document FROM timeline GROUP BY clip_id
+  UNION ALL SELECT clip_id, idx, '{"id":'||frame_id||',"duration":'||duration_ms||',"root":{"x":'||marker_x||',"y":112},"baseline":111,"outputs":[{"trackId":"actor","kind":"actor","sha256":"'||sha256('a'||k)||'"}'||CASE WHEN event_type='click' THEN ',{"trackId":"lamp","kind":"prop","sha256":"'||sha256('p'||k)||'"}' ELSE '' END||']}' FROM timeline""")
 def s10(spark, sf_dir):
     base = X.timeline(spark, sf_dir)
     k = F.col("k").cast("string")

@@ -12,12 +12,15 @@ from framelake import schemas
 from framelake.operators import buffers as B
 from framelake.operators.ordered import hot_join
 
-MAX_HASHED_BYTES = 1 << 30
+READ_BYTES = 1 << 20
 
 
 @F.pandas_udf(BinaryType())
 def _to_rgba(data: pd.Series, channels: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     def convert(raw, n, w, h):
+        if raw is None:
+            return None
+        n, w, h = int(n), int(w), int(h)
         pixels = np.frombuffer(raw, dtype=np.uint8).reshape(h * w, n)
         if n == 1:
             pixels = np.repeat(pixels, 3, axis=1)
@@ -29,21 +32,29 @@ def _to_rgba(data: pd.Series, channels: pd.Series, width: pd.Series, height: pd.
 
 
 def read_frames(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """(file, sha256, width, height, rgba) of the stills below a folder.
+    """(file, sha256, width, height, rgba, code) of the stills below a folder, one row per file.
 
-    With ``expected`` (file, sha256), files whose bytes differ are dropped before their pixels are
-    converted. The image source stores blue first; buffers come back as red, green, blue, alpha.
+    ``code`` is IMAGE_INVALID for a file that can't be decoded and, with ``expected`` (file, sha256),
+    HASH_MISMATCH for one whose bytes differ and FILE_MISSING for one that isn't there; such rows have no
+    pixels. The image source stores blue first; buffers come back as red, green, blue, alpha.
     """
     # The two sources spell the same address with different numbers of slashes.
     address = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
     binary = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    hashed = binary.select(address(F.col("path")).alias("file"), F.sha2("content", 256).alias("sha256"))
+    listed = binary.select(address(F.col("path")).alias("file"), F.sha2("content", 256).alias("sha256"))
+    code = F.lit(None).cast("string")
     if expected is not None:
-        hashed = hashed.join(expected.select("file", "sha256"), ["file", "sha256"], "left_semi")
+        wanted = expected.select("file", F.col("sha256").alias("_want"))
+        listed = listed.join(wanted, "file", "full_outer").where(F.col("sha256").isNull() | F.col("_want").isNotNull())
+        code = F.when(F.col("sha256").isNull(), "FILE_MISSING").when(F.col("sha256") != F.col("_want"), "HASH_MISMATCH")
+    listed = listed.select("file", "sha256", code.alias("_code"))
     images = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(path)
     decoded = images.select(address(F.col("image.origin")).alias("file"), "image.width", "image.height", "image.nChannels", "image.data")
-    both = decoded.join(hashed, "file")
-    return both.select("file", "sha256", "width", "height", _to_rgba("data", "nChannels", "width", "height").alias("rgba"))
+    both = listed.join(decoded, "file", "left")
+    both = both.withColumn("code", F.coalesce("_code", F.when(F.col("data").isNull(), "IMAGE_INVALID")))
+    good = lambda c: F.when(F.col("code").isNull(), F.col(c))
+    both = both.select("file", "sha256", good("width").alias("width"), good("height").alias("height"), "nChannels", good("data").alias("data"), "code")
+    return both.select("file", "sha256", "width", "height", _to_rgba("data", "nChannels", "width", "height").alias("rgba"), "code")
 
 
 def sheet_cells(sheets: DataFrame, cell_width: int, cell_height: int, keep: tuple[str, ...]) -> DataFrame:
@@ -109,20 +120,34 @@ def parse_framehash(lines: DataFrame) -> DataFrame:
     return timed.select("source_id", "line_no", "timestamp_ms", "duration_ms", code.alias("code"))
 
 
-def inventory(spark: SparkSession, path: str, max_bytes: int = MAX_HASHED_BYTES) -> DataFrame:
-    """(path, bytes, sha256, code) of every file below a folder, by path relative to it.
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of every file below a folder, by path relative to it.
 
-    The size filter reaches the file source, so a file beyond ``max_bytes`` is listed by size and
-    flagged instead of being loaded as one row.
+    Files are listed without their content; each is then hashed inside a task from reads of bounded
+    length, whatever its size.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = path.rstrip("/").split(":", 1)[-1].lstrip("/")
     at = F.locate(root + "/", F.col("path"))
-    relative = F.substr("path", at + len(root) + 1)
-    hashed = files.filter(F.col("length") <= max_bytes).select(
-        relative.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("code")
-    )
-    listed = files.filter(F.col("length") > max_bytes).select(
-        relative.alias("path"), F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256"), F.lit("FILE_TOO_LARGE").alias("code")
-    )
-    return hashed.unionByName(listed)
+    listed = files.select("path", F.substr("path", at + len(root) + 1).alias("relative"), F.col("length").alias("bytes"))
+
+    def digest(batches):
+        import hashlib
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            hashes = []
+            for address in batch.column(0).to_pylist():
+                system, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", address))
+                value = hashlib.sha256()
+                with system.open_input_stream(name) as stream:
+                    while block := stream.read(READ_BYTES):
+                        value.update(block)
+                hashes.append(value.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(hashes, pa.string())], ["path", "bytes", "sha256"])
+
+    spread = listed.repartition(spark.sparkContext.defaultParallelism, "path")
+    return spread.mapInArrow(digest, "path string, bytes long, sha256 string")

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import struct
 import zlib
@@ -88,9 +89,14 @@ def test_stills_and_inventory(spark, tmp_path):
     opaque[:, :, 3] = 255
     assert bytes(got["b.png"].rgba) == opaque.tobytes()
     expected = spark.createDataFrame([(got["a.png"].file, got["a.png"].sha256), (got["b.png"].file, "0" * 64)], "file string, sha256 string")
-    assert [os.path.basename(r.file) for r in frames.read_frames(spark, str(tmp_path), expected).collect()] == ["a.png"]
-    assert rows(frames.inventory(spark, str(tmp_path)), "path", "code") == [("a.png", None), ("sub/b.png", None)]
-    assert {r.code for r in frames.inventory(spark, str(tmp_path), max_bytes=1).collect()} == {"FILE_TOO_LARGE"}
+    (tmp_path / "c.png").write_bytes(b"no image")
+    told = {os.path.basename(r.file): (r.code, r.rgba is None) for r in frames.read_frames(spark, str(tmp_path), expected).collect()}
+    assert told == {"a.png": (None, False), "b.png": ("HASH_MISMATCH", True)}
+    told = {os.path.basename(r.file): (r.code, r.rgba is None) for r in frames.read_frames(spark, str(tmp_path)).collect()}
+    assert told == {"a.png": (None, False), "b.png": (None, False), "c.png": ("IMAGE_INVALID", True)}
+    listed = {r.path: (r.bytes, r.sha256) for r in frames.inventory(spark, str(tmp_path)).collect()}
+    assert set(listed) == {"a.png", "sub/b.png", "c.png"}
+    assert listed["c.png"] == (8, hashlib.sha256(b"no image").hexdigest())
 
 
 def test_header_scan_reads_folders(spark, tmp_path):
