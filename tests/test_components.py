@@ -143,3 +143,46 @@ def test_component_hash_binds_pixels(spark):
 
     hashes = {r.label: r.pixel_sha256 for r in K.component_hash(runs, P.explode_pixels(frames)).collect()}
     assert hashes[6] == hashlib.sha256(b'[{"rgba":[255,0,0,255],"x":6,"y":0}]').hexdigest()
+
+
+def test_more_components_than_four_digits_keep_their_own_names(spark):
+    pixels = raster(220, 220)
+    ys, xs = np.nonzero(np.add.outer(np.arange(220), np.arange(220)) % 2)
+    pixels[ys, xs] = (200, 10, 10, 255)
+    found = K.component_stats(K.component_runs(as_frames(spark, [pixels]), key((0, 255, 0, 255))))
+    assert (found.count(), found.select("component_id").distinct().count()) == (24_200, 24_200)
+    groups = spark.createDataFrame([(0, "candidate-0002", "component-0001")], "frame_key long, group_id string, component_id string")
+    made = K.build_candidates(found, groups, 1, 4)
+    assert made.select("candidate_id").distinct().count() == 24_200
+    assert made.filter("candidate_id='candidate-0002'").first().component_ids == "component-0001"
+    assert made.filter("candidate_id IN ('candidate-0001','candidate-0003','candidate-24200')").count() == 3
+
+
+def test_frames_without_foreground_are_reported(spark):
+    frames = as_frames(spark, [board(), raster(12, 8)])
+    found = K.component_stats(K.component_runs(frames, key((0, 255, 0, 255)), 8))
+    kept = rows(K.retain_components(found, "largest", 1, frames), "frame_key", "retained_count", "code")
+    assert kept == [(0, 1, None), (1, 0, "NO_COMPONENT")]
+    none = spark.createDataFrame([], "frame_key long, group_id string, component_id string")
+    judged = K.build_candidates(found, none, 1, 9, frames).filter("frame_key=1")
+    assert rows(judged, "candidate_id", "count_in_range") == [(None, False)]
+
+
+def test_labels_of_noise_equal_a_flood_fill(spark):
+    rng = np.random.default_rng(4)
+    mask = rng.random((40, 37)) < 0.55
+    y, x0, x1, label = K._label_runs(mask)
+    got = np.full(mask.shape, -1)
+    for row, a, b, name in zip(y, x0, x1, label):
+        got[row, a : b + 1] = name
+    want = np.full(mask.shape, -1)
+    for start in map(tuple, np.argwhere(mask)):
+        if want[start] < 0:
+            todo, want[start] = [start], start[0] * 37 + start[1]
+            while todo:
+                r, c = todo.pop()
+                for near in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+                    if 0 <= near[0] < 40 and 0 <= near[1] < 37 and mask[near] and want[near] < 0:
+                        want[near] = want[start]
+                        todo.append(near)
+    assert (got == want).all()

@@ -273,3 +273,18 @@ def test_dangling_and_missing(spark):
 def test_rejections_need_notes(spark, notes, codes):
     decision = spark.createDataFrame([(1, "owner", "rejected", notes)], "decision_id long, approver string, decision string, notes string")
     assert [r.code for r in R.decision_failures(decision, ["owner"]).collect()] == codes
+
+
+def test_a_translucent_entry_beyond_the_seventeenth_is_still_seen(spark):
+    entries = [[0, 0, 0, 0]] + [[i, 0, 0, 255] for i in range(18)] + [[99, 0, 0, 7]]
+    frame = spark.createDataFrame([(entries,)], "rgba array<array<int>>").select(F.struct("rgba", F.lit("x").alias("sha256")).alias("p"))
+    rules = R.palette_rules(F.col("p"), with_hex=False)
+    got = frame.select(*[c.alias(k) for k, c in rules.items()]).first()
+    assert got["palette-alpha"] and got["palette-size"]
+
+
+def test_a_frame_without_members_lacks_every_required_track(spark):
+    members = spark.createDataFrame([(1, "a", "actor")], "clip_id long, frame_id string, track_id string")
+    frames = spark.createDataFrame([(1, "a"), (1, "b")], "clip_id long, frame_id string")
+    missing = R.missing_required(members, ["actor", "lamp"], frames)
+    assert rows(missing, "frame_id", "missing_track") == [("a", "lamp"), ("b", "actor"), ("b", "lamp")]

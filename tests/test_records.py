@@ -84,14 +84,51 @@ def test_revision_chain_breaks_stay_broken(spark):
     assert got == [(1, 1, True), (1, 2, True), (1, 3, False), (1, 4, False), (2, 2, False)]
 
 
-def test_inventory_hash_is_the_list_hash_until_it_splits(spark, monkeypatch):
-    files = spark.createDataFrame([("r", f"p{i}", f"h{i}") for i in range(5)], "run_id string, path string, sha256 string")
-    text = "[" + ",".join(f'{{"path":"p{i}","sha256":"h{i}"}}' for i in range(5)) + "]"
-    assert provenance.inventory_hash(files).first().inventory_sha256 == hashlib.sha256(text.encode()).hexdigest()
-    monkeypatch.setattr(provenance, "INVENTORY_PART", 2)
-    split = provenance.inventory_hash(files).first().inventory_sha256
-    moved = provenance.inventory_hash(files.withColumn("sha256", F.replace("sha256", F.lit("h4"), F.lit("h5")))).first().inventory_sha256
-    assert split != moved and provenance.inventory_hash(files.repartition(3)).first().inventory_sha256 == split
+def inventory_by_hand(files):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    leaves = {}
+    for path, value in sorted(files):
+        leaves.setdefault(sha(path)[:4], []).append(f'{{"path":"{path}","sha256":"{value}"}}')
+    middle = {}
+    for part in sorted(leaves):
+        middle.setdefault(part[:2], []).append(sha("[" + ",".join(leaves[part]) + "]"))
+    return sha(",".join(sha(",".join(middle[part])) for part in sorted(middle)))
+
+
+@pytest.mark.parametrize("count", [1, 5, 16_385])
+def test_inventory_hash_means_the_same_at_every_size(spark, count):
+    files = [(f"p{i}", f"h{i}") for i in range(count)]
+    table = spark.createDataFrame([("r", *f) for f in files], "run_id string, path string, sha256 string")
+    got = provenance.inventory_hash(table).first()
+    assert (got.artifacts, got.inventory_sha256) == (count, inventory_by_hand(files))
+    assert provenance.inventory_hash(table.repartition(3)).first().inventory_sha256 == got.inventory_sha256
+
+
+def test_a_missing_link_breaks_the_chain(spark):
+    chain = spark.createDataFrame(
+        [(1, 1, "a", "root"), (1, 2, "b", None), (2, 1, "a", None)], "run_id long, revision long, sha256 string, previous_sha256 string"
+    )
+    assert rows(provenance.verify_revision_chain(chain, F.lit("root")), "run_id", "revision", "valid") == [(1, 1, True), (1, 2, False), (2, 1, False)]
+
+
+def test_malformed_json_gives_null_and_not_an_exception(spark):
+    texts = spark.createDataFrame([(1, "{bad"), (2, None), (3, '{"b":1,"a":2}')], "k long, t string")
+    assert rows(texts.select("k", H.canonical_json("t"))) == [(1, None), (2, None), (3, '{"a":2,"b":1}')]
+    assert rows(texts.select("k", H.strip_provenance("t")))[:2] == [(1, None), (2, None)]
+    assert rows(provenance.flatten_documents(texts, "k", "t")) == [(1, "!", None), (2, "!", None), (3, "a", "2"), (3, "b", "1")]
+
+
+def test_drift_of_one_frame_in_two_artifacts_is_two_repairs(spark):
+    failures = spark.createDataFrame(
+        [("r", 0, 7, "PIVOT_DRIFT", "canonical"), ("r", 1, 7, "PIVOT_DRIFT", "runtime"), ("r", 2, 7, "BASELINE_DRIFT", "runtime")],
+        "run_id string, idx long, frame long, code string, stage string",
+    ).withColumn("trusted", F.lit(False))
+    got = corrections.dedupe_corrections(corrections.classify_failures(failures))
+    assert rows(got, "idx", "artifact", "status") == [
+        (0, "normalized-frame", "applied"), (1, "runtime-frame", "applied"), (2, "runtime-frame", "deduplicated")
+    ]
+    bytes_differ = corrections.classify_failures(failures.withColumn("before_sha", F.col("idx").cast("string")))
+    assert {r.status for r in corrections.dedupe_corrections(bytes_differ).collect()} == {"applied"}
 
 
 def test_same_run_twice_differs_only_in_its_envelope(spark):

@@ -100,8 +100,8 @@ def test_missing_marker_breaks_the_interval(spark):
     assert motion.foot_slides(motion.foot_points(frames, (8, 12))).count() == 0
 
 
-def test_documents_split_into_bounded_parts(spark, monkeypatch):
-    monkeypatch.setattr(layout, "PART_FRAMES", 2)
-    records = spark.range(5).select(F.lit(1).alias("clip_id"), F.col("id").alias("idx"), F.lit("walk").alias("name"), F.struct(F.col("id").alias("i")).alias("record"))
-    parts = rows(layout.clip_documents(records, ["name"]), "part", "document")
-    assert parts == [(0, '{"name":"walk","frames":[{"i":0},{"i":1}]}'), (1, '{"name":"walk","frames":[{"i":2},{"i":3}]}'), (2, '{"name":"walk","frames":[{"i":4}]}')]
+@pytest.mark.parametrize("count", [1, 1_025])
+def test_documents_are_a_header_and_a_line_per_frame_at_every_length(spark, count):
+    records = spark.range(count).select(F.lit(1).alias("clip_id"), F.col("id").alias("idx"), F.lit("walk").alias("name"), F.struct(F.col("id").alias("i")).alias("record"))
+    lines = rows(layout.clip_documents(records, ["name"]), "idx", "document")
+    assert sorted(lines) == [(-1, f'{{"name":"walk","frameCount":{count}}}')] + [(i, f'{{"i":{i}}}') for i in range(count)]
