@@ -37,7 +37,7 @@ END = 1
 GROUP = 8_192
 NODES = 3_000
 WIDTH = 8
-CACHE = 300_000
+CACHE = 700_000
 _APART, _WORD_END = "<|endoftext|>", "</w>"
 _MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 
@@ -56,28 +56,32 @@ class Encoder:
             tokenizer = Tokenizer.from_file(self.path)
             last = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
             last[[i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(_WORD_END)]] = True
-            state.update(tokenizer=tokenizer, apart=tokenizer.token_to_id(_APART), last=last, new={}, old={}, stems={})
+            state.update(tokenizer=tokenizer, apart=tokenizer.token_to_id(_APART), last=last, new={}, old={})
         return state
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         state = self._state()
-        split = [T.words(t) for t in texts]
         cache = state["new"]
-        missed = set().union(*split).difference(cache)
-        if state["old"]:
-            for word in missed & state["old"].keys():
-                cache[word] = state["old"][word]
-            missed = missed.difference(cache)
+        split = [T.words(t) for t in texts]
+        found = [list(map(cache.get, words)) for words in split]  # one look-up a word
+        holes = [[i for i, ids in enumerate(ids_of) if ids is None] if None in ids_of else () for ids_of in found]
+        missed = {words[i] for words, places in zip(split, holes) for i in places}
         if missed:
             self._learn(missed, state)
-        out = [b"".join([cache[w] for w in words]) for words in split]
+            for words, ids_of, places in zip(split, found, holes):
+                for i in places:
+                    ids_of[i] = cache[words[i]]
+        out = [b"".join(ids_of) for ids_of in found]
         if len(cache) > CACHE:
             state["old"], state["new"] = cache, {}
         return out
 
     def _learn(self, missed: set[bytes], state: dict) -> None:
-        cache, parted, letters, others = state["new"], [], set(), set()
+        cache, old, parted, letters, others = state["new"], state["old"], [], set(), set()
         for word in missed:
+            if (hit := old.get(word)) is not None:
+                cache[word] = hit
+                continue
             stem, mark = (word[:-1], word[-1:]) if word[-1:] in _MARKS else (word, b"")
             if (lower := _letters(stem)) is not None:
                 letters.add(lower)
@@ -87,12 +91,8 @@ class Encoder:
                 cache[word] = np.array(ids, dtype="<u4").tobytes()
             else:
                 others.add(word)
-                parted.append((word, word, b""))
-        known = state["stems"]
-        if len(known) > CACHE:
-            known.clear()
         for found, joint in ((letters, " "), (others | _MARKS, _APART)):
-            group = list(found.difference(known))
+            group = [s for s in found if s not in cache]
             if not group:
                 continue
             joined = joint.join([s.decode("utf-8") for s in group])
@@ -105,9 +105,9 @@ class Encoder:
                 starts = np.append(0, ends[:-1] + 1)
             raw = ids.tobytes()
             for stem, start, end in zip(group, (starts * 4).tolist(), (ends * 4).tolist(), strict=True):
-                known[stem] = raw[start:end]
+                cache[stem] = raw[start:end]
         for word, stem, mark in parted:
-            cache[word] = known[stem] + known[mark] if mark else known[stem]
+            cache[word] = cache[stem] + cache[mark] if mark else cache[stem]
 
 
 def _letters(word: bytes) -> bytes | None:
