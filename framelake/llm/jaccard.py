@@ -177,6 +177,7 @@ def join(docs: DataFrame, width: int = WIDTH, least: int = LEAST, parts: tuple[i
     found = T.stored(components(rows, least), "jaccard-components")
     classes = able.groupBy("sig").agg(F.min("doc_id").alias("_class"))
     classes = classes.join(found, F.col("_class") == F.col("node"), "left").select(F.col("sig").alias("_sig"), F.coalesce("component", "_class").alias("_component"))
+    classes = T.stored(classes, "jaccard-classes")  # a table of its own, so that a class of many copies is split in the join
     able = able.select("doc_id", "n_shingles", "sig").join(classes, F.col("sig") == F.col("_sig")).select("doc_id", "n_shingles", F.col("_component").alias("component_id"))
     alone = rows.where("shared is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return able.unionAll(alone)
