@@ -93,11 +93,15 @@ def foreground_runs(frames: DataFrame, backgrounds: DataFrame, tolerance: int) -
     return runs.filter(~C.same_color(C.channels(), C.fields(F.col("background")), tolerance))
 
 
-def inspect_frames(frames: DataFrame, width: int, height: int, tolerance: int = 0) -> DataFrame:
-    """One report row per frame: background, palette size, box, margins, alpha counts, grid and diagnostics."""
-    colours = P.frame_colours(P.explode_pixels(frames), width, height)
+def inspect_frames(frames: DataFrame, tolerance: int = 0) -> DataFrame:
+    """One report row per frame: background, palette size, box, margins, alpha counts, grid and diagnostics.
+
+    Every frame is measured by its own width and height.
+    """
+    colours = P.own_colours(frames)
     own = C.channels()
-    stats = colours.groupBy("frame_key").agg(
+    width, height = F.col("canvas_width"), F.col("canvas_height")
+    stats = colours.groupBy("frame_key", width, height).agg(
         F.max_by(C.packed(own), F.when(F.col("border_n") > 0, F.struct("border_n", -F.col("visit_columns")))).alias("background"),
         F.count(F.lit(1)).alias("palette_size"),
         F.sum(F.when(F.col("a") == 255, F.col("n")).otherwise(0)).alias("opaque"),

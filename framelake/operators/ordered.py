@@ -18,6 +18,7 @@ CHUNK = 65_536
 SPARSE_CHUNK = 1_048_576
 HOT_ROWS = 1_000_000
 HOT_SPLITS = 64
+MOST_HOT = 1_024
 
 _BACKWARD = {"sum_before", "sum_upto", "max_before", "max_upto", "prev", "last_before", "position"}
 _FORWARD = {"next", "first_after"}
@@ -171,14 +172,16 @@ def hot_join(
 ) -> DataFrame:
     """Join to a lookup whose keys may be hot on the left.
 
-    Keys above ``HOT_ROWS`` rows are found by a partially aggregated count (at most
-    rows / HOT_ROWS of them); only their lookup rows are repeated, once per split, so a hot key is
-    joined by ``HOT_SPLITS`` tasks and every other key exactly as usual. ``counted`` names a cheaper
+    Keys above ``HOT_ROWS`` rows are found by a partially aggregated count. Of these the
+    ``MOST_HOT`` with the most rows are treated apart, so the broadcast list has a fixed ceiling: their
+    lookup rows are repeated, once per split, and a hot key is joined by ``HOT_SPLITS`` tasks. Every
+    other key is joined exactly as usual. ``counted`` names a cheaper
     table with the same keys to count, such as the scan in front of a chain of joins.
     """
     keys = list(keys)
     counts = (left if counted is None else counted).groupBy(*keys).count()
-    hot = counts.filter(F.col("count") > HOT_ROWS).select(*keys, F.lit(True).alias("_hot")).na.drop(subset=keys)
+    hot = counts.filter(F.col("count") > HOT_ROWS).na.drop(subset=keys).orderBy(F.desc("count"), *keys).limit(MOST_HOT)
+    hot = hot.select(*keys, F.lit(True).alias("_hot"))
     split = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(HOT_SPLITS))).otherwise(F.lit(0))
     spread_left = left.join(hot.hint("broadcast"), keys, "left").withColumn("_split", split.cast("long")).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SPLITS - 1))).otherwise(F.array(F.lit(0)))

@@ -19,8 +19,20 @@ def explode_pixels(frames: DataFrame, keep: tuple[str, ...] = ("frame_key", "cli
     return B.expand(frames, keep, "x int, y int, r int, g int, b int, a int", B.pixel_rows)
 
 
-def frame_colours(pixels: DataFrame, width: int, height: int, keep: tuple[str, ...] = ("frame_key", "clip_id")) -> DataFrame:
-    """One row per frame and colour: pixel count, bounding box, border count and earliest border visits."""
+def own_colours(frames: DataFrame) -> DataFrame:
+    """``frame_colours`` of frames of any sizes, each by its own, with canvas_width and canvas_height."""
+    sized = frames.withColumns({"canvas_width": F.col("width"), "canvas_height": F.col("height")})
+    keep = ("frame_key", "clip_id", "canvas_width", "canvas_height")
+    return frame_colours(explode_pixels(sized, keep), F.col("canvas_width"), F.col("canvas_height"), keep)
+
+
+def frame_colours(
+    pixels: DataFrame, width: int | Column, height: int | Column, keep: tuple[str, ...] = ("frame_key", "clip_id")
+) -> DataFrame:
+    """One row per frame and colour: pixel count, bounding box, border count and earliest border visits.
+
+    ``width`` and ``height`` are numbers, or columns of ``pixels`` where frames differ in size.
+    """
     x, y = F.col("x"), F.col("y")
     border = (x == 0) | (x == width - 1) | (y == 0) | (y == height - 1)
     by_columns = (
@@ -100,8 +112,8 @@ def background_evidence(colours: DataFrame, key, tolerance: int) -> DataFrame:
     )
 
 
-def margins(bounds: DataFrame, width: int, height: int) -> DataFrame:
-    """Distance of the box to each edge, and which edges it touches."""
+def margins(bounds: DataFrame, width: int | Column, height: int | Column) -> DataFrame:
+    """Distance of the box to each edge, and which edges it touches; sizes as in ``frame_colours``."""
     spaces = {
         "left": F.col("left"), "top": F.col("top"),
         "right": F.lit(width) - F.col("right") - 1, "bottom": F.lit(height) - F.col("bottom") - 1,

@@ -209,7 +209,7 @@ def s7(spark, sf_dir):
         publish.publish_revision(right, root)
     except publish.PublishConflict:
         publish.publish_revision(left.unionByName(right.filter("payload='extra'")), root)
-    return publish.read_manifest(spark, root)
+    return publish.read_manifest(spark, root).drop("content")
 
 
 def _collect_stream(stream, spark, name: str, mode: str = "append"):

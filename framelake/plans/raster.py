@@ -251,7 +251,7 @@ def a8(spark, sf_dir):
 
 def frame_histogram(spark, sf_dir):
     packed = X.packed_frames(spark, sf_dir)
-    border = P.dominant_border(P.frame_colours(P.explode_pixels(packed), SIDE, SIDE))
+    border = P.dominant_border(P.own_colours(packed))
     return inspect.run_histogram(
         inspect.foreground_runs(packed, border.select("frame_key", F.col("by_columns").alias("background")), 0)
     )
@@ -294,7 +294,7 @@ def t1(spark, sf_dir):
       CASE WHEN "left"=0 OR top=0 OR "right"=7 OR bottom=7 THEN 'EDGE_CLIPPING' END, CASE WHEN partial>0 THEN 'SMOOTHING_SUSPECTED' END,
       CASE WHEN mixed_blocks THEN 'MIXED_PIXEL_BLOCKS' END) AS diagnostics FROM stats LEFT JOIN graded USING (frame_key)""")
 def a10(spark, sf_dir):
-    return inspect.inspect_frames(X.packed_frames(spark, sf_dir), SIDE, SIDE)
+    return inspect.inspect_frames(X.packed_frames(spark, sf_dir))
 
 
 @query("a11_background_evidence", "pixels", f"""SELECT frame_key, count(*) FILTER (a>0 AND (x IN (0,7) OR y IN (0,7))) AS opaque_border_pixels,

@@ -14,7 +14,8 @@ HEAD = "head string, seq long"
 def accept_edits(edits: DataFrame) -> DataFrame:
     """Accepted (200) and stale (409) edits in arrival order per run.
 
-    edits(run_id, seq, base_sha, sha256, root_sha). The state of a run is its head hash only. Order
+    edits(run_id, seq, base_sha, sha256, root_sha). The state of a run is its head hash and the highest
+    number decided so far: an edit that comes after a higher one was decided is stale. Order
     within a run is the meaning of the operator, so the edits one micro-batch brings for a run are
     decided in sequence; the source's admission limit (files or offsets per trigger) bounds them.
     """
@@ -24,7 +25,7 @@ def accept_edits(edits: DataFrame) -> DataFrame:
         out = []
         for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
             head = row.root_sha if head is None else head
-            accepted = row.base_sha == head
+            accepted = row.seq > done and row.base_sha == head
             head = row.sha256 if accepted else head
             done = max(done, int(row.seq))
             out.append((key[0], row.seq, row.sha256, head, 200 if accepted else 409))

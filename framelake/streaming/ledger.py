@@ -22,8 +22,9 @@ def append_batch(batch: DataFrame, batch_id: int, sink: str, keys: list[str], sc
     try:
         stored = spark.read.schema(schema).parquet(sink).filter(F.col("batch") < batch_id).select(*keys)
         fresh = fresh.join(stored, keys, "left_anti")
-    except AnalysisException:
-        pass
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
     fresh.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
 

@@ -15,7 +15,7 @@ def anchor():
 
 
 def test_inspection_of_the_anchor(spark):
-    report = inspect.inspect_frames(as_frames(spark, [anchor()]), 13, 14).first()
+    report = inspect.inspect_frames(as_frames(spark, [anchor()])).first()
     assert (report.background, report.palette_size, report.opaque) == ("0,255,0,255", 2, 182)
     assert (report.left, report.top, report.right, report.bottom) == (5, 3, 7, 11)
     assert report.diagnostics == ""
@@ -33,7 +33,7 @@ def test_partial_alpha_at_the_edge(spark):
     pixels = raster(8, 8)
     for x in range(3):
         pixels[0:4, x] = (20 + x, 30, 60, 128 if x == 1 else 255)
-    report = inspect.inspect_frames(as_frames(spark, [pixels]), 8, 8).first()
+    report = inspect.inspect_frames(as_frames(spark, [pixels])).first()
     assert report.partial == 4
     assert report.diagnostics == "EDGE_CLIPPING,SMOOTHING_SUSPECTED"
 
@@ -44,13 +44,13 @@ def test_mixed_grid(spark):
         pixels[1:11, x : x + 2] = (20, 30, 60, 255)
     for x in range(21, 39, 6):
         pixels[1:11, x : x + 3] = (20, 30, 60, 255)
-    report = inspect.inspect_frames(as_frames(spark, [pixels]), 40, 12).first()
+    report = inspect.inspect_frames(as_frames(spark, [pixels])).first()
     assert report.horizontal_modes == "2:40,3:30"
     assert "MIXED_PIXEL_BLOCKS" in report.diagnostics
 
 
 def test_empty_frame_has_no_bounds(spark):
-    report = inspect.inspect_frames(as_frames(spark, [raster(4, 4)]), 4, 4).first()
+    report = inspect.inspect_frames(as_frames(spark, [raster(4, 4)])).first()
     assert report.left is None
     assert report.diagnostics == "NO_FOREGROUND"
 
@@ -171,3 +171,18 @@ def test_source_over_rounds_half_up(spark):
 
     for top, under in [((200, 100, 50, 128), (0, 0, 0, 255)), ((1, 2, 3, 1), (250, 240, 230, 3)), ((255, 0, 7, 254), (3, 3, 3, 9))]:
         assert over(top, under) == reference(top, under)
+
+
+def test_frames_of_different_sizes_are_measured_by_their_own(spark):
+    rasters = []
+    for width, height in ((5, 4), (9, 7), (3, 12)):
+        pixels = raster(width, height)
+        pixels[1, 1] = (9, 9, 9, 255)
+        pixels[height - 1, width - 1] = (7, 7, 7, 255)
+        rasters.append(pixels)
+    frames = as_frames(spark, rasters)
+    together = rows(inspect.inspect_frames(frames), "frame_key", "left", "right", "bottom", "diagnostics")
+    alone = [rows(inspect.inspect_frames(frames.filter(f"frame_key={i}")), "frame_key", "left", "right", "bottom", "diagnostics")[0] for i in range(3)]
+    assert together == alone and all("EDGE_CLIPPING" in r[4] for r in together)
+    border = P.dominant_border(P.own_colours(frames)).select("frame_key", "by_columns.g").collect()
+    assert {r.g for r in border} == {255}

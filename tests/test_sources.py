@@ -143,6 +143,10 @@ def test_published_bytes_are_immutable(spark, tmp_path):
     assert publish.publish_revision(first, root) == 1
     with pytest.raises(publish.PublishConflict):
         publish.publish_revision(first.withColumn("sha256", F.lit("2")), root)
+    twice = first.unionByName(first.withColumn("sha256", F.lit("9")))
+    with pytest.raises(publish.PublishConflict):
+        publish.publish_revision(twice, str(tmp_path / "other"))
+    (tmp_path / "out" / "content" / "attempt-dead").mkdir(parents=True, exist_ok=True)
     more = spark.createDataFrame([("a", "1", "x"), ("c", "3", "y")], first.schema)
     assert publish.publish_revision(more, root) == 2
     assert rows(publish.read_manifest(spark, root).filter("revision=2"), "path", "reused") == [("a", True), ("c", False)]

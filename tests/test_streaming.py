@@ -50,3 +50,15 @@ def test_stale_edits_are_refused(spark, tmp_path):
     assert rows(got, "run_id", "seq", "head", "status") == [
         (1, 1, "a", 200), (1, 2, "a", 409), (1, 3, "c", 200), (2, 1, "root", 409), (2, 2, "e", 200)
     ]
+
+
+def test_an_edit_behind_a_decided_one_is_stale(spark, tmp_path):
+    schema = "run_id long, seq long, base_sha string, sha256 string, root_sha string"
+    folder = tmp_path / "in"
+    spark.createDataFrame([(1, 5, "root", "a", "root")], schema).coalesce(1).write.parquet(str(folder / "x=0"))
+    source = spark.readStream.schema(schema + ", x int").option("maxFilesPerTrigger", 1).parquet(str(folder)).drop("x")
+    run(edits.accept_edits(source), spark, tmp_path / "q")
+    spark.createDataFrame([(1, 3, "a", "b", "root"), (1, 6, "a", "c", "root")], schema).coalesce(1).write.parquet(str(folder / "x=1"))
+    source = spark.readStream.schema(schema + ", x int").option("maxFilesPerTrigger", 1).parquet(str(folder)).drop("x")
+    got = run(edits.accept_edits(source), spark, tmp_path / "q")
+    assert rows(got, "seq", "head", "status") == [(3, "a", 409), (5, "a", 200), (6, "c", 200)]
