@@ -328,7 +328,8 @@ def oracle(names: str, body: str) -> str:
 
     for name in names.split():
         need(name)
-    parts = [f"{n} AS ({DERIVED_SQL[n][1] if n in DERIVED_SQL else VIEWS[n]('duckdb')})" for n in ordered]
+    kept = ("pixels", "indexed_pixels")  # read several times by one query
+    parts = [f"{n} AS {'MATERIALIZED ' if n in kept else ''}({DERIVED_SQL[n][1] if n in DERIVED_SQL else VIEWS[n]('duckdb')})" for n in ordered]
     prefix = f"WITH {', '.join(parts)} " if parts else ""
     if body.lstrip().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {', '.join(parts)}, {body.lstrip()[len('WITH RECURSIVE '):]}"

@@ -432,7 +432,7 @@ OVER = """SELECT *, CASE WHEN ta=255 THEN tr WHEN ta=0 THEN ur ELSE CAST(floor((
 
 
 @query("h4_alpha_over", "indexed_pixels", f"""WITH pairs AS (SELECT t.frame_key, t.x, t.y, t.r AS tr, t.g AS tg, t.b AS tb, t.a AS ta,
-    u.r AS ur, u.g AS ug, u.b AS ub, u.a AS ua FROM indexed_pixels t JOIN indexed_pixels u ON t.clip_id=u.clip_id AND t.idx=u.idx+1 AND t.x=u.x AND t.y=u.y)
+    u.r AS ur, u.g AS ug, u.b AS ub, u.a AS ua FROM indexed_pixels t JOIN (SELECT *, idx+1 AS nxt FROM indexed_pixels) u ON t.clip_id=u.clip_id AND t.idx=u.nxt AND t.x=u.x AND t.y=u.y)
   SELECT frame_key, x, y, nr AS r, ng AS g, nb AS b, na AS a FROM ({OVER} pairs)""")
 def h4(spark, sf_dir):
     indexed = X.pixels(spark, sf_dir).join(X.frames(spark, sf_dir).select("frame_key", "idx"), "frame_key")
