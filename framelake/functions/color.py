@@ -116,6 +116,32 @@ def in_palette(pixel: dict[str, Column], palette: list[tuple[int, int, int, int]
     return word.isin(words)
 
 
+def entry_word(entry: Column) -> Column:
+    """A palette entry [r, g, b, a] as one number."""
+    part = lambda i: F.get(entry, F.lit(i)).cast("long")
+    return F.shiftleft(part(0), 24) + F.shiftleft(part(1), 16) + F.shiftleft(part(2), 8) + part(3)
+
+
+def pixel_word(pixel: dict[str, Column]) -> Column:
+    return F.shiftleft(pixel["r"].cast("long"), 24) + F.shiftleft(pixel["g"].cast("long"), 16) + F.shiftleft(pixel["b"].cast("long"), 8) + pixel["a"].cast("long")
+
+
+def in_own_palette(pixel: dict[str, Column], palette: Column) -> Column:
+    """Exact membership in the row's own palette, an array of [r, g, b, a]; false where it has none."""
+    return F.coalesce(F.array_contains(F.transform(palette, entry_word), pixel_word(pixel)), F.lit(False))
+
+
+def nearest_own_entry(pixel: dict[str, Column], palette: Column) -> Column:
+    """``nearest_entry`` for the row's own palette."""
+    part = lambda e, i: F.get(e, F.lit(i)).cast("int")
+    square = lambda e, i, c: (pixel[c] - part(e, i)) * (pixel[c] - part(e, i))
+    options = F.transform(palette, lambda e, i: F.struct(
+        (square(e, 0, "r") + square(e, 1, "g") + square(e, 2, "b")).cast("long").alias("dist"), i.cast("int").alias("ord"),
+        *[part(e, k).alias(c) for k, c in enumerate(CHANNELS)],
+    ))
+    return F.array_min(F.filter(options, lambda o: o.ord > 0))
+
+
 def nearest_entry(pixel: dict[str, Column], palette: list[tuple[int, int, int, int]]) -> Column:
     """Closest opaque entry by squared RGB distance, ties to the lower position; struct<dist, ord, r, g, b, a>."""
     options = []

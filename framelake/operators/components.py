@@ -6,13 +6,16 @@ sizes, boxes, centroids, ranks and candidates are Spark aggregates over those ru
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions import color as C
+
 
 def numbered(prefix: Column, number: Column) -> Column:
     """The prefix and the number in at least four digits."""
@@ -24,7 +27,8 @@ RUNS_SCHEMA = "frame_key long, clip_id long, label long, y int, x0 int, x1 int"
 POLICIES = ("all", "largest", "reject-multiple")
 
 
-def _foreground(pixels: np.ndarray, key: np.ndarray, tolerance: int, clear_matches: bool, dominance: int | None) -> np.ndarray:
+def _foreground(pixels: np.ndarray, key: np.ndarray, tolerance: int, clear_matches: bool, dominance: int | None) -> np.ndarray | None:
+    """Mask of the foreground; None if spill is asked for and the key has no single strongest channel."""
     near = (np.abs(pixels - key) <= tolerance).all(axis=2)
     if clear_matches:
         near |= (pixels[:, :, 3] == 0) & (key[3] == 0)
@@ -32,7 +36,7 @@ def _foreground(pixels: np.ndarray, key: np.ndarray, tolerance: int, clear_match
         return ~near
     rgb = key[:3]
     if (rgb == rgb.max()).sum() != 1:
-        raise ValueError("chroma spill needs one uniquely dominant key channel")
+        return None
     lead = int(rgb.argmax())
     rest = np.delete(pixels[:, :, :3], lead, axis=2).max(axis=2)
     spill = (np.abs(pixels[:, :, 3] - key[3]) <= tolerance) & (pixels[:, :, lead] - rest >= dominance)
@@ -75,28 +79,40 @@ def component_runs(
     """(frame_key, clip_id, label, y, x0, x1); ``label`` is the raster index where the component starts.
 
     ``clear_matches``: a transparent pixel matches a transparent background whatever its RGB, as for
-    single frames; pose boards compare all four channels and may also remove chroma spill.
+    single frames; pose boards compare all four channels and may also remove chroma spill. A frame whose
+    key is too ambiguous for that has no runs; ``ambiguous_keys`` reports it.
     """
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for row in batch.itertuples(index=False):
-                raster = np.frombuffer(row.rgba, dtype=np.uint8).reshape(row.height, row.width, 4).astype(np.int16)
-                y, x0, x1, labels = _label_runs(
-                    _foreground(raster, np.array(row.key, dtype=np.int16), tolerance, clear_matches, minimum_dominance)
-                )
-                parts.append(pd.DataFrame({
-                    "frame_key": row.frame_key, "clip_id": row.clip_id, "label": labels, "y": y, "x0": x0, "x1": x1,
-                }))
-            if parts:
-                yield pd.concat(parts)
-
-    keyed = frames.select(
-        "frame_key", "clip_id", "width", "height", "rgba",
-        F.array(*[background.getField(c).cast("int") for c in ("r", "g", "b", "a")]).alias("key"),
-    )
-    return keyed.mapInPandas(label, RUNS_SCHEMA)
+            clips = dict(zip(batch.column("frame_key").to_pylist(), batch.column("clip_id").to_pylist()))
+            for frame_key, _, (y, x0, x1, labels) in _labelled(batch, tolerance, clear_matches, minimum_dominance):
+                own = lambda v, n=len(y): pa.array([v] * n, pa.int64())
+                columns = [pa.array(labels.astype(np.int64)), *[pa.array(v.astype(np.int32)) for v in (y, x0, x1)]]
+                yield pa.RecordBatch.from_arrays([own(frame_key), own(clips[frame_key]), *columns], ["frame_key", "clip_id", "label", "y", "x0", "x1"])
+
+    return _keyed(frames, background).mapInArrow(label, RUNS_SCHEMA)
+
+
+def _keyed(frames: DataFrame, background: Column) -> DataFrame:
+    key = F.array(*[background.getField(c).cast("int") for c in ("r", "g", "b", "a")])
+    return frames.select("frame_key", "clip_id", "width", "height", "rgba", key.alias("key"))
+
+
+def _labelled(batch: pa.RecordBatch, tolerance: int, clear_matches: bool, dominance: int | None) -> Iterator[tuple]:
+    """(frame_key, raster, runs) of every frame whose key can be used."""
+    for row in range(batch.num_rows):
+        frame_key, width, height, key = (batch.column(c)[row].as_py() for c in ("frame_key", "width", "height", "key"))
+        raster = np.frombuffer(batch.column("rgba")[row].as_buffer(), dtype=np.uint8).reshape(height, width, 4)
+        mask = _foreground(raster.astype(np.int16), np.array(key, dtype=np.int16), tolerance, clear_matches, dominance)
+        if mask is not None:
+            yield frame_key, raster, _label_runs(mask)
+
+
+def ambiguous_keys(frames: DataFrame, background: Column) -> DataFrame:
+    """Frames whose key colour has no single strongest channel, so that chroma spill can't be told."""
+    key = {c: background.getField(c) for c in ("r", "g", "b", "a")}
+    return frames.filter(C.dominant_channel(key).isNull()).select("frame_key", "clip_id", F.lit("KEY_AMBIGUOUS").alias("code"))
 
 
 def component_stats(runs: DataFrame, minimum: int = 1) -> DataFrame:
@@ -120,17 +136,36 @@ def component_stats(runs: DataFrame, minimum: int = 1) -> DataFrame:
     )
 
 
-def component_hash(runs: DataFrame, pixels: DataFrame) -> DataFrame:
-    """sha256 of the canonical JSON list of a component's pixels in raster order."""
-    owned = runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).select("frame_key", "label", "x", "y")
-    text = F.concat(
-        F.lit('{"rgba":['), F.concat_ws(",", "r", "g", "b", "a"), F.lit('],"x":'), F.col("x").cast("string"),
-        F.lit(',"y":'), F.col("y").cast("string"), F.lit("}"),
-    )
-    coloured = owned.join(pixels, ["frame_key", "x", "y"]).select("frame_key", "label", F.struct("y", "x", text.alias("t")).alias("p"))
-    listed = coloured.groupBy("frame_key", "label").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    joined = F.array_join(F.transform("ps", lambda p: p.t), ",")
-    return listed.select("frame_key", "label", F.sha2(F.concat(F.lit("["), joined, F.lit("]")), 256).alias("pixel_sha256"))
+def component_hash(
+    frames: DataFrame, background: Column, tolerance: int = 0, clear_matches: bool = True, minimum_dominance: int | None = None
+) -> DataFrame:
+    """(frame_key, label, pixel_sha256): the canonical JSON list of a component's pixels in raster order.
+
+    Labelled and hashed from the frame's buffer in one pass, so no pixel becomes a row.
+    """
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for frame_key, raster, runs in _labelled(batch, tolerance, clear_matches, minimum_dominance):
+                y, x0, x1, labels = runs
+                order = np.argsort(labels, kind="stable")
+                cut = np.flatnonzero(np.diff(labels[order], prepend=-1)) if len(order) else order
+                hashes = []
+                for part in np.split(order, cut[1:]) if len(order) else []:
+                    value, lead = hashlib.sha256(b"["), ""
+                    for i in part.tolist():
+                        pixels = raster[y[i], x0[i] : x1[i] + 1].tolist()
+                        text = ",".join(f'{{"rgba":[{r},{g},{b},{a}],"x":{x},"y":{y[i]}}}' for x, (r, g, b, a) in enumerate(pixels, int(x0[i])))
+                        value.update((lead + text).encode())
+                        lead = ","
+                    value.update(b"]")
+                    hashes.append(value.hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(hashes), frame_key)), pa.array(labels[order][cut].astype(np.int64)), pa.array(hashes, pa.string())],
+                    ["frame_key", "label", "pixel_sha256"],
+                )
+
+    return _keyed(frames, background).mapInArrow(digests, "frame_key long, label long, pixel_sha256 string")
 
 
 def ranked_components(stats: DataFrame) -> DataFrame:

@@ -52,6 +52,44 @@ def frame_colours(
     )
 
 
+def with_palettes(colours: DataFrame, palettes: DataFrame) -> DataFrame:
+    """Colours with the palette of their clip's contract: palettes(clip_id, palette array<[r, g, b, a]>).
+
+    A palette has at most seventeen entries, so the lookup is one short row per clip.
+    """
+    from framelake.operators.ordered import hot_join
+
+    return hot_join(colours, palettes.select("clip_id", "palette"), ["clip_id"], ["frame_key"], "left")
+
+
+def palette_drift(colours: DataFrame, palettes: DataFrame) -> DataFrame:
+    """Colours of a frame that its own contract's palette lacks; NO_PALETTE where the contract has none."""
+    own = with_palettes(colours, palettes).filter(~C.in_own_palette(C.channels(), F.col("palette")))
+    code = F.when(F.col("palette").isNull(), "NO_PALETTE").otherwise("PALETTE_DRIFT")
+    return own.select("frame_key", "clip_id", C.text(C.channels()).alias("colour"), F.col("n").alias("pixels"), code.alias("code"))
+
+
+def nearest_palette(colours: DataFrame, palettes: DataFrame, most: int = C.MAX_OPAQUE) -> DataFrame:
+    """Per frame and colour the nearest opaque entry of the contract's palette, and what rejects the frame.
+
+    Transparent colours map to entry 0. A frame is rejected as a whole: PARTIAL_ALPHA if any of its colours
+    is translucent, TOO_MANY_COLOURS if it has more than ``most`` opaque ones, NO_PALETTE without a palette.
+    """
+    frame = colours.groupBy("frame_key").agg(
+        F.count_if(F.col("a") == 255).alias("_opaque"), F.count_if((F.col("a") > 0) & (F.col("a") < 255)).alias("_partial")
+    )
+    own = with_palettes(colours, palettes).join(frame, "frame_key").withColumn("near", C.nearest_own_entry(C.channels(), F.col("palette")))
+    opaque = F.col("a") == 255
+    code = (
+        F.when(F.col("palette").isNull(), "NO_PALETTE").when(F.col("_partial") > 0, "PARTIAL_ALPHA")
+        .when(F.col("_opaque") > most, "TOO_MANY_COLOURS")
+    )
+    return own.select(
+        "frame_key", "clip_id", *C.CHANNELS, F.col("n").alias("pixels"),
+        F.when(F.col("a") == 0, 0).when(opaque, F.col("near.ord")).alias("ord"), F.when(opaque, F.col("near.dist")).alias("dist"), code.alias("code"),
+    )
+
+
 def clip_histogram(colours: DataFrame) -> DataFrame:
     """Palette of each clip with pixel counts, most used first; frames were already summed map-side."""
     from pyspark.sql import Window

@@ -328,28 +328,33 @@ def a16(spark, sf_dir):
     return scale_consistency(pairs)
 
 
-@query("j1_nearest_palette", "pixels", f"""WITH pal AS (SELECT * FROM (VALUES {PALETTE_VALUES}) v(ord, pr, pg, pb, pa) WHERE ord>0),
-  cs AS (SELECT clip_id, r, g, b, a, count(*) AS pixels FROM pixels GROUP BY clip_id, r, g, b, a),
-  d AS (SELECT cs.*, ord, (r-pr)*(r-pr)+(g-pg)*(g-pg)+(b-pb)*(b-pb) AS dist FROM cs, pal WHERE a=255)
-  SELECT clip_id, r, g, b, a, pixels, CASE WHEN a=0 THEN 0 WHEN a<255 THEN NULL ELSE m.ord END AS ord,
-    CASE WHEN a=255 THEN CAST(m.dist AS BIGINT) END AS dist, CASE WHEN a>0 AND a<255 THEN 'PARTIAL_ALPHA' END AS code
-  FROM cs LEFT JOIN (SELECT clip_id, r, g, b, a, arg_min(ord, dist*100+ord) AS ord, min(dist) AS dist FROM d GROUP BY clip_id, r, g, b, a) m USING (clip_id, r, g, b, a)""")
+# Contracts of odd clips leave out the last palette entry; every seventh clip has no contract.
+SMALL = PALETTE[:-1]
+OWN_SQL = "own AS (SELECT DISTINCT clip_id, clip_id%7=6 AS lacking, clip_id%2 AS small FROM pixels)"
+IN_OWN = f"(NOT lacking AND {IN_PALETTE} AND NOT (small=1 AND r={PALETTE[-1][0]} AND g={PALETTE[-1][1]} AND b={PALETTE[-1][2]} AND a={PALETTE[-1][3]}))"
+
+
+def palettes(spark, sf_dir):
+    entries = lambda p: F.array(*[F.array(*[F.lit(v) for v in e]) for e in p])
+    clips = X.packed_frames(spark, sf_dir).select("clip_id").distinct().filter("clip_id % 7 <> 6")
+    return clips.withColumn("palette", F.when(F.col("clip_id") % 2 == 1, entries(SMALL)).otherwise(entries(PALETTE)))
+
+
+@query("j1_nearest_palette", "pixels", f"""WITH {OWN_SQL}, pal AS (SELECT * FROM (VALUES {PALETTE_VALUES}) v(ord, pr, pg, pb, pa) WHERE ord>0),
+  cs AS (SELECT frame_key, clip_id, r, g, b, a, count(*) AS pixels FROM pixels GROUP BY ALL),
+  fr AS (SELECT frame_key, count(*) FILTER (a=255) AS opaque, count(*) FILTER (a>0 AND a<255) AS part FROM cs GROUP BY frame_key),
+  d AS (SELECT frame_key, r, g, b, a, ord, (r-pr)*(r-pr)+(g-pg)*(g-pg)+(b-pb)*(b-pb) AS dist FROM cs JOIN own USING (clip_id), pal WHERE a=255 AND NOT lacking AND ord<{len(PALETTE)}-small)
+  SELECT cs.frame_key, cs.clip_id, cs.r, cs.g, cs.b, cs.a, pixels, CASE WHEN cs.a=0 THEN 0 ELSE m.ord END AS ord, CAST(m.dist AS BIGINT) AS dist,
+    CASE WHEN lacking THEN 'NO_PALETTE' WHEN part>0 THEN 'PARTIAL_ALPHA' WHEN opaque>16 THEN 'TOO_MANY_COLOURS' END AS code
+  FROM cs JOIN own USING (clip_id) JOIN fr USING (frame_key) LEFT JOIN (SELECT frame_key, r, g, b, a, arg_min(ord, dist*100+ord) AS ord, min(dist) AS dist FROM d GROUP BY ALL) m USING (frame_key, r, g, b, a)""")
 def j1(spark, sf_dir):
-    distinct = colours(spark, sf_dir).groupBy("clip_id", *C.CHANNELS).agg(F.sum("n").alias("pixels"))
-    nearest = C.nearest_entry(C.channels(), PALETTE)
-    return distinct.withColumn("near", nearest).select(
-        "clip_id", *C.CHANNELS, "pixels",
-        F.when(F.col("a") == 0, F.lit(0)).when(F.col("a") == 255, F.col("near.ord")).alias("ord"),
-        F.when(F.col("a") == 255, F.col("near.dist")).alias("dist"),
-        F.when((F.col("a") > 0) & (F.col("a") < 255), "PARTIAL_ALPHA").alias("code"),
-    )
+    return P.nearest_palette(colours(spark, sf_dir), palettes(spark, sf_dir))
 
 
-@query("j2_palette_drift", "pixels", f"""SELECT frame_key, clip_id, {RGBA} AS colour, count(*) AS pixels, 'PALETTE_DRIFT' AS code
-  FROM pixels WHERE NOT {IN_PALETTE} GROUP BY frame_key, clip_id, r, g, b, a""")
+@query("j2_palette_drift", "pixels", f"""WITH {OWN_SQL} SELECT frame_key, clip_id, {RGBA} AS colour, count(*) AS pixels, CASE WHEN lacking THEN 'NO_PALETTE' ELSE 'PALETTE_DRIFT' END AS code
+  FROM pixels JOIN own USING (clip_id) WHERE NOT {IN_OWN} GROUP BY frame_key, clip_id, r, g, b, a, lacking""")
 def j2(spark, sf_dir):
-    drift = colours(spark, sf_dir).filter(~C.in_palette(C.channels(), PALETTE))
-    return drift.select("frame_key", "clip_id", C.text(C.channels()).alias("colour"), F.col("n").alias("pixels"), F.lit("PALETTE_DRIFT").alias("code"))
+    return P.palette_drift(colours(spark, sf_dir), palettes(spark, sf_dir))
 
 
 @query("j6_block_match", "pixels runtime_pixels", """SELECT s.frame_key, s.clip_id, CAST(count(*) FILTER ((s.r,s.g,s.b,s.a)<>(o.r,o.g,o.b,o.a)) AS INT) AS mismatches,
@@ -515,7 +520,8 @@ def a5(spark, sf_dir):
 @query("a5_component_hash", "pixels", f"""{COMPONENTS} SELECT l.frame_key, CAST(label AS BIGINT) AS label, sha256('['||string_agg('{{"rgba":['||concat_ws(',',r,g,b,a)||'],"x":'||x||',"y":'||y||'}}', ',' ORDER BY y, x)||']') AS pixel_sha256
   FROM labelled l JOIN pixels p USING (frame_key, x, y) GROUP BY l.frame_key, label""")
 def a5_hash(spark, sf_dir):
-    return components.component_hash(runs(spark, sf_dir), X.pixels(spark, sf_dir))
+    key = F.struct(*[F.lit(0).alias(c) for c in C.CHANNELS])
+    return components.component_hash(X.packed_frames(spark, sf_dir), key)
 
 
 @query("a6_retain_components", "pixels", f"""{COMPONENTS}, k AS (SELECT *, pixel_count>=3 AND row_number() OVER (PARTITION BY frame_key ORDER BY pixel_count DESC, label)=1 AS kept FROM comp)

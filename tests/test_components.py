@@ -138,10 +138,9 @@ def test_labels_equal_flood_fill_on_noise_and_snakes(spark):
 
 def test_component_hash_binds_pixels(spark):
     frames = as_frames(spark, [ring()])
-    runs = K.component_runs(frames, key((0, 0, 0, 0)))
     import hashlib
 
-    hashes = {r.label: r.pixel_sha256 for r in K.component_hash(runs, P.explode_pixels(frames)).collect()}
+    hashes = {r.label: r.pixel_sha256 for r in K.component_hash(frames, key((0, 0, 0, 0))).collect()}
     assert hashes[6] == hashlib.sha256(b'[{"rgba":[255,0,0,255],"x":6,"y":0}]').hexdigest()
 
 
@@ -186,3 +185,10 @@ def test_labels_of_noise_equal_a_flood_fill(spark):
                         want[near] = want[start]
                         todo.append(near)
     assert (got == want).all()
+
+
+def test_an_ambiguous_key_is_a_failure_row_and_not_an_exception(spark):
+    frames = as_frames(spark, [board(), board()])
+    colour = F.when(F.col("frame_key") == 0, key((0, 255, 0, 255))).otherwise(key((9, 9, 0, 255)))
+    assert {r.frame_key for r in K.component_runs(frames, colour, 8, minimum_dominance=24).collect()} == {0}
+    assert rows(K.ambiguous_keys(frames, colour), "frame_key", "code") == [(1, "KEY_AMBIGUOUS")]

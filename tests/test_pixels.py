@@ -186,3 +186,22 @@ def test_frames_of_different_sizes_are_measured_by_their_own(spark):
     assert together == alone and all("EDGE_CLIPPING" in r[4] for r in together)
     border = P.dominant_border(P.own_colours(frames)).select("frame_key", "by_columns.g").collect()
     assert {r.g for r in border} == {255}
+
+
+def test_each_contract_has_its_own_palette(spark):
+    pixels = raster(2, 2, (10, 0, 0, 255))
+    pixels[0, 0] = (0, 0, 0, 0)
+    pixels[1, 1] = (20, 0, 0, 255)
+    frames = as_frames(spark, [pixels], 1).unionByName(as_frames(spark, [pixels], 2).withColumn("frame_key", F.lit(1).cast("long")))
+    frames = frames.unionByName(as_frames(spark, [pixels], 3).withColumn("frame_key", F.lit(2).cast("long")))
+    palettes = spark.createDataFrame(
+        [(1, [[0, 0, 0, 0], [10, 0, 0, 255], [20, 0, 0, 255]]), (2, [[0, 0, 0, 0], [12, 0, 0, 255]])], "clip_id long, palette array<array<int>>"
+    )
+    colours = P.own_colours(frames)
+    assert rows(P.palette_drift(colours, palettes), "clip_id", "colour", "code") == [
+        (2, "10,0,0,255", "PALETTE_DRIFT"), (2, "20,0,0,255", "PALETTE_DRIFT"),
+        (3, "0,0,0,0", "NO_PALETTE"), (3, "10,0,0,255", "NO_PALETTE"), (3, "20,0,0,255", "NO_PALETTE"),
+    ]
+    near = rows(P.nearest_palette(colours, palettes, most=2).filter("clip_id<3 AND a=255"), "clip_id", "r", "ord", "dist", "code")
+    assert near == [(1, 10, 1, 0, None), (1, 20, 2, 0, None), (2, 10, 1, 4, None), (2, 20, 1, 64, None)]
+    assert {r.code for r in P.nearest_palette(colours, palettes, most=1).filter("clip_id<3").collect()} == {"TOO_MANY_COLOURS"}
