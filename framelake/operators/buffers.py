@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BinaryType, IntegerType
 
 ROWS_PER_BATCH = 262_144
 
@@ -151,3 +151,27 @@ def shifted_mismatches(
     return pd.Series(
         [count(*row) for row in zip(source, width, height, output, out_width, out_height, dx, dy, scale)], dtype="Int32"
     )
+
+
+@F.pandas_udf(BinaryType())
+def placed(
+    source: pd.Series, width: pd.Series, height: pd.Series, left: pd.Series, top: pd.Series, box_width: pd.Series, box_height: pd.Series,
+    x: pd.Series, y: pd.Series, scale: pd.Series, canvas_width: pd.Series, canvas_height: pd.Series,
+) -> pd.Series:
+    """The box of a frame, scaled, at (x, y) of a transparent canvas; what lies outside either is left out."""
+
+    def draw(src, *numbers):
+        if src is None or any(pd.isna(n) for n in numbers):
+            return None
+        w, h, l, t, bw, bh, tx, ty, k, cw, ch = map(int, numbers)
+        tx, ty = tx + (max(l, 0) - l) * k, ty + (max(t, 0) - t) * k
+        raster = _raster(src, w, h)
+        image = raster[max(t, 0) : max(t + bh, 0), max(l, 0) : max(l + bw, 0)]
+        image = (image * (image[:, :, 3:4] > 0)).repeat(k, axis=0).repeat(k, axis=1)
+        out = np.zeros((ch, cw, 4), dtype=np.uint8)
+        x0, y0, x1, y1 = max(tx, 0), max(ty, 0), min(tx + image.shape[1], cw), min(ty + image.shape[0], ch)
+        if x1 > x0 and y1 > y0:
+            out[y0:y1, x0:x1] = image[y0 - ty : y1 - ty, x0 - tx : x1 - tx]
+        return out.tobytes()
+
+    return pd.Series([draw(*row) for row in zip(source, width, height, left, top, box_width, box_height, x, y, scale, canvas_width, canvas_height)], dtype=object)

@@ -220,8 +220,11 @@ def collapse_grid(pixels: DataFrame, scale: int, palette) -> DataFrame:
 
 
 def crop_and_center(bounds: DataFrame, padding: int) -> DataFrame:
-    """Padded crop of each frame's box, centred (floor) on the largest crop of its clip."""
-    sized = bounds.filter(F.col("width").isNotNull()).select(
+    """Padded crop of each frame's box, centred (floor) on the largest crop of its clip.
+
+    A frame without a box has no crop and the code NO_FOREGROUND.
+    """
+    sized = bounds.select(
         "frame_key", "clip_id", "left", "top",
         (F.col("width") + 2 * padding).alias("crop_width"),
         (F.col("height") + 2 * padding).alias("crop_height"),
@@ -234,9 +237,40 @@ def crop_and_center(bounds: DataFrame, padding: int) -> DataFrame:
     return clip.withColumns({
         "offset_x": F.floor((F.col("canvas_width") - F.col("crop_width")) / 2).cast("int"),
         "offset_y": F.floor((F.col("canvas_height") - F.col("crop_height")) / 2).cast("int"),
+        "code": F.when(F.col("crop_width").isNull(), "NO_FOREGROUND"),
     })
 
 
+def _drawn(frames: DataFrame, plan: DataFrame, box: list, at: list, scale: int, canvas: list) -> DataFrame:
+    """(frame_key, clip_id, width, height, rgba, code): every frame's box drawn where the plan puts it."""
+    both = frames.select("frame_key", F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("rgba").alias("_src")).join(plan, "frame_key")
+    buffer = B.placed("_src", "_w", "_h", *box, *at, F.lit(scale), *canvas)
+    drawn = both.select("frame_key", "clip_id", *[c.cast("int").alias(n) for c, n in zip(canvas, ("width", "height"))], buffer.alias("rgba"), "code")
+    return drawn.withColumns({n: F.when(F.col("rgba").isNotNull(), F.col(n)) for n in ("width", "height")})
+
+
+def cropped_frames(frames: DataFrame, crops: DataFrame, padding: int) -> DataFrame:
+    """The pixels of ``crop_and_center``: each crop on its clip's canvas, transparent around it."""
+    box = [F.col("left"), F.col("top"), F.col("crop_width") - 2 * padding, F.col("crop_height") - 2 * padding]
+    at = [F.col("offset_x") + padding, F.col("offset_y") + padding]
+    return _drawn(frames, crops, box, at, 1, [F.col("canvas_width"), F.col("canvas_height")])
+
+
+def canonical_frames(frames: DataFrame, bounds: DataFrame, places: DataFrame, width: int, height: int, scale: int = 1) -> DataFrame:
+    """The pixels of ``place_on_canonical``; frames of a rejected clip have none."""
+    own = bounds.select("frame_key", "left", "top", F.col("width").alias("_bw"), F.col("height").alias("_bh"))
+    plan = places.join(own, "frame_key").withColumn("code", F.coalesce("code", F.when(F.col("clip_rejected"), "CLIP_REJECTED")))
+    at = [F.when(~F.col("clip_rejected"), F.col(c)) for c in ("place_left", "place_top")]
+    return _drawn(frames, plan, [F.col("left"), F.col("top"), F.col("_bw"), F.col("_bh")], at, scale, [F.lit(width), F.lit(height)])
+
+
+def fitted_frames(frames: DataFrame, report: DataFrame, width: int, height: int) -> DataFrame:
+    """The pixels of ``fit_canvas``; a frame that loses visible pixels has none."""
+    plan = report.join(frames.select("frame_key", "clip_id", F.col("width").alias("_bw"), F.col("height").alias("_bh")), "frame_key")
+    start = F.when(F.col("code").isNull(), F.lit(0))
+    return _drawn(frames, plan, [F.lit(0), F.lit(0), F.col("_bw"), F.col("_bh")], [start, start], 1, [F.lit(width), F.lit(height)])
+
+
 def fit_canvas(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """Crop or extend at the top-left corner; visible pixels outside are a failure of the frame."""
     outside = (F.col("x") >= width) | (F.col("y") >= height)
@@ -279,7 +313,7 @@ def apply_edit(pixels: DataFrame, size: int, turns: Column, scale: Column, dx: C
 def place_on_canonical(
     bounds: DataFrame, pivot: tuple[int, int], width: int, height: int, scale: int = 1, landmark: tuple[Column, Column] | None = None
 ) -> DataFrame:
-    """Position of each frame's box on the canonical cell; one overflow rejects the whole clip."""
+    """Position of each frame's box on the canonical cell; one overflow or empty frame rejects the whole clip."""
     w, h = F.col("width") * scale, F.col("height") * scale
     if landmark is None:
         left = F.lit(pivot[0]) - F.floor(w / 2)
@@ -287,7 +321,7 @@ def place_on_canonical(
     else:
         left = F.lit(pivot[0]) - (landmark[0] - F.col("left")) * scale
         top = F.lit(pivot[1]) - (landmark[1] - F.col("top")) * scale
-    placed = bounds.filter(F.col("width").isNotNull()).select(
+    placed = bounds.select(
         "frame_key", "clip_id",
         left.cast("int").alias("place_left"), top.cast("int").alias("place_top"),
         w.cast("int").alias("place_width"), h.cast("int").alias("place_height"),
@@ -297,9 +331,10 @@ def place_on_canonical(
         | (F.col("place_left") + F.col("place_width") > width)
         | (F.col("place_top") + F.col("place_height") > height)
     )
-    placed = placed.withColumn("overflow", over)
+    code = F.when(F.col("place_width").isNull(), "NO_FOREGROUND").when(F.col("overflow"), "CANVAS_OVERFLOW")
+    placed = placed.withColumn("overflow", F.coalesce(over, F.lit(False))).withColumn("code", code)
     return ordered_scan(
-        placed, ["clip_id"], ["frame_key"], [Scan("clip_rejected", "highest", F.col("overflow"))], width=1 << 20
+        placed, ["clip_id"], ["frame_key"], [Scan("clip_rejected", "highest", F.col("code").isNotNull())], width=1 << 20
     )
 
 

@@ -114,14 +114,40 @@ BOX = """box AS (SELECT frame_key, clip_id, min(x) AS l, min(y) AS t, max(x) AS
   max(x)-min(x)+1 AS w, max(y)-min(y)+1 AS h FROM pixels WHERE a>0 GROUP BY frame_key, clip_id)"""
 
 
-@query("p10_crop_and_center", "pixels", f"""WITH {BOX} SELECT frame_key, clip_id, l AS left, t AS top, w+2 AS crop_width, h+2 AS crop_height,
+EVERY = "(SELECT DISTINCT frame_key, clip_id FROM pixels)"
+CROPS = f"""SELECT frame_key, clip_id, l AS left, t AS top, w+2 AS crop_width, h+2 AS crop_height,
   max(w+2) OVER c AS canvas_width, max(h+2) OVER c AS canvas_height,
-  (max(w+2) OVER c - (w+2))//2 AS offset_x, (max(h+2) OVER c - (h+2))//2 AS offset_y
-  FROM box WINDOW c AS (PARTITION BY clip_id)""")
+  (max(w+2) OVER c - (w+2))//2 AS offset_x, (max(h+2) OVER c - (h+2))//2 AS offset_y, CASE WHEN w IS NULL THEN 'NO_FOREGROUND' END AS code
+  FROM {EVERY} LEFT JOIN box USING (frame_key, clip_id) WINDOW c AS (PARTITION BY clip_id)"""
+
+
+def drawn_sql(plan: str) -> str:
+    """sha256 of canvases: plan(frame_key, clip_id, cw, ch, dx, dy, k, code) moves visible pixels to x*k+dx, y*k+dy."""
+    return f"""plan AS ({plan}),
+  grid AS (SELECT frame_key, gx, gy FROM plan, range(0, 64) a(gx), range(0, 64) b(gy) WHERE gx<cw AND gy<ch AND dx IS NOT NULL),
+  moved AS (SELECT frame_key, x*k+dx+sx AS gx, y*k+dy+sy AS gy, {HEXES} AS hex FROM pixels JOIN plan USING (frame_key), range(0, 4) u(sx), range(0, 4) v(sy) WHERE a>0 AND sx<k AND sy<k),
+  drawn AS (SELECT g.frame_key, sha256(unhex(string_agg(coalesce(hex,'00000000'), '' ORDER BY gy, gx))) AS sha256 FROM grid g LEFT JOIN moved m USING (frame_key, gx, gy) GROUP BY g.frame_key)
+  SELECT p.frame_key, p.clip_id, CASE WHEN sha256 IS NOT NULL THEN cw END AS width, CASE WHEN sha256 IS NOT NULL THEN ch END AS height, sha256, code FROM plan p LEFT JOIN drawn USING (frame_key)"""
+
+
+HEXES = "lower(lpad(to_hex(r),2,'0')||lpad(to_hex(g),2,'0')||lpad(to_hex(b),2,'0')||lpad(to_hex(a),2,'0'))"
+
+
+def digest(drawn):
+    return drawn.withColumn("sha256", F.sha2("rgba", 256)).drop("rgba")
+
+
+@query("p10_crop_and_center", "pixels", f"WITH {BOX} {CROPS}")
 def p10(spark, sf_dir):
     return P.crop_and_center(boxes(spark, sf_dir), 1)
 
 
+@query("p10_cropped_pixels", "pixels", f"""WITH {BOX}, crops AS ({CROPS}), {drawn_sql("SELECT frame_key, clip_id, CAST(canvas_width AS INT) AS cw, CAST(canvas_height AS INT) AS ch, offset_x+1-'left' AS dx, offset_y+1-top AS dy, 1 AS k, code FROM crops").replace("-'left'", '-"left"')}""")
+def p10_pixels(spark, sf_dir):
+    crops = P.crop_and_center(boxes(spark, sf_dir), 1)
+    return digest(P.cropped_frames(X.packed_frames(spark, sf_dir), crops, 1))
+
+
 @query("p11_fit_contract_canvas", "pixels", """SELECT frame_key, kept, lost, CASE WHEN lost>0 THEN 'CANVAS_OVERFLOW' END AS code FROM (
   SELECT frame_key, count(*) FILTER (a>0 AND x<7 AND y<10) AS kept, count(*) FILTER (a>0 AND NOT (x<7 AND y<10)) AS lost
   FROM pixels GROUP BY frame_key)""")
@@ -129,6 +155,13 @@ def p11(spark, sf_dir):
     return P.fit_canvas(X.pixels(spark, sf_dir), 7, 10)
 
 
+@query("p11_fitted_pixels", "pixels", "WITH " + drawn_sql("""SELECT frame_key, clip_id, 8 AS cw, 10 AS ch, CASE WHEN count(*) FILTER (a>0 AND NOT (x<8 AND y<10))=0 THEN 0 END AS dx, 0 AS dy, 1 AS k,
+  CASE WHEN count(*) FILTER (a>0 AND NOT (x<8 AND y<10))>0 THEN 'CANVAS_OVERFLOW' END AS code FROM pixels GROUP BY frame_key, clip_id"""))
+def p11_pixels(spark, sf_dir):
+    frames = X.packed_frames(spark, sf_dir)
+    return digest(P.fitted_frames(frames, P.fit_canvas(X.pixels(spark, sf_dir), 8, 10), 8, 10))
+
+
 @query("p12_apply_edit", "pixels", """SELECT frame_key, CAST(x AS INT) AS x, CAST(y AS INT) AS y, r, g, b, a FROM (
   SELECT frame_key, r, g, b, a, CAST(trunc((11-8*s)/2.0) AS INT)+CAST(frame_key%3-1 AS INT)+rx*s+dx AS x,
     CAST(trunc((11-8*s)/2.0) AS INT)+CAST(frame_key%2 AS INT)+ry*s+dy AS y FROM (
@@ -149,18 +182,38 @@ def p12(spark, sf_dir):
     ).drop("clip_id")
 
 
-@query("p13_place_on_canonical", "pixels", f"""WITH {BOX}, placed AS (SELECT frame_key, clip_id, 6-w//2 AS place_left, 8-h AS place_top,
-  w AS place_width, h AS place_height, 6-w//2<0 OR 8-h<0 OR 6-w//2+w>9 OR 8>9 AS overflow FROM box)
-  SELECT *, bool_or(overflow) OVER (PARTITION BY clip_id) AS clip_rejected FROM placed""")
-def p13(spark, sf_dir):
+def places_sql(left: str, top: str, k: int, width: int, height: int) -> str:
+    return f"""placed AS (SELECT frame_key, clip_id, {left} AS place_left, {top} AS place_top, w*{k} AS place_width, h*{k} AS place_height FROM {EVERY} LEFT JOIN box USING (frame_key, clip_id)),
+  over AS (SELECT *, coalesce(place_left<0 OR place_top<0 OR place_left+place_width>{width} OR place_top+place_height>{height}, false) AS overflow FROM placed),
+  coded AS (SELECT *, CASE WHEN place_width IS NULL THEN 'NO_FOREGROUND' WHEN overflow THEN 'CANVAS_OVERFLOW' END AS code FROM over),
+  places AS (SELECT *, bool_or(code IS NOT NULL) OVER (PARTITION BY clip_id) AS clip_rejected FROM coded)"""
+
+
+BY_PIVOT = places_sql("6-w//2", "8-h", 1, 9, 9)
+BY_LANDMARK = places_sql("12-(4-l)*2", "20-(7-t)*2", 2, 20, 24)
+
+
+def placement(spark, sf_dir, by_landmark=False):
+    if by_landmark:
+        return P.place_on_canonical(boxes(spark, sf_dir), (12, 20), 20, 24, scale=2, landmark=(F.lit(4), F.lit(7)))
     return P.place_on_canonical(boxes(spark, sf_dir), (6, 8), 9, 9)
 
 
-@query("p13_place_by_landmark", "pixels", f"""WITH {BOX}, placed AS (SELECT frame_key, clip_id, 12-(4-l)*2 AS place_left, 20-(7-t)*2 AS place_top,
-  w*2 AS place_width, h*2 AS place_height FROM box), over AS (SELECT *, place_left<0 OR place_top<0 OR place_left+place_width>20 OR place_top+place_height>24 AS overflow FROM placed)
-  SELECT *, bool_or(overflow) OVER (PARTITION BY clip_id) AS clip_rejected FROM over""")
+@query("p13_place_on_canonical", "pixels", f"WITH {BOX}, {BY_PIVOT} SELECT * FROM places")
+def p13(spark, sf_dir):
+    return placement(spark, sf_dir)
+
+
+@query("p13_place_by_landmark", "pixels", f"WITH {BOX}, {BY_LANDMARK} SELECT * FROM places")
 def p13_landmark(spark, sf_dir):
-    return P.place_on_canonical(boxes(spark, sf_dir), (12, 20), 20, 24, scale=2, landmark=(F.lit(4), F.lit(7)))
+    return placement(spark, sf_dir, by_landmark=True)
+
+
+@query("p13_canonical_pixels", "pixels", f"""WITH {BOX}, {BY_LANDMARK}, {drawn_sql("""SELECT frame_key, clip_id, 20 AS cw, 24 AS ch, CASE WHEN NOT clip_rejected THEN place_left-l*2 END AS dx, place_top-t*2 AS dy, 2 AS k,
+  coalesce(code, CASE WHEN clip_rejected THEN 'CLIP_REJECTED' END) AS code FROM places LEFT JOIN box USING (frame_key, clip_id)""")}""")
+def p13_pixels(spark, sf_dir):
+    bounds = boxes(spark, sf_dir)
+    return digest(P.canonical_frames(X.packed_frames(spark, sf_dir), bounds, placement(spark, sf_dir, by_landmark=True), 20, 24, 2))
 
 
 @query("p14_prepare_anchor", "pixels", """WITH keyed AS (SELECT p.*, k.r AS kr, k.g AS kg, k.b AS kb, k.a AS ka FROM pixels p
@@ -303,7 +356,6 @@ def a11(spark, sf_dir):
     return P.background_evidence(colours(spark, sf_dir), KEY, 20)
 
 
-HEXES = "lower(lpad(to_hex(r),2,'0')||lpad(to_hex(g),2,'0')||lpad(to_hex(b),2,'0')||lpad(to_hex(a),2,'0'))"
 FRAME_SHA = f"SELECT frame_key, clip_id, sha256(unhex(string_agg({HEXES}, '' ORDER BY y, x))) AS sha256 FROM pixels GROUP BY frame_key, clip_id"
 
 

@@ -205,3 +205,27 @@ def test_each_contract_has_its_own_palette(spark):
     near = rows(P.nearest_palette(colours, palettes, most=2).filter("clip_id<3 AND a=255"), "clip_id", "r", "ord", "dist", "code")
     assert near == [(1, 10, 1, 0, None), (1, 20, 2, 0, None), (2, 10, 1, 4, None), (2, 20, 1, 64, None)]
     assert {r.code for r in P.nearest_palette(colours, palettes, most=1).filter("clip_id<3").collect()} == {"TOO_MANY_COLOURS"}
+
+
+def test_placed_pixels_move_scale_and_stop_at_the_canvas(spark):
+    pixels = raster(4, 3, (0, 0, 0, 0))
+    pixels[1, 1], pixels[1, 2], pixels[2, 1] = (1, 2, 3, 255), (4, 5, 6, 255), (7, 8, 9, 128)
+    pixels[0, 0] = (50, 50, 50, 0)
+    frames = as_frames(spark, [pixels, raster(4, 3, (0, 0, 0, 0))])
+    bounds = P.own_colours(frames).groupBy("frame_key", "clip_id").agg(*P.bounds_where(F.col("a") > 0))
+    crops = P.crop_and_center(bounds, 1)
+    drawn = {r.frame_key: r for r in P.cropped_frames(frames, crops, 1).collect()}
+    want = np.zeros((4, 4, 4), dtype=np.uint8)
+    want[1, 1], want[1, 2], want[2, 1] = pixels[1, 1], pixels[1, 2], pixels[2, 1]
+    assert bytes(drawn[0].rgba) == want.tobytes() and (drawn[0].width, drawn[0].height) == (4, 4)
+    assert (drawn[1].rgba, drawn[1].code) == (None, "NO_FOREGROUND")
+    places = P.place_on_canonical(bounds.filter("frame_key=0"), (3, 5), 6, 6, scale=2)
+    cell = P.canonical_frames(frames, bounds, places, 6, 6, 2).first()
+    big = np.zeros((6, 6, 4), dtype=np.uint8)
+    big[1:5, 1:5] = want[1:3, 1:3].repeat(2, axis=0).repeat(2, axis=1)
+    assert bytes(cell.rgba) == big.tobytes()
+    assert all(r.clip_rejected for r in P.place_on_canonical(bounds, (3, 5), 6, 6, scale=2).collect())
+    fitted = P.fitted_frames(frames, P.fit_canvas(P.explode_pixels(frames), 3, 4), 3, 4)
+    assert rows(fitted, "frame_key", "width", "height", "code") == [(0, 3, 4, None), (1, 3, 4, None)]
+    lost = P.fitted_frames(frames, P.fit_canvas(P.explode_pixels(frames), 2, 2), 2, 2)
+    assert rows(lost, "frame_key", "rgba", "code")[0] == (0, None, "CANVAS_OVERFLOW")
