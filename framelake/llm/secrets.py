@@ -143,9 +143,9 @@ def _members(parts) -> set[str] | None:
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The index: (trigram number in ``trigrams``, doc_id) for every text that holds it in any case."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    held = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(g)), F.lit(i)) for i, g in enumerate(trigrams)]))
-    return docs.select("doc_id", F.explode(held).alias("trigram"))
+    lowered = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("_text"))
+    held = F.array_compact(F.array(*[F.when(F.contains("_text", F.lit(g)), F.lit(i)) for i, g in enumerate(trigrams)]))
+    return lowered.select("doc_id", F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, trigrams: list[str], clauses: list[tuple[int, frozenset[str]]]) -> DataFrame:
