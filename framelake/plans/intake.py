@@ -221,7 +221,7 @@ def _collect_stream(stream, spark, name: str, mode: str = "append"):
 
 
 @query("x1_stream_frames", "timeline", f"""WITH {STAMPED}, p AS (SELECT *, lag(start_ms+duration_ms) OVER (PARTITION BY clip_id ORDER BY idx) AS e FROM stamped)
-  SELECT clip_id, idx, frame_id, start_ms, coalesce(e,0) AS expected_ms FROM p WHERE start_ms<>coalesce(e,0)""")
+  SELECT clip_id, idx, frame_id, start_ms, coalesce(e,0) AS expected_ms, 'DISCONTINUOUS' AS code FROM p WHERE start_ms<>coalesce(e,0)""")
 def x1(spark, sf_dir):
     folder = scratch_folder(spark, "frames")
     rows = stamped(spark, sf_dir).select(
@@ -229,7 +229,7 @@ def x1(spark, sf_dir):
     )
     rows.write.parquet(folder)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(folder)
-    return _collect_stream(intake.continuity_failures(stream, "3650 days"), spark, "continuity")
+    return _collect_stream(intake.continuity_failures(stream, "30 days"), spark, "continuity")
 
 
 @query("x1_stream_originals", "timeline", "SELECT clip_id, sha256(CAST(k AS VARCHAR)) AS sha256, min(frame_id) AS original, count(*) AS copies FROM timeline GROUP BY clip_id, k")

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def continuity_failures(frames: DataFrame, lateness: str) -> DataFrame:
-    """Frames that do not start where their predecessor ended, and first frames that do not start at zero.
+    """Frames that do not start where their predecessor ended, or have none; first frames that do not start at zero.
 
     frames(clip_id, idx, frame_id, start_ms, duration_ms, ts): a stream, or a batch of the same shape.
+    ``code`` is DISCONTINUOUS or PREDECESSOR_MISSING. A stream reports a missing predecessor, one that
+    did not come within ``lateness`` of the frame, once the watermark has passed that time; state older
+    than that is dropped, so ``lateness`` bounds it.
     """
     marked = frames.withWatermark("ts", lateness) if frames.isStreaming else frames
     here = marked.select(
@@ -28,12 +31,14 @@ def continuity_failures(frames: DataFrame, lateness: str) -> DataFrame:
         (F.col("seen") >= F.col("before_seen") - F.expr(f"INTERVAL {lateness}"))
         & (F.col("seen") <= F.col("before_seen") + F.expr(f"INTERVAL {lateness}"))
     )
-    pairs = here.join(before, (F.col("clip") == F.col("clip_id")) & (F.col("idx") == F.col("next_idx")) & near)
-    broken = pairs.filter(F.col("start_ms") != F.col("expected_ms")).select(
-        "clip_id", "idx", "frame_id", "start_ms", "expected_ms"
+    same = (F.col("clip") == F.col("clip_id")) & (F.col("idx") == F.col("next_idx")) & near
+    pairs = here.filter("idx > 0").join(before, same, "left")
+    code = F.when(F.col("clip_id").isNull(), "PREDECESSOR_MISSING").when(F.col("start_ms") != F.col("expected_ms"), "DISCONTINUOUS")
+    broken = pairs.withColumn("code", code).filter(F.col("code").isNotNull()).select(
+        F.col("clip").alias("clip_id"), "idx", "frame_id", "start_ms", "expected_ms", "code"
     )
     late_start = marked.filter((F.col("idx") == 0) & (F.col("start_ms") != 0)).select(
-        "clip_id", "idx", "frame_id", "start_ms", F.lit(0).cast("long").alias("expected_ms")
+        "clip_id", "idx", "frame_id", "start_ms", F.lit(0).cast("long").alias("expected_ms"), F.lit("DISCONTINUOUS").alias("code")
     )
     return broken.unionByName(late_start)
 

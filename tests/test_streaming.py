@@ -62,3 +62,19 @@ def test_an_edit_behind_a_decided_one_is_stale(spark, tmp_path):
     source = spark.readStream.schema(schema + ", x int").option("maxFilesPerTrigger", 1).parquet(str(folder)).drop("x")
     got = run(edits.accept_edits(source), spark, tmp_path / "q")
     assert rows(got, "seq", "head", "status") == [(3, "a", 409), (5, "a", 200), (6, "c", 200)]
+
+
+def test_a_frame_whose_predecessor_never_comes_is_reported(spark, tmp_path):
+    schema = "clip_id long, idx long, frame_id long, start_ms long, duration_ms long, second long"
+    frame = lambda i, second: (1, i, i, i * 50, 50, second)
+    whole = [frame(0, 0), frame(1, 1), frame(3, 3), frame(4, 4)]
+    later = [frame(5, 5), (2, 0, 9, 0, 50, 10_000)]
+    typed = lambda rows_: spark.createDataFrame(rows_, schema).withColumn("ts", F.timestamp_seconds(F.col("second") + 1_700_000_000)).drop("second")
+    want = [(3, None, "PREDECESSOR_MISSING")]
+    assert rows(intake.continuity_failures(typed(whole + later), "1 minute"), "idx", "expected_ms", "code") == want
+    folder = tmp_path / "in"
+    typed(whole).coalesce(1).write.parquet(str(folder / "part=0"))
+    typed(later).coalesce(1).write.parquet(str(folder / "part=1"))
+    source = spark.readStream.schema(typed(whole).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+    found = run(intake.continuity_failures(source, "1 minute"), spark, tmp_path / "q")
+    assert rows(found, "idx", "expected_ms", "code") == want
