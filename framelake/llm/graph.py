@@ -73,8 +73,16 @@ def clustered(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     return nodes.join(placed, F.col("node") == F.col("_node")).drop("_node")
 
 
+def _components_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cluster, node, component) of ``rows`` under ``edges``; a node without an edge is its own component."""
+    joined = connected_components(edges).select(F.col("node").alias("_node"), "component")
+    state = rows.select("cluster", "node").join(joined, F.col("node") == F.col("_node"), "left")
+    return state.select("cluster", "node", F.coalesce("component", "node").alias("component"))
+
+
 def cluster_links(
-    placed: DataFrame, payload: list[str], own: Column, run: Callable[[pa.Table], pa.Table], block: int, pivots: int
+    placed: DataFrame, payload: list[str], own: Column, run: Callable[[pa.Table], pa.Table], block: int, pivots: int,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Edges (a, b) that leave no link inside a cluster undecided, without forming all pairs of a cluster.
 
@@ -82,8 +90,14 @@ def cluster_links(
     forest of their links, or, where asks is not null, of those between rows that ask and rows that don't.
     Clusters of up to ``block`` rows go whole, several to a task. Larger ones are cut into blocks; each also
     gets the ``pivots`` rows with the least ``own``, so groups around a common original join through them.
-    The rows that are then outside their cluster's main component ask all other blocks.
+    The rows that are then outside their cluster's main component ask all other blocks. ``known`` are links
+    (a, b) that have been verified: clusters that they join are left out, and they replace the pivots.
     """
+    if known is not None:
+        state = _components_of(placed, known)
+        split = state.groupBy("cluster").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high")
+        split = T.stored(split.select(F.col("cluster").alias("_open")), "open-clusters")
+        placed = placed.join(split, F.col("cluster") == F.col("_open")).drop("_open")
     edge, shape = "a long, b long", ["node", *payload]
     placed = T.stored(
         placed.withColumn("_own", own).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / block))), "clusters"
@@ -92,18 +106,18 @@ def cluster_links(
     small, large = placed.where(F.col("members") <= block), placed.where(F.col("members") > block)
     bins = max(1, math.ceil(small.count() / (2 * block)))
     edges = small.select(*shape, none, F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("bin")).groupBy("bin").applyInArrow(run, edge)
+    edges = edges if known is None else edges.unionAll(known.select("a", "b"))
     if large.isEmpty():
         return edges
-    best = large.groupBy("cluster", "members", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(pivots)).alias("_deal"))
-    best = best.agg(F.min(F.struct("_own", *shape)).alias("p"))
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("members") / block) - 1).cast("long"))).alias("block")
-    best = best.select("cluster", *[F.col(f"p.{c}").alias(c) for c in shape], blocks)
-    met = large.select("cluster", *shape, "block").unionByName(best).dropDuplicates(["cluster", "block", "node"])
-    edges = T.stored(edges.unionAll(met.select("*", none).groupBy("cluster", "block").applyInArrow(run, edge)), "cluster-edges")
-
-    joined = connected_components(edges).select(F.col("node").alias("_node"), "component")
-    state = large.select("cluster", "node").join(joined, F.col("node") == F.col("_node"), "left")
-    state = state.select("cluster", "node", F.coalesce("component", "node").alias("component"))
+    if known is None:
+        best = large.groupBy("cluster", "members", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(pivots)).alias("_deal"))
+        best = best.agg(F.min(F.struct("_own", *shape)).alias("p"))
+        best = best.select("cluster", *[F.col(f"p.{c}").alias(c) for c in shape], blocks)
+        met = large.select("cluster", *shape, "block").unionByName(best).dropDuplicates(["cluster", "block", "node"])
+        edges = edges.unionAll(met.select("*", none).groupBy("cluster", "block").applyInArrow(run, edge))
+    edges = T.stored(edges, "cluster-edges")
+    state = _components_of(large, edges)
     main = state.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy(F.col("cluster").alias("_cluster"))
     main = main.agg(F.max(F.struct("n", "component"))["component"].alias("_main"))
     rest = state.join(main, F.col("cluster") == F.col("_cluster")).where("component <> _main")

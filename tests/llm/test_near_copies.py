@@ -131,7 +131,7 @@ def plain_dedup(rows):
     places = sorted((i, j, line_dedup.normal(x.encode())) for i, t in rows for j, x in enumerate((t or "").split("\n")))
     places = [p for p in places if p[2]]
     forms = sorted({p[2] for p in places})
-    sims = line_dedup.simhashes([T.hashed(f.split()) for f in forms])
+    sims, _ = line_dedup.simhashes(forms)
     links = [
         (a, b) for a, b in itertools.combinations(range(len(forms)), 2)
         if min(len(forms[a].split()), len(forms[b].split())) >= line_dedup.MIN_WORDS
