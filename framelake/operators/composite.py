@@ -12,7 +12,7 @@ from framelake.functions import color as C
 # Fixed value: container limit on frames per animation; it bounds the per-pixel fold.
 MAX_FRAMES = 10_000
 
-BAND_LINES = 16
+BAND_LINES = 4
 
 
 def _clear() -> Column:
@@ -52,9 +52,9 @@ def replay_disposal(patches: DataFrame, frames: DataFrame, keys: list[str]) -> D
         order = steps["step"].to_numpy()
         places, at = np.unique((drawn["y"].to_numpy(np.int64) << 32) | drawn["x"].to_numpy(np.int64), return_inverse=True)
         ys, xs = places >> 32, places & 0xFFFFFFFF
-        patch = np.zeros((len(steps), len(places), 4), dtype=np.int64)
+        patch = np.zeros((len(steps), len(places), 4), dtype=np.uint8)  # bytes, as in the frames: what a group holds is small
         patch[np.searchsorted(order, drawn["step"].to_numpy()), at] = drawn[list("rgba")].to_numpy()
-        pages, canvas = np.empty_like(patch), np.zeros((len(places), 4), dtype=np.int64)
+        pages, canvas = np.empty_like(patch), np.zeros((len(places), 4), dtype=np.uint8)
         for i, frame in enumerate(steps.itertuples(index=False)):
             inside = (xs >= frame.rect_x) & (xs < frame.rect_x + frame.rect_w)
             inside &= (ys >= frame.rect_y) & (ys < frame.rect_y + frame.rect_h)
@@ -75,6 +75,7 @@ def replay_disposal(patches: DataFrame, frames: DataFrame, keys: list[str]) -> D
 
 def _over(top: np.ndarray, under: np.ndarray) -> np.ndarray:
     """Source-over on byte rows with half-up rounding."""
+    top, under = top.astype(np.int64), under.astype(np.int64)
     cover = top[:, 3:4]
     hidden = under[:, 3:4] * (255 - cover)
     weight = cover * 255 + hidden
@@ -82,4 +83,4 @@ def _over(top: np.ndarray, under: np.ndarray) -> np.ndarray:
     colour = np.floor((top[:, :3] * cover * 255 + under[:, :3] * hidden) / safe + 0.5)
     alpha = np.floor(weight / 255 + 0.5)
     mixed = np.hstack([colour, alpha]).astype(np.int64)
-    return np.where(cover == 255, top, np.where(cover == 0, under, mixed))
+    return np.where(cover == 255, top, np.where(cover == 0, under, mixed)).astype(np.uint8)
