@@ -162,6 +162,26 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.key = k.key
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS g
+  FROM d
+), n AS (SELECT doc_id, len(g) AS n FROM s),
+u AS (SELECT doc_id, unnest(g) AS g FROM s),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 85 * (a.n + b.n - o)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM n UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id
+FROM n JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON c.node = n.doc_id
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -175,4 +195,4 @@ QUERIES: dict[str, Query] = {
     "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op9_mixing": OP9_SQL, "op10_exact_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op6_jaccard_join": OP6_SQL, "op9_mixing": OP9_SQL, "op10_exact_top_k": OP10_SQL}
