@@ -12,7 +12,7 @@ rises along a source's queue, so what the cut takes of a source is a prefix of e
 source and pass. Documents are then taken by comparing their key with their source's cuts.
 
 Scale: running sums go by cells of (source, leading digits of the hash), so a source that holds a
-third of all rows is summed in 16 ** CELL_DIGITS parts; the cut is searched in one slice of the time axis.
+third of all rows is summed in 16 ** CELL_DIGITS parts; the cut is searched in ever finer slices of the time axis.
 Only ids, sources and sizes are shuffled, never texts.
 
 Nulls and ties: a null text has size 0; a null source is a source of its own, last in the order; a
@@ -35,6 +35,8 @@ SHARE = 1.5
 MOST = 2
 CELL_DIGITS = 3
 SLICES = 1_024
+LEVELS = 5
+FEW = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 MADE = ("size", "source_size", "target", "copies", "taken")
 
@@ -86,27 +88,40 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     timed = timed.select("*", passes.alias("pass")).withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("_upto")) / F.col("target"))
     timed = T.stored(timed.select("source", "key", "size", "source_rank", "pass", "finish"), "mix-queue")
 
-    slices = timed.groupBy(F.least(F.floor(F.col("finish") * SLICES), F.lit(8 * SLICES)).alias("slice")).agg(F.sum("size").alias("words"))
     budget = share * (marks.agg(F.sum("source_size")).first()[0] or 0)
-    upto = Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    over = slices.withColumn("upto", F.sum("words").over(upto)).where(F.col("upto") > budget).orderBy("slice").first()
-    if over is None:
-        taken = F.lit(True)
-    else:
-        edge = timed.where(F.least(F.floor(F.col("finish") * SLICES), F.lit(8 * SLICES)) == over.slice)
-        running = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("finish", "source_rank", "pass", "key"))
-        last = edge.withColumn("_upto", running + (over.upto - over.words)).where(F.col("_upto") <= budget)
-        last = last.orderBy(F.desc("finish"), F.desc("source_rank")).first()
-        if last is None:
-            taken = F.col("finish") < over.slice / SLICES
-        else:
-            taken = (F.col("finish") < last.finish) | ((F.col("finish") == last.finish) & (F.col("source_rank") <= last.source_rank))
+    taken = _before_cut(timed, budget)
     cut = [F.max(F.when(taken & (F.col("pass") == p), F.col("key"))) for p in range(most)]
     cuts = timed.groupBy("source").agg(F.array(*cut).alias("cuts")).alias("t")
     marks = marks.alias("m")
     return marks.join(cuts, F.col("m.source").eqNullSafe(F.col("t.source")), "left").select("m.source", "source_size", "target", "cuts")
 
 
+def _before_cut(timed: DataFrame, budget: float) -> Column:
+    """Whether a copy is taken: the order is by finish, then source; copies are taken while they fit the budget.
+
+    The time axis is cut into slices, the slice in which the budget ends into slices again, until few
+    copies are left in it; only those are put in order.
+    """
+    edge, low, width, used = timed, 0.0, 1 / SLICES, 0
+    for _ in range(LEVELS):
+        place = F.least(F.floor((F.col("finish") - low) / width), F.lit(8 * SLICES))
+        slices = edge.groupBy(place.alias("slice")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+        upto = Window.partitionBy(F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        over = slices.withColumn("upto", F.sum("words").over(upto)).where(F.col("upto") + used > budget).orderBy("slice").first()
+        if over is None:
+            return F.lit(True)
+        edge, used = edge.where(place == over.slice), used + over.upto - over.words
+        if over.n <= FEW:
+            break
+        low, width = low + over.slice * width, width / SLICES
+    running = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("finish", "source_rank", "pass", "key"))
+    placed = edge.withColumn("_fits", running + used <= budget)
+    last = placed.where("_fits").orderBy(F.desc("finish"), F.desc("source_rank")).first()
+    if last is None:
+        return F.col("finish") < edge.agg(F.min("finish")).first()[0]
+    return (F.col("finish") < last.finish) | ((F.col("finish") == last.finish) & (F.col("source_rank") <= last.source_rank))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """All documents with size, source_size, target, copies (times the mix takes them) and taken (words)."""
     marks = T.stored(plan(docs, weights, share, most), "mix-plan").withColumnRenamed("source", "_source")
