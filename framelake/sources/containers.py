@@ -1,7 +1,7 @@
 """Frame headers of animated GIF, APNG and WebP files: one row per frame, or one error row per file.
 
-Two steps. ``chunk_rows`` takes files apart into their chunks: a tag, the first bytes and the length of
-each, nothing decoded. Everything else is Column expressions over that table: numbers are read from the
+Two steps. ``chunk_rows`` takes files apart into their chunks: a tag, the first bytes (in hex) and the length
+of each, nothing decoded. Everything else is Column expressions over that table: numbers are read from the
 chunk heads, rules give each chunk at most one code, and the first code of a file stands for the file.
 """
 
@@ -22,7 +22,7 @@ PNG_SIGNATURE = bytes.fromhex("89504e470d0a1a0a")
 
 HEAD = 48
 ROWS = 4_096
-CHUNKS = "file string, format string, n int, tag string, head binary, size long, inner string, note string"
+CHUNKS = "file string, format string, n int, tag string, head string, size long, inner string, note string"
 Chunk = tuple[str, bytes, int, str, str | None]
 
 
@@ -91,7 +91,7 @@ def _chunks(data: bytes) -> tuple[str | None, Iterator[Chunk]]:
 def chunk_rows(files: DataFrame) -> DataFrame:
     """files(file, content) -> ``CHUNKS`` in file order, emitted in batches of bounded length."""
     names = [part.split()[0] for part in CHUNKS.split(", ")]
-    types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+    types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -101,8 +101,8 @@ def chunk_rows(files: DataFrame) -> DataFrame:
         for part in batches:
             for file, content in zip(part.column(0).to_pylist(), part.column(1)):
                 kind, chunks = _chunks(content.as_py() or b"")
-                for n, chunk in enumerate(chunks):
-                    rows.append((file, kind, n, *chunk))
+                for n, (tag, head, *rest) in enumerate(chunks):
+                    rows.append((file, kind, n, tag, head.hex(), *rest))
                     if len(rows) == ROWS:
                         yield batch(rows)
                         rows = []
@@ -115,8 +115,8 @@ def chunk_rows(files: DataFrame) -> DataFrame:
 def _number(at: int, size: int, big: bool = False) -> Column:
     """An unsigned number in the chunk's head; null beyond its end."""
     places = range(at, at + size) if big else range(at + size - 1, at - 1, -1)
-    digits = F.concat(*[F.substr(F.hex("head"), F.lit(2 * p + 1), F.lit(2)) for p in places])
-    return F.when(F.length("head") >= at + size, F.conv(digits, 16, 10).cast("long"))
+    digits = F.substr("head", F.lit(2 * at + 1), F.lit(2 * size)) if big or size == 1 else F.concat(*[F.substr("head", F.lit(2 * p + 1), F.lit(2)) for p in places])
+    return F.when(F.length("head") >= 2 * (at + size), F.conv(digits, 16, 10).cast("long"))
 
 
 def _bits(at: int, shift: int, mask: int) -> Column:
@@ -149,7 +149,7 @@ def _frames(chunks: DataFrame) -> DataFrame:
     size = F.first(F.when(tag("head", "IHDR", "VP8X"), F.struct(
         pick(_number(6, 2), _number(0, 4, True), _number(4, 3) + 1).alias("w"), pick(_number(8, 2), _number(4, 4, True), _number(7, 3) + 1).alias("h"))
     ), ignorenulls=True).over(whole)
-    clear = F.count_if((tag("IHDR") & F.conv(F.hex(F.substring("head", 10, 1)), 16, 10).isin("4", "6")) | tag("tRNS")).over(whole) > 0
+    clear = F.count_if((tag("IHDR") & F.substring("head", 19, 2).isin("04", "06")) | tag("tRNS")).over(whole) > 0
     rows = rows.withColumns({
         "is_frame": (gif & tag("image")) | (apng & tag("fcTL")) | (webp & tag("ANMF")),
         "canvas_width": size["w"], "canvas_height": size["h"],
@@ -188,14 +188,14 @@ def _rules() -> list[tuple[str, str]]:
         ("CHECKSUM_WRONG", "note='damaged'"),
         ("BLOCK_UNKNOWN", "tag='bad'"),
         ("TRAILING_DATA", "(tag='end' AND size>0) OR ended>0"),
-        ("HEADER_INVALID", "(tag='IHDR' AND (n<>0 OR size<>13)) OR (tag='VP8X' AND (headed>0 OR size<>10 OR conv(substr(hex(head),1,2),16,10) & 193 <> 0))"),
+        ("HEADER_INVALID", "(tag='IHDR' AND (n<>0 OR size<>13)) OR (tag='VP8X' AND (headed>0 OR size<>10 OR conv(substr(head,1,2),16,10) & 193 <> 0))"),
         ("CANVAS_INVALID", "tag IN ('head','IHDR','VP8X') AND coalesce(least(canvas_width,canvas_height),0)<1"),
         ("ANIMATION_INVALID", f"(tag='acTL' AND (headed=0 OR declared>0 OR filled>0 OR size<>8 OR NOT coalesce(told BETWEEN 1 AND {MAX_FRAMES},false))) OR (tag='ANIM' AND (headed=0 OR declared>0 OR size<>6))"),
-        ("CONTROL_INVALID", "(tag='control' AND (size<>4 OR substr(hex(head),1,2)<>'04' OR substr(hex(head),11,2)<>'00' OR (shiftright(conv(substr(hex(head),3,2),16,10),2) & 7)>3))"),
-        ("CONTROL_INVALID", f"is_frame AND (({frame_order}) OR (tag='fcTL' AND size<>26) OR (tag='ANMF' AND (size<24 OR conv(substr(hex(head),31,2),16,10) & 252 <> 0)) OR dispose IS NULL OR blend IS NULL)"),
-        ("SEQUENCE_GAP", "tag IN ('fcTL','fdAT') AND conv(substr(hex(head),1,8),16,10)<>numbered"),
+        ("CONTROL_INVALID", "(tag='control' AND (size<>4 OR substr(head,1,2)<>'04' OR substr(head,11,2)<>'00' OR (shiftright(conv(substr(head,3,2),16,10),2) & 7)>3))"),
+        ("CONTROL_INVALID", f"is_frame AND (({frame_order}) OR (tag='fcTL' AND size<>26) OR (tag='ANMF' AND (size<24 OR conv(substr(head,31,2),16,10) & 252 <> 0)) OR dispose IS NULL OR blend IS NULL)"),
+        ("SEQUENCE_GAP", "tag IN ('fcTL','fdAT') AND conv(substr(head,1,8),16,10)<>numbered"),
         ("DATA_ORDER", "(tag='IDAT' AND declared>0 AND begun<>1) OR (tag='IDAT' AND declared=0 AND animations>0) OR (tag='fdAT' AND (pictured=0 OR size<5)) OR (tag='tRNS' AND filled>0)"),
-        ("DATA_MISSING", "(tag='image' AND (size=0 OR NOT coalesce(conv(substr(hex(head),19,2),16,10) BETWEEN 2 AND 8,false))) OR (tag='ANMF' AND NOT arrays_overlap(split(inner,','),array('VP8 ','VP8L')))"),
+        ("DATA_MISSING", "(tag='image' AND (size=0 OR NOT coalesce(conv(substr(head,19,2),16,10) BETWEEN 2 AND 8,false))) OR (tag='ANMF' AND NOT arrays_overlap(split(inner,','),array('VP8 ','VP8L')))"),
         ("RECT_OUTSIDE", "is_frame AND NOT coalesce(width>0 AND height>0 AND x+width<=canvas_width AND y+height<=canvas_height,false)"),
         ("DELAY_FRACTION", f"is_frame AND (scaled % ratio<>0 OR scaled/ratio>{MAX_DURATION} AND format='apng')"),
         ("DELAY_ZERO", "is_frame AND scaled=0"),
