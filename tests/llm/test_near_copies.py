@@ -169,6 +169,38 @@ def test_line_dedup_of_repeated_and_null_ids(spark):
     assert got == sorted([(None, "same line"), (1, ""), (1, ""), (2, "other")], key=repr)
 
 
+def edited_pairs(seed, low, high, n=150):
+    """Pairs of lines of ``low`` to ``high`` words of which some are replaced, at an edit similarity of 0.8 or more."""
+    rng, pairs = random.Random(seed), []
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.choice((2, 3, 3, 4, 5, 6, 7, 8, 9)))) for _ in range(5000)]
+    while len(pairs) < n:
+        words = [vocabulary[min(int(rng.paretovariate(0.7)) - 1, 4999)] for _ in range(rng.randint(low, high))]
+        other = list(words)
+        for i in rng.sample(range(len(words)), max(1, round(len(words) * rng.uniform(0.02, 0.22)))):
+            other[i] = rng.choice(vocabulary)
+        a, b = " ".join(words), " ".join(other)
+        if a != b and line_dedup.similar(a, b):
+            pairs.append((a, b))
+    return pairs
+
+
+@pytest.mark.parametrize("low, high", [(8, 20), (20, 60)])
+def test_line_dedup_finds_edited_lines_by_edit_similarity_alone(spark, low, high):
+    pairs = edited_pairs(low, low, high)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], DOCS)
+    gone = line_dedup.dedup(docs).where("n_removed = 1").count()
+    assert gone >= 0.9 * len(pairs)
+
+
+def test_line_dedup_of_few_words_and_scripts_without_spaces(spark):
+    rng = random.Random(3)
+    han = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(300)) for _ in range(20)]
+    short = ["click here to subscribe", "all rights reserved worldwide", "photograph by staff"]
+    texts = [t for h in han for t in (h, h[:150] + "x" + h[151:])] + [t for s in short for t in (s, s[:-1] + "z")]
+    kept = line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), DOCS)).where("n_removed = 0")
+    assert {r.doc_id for r in kept.collect()} == set(range(0, len(texts), 2))
+
+
 def test_pipeline_stages_do_what_they_say(spark, tmp_path):
     docs = T.documents(spark, SF).withColumn("extra", F.lit(1))
     labels = T.table(spark, SF, "labels")
