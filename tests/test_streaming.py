@@ -26,6 +26,19 @@ def test_continuity_holds_across_batches_in_any_order(spark, tmp_path):
     assert rows(intake.continuity_failures(frames, "30 days"), "idx") == [(7,), (8,)]
 
 
+def test_stream_frames_over_several_times_the_lateness(spark, monkeypatch):
+    from framelake.plans import intake as plan
+
+    step = 8 * 86_400_000  # eight days a frame: 20 frames are five times the lateness
+    line = spark.range(40).select(
+        (F.col("id") % 2).alias("clip_id"), F.floor(F.col("id") / 2).alias("idx"), (F.pmod(F.col("id") * 37, F.lit(40)) * 10_000_000).alias("frame_id"),
+        (F.floor(F.col("id") / 2) * step + F.when(F.col("id") == 14, 3).otherwise(0)).alias("start_ms"), F.lit(step).cast("long").alias("duration_ms"),
+    ).repartition(12, "frame_id")
+    monkeypatch.setattr(plan, "stamped", lambda *_: line)
+    found = plan.x1(spark, "")
+    assert rows(found, "clip_id", "idx", "expected_ms", "code") == [(0, 7, 7 * step, "DISCONTINUOUS"), (0, 8, 8 * step + 3, "DISCONTINUOUS")]
+
+
 def test_lessons_are_stored_once(spark, tmp_path):
     lessons = spark.range(30).select((F.col("id") % 5).alias("run_id"), F.lit("r").alias("report_sha"), F.lit("c").alias("correction_sha"), (F.col("id") % 2).cast("int").alias("action_index"))
     source = stream(spark, lessons, tmp_path / "in", 4)
