@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import jaccard, langid, line_dedup, lm, mixing, packing, quality, secrets, topk, toxicity
+from framelake.llm import collocations, jaccard, langid, line_dedup, lm, mixing, negatives, packing, qda, quality, secrets, topk, toxicity
 from framelake.llm import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,20 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(T.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(T.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = T.fold_of(modulus=5) == 0
+    return qda.classify(T.documents(spark, sf_dir), T.table(spark, sf_dir, "labels"), ~held_out).withColumn("held_out", held_out)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(T.documents(spark, sf_dir).select("lang", "text"))
+
+
 def _op1_sql() -> str:
     """One list of matches per rule, each with its place from the lengths of the gaps before it."""
     lists, texts = [], []
@@ -182,6 +196,64 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id
 FROM n JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON c.node = n.doc_id
 """
 
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (
+  SELECT min(n) AS n, vec_id, label, e FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id, label, e
+), s AS (
+  SELECT q.n, q.vec_id AS anchor_id, v.vec_id, v.label = q.label AS same,
+         CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM q JOIN v ON v.label <> q.label OR v.vec_id <> q.vec_id
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS slot FROM s WHERE same
+), r AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.n, p.slot ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.n = p.n AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+  WHERE p.slot <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 5
+"""
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+  )
+), g AS (
+  SELECT lang, k AS width, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4), (5)) AS s(k) WHERE len(w) >= k)
+), f AS (
+  SELECT lang, width, phrase, count(*) AS a FROM g GROUP BY ALL
+), n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE width = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE width > 1 AND a >= 100),
+inner_of AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, k, unnest(range(1, width - k + 2)) AS i FROM c, (VALUES (2), (3), (4)) AS s(k) WHERE k < width) GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN inner_of i ON i.lang = c.lang AND i.phrase = c.phrase WHERE i.longer IS NULL OR 100 * i.longer < 100 * c.a
+), cut AS (
+  SELECT kept.lang, kept.phrase, kept.a, n.n, k, l.a AS l, r.a AS r,
+         1000 * CAST(kept.a AS HUGEINT) * CAST(n.n AS HUGEINT) // (CAST(l.a AS HUGEINT) * CAST(r.a AS HUGEINT)) AS score
+  FROM (SELECT *, unnest(range(1, width)) AS k FROM kept) kept JOIN n ON n.lang = kept.lang
+  JOIN f l ON l.lang = kept.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN f r ON r.lang = kept.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+), low AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cut
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low WHERE place = 1
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -193,6 +265,16 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _op1_sql(), "op6_jaccard_join": OP6_SQL, "op9_mixing": OP9_SQL, "op10_exact_top_k": OP10_SQL}
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": _op1_sql(),
+    "op6_jaccard_join": OP6_SQL,
+    "op9_mixing": OP9_SQL,
+    "op10_exact_top_k": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op13_collocations": OP13_SQL,
+}
