@@ -1,28 +1,30 @@
-"""Line dedup: keys of MinHash bands and of SimHash pieces on normalised lines, verified by edit similarity.
+"""Line dedup: SimHashes of normalised lines, joined on pigeonhole blocks, verified by edit similarity.
 
 A line's normal form is its words with A-Z lowered and ASCII punctuation removed; lines without a normal
 form (blank or marks only) are always kept. Lines with equal normal forms are one line. Two lines are
 similar if the edit similarity of their normal forms, 1 - distance / longer length, is ``SIMILAR`` or more.
-Lines meet in two ways, and whatever meets is decided by edit similarity alone:
-
-- Bands: a signature of 40 MinHashes, over the distinct words (long ones weigh more) of lines of ``COARSE``
-  words or more, and over the runs of two and three characters of lines of up to ``FINE`` words or of
-  long words (scripts without spaces); in between both. Lines that share a band of some lanes are compared
-  by 16 more lanes and are candidates if ``AGREE`` of these agree. The number of lanes of a band grows with
-  the number of lines and the number of bands with it, so that a pair of the wanted word or run overlap
-  misses all bands with a chance of ``MISS``.
-- Pieces: the 64-bit SimHash over the distinct words of two lines may differ in ``NEAR`` bits. It is cut into
-  ``NEAR + intact`` pieces, of which some ``intact`` are equal in both, so every choice of ``intact`` pieces is a
-  key. Pairs that near meet for certain.
-
-Bands are a matter of chance with a fixed seed; README has the measured recall. All candidates
-are verified. Those that meet by pieces or of which ``STRONG`` lanes agree form clusters, inside which all pairs
-are decided by edit similarity; where the verified pairs span a cluster, it is one group and needs no more. Of each connected group one occurrence stays: the one with the smallest (doc_id, text hash, line number).
-
-Scale: occurrences are reduced map-side to one row per distinct line, so a line in a third of all
-documents is one row. Keys go to buckets in packed arrays, and a bucket emits a spanning forest of its
-matches, never all pairs of a group. Texts of candidates are fetched from the documents that hold them.
-Whole texts are never part of a shuffle but in the last join, which removes the lines.
+
+* Each line has three independent 64-bit SimHashes, over its distinct words if it has ``COARSE`` or more, over
+  its distinct pairs of neighbouring characters if it has up to ``FINE`` words or long ones (scripts without
+  spaces), and in between over both. Fewer than ``MIN_CHARS`` characters: similar only if equal.
+* The 192 bits are cut into blocks. A key is two equal blocks, so two lines whose differing bits leave some
+  pair of blocks intact meet for certain; which others meet is a matter of chance with a fixed seed. Blocks grow with the
+  logarithm of the number of lines, so that a key is shared by few lines at any size, and the number of keys
+  with them, so that a pair that differs in ``USUAL`` bits of 64 misses all keys with a chance of ``MISS`` (until
+  all pairs of blocks are used). README has the measured recall by size.
+* Pairs that meet are candidates if the shorter has ``SIMILAR`` of the other's length, without which they cannot be
+  similar, and one SimHash differs in ``GATE`` bits or fewer. All candidates are decided by their texts.
+
+Of a key's lines a forest of the candidates is verified first. Where a verified pair is missing to unite what
+the forest unites, a second pass forms every remaining candidate between different components of those lines and verifies it.
+Components are taken over verified pairs only. Of each group one occurrence stays: the one with the smallest (doc_id, text hash, line number).
+
+Scale: occurrences are reduced map-side to one row per distinct line, so a line in a third of all documents is
+one row. Keys are dealt to buckets in packed arrays. Before anything is sent, a task joins lines of one key that differ
+in ``TIGHT`` bits or fewer to one of them, which alone is sent: a key that holds a third of all lines because they
+vary one line is a few rows a task. A line that is near such a line and not near the one it stands for can still meet it in
+the other keys. Texts of candidates are fetched from the documents that hold them. Whole texts are never part of a shuffle but
+in the last join, which removes the lines.
 
 Nulls and ties: a null text stays null. A null id sorts first. Rows that repeat both id and text are one
 document and keep the same lines. Line ends are ``\\n``; what is kept is joined by it again. Empty input
@@ -32,7 +34,6 @@ gives an empty result. Output names that the table already has are replaced.
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,26 +43,23 @@ from pyspark.sql import functions as F
 
 from framelake.llm import exchange as X
 from framelake.llm import text as T
-from framelake.llm.graph import cluster_links, clustered, connected_components
+from framelake.llm.graph import connected_components, forest
 
-#: Bits of the SimHash in which lines of a cluster may differ: all, as edit similarity alone decides.
-BITS = 64
-NEAR = 3
 SIMILAR = 0.8
 MIN_WORDS = 1
 #: Lines of fewer characters are similar only if equal: one edit is more than a fifth of four characters, but not of five.
 MIN_CHARS = 4
-COARSE, FINE, LONG_WORD = 8, 12, 12
-LANES, AGREE, STRONG, MISS = 24, 5, 10, 0.03
-#: Overlap (Jaccard) of words, and of runs of characters, that similar lines are taken to have.
-OVERLAP = {"coarse": 0.6, "fine": 0.45}
-SMALL_RUN = 32
-BLOCK = 512
-PIVOTS = 8
+COARSE, FINE, LONG_WORD = 8, 10, 12
+SIMHASHES, USUAL, MISS = 3, 8, 0.03
+GATE, TIGHT = 14, 4
+#: Lines that share a key by chance, at most; rows of a key that are linked before they are sent.
+CROWD, LOCAL_RUN = 64, 32
+#: Runs of one key up to this size are compared shift by shift, larger ones row by row.
+SHORT_RUN = 256
 BUCKET_ROWS = 500_000
 FEW = 200_000
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-LINE = "doc_id long, text_hash long, line int, h1 long, h2 long, sim long, words int, chars int, coarse binary, fine binary"
+LINE = "doc_id long, text_hash long, line int, h1 long, h2 long, words int, chars int, coarse binary, fine binary"
 
 
 def normal(line: bytes) -> bytes:
@@ -69,67 +67,57 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.lower().translate(None, _MARKS).split())
 
 
-def simhashes(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash and number of words of normal forms, which must not be empty.
-
-    Bit i is set if it is set in the hashes of more than half of the line's distinct words. A word counts
-    once: otherwise the few most frequent words of a language would decide the hash of every long line.
-    """
-    words = [f.split() for f in forms]
-    kinds = [set(w) for w in words]
-    flat = T.hashed([w for k in kinds for w in k])
-    sizes = np.array([len(k) for k in kinds])
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > sizes[:, None], axis=1).view(np.uint64).ravel(), np.array([len(w) for w in words])
-
+_SEEDS = T.mixed(np.arange(1, SIMHASHES + 1, dtype=np.uint64))
+#: A byte as eight counters of 16 bits: bit i of the byte is counter i.
+_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint16).view(np.uint64)
 
-_SEEDS = T.mixed(np.arange(1, LANES + 17, dtype=np.uint64)) | np.uint64(1)
 
+def simhashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(lines, 3) SimHashes; line i has the next ``sizes[i]`` > 0 of the feature hashes ``flat``.
 
-def _signatures(flat: np.ndarray, weights: np.ndarray | None, sizes: np.ndarray) -> list[bytes]:
-    """24 MinHashes of a byte and 16 of half a byte for each run of ``sizes`` of the feature hashes ``flat``."""
+    Bit i is set if it is set in the hashes of more than half of the line's features. A feature counts
+    once: otherwise the few most frequent words of a language would decide the hash of every long line.
+    """
     starts = np.cumsum(sizes) - sizes
-    lanes = np.empty((len(sizes), LANES + 16), dtype=np.uint8)
-    for lane, seed in enumerate(_SEEDS):
-        value = flat * seed
-        value = ((value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
-        least = np.minimum.reduceat(value if weights is None else value // weights, starts)
-        lanes[:, lane] = (T.mixed(least) >> np.uint64(40)).astype(np.uint8)
-    halves = lanes[:, LANES:] & 15
-    whole = np.ascontiguousarray(np.hstack([lanes[:, :LANES], halves[:, ::2] << 4 | halves[:, 1::2]]))
-    return [r.tobytes() for r in whole]
-
-
-def _coarse(forms: list[bytes]) -> list[bytes]:
-    kinds = [list(set(f.split())) for f in forms]
-    words = [w for k in kinds for w in k]
-    sizes = np.array([len(w) for w in words])
-    return _signatures(T.hashed(words), np.clip(sizes - 2, 1, 4).astype(np.uint64), np.array([len(k) for k in kinds]))
-
-
-def _runs(form: str) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of two and three characters as numbers; the ends count as characters."""
+    out = np.empty((len(sizes), SIMHASHES), dtype=np.uint64)
+    wide = np.flatnonzero(sizes >= 1 << 16)  # too many for the counters
+    for k, seed in enumerate(_SEEDS):
+        hashes = T.mixed(flat + seed)
+        counters = _COUNTERS[hashes.view(np.uint8)].reshape(-1, 16)
+        ones = np.add.reduceat(counters, starts, axis=0).view(np.uint16).reshape(-1, 64)
+        out[:, k] = np.packbits(2 * ones.astype(np.int64) > sizes[:, None], axis=1).view(np.uint64).ravel()
+        for i in wide.tolist():
+            bits = np.unpackbits(hashes[starts[i] : starts[i] + sizes[i]].view(np.uint8).reshape(-1, 8), axis=1)
+            out[i, k] = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > sizes[i]).view(np.uint64)[0]
+    return out
+
+
+def _coarse(forms: list[bytes]) -> np.ndarray:
+    kinds = [set(f.split()) for f in forms]
+    return simhashes(T.hashed([w for k in kinds for w in k]), np.array([len(k) for k in kinds]))
+
+
+def _pairs_of(form: str) -> np.ndarray:
+    """Pairs of neighbouring characters as numbers; the ends count as characters."""
     codes = np.frombuffer(f"\n{form}\n".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    two = (codes[:-1] << np.uint64(21)) | codes[1:]
-    return two, (two[:-1] << np.uint64(21)) | codes[2:]
+    return (codes[:-1] << np.uint64(21)) | codes[1:]
 
 
-def _fine(forms: list[str]) -> list[bytes]:
-    runs = [np.concatenate(_runs(f)) for f in forms]
-    return _signatures(T.mixed(np.concatenate(runs)), None, np.array([len(r) for r in runs]))
+def _fine(forms: list[str]) -> np.ndarray:
+    kinds = [np.unique(_pairs_of(f)) for f in forms]
+    return simhashes(T.mixed(np.concatenate(kinds)), np.array([len(k) for k in kinds]))
 
 
-def signatures(forms: list[bytes]) -> tuple[np.ndarray, list[bytes | None], list[bytes | None]]:
-    """Number of characters, and the signatures over words and over characters of normal forms; none where it isn't used."""
+def signatures(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes | None], list[bytes | None]]:
+    """Numbers of words and characters, and the SimHashes over words and over characters of normal forms; none where not used."""
     texts = [f.decode("utf-8", "replace") for f in forms]
     chars, words = np.array([len(t) for t in texts]), np.array([f.count(b" ") + 1 for f in forms])
     out = []
     for chosen, make, given in ((words >= COARSE, _coarse, forms), ((words <= FINE) | (chars > LONG_WORD * words), _fine, texts)):
         chosen &= chars >= MIN_CHARS
         made = iter(make([g for g, c in zip(given, chosen) if c]) if chosen.any() else [])
-        out.append([next(made) if c else None for c in chosen])
-    return chars, *out
+        out.append([next(made).tobytes() if c else None for c in chosen])
+    return words, chars, *out
 
 
 def _lines(texts: list[str | None]) -> tuple[list[int], list[int], list[bytes]]:
@@ -153,202 +141,177 @@ def lines(docs: DataFrame) -> DataFrame:
                 which, number, forms = _lines(texts[start : start + 64])
                 if not forms:
                     continue
-                sims, sizes = simhashes(forms)
-                chars, coarse, fine = signatures(forms)
+                words, chars, coarse, fine = signatures(forms)
                 keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, forms)), dtype="<i8").reshape(-1, 2)
                 at = pa.array(np.array(which) + start)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(keys[:, 0].copy()),
-                     pa.array(keys[:, 1].copy()), pa.array(sims.view(np.int64)), pa.array(sizes, pa.int32()),
-                     pa.array(chars, pa.int32()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())],
-                    ["doc_id", "text_hash", "line", "h1", "h2", "sim", "words", "chars", "coarse", "fine"],
+                     pa.array(keys[:, 1].copy()), pa.array(words, pa.int32()), pa.array(chars, pa.int32()), pa.array(coarse, pa.binary()),
+                     pa.array(fine, pa.binary())],
+                    ["doc_id", "text_hash", "line", "h1", "h2", "words", "chars", "coarse", "fine"],
                 )
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, LINE)
 
 
-def masks(intact: int, bits: int = NEAR) -> list[int]:
-    """One mask of a 64-bit hash per choice of ``intact`` of its ``bits + intact`` pieces."""
-    pieces = bits + intact
-    cuts = [64 * i // pieces for i in range(pieces + 1)]
-    piece = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    return [sum(piece[i] for i in chosen) for chosen in combinations(range(pieces), intact)]
+def blocks(count: int) -> tuple[int, list[tuple[int, int]]]:
+    """Bits of a block, and the pairs of blocks that are the keys, for ``count`` lines."""
+    width = max(8, math.ceil((math.log2(max(count, 2)) - math.log2(CROWD)) / 2))
+    number = 64 * SIMHASHES // width
+    wanted = math.ceil(math.log(MISS) / math.log(1 - (1 - USUAL / 64) ** (2 * width)))
+    rng, chosen = np.random.default_rng(width), {}
+    while len(chosen) < min(wanted, number * (number - 1) // 2):
+        for a, b in rng.permutation(number)[: number // 2 * 2].reshape(-1, 2).tolist():  # each block in about as many keys
+            chosen[min(a, b), max(a, b)] = None
+    return width, list(chosen)[:wanted]
 
 
-def intact_pieces(count: int, bits: int = NEAR) -> int:
-    """The fewest pieces whose bits give a key more values than there are lines."""
-    return next((n for n in range(1, 9) if 64 * n / (bits + n) >= math.log2(max(count, 2))), 8)
+def block(sims: np.ndarray, width: int, number: int) -> np.ndarray:
+    """Block ``number`` of each row's 192 bits."""
+    word, at = divmod(number * width, 64)
+    out = sims[:, word] >> np.uint64(at)
+    if at + width > 64:
+        out = out | sims[:, word + 1] << np.uint64(64 - at)
+    return out & np.uint64((1 << width) - 1)
 
 
-def close(a: np.ndarray, b: np.ndarray, bits: int = NEAR) -> np.ndarray:
+def close(a: np.ndarray, b: np.ndarray, bits: int = GATE) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= bits
 
 
-def near(distinct: DataFrame, count: int, bits: int = NEAR, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (a, b) of a forest whose trees hold all pairs of ``distinct`` (node, sim) within reach."""
-    chosen = masks(intact_pieces(count, bits), bits)
-    buckets = max(1, math.ceil(count * len(chosen) / bucket_rows))
+def fit_length(shorter: np.ndarray, longer: np.ndarray, least: float) -> np.ndarray:
+    return longer - shorter <= np.floor((1 - least) * longer + 1e-9)
+
+
+def tight_links(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which rows are still to be sent, and links from a row that is sent to one that isn't) for rows in order of ``key``."""
+    stays = np.ones(len(key), dtype=bool)
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
+    sizes, left, right = np.diff(np.append(edge, len(key))), [], []
+    for start, n in zip(edge[sizes >= LOCAL_RUN].tolist(), sizes[sizes >= LOCAL_RUN].tolist()):
+        rest = np.arange(start, start + n)
+        while len(rest) >= LOCAL_RUN:
+            near = close(sim[rest], sim[rest[0]], TIGHT) & fit_length(np.minimum(chars[rest], chars[rest[0]]), np.maximum(chars[rest], chars[rest[0]]), least)
+            near[0] = False
+            stays[rest[near]] = False
+            left.append(np.full(int(near.sum()), rest[0])), right.append(rest[near])
+            rest = rest[1:][~near[1:]]
+    none = np.empty(0, dtype=np.int64)
+    return stays, np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def near_pairs(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, group: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates among rows in order of (key, chars): of each key a forest, or, with ``group``, all between two groups."""
+    left, right = [], []
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(edge, len(key)))
+    live = np.flatnonzero(np.repeat(sizes <= SHORT_RUN, sizes))
+    for step in range(1, min(SHORT_RUN, int(sizes.max(initial=1)))):
+        live = live[live + step < len(key)]
+        live = live[(key[live] == key[live + step]) & fit_length(chars[live], chars[live + step], least)]
+        if not len(live):
+            break
+        at = live[close(sim[live], sim[live + step])]
+        left.append(at), right.append(at + step)
+    for start, n in zip(edge[sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist()):
+        for a, found in _row_by_row(sim[start : start + n], chars[start : start + n], group is None, least):
+            left.append(np.full(len(found), start + a)), right.append(start + found)
+    none = np.empty(0, dtype=np.int64)
+    left, right = np.concatenate([none, *left]), np.concatenate([none, *right])
+    if group is not None:
+        apart = group[left] != group[right]
+        return left[apart], right[apart]
+    busy = np.repeat(np.bincount(np.searchsorted(edge, left, side="right") - 1, minlength=len(edge)) > 2, sizes)[left]
+    kept = np.array(forest(zip(left[busy].tolist(), right[busy].tolist()), len(key)), dtype=np.int64).reshape(-1, 2)
+    return np.concatenate([left[~busy], kept[:, 0]]), np.concatenate([right[~busy], kept[:, 1]])
+
+
+def _row_by_row(sim: np.ndarray, chars: np.ndarray, tree: bool, least: float):
+    """Each row of a long run with its candidates; for a tree, what is reached leaves the rest, so near copies need few looks."""
+    reach = np.searchsorted(chars, np.floor(chars / least + 1e-9), side="right")
+    if not tree:
+        for a in range(len(sim)):
+            found = a + 1 + np.flatnonzero(close(sim[a + 1 : reach[a]], sim[a]))
+            if len(found):
+                yield a, found
+        return
+    rest = np.arange(len(sim))
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            a = queue.pop()
+            low, high = np.searchsorted(rest, np.searchsorted(chars, np.ceil(chars[a] * least - 1e-9))), np.searchsorted(rest, reach[a])
+            hit = low + np.flatnonzero(close(sim[rest[low:high]], sim[a]))
+            if len(hit):
+                found = rest[hit]
+                yield a, found
+                queue += found.tolist()
+                rest = np.delete(rest, hit)
 
-    def send(batches):
-        held, size = [], 0
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
-            size += len(batch)
-            if size >= 200_000:
-                yield from parcels(held)
-                held, size = [], 0
-        if held:
-            yield from parcels(held)
 
-    def parcels(held):
-        node, sim = (np.concatenate(x) for x in zip(*held))
-        for number, mask in enumerate(chosen):
-            key = T.mixed((sim & np.uint64(mask)) + np.uint64(number))
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cut))
-            rows = [order[cut[b] : cut[b + 1]] for b in full]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int64)), pa.array(np.full(len(full), number, dtype=np.int32)), pa.array([node[r].tobytes() for r in rows], pa.binary()), pa.array([sim[r].tobytes() for r in rows], pa.binary())],
-                ["bucket", "mask", "nodes", "sims"],
-            )
+def alike(distinct: DataFrame, kind: str, count: int, least: float = SIMILAR, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Candidates (a, b) among ``distinct`` (node, chars, ``kind``); ``count`` lines decide the keys.
 
-    def match(bucket: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
-        which = bucket.column("mask").to_numpy()
-        nodes, sims = bucket.column("nodes").to_pylist(), bucket.column("sims").to_pylist()
-        for number in np.unique(which):
-            mine = np.flatnonzero(which == number)
-            node = np.concatenate([np.frombuffer(nodes[i], dtype=np.int64) for i in mine])
-            sim = np.concatenate([np.frombuffer(sims[i], dtype=np.uint64) for i in mine])
-            key = sim & np.uint64(chosen[number])
-            order = np.lexsort((sim, key))
-            node, sim, key = node[order], sim[order], key[order]
-            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            sizes = np.diff(np.append(edge, len(key)))
-            two = edge[sizes == 2]
-            two = two[close(sim[two], sim[two + 1], bits)]
-            found += zip(node[two].tolist(), node[two + 1].tolist())
-            for start, n in zip(edge[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                found += _run_edges(node[start : start + n], sim[start : start + n], lambda a, b: close(a, b, bits))
-        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    sent = distinct.select("node", "sim").mapInArrow(send, "bucket long, mask int, nodes binary, sims binary")
-    return sent.groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
-
-
-def _run_edges(node: np.ndarray, sim: np.ndarray, fits) -> list[tuple[int, int]]:
-    """A forest of the pairs within reach of one key; equal hashes lie side by side."""
-    new = np.append(True, sim[1:] != sim[:-1])
-    first = np.flatnonzero(new)
-    edges = list(zip(node[first][np.cumsum(new) - 1][~new].tolist(), node[~new].tolist()))
-    heads, kinds = node[first], sim[first]
-    return edges + [(int(heads[a]), int(heads[b])) for a, b in reached(kinds, lambda a, rest: rest[fits(kinds[a], kinds[rest])])]
-
-
-def bands(count: int, overlap: float) -> list[np.ndarray]:
-    """The lanes of each band for ``count`` lines; a lane tells about 64 values apart."""
-    width = max(2, min(6, round(math.log2(max(count, 2)) / 6)))
-    number = math.ceil(math.log(MISS) / math.log(1 - overlap**width))
-    rng = np.random.default_rng(width)
-    deals: list[np.ndarray] = []
-    while len(deals) < number:
-        deals += np.split(rng.permutation(LANES)[: LANES // width * width], LANES // width)
-    return deals[:number]
-
-
-def agree(a: np.ndarray, b: np.ndarray, least: int = AGREE) -> np.ndarray:
-    """Whether ``least`` or more of the sixteen half bytes of two sketches are equal."""
-    x = a ^ b
-    x = x | (x >> np.uint64(1))
-    x = (x | (x >> np.uint64(2))) & np.uint64(0x1111111111111111)
-    return np.bitwise_count(x) <= 16 - least
-
-
-def alike(distinct: DataFrame, kind: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Pairs (a, b, loose) of ``distinct`` (node, ``kind``) that share a band and agree; loose if not ``STRONG``.
-
-    Of a run of more than ``SMALL_RUN`` lines with one band, a forest of the strong pairs only: such runs are
-    near copies, or lines of frequent words that meet in other bands.
+    With a column ``component``: all candidates between different components. Without: a forest of each key's.
     """
-    rows = distinct.where(F.col(kind).isNotNull()).select("node", kind)
-    count = rows.count()
-    chosen = bands(count, OVERLAP[kind])
-    buckets = max(1, math.ceil(count * len(chosen) / bucket_rows))
+    rows = distinct.where(F.col(kind).isNotNull())
+    grouped = "component" in distinct.columns
+    width, keys = blocks(count)
+    buckets = max(1, math.ceil(rows.count() * len(keys) / bucket_rows))
 
     def send(batches):
         held, size = [], 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, LANES + 8)))
+            sims = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(-1, SIMHASHES)
+            group = batch.column(3).to_numpy() if grouped else np.zeros(len(batch), dtype=np.int64)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), sims, group))
             size += len(batch)
-            if size >= 100_000:
+            if size >= 200_000:
                 yield from parcels(held)
                 held, size = [], 0
         if held:
             yield from parcels(held)
 
     def parcels(held):
-        node, lanes = (np.concatenate(x) for x in zip(*held))
-        sketch = np.ascontiguousarray(lanes[:, LANES:]).view(np.uint64).ravel()
-        for number, band in enumerate(chosen):
-            key = np.full(len(node), number + 1, dtype=np.uint64)
-            for lane in band:
-                key = key << np.uint64(8) | lanes[:, lane]
-            key = T.mixed(key)
+        node, chars, sims, group = (np.concatenate(x) for x in zip(*held))
+        for number, (one, two) in enumerate(keys):
+            raw = (block(sims, width, one) << np.uint64(width) | block(sims, width, two)) + np.uint64(number << 2 * width)
+            key = T.mixed(raw)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             short = (key >> np.uint64(32)).astype(np.uint32)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((chars, short, bucket))
+            sim = np.ascontiguousarray(sims[order, 0])
+            left = right = np.empty(0, dtype=np.int64)
+            if not grouped:
+                stays, left, right = tight_links(key[order], sim, chars[order], least)
+                left, right, order, sim = node[order[left]], node[order[right]], order[stays], sim[stays]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cut))
-            parts = [order[cut[b] : cut[b + 1]] for b in full]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int64)), *[pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (node, short, sketch)]],
-                ["bucket", "nodes", "keys", "sketches"],
-            )
+            parts = [slice(cut[b], cut[b + 1]) for b in full]
+            columns = [node[order], short[order], sim, chars[order].astype(np.int32)] + ([group[order]] if grouped else [])
+            packed = [pa.array([X._zip(c[p].tobytes()) for p in parts] + ([X._zip(x.tobytes())] if len(left) else []), pa.binary()) for c, x in zip(columns[:2], (left, right))]
+            packed += [pa.array([X._zip(c[p].tobytes()) for p in parts] + ([None] if len(left) else []), pa.binary()) for c in columns[2:]]
+            packed += [] if grouped else [pa.nulls(len(packed[0]), pa.binary())]
+            where = np.append(full, number % buckets) if len(left) else full
+            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), *packed], ["bucket", "nodes", "keys", "sims", "chars", "groups"])
 
     def match(bucket: pa.Table) -> pa.Table:
-        node, key, sketch = (
-            np.frombuffer(b"".join(bucket.column(c).to_pylist()), dtype=t) for c, t in (("nodes", np.int64), ("keys", np.uint32), ("sketches", np.uint64))
-        )
-        order = np.lexsort((sketch, key))
-        node, key, sketch = node[order], key[order], sketch[order]
-        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(edge, len(key)))
-        left, right, loose = [], [], []
-        few = np.repeat(sizes <= SMALL_RUN, sizes)
-        for step in range(1, min(SMALL_RUN, sizes.max())):
-            at = np.flatnonzero((key[step:] == key[:-step]) & few[step:])
-            at = at[agree(sketch[at], sketch[at + step])]
-            left.append(node[at]), right.append(node[at + step]), loose.append(~agree(sketch[at], sketch[at + step], STRONG))
-        for start, n in zip(edge[sizes > SMALL_RUN].tolist(), sizes[sizes > SMALL_RUN].tolist()):
-            found = np.array(_run_edges(node[start : start + n], sketch[start : start + n], lambda a, b: agree(a, b, STRONG)), dtype=np.int64).reshape(-1, 2)
-            left.append(found[:, 0]), right.append(found[:, 1]), loose.append(np.zeros(len(found), dtype=bool))
-        none = np.empty(0, dtype=np.int64)
-        return pa.table({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right]), "loose": np.concatenate([none.astype(bool), *loose])})
-
-    sent = rows.mapInArrow(send, "bucket long, nodes binary, keys binary, sketches binary")
-    edges = sent.groupBy("bucket").applyInArrow(match, "a long, b long, loose boolean")
-    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "loose")
-
-
-def reached(items, partners) -> list[tuple[int, int]]:
-    """A spanning forest of ``items`` by breadth-first search; ``partners(a, rest)`` picks a's links among ``rest``.
-
-    What is reached leaves the rest, so a group whose members link closely is settled after few looks.
-    """
-    rest, edges = np.arange(len(items)), []
-    while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
-        while queue and len(rest):
-            a = queue.pop()
-            found = partners(a, rest)
-            if len(found):
-                edges += [(a, int(b)) for b in found]
-                queue += found.tolist()
-                rest = np.setdiff1d(rest, found, assume_unique=True)
-    return edges
+        linked = bucket.filter(bucket.column("sims").is_null())
+        plain = bucket.filter(bucket.column("sims").is_valid())
+        read = lambda rows, c, t: np.frombuffer(b"".join(map(X._unzip, rows.column(c).to_pylist())), dtype=t)
+        known = read(linked, "nodes", np.int64), read(linked, "keys", np.int64)
+        node, key, sim, chars = (read(plain, c, t) for c, t in (("nodes", np.int64), ("keys", np.uint32), ("sims", np.uint64), ("chars", np.int32)))
+        order = np.lexsort((chars, key))
+        node, key, sim, chars = node[order], key[order], sim[order], chars[order].astype(np.int64)
+        left = right = np.empty(0, dtype=np.int64)
+        if len(key):
+            left, right = near_pairs(key, sim, chars, read(plain, "groups", np.int64)[order] if grouped else None, least)
+        return pa.table({"a": np.concatenate([node[left], known[0]]), "b": np.concatenate([node[right], known[1]])})
+
+    sent = rows.select("node", "chars", kind, *(["component"] if grouped else []))
+    sent = sent.mapInArrow(send, "bucket long, nodes binary, keys binary, sims binary, chars binary, groups binary")
+    edges = sent.groupBy("bucket").applyInArrow(match, "a long, b long").where("a <> b")
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -398,7 +361,7 @@ def similar(a: str, b: str, least: float = SIMILAR) -> bool:
 def profiles(forms: list[str]) -> np.ndarray:
     """How often each of 128 kinds of two neighbouring characters occurs in each form."""
     sizes = np.array([max(len(f) - 1, 0) for f in forms])
-    runs = [_runs(f)[0][1:-1] for f in forms]
+    runs = [_pairs_of(f)[1:-1] for f in forms]
     kind = (T.mixed(np.concatenate(runs)) % np.uint64(128)).astype(np.int64)
     return np.bincount(np.repeat(np.arange(len(forms)), sizes) * 128 + kind, minlength=128 * len(forms)).reshape(-1, 128).astype(np.int32)
 
@@ -410,29 +373,6 @@ def possible(a: np.ndarray, b: np.ndarray, longer: np.ndarray, least: float) ->
     return np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1)) <= 2 * most
 
 
-def _linker(bits: int, least: float):
-    """A block of lines (node, sim, form, asks) to a forest of those equal by edit similarity."""
-
-    def run(block: pa.Table) -> pa.Table:
-        nodes, sims = block.column("node").to_numpy(), block.column("sim").to_numpy().view(np.uint64)
-        forms, asks = block.column("form").to_pylist(), block.column("asks").to_pylist()
-        across = None if asks[0] is None else np.array(asks)
-        sizes, profile = np.array([len(f) for f in forms]), profiles(forms)
-
-        def partners(a: int, rest: np.ndarray) -> np.ndarray:
-            if across is not None:
-                rest = rest[across[rest] != across[a]]
-            near = rest[close(sims[a], sims[rest], bits)]
-            near = near[possible(profile[near], profile[a], np.maximum(sizes[near], sizes[a]), least)]
-            return near[[similar(forms[a], forms[b], least) for b in near.tolist()]] if len(near) else near
-
-        kept = [(nodes[a], nodes[b]) for a, b in reached(nodes, partners)]
-        edge = np.array(kept, dtype=np.int64).reshape(-1, 2)
-        return pa.table({"a": edge[:, 0], "b": edge[:, 1]})
-
-    return run
-
-
 def forms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, form) for ``wanted`` (node, doc_id, text_hash, line), from the documents that hold the lines."""
     asked = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("line", "node")).alias("asked"))
@@ -468,28 +408,41 @@ def verified(candidates: DataFrame, placed: DataFrame, least: float) -> DataFram
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def removals(docs: DataFrame, bits: int = BITS, least: float = SIMILAR, min_words: int = MIN_WORDS) -> DataFrame:
+def similar_lines(docs: DataFrame, distinct: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(node, component) of the lines of ``distinct`` that are similar to another, directly or through others."""
+    count = distinct.count()
+
+    def decided(candidates: DataFrame) -> DataFrame:
+        named = candidates.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+        wanted = distinct.join(named, F.col("node") == F.col("_node")).select("node", "place.*")
+        return T.stored(verified(candidates, T.stored(forms(docs, wanted), "line-forms"), least), "line-links")
+
+    first = T.stored(alike(distinct, "coarse", count, least).unionAll(alike(distinct, "fine", count, least)).distinct(), "near-lines")
+    links = decided(first)
+    found = T.stored(connected_components(links), "line-groups")
+
+    # Lines that candidates unite and verified pairs don't: what else is between them is decided too.
+    cluster = T.stored(connected_components(first.join(links, ["a", "b"], "left_anti").unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b")))), "line-clusters")
+    state = cluster.join(found.select(F.col("node").alias("_n"), F.col("component").alias("_found")), F.col("node") == F.col("_n"), "left")
+    state = state.select(F.col("node").alias("_node"), F.col("component").alias("_cluster"), F.coalesce("_found", "node").alias("component"))
+    parted = state.groupBy(F.col("_cluster").alias("_open")).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    state = state.join(parted.where("n > 2 and low <> high").select("_open"), F.col("_cluster") == F.col("_open"))
+    still = T.stored(distinct.join(state, F.col("node") == F.col("_node")).select("node", "chars", "coarse", "fine", "component"), "open-lines")
+    more = alike(still, "coarse", count, least).unionAll(alike(still, "fine", count, least)).distinct().join(first, ["a", "b"], "left_anti")
+    return connected_components(links.unionAll(decided(T.stored(more, "more-near-lines"))))
+
+
+def removals(docs: DataFrame, least: float = SIMILAR, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, gone): the line numbers to remove. ``docs``: doc_id, text_hash, text."""
     every = T.stored(lines(docs), "lines")
     place = F.struct("doc_id", "text_hash", "line")
-    distinct = every.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("times"), F.first("sim").alias("sim"), *[F.first(c).alias(c) for c in ("words", "chars", "coarse", "fine")])
+    distinct = every.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("words", "chars", "coarse", "fine")])
     distinct = T.stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
-    long_enough = distinct.where((F.col("words") >= min_words) & (F.col("chars") >= MIN_CHARS))
-    pairs = near(long_enough, long_enough.count(), min(bits, NEAR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("loose"))
-    pairs = pairs.unionAll(alike(long_enough, "coarse")).unionAll(alike(long_enough, "fine"))
-    candidates = T.stored(pairs.groupBy("a", "b").agg(F.min("loose").alias("loose")), "near-lines")
-    named = candidates.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    wanted = long_enough.join(named, F.col("node") == F.col("_node")).select("node", "place.*")
-    texts = T.stored(forms(docs, wanted), "line-forms")
-    known = T.stored(verified(candidates, texts, least), "line-links")
-    placed = clustered(long_enough.select("node", "sim"), candidates.where(~F.col("loose")))
-    placed = placed.join(texts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("node", "sim", "form", "cluster", "members")
-    placed = T.stored(placed, "line-clusters")
-    found = connected_components(cluster_links(placed, ["sim", "form"], F.lit(0), _linker(bits, least), BLOCK, PIVOTS, known))
+    found = T.stored(similar_lines(docs, distinct.where((F.col("words") >= min_words) & (F.col("chars") >= MIN_CHARS)), least), "line-components")
     grouped = distinct.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("node", "component", "place")
     keeper = grouped.groupBy(F.col("component").alias("_c")).agg(F.min("place").alias("keeper"))
     grouped = grouped.join(keeper, F.col("component") == F.col("_c")).select(F.col("node").alias("_n"), "keeper")
-    distinct = distinct.join(grouped, F.col("node") == F.col("_n"), "left").withColumn("keeper", F.coalesce("keeper", "place"))
+    distinct = distinct.select("h1", "h2", "node", "place", "times").join(grouped, F.col("node") == F.col("_n"), "left").withColumn("keeper", F.coalesce("keeper", "place"))
     several = distinct.where((F.col("times") > 1) | (F.col("keeper") != F.col("place"))).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "keeper")
     gone = every.join(several, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(~place.eqNullSafe(F.col("keeper")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
@@ -499,10 +452,10 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def dedup(docs: DataFrame, bits: int = BITS, least: float = SIMILAR, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, least: float = SIMILAR, min_words: int = MIN_WORDS) -> DataFrame:
     """All documents; ``text`` without the lines removed, with n_lines and n_removed."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    gone = T.stored(removals(keyed, bits, least, min_words), "removals").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "gone")
+    gone = T.stored(removals(keyed, least, min_words), "removals").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "gone")
     rest = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
     joined = rest.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")), "left")
     parts = F.split("text", "\n", -1)
