@@ -488,29 +488,32 @@ OVER = """SELECT *, CASE WHEN ta=255 THEN tr WHEN ta=0 THEN ur ELSE CAST(floor((
   CASE WHEN ta=255 THEN ta WHEN ta=0 THEN ua ELSE CAST(floor((ta*255+ua*(255-ta))/255.0+0.5) AS INT) END AS na FROM """
 
 
-@query("h4_alpha_over", "indexed_pixels", f"""WITH pairs AS (SELECT t.frame_key, t.x, t.y, t.r AS tr, t.g AS tg, t.b AS tb, t.a AS ta,
-    u.r AS ur, u.g AS ug, u.b AS ub, u.a AS ua FROM indexed_pixels t JOIN (SELECT *, idx+1 AS nxt FROM indexed_pixels) u ON t.clip_id=u.clip_id AND t.idx=u.nxt AND t.x=u.x AND t.y=u.y)
-  SELECT frame_key, x, y, nr AS r, ng AS g, nb AS b, na AS a FROM ({OVER} pairs)""")
+def indexed_frames(spark, sf_dir):
+    """The packed frames with their position inside the clip."""
+    return X.packed_frames(spark, sf_dir).join(X.frames(spark, sf_dir).select("frame_key", "idx"), "frame_key")
+
+
+@query("h4_alpha_over", "indexed_pixels", f"""WITH pairs AS (SELECT frame_key, x, y, r AS tr, g AS tg, b AS tb, a AS ta,
+    lag(r) OVER p AS ur, lag(g) OVER p AS ug, lag(b) OVER p AS ub, lag(a) OVER p AS ua FROM indexed_pixels WINDOW p AS (PARTITION BY clip_id, x, y ORDER BY idx))
+  SELECT frame_key, x, y, nr AS r, ng AS g, nb AS b, na AS a FROM ({OVER} pairs WHERE ua IS NOT NULL)""")
 def h4(spark, sf_dir):
-    indexed = X.pixels(spark, sf_dir).join(X.frames(spark, sf_dir).select("frame_key", "idx"), "frame_key")
-    under = indexed.select("clip_id", (F.col("idx") + 1).alias("idx"), "x", "y", *[F.col(c).alias(f"u{c}") for c in C.CHANNELS])
-    pairs = indexed.join(under, ["clip_id", "idx", "x", "y"])
-    mixed = C.alpha_over(C.channels(), C.channels("u"))
-    return pairs.select("frame_key", "x", "y", *[mixed[c].alias(c) for c in C.CHANNELS])
-
-
-@query("h5_composite_layers", "indexed_pixels", f"""WITH l0 AS (SELECT clip_id, idx//3 AS grp, x, y, CASE WHEN a=255 THEN r WHEN a=0 THEN 0 ELSE r END AS ur,
-    CASE WHEN a=0 THEN 0 ELSE g END AS ug, CASE WHEN a=0 THEN 0 ELSE b END AS ub, a AS ua FROM indexed_pixels WHERE idx%3=0),
-  p1 AS (SELECT l0.*, coalesce(t.r,0) AS tr, coalesce(t.g,0) AS tg, coalesce(t.b,0) AS tb, coalesce(t.a,0) AS ta FROM l0
-    LEFT JOIN indexed_pixels t ON t.clip_id=l0.clip_id AND t.idx=grp*3+1 AND t.x=l0.x AND t.y=l0.y),
-  s1 AS (SELECT clip_id, grp, x, y, nr AS ur, ng AS ug, nb AS ub, na AS ua FROM ({OVER} p1)),
-  p2 AS (SELECT s1.*, coalesce(t.r,0) AS tr, coalesce(t.g,0) AS tg, coalesce(t.b,0) AS tb, coalesce(t.a,0) AS ta FROM s1
-    LEFT JOIN indexed_pixels t ON t.clip_id=s1.clip_id AND t.idx=grp*3+2 AND t.x=s1.x AND t.y=s1.y)
-  SELECT clip_id, grp, x, y, nr AS r, ng AS g, nb AS b, na AS a FROM ({OVER} p2)""")
+    indexed = indexed_frames(spark, sf_dir)
+    under = indexed.select("clip_id", (F.col("idx") + 1).alias("idx"), F.col("rgba").alias("under"))
+    pairs = indexed.join(under, ["clip_id", "idx"])
+    return P.explode_pixels(composite.alpha_over_frames(pairs).select("frame_key", "width", "height", "rgba"), ("frame_key",))
+
+
+LAYERS = ", ".join(f"max({c}) FILTER (WHERE idx%3={k}) AS {c}{k}" for k in range(3) for c in "rgba")
+
+
+@query("h5_composite_layers", "indexed_pixels", f"""WITH l AS (SELECT clip_id, idx//3 AS grp, x, y, {LAYERS} FROM indexed_pixels GROUP BY clip_id, idx//3, x, y),
+  p1 AS (SELECT *, coalesce(r1,0) AS tr, coalesce(g1,0) AS tg, coalesce(b1,0) AS tb, coalesce(a1,0) AS ta,
+    CASE WHEN a0=0 THEN 0 ELSE r0 END AS ur, CASE WHEN a0=0 THEN 0 ELSE g0 END AS ug, CASE WHEN a0=0 THEN 0 ELSE b0 END AS ub, a0 AS ua FROM l),
+  s1 AS (SELECT clip_id, grp, x, y, nr AS ur, ng AS ug, nb AS ub, na AS ua, coalesce(r2,0) AS tr, coalesce(g2,0) AS tg, coalesce(b2,0) AS tb, coalesce(a2,0) AS ta FROM ({OVER} p1))
+  SELECT clip_id, grp, x, y, nr AS r, ng AS g, nb AS b, na AS a FROM ({OVER} s1)""")
 def h5(spark, sf_dir):
-    indexed = X.pixels(spark, sf_dir).join(X.frames(spark, sf_dir).select("frame_key", "idx"), "frame_key")
-    layers = indexed.withColumn("grp", F.floor(F.col("idx") / 3).cast("long"))
-    return composite.composite_layers(layers, ["clip_id", "grp", "x", "y"], "idx")
+    layers = indexed_frames(spark, sf_dir).withColumn("grp", F.floor(F.col("idx") / 3).cast("long"))
+    return P.explode_pixels(composite.composite_layers(layers, ["clip_id", "grp"], "idx"), ("clip_id", "grp"))
 
 
 @query("w15_replay_disposal", "indexed_pixels", f"""WITH RECURSIVE prog AS (SELECT clip_id, idx//8 AS anim, idx%8 AS step, x, y, r, g, b, a,
@@ -527,18 +530,19 @@ def h5(spark, sf_dir):
           FROM st s JOIN prog p ON p.clip_id=s.clip_id AND p.anim=s.anim AND p.x=s.x AND p.y=s.y AND p.step=s.step+1))))
   SELECT clip_id, anim, x, y, step, r, g, b, a FROM st WHERE step>=0""")
 def w15(spark, sf_dir):
-    indexed = X.frames(spark, sf_dir).withColumns({
-        "anim": F.floor(F.col("idx") / 8).cast("long"), "step": F.col("idx") % 8,
-    })
-    rects = indexed.select(
-        "clip_id", "anim", "step",
-        (F.col("clip_id") % 3).cast("int").alias("rect_x"), (F.col("idx") % 2).cast("int").alias("rect_y"),
-        F.lit(SIDE).alias("rect_w"), F.lit(SIDE).alias("rect_h"),
+    indexed = indexed_frames(spark, sf_dir)
+    x, y = (F.col("clip_id") % 3).cast("int"), (F.col("idx") % 2).cast("int")
+    # The part of each frame from (x, y) on, as a patch that starts there.
+    patch = F.expr(f"array_join(transform(sequence(y, {SIDE - 1}), i -> substring(hex(rgba), 8*({SIDE}*i+x)+1, 8*({SIDE}-x))), '')")
+    frames = indexed.withColumns({"x": x, "y": y}).select(
+        "clip_id", F.floor(F.col("idx") / 8).cast("long").alias("anim"), (F.col("idx") % 8).alias("step"),
+        F.lit(SIDE).alias("canvas_w"), F.lit(SIDE).alias("canvas_h"),
+        F.col("x").alias("rect_x"), F.col("y").alias("rect_y"), (SIDE - F.col("x")).alias("rect_w"), (SIDE - F.col("y")).alias("rect_h"),
         F.element_at(F.array(F.lit("none"), F.lit("background"), F.lit("previous")), (F.col("idx") % 3 + 1).cast("int")).alias("dispose"),
-        F.when(F.col("idx") % 2 == 0, "source").otherwise("over").alias("blend"),
+        F.when(F.col("idx") % 2 == 0, "source").otherwise("over").alias("blend"), F.unhex(patch).alias("rgba"),
     )
-    patches = X.pixels(spark, sf_dir).drop("clip_id").join(indexed.select("frame_key", "clip_id", "anim", "step"), "frame_key")
-    return composite.replay_disposal(patches, rects, ["clip_id", "anim"])
+    tiles = composite.replay_disposal(frames, ["clip_id", "anim"])
+    return P.explode_pixels(composite.whole_pages(tiles, ["clip_id", "anim"]), ("clip_id", "anim", "step"))
 
 
 # Oracle components: every foreground pixel reaches the smallest raster index of its component.

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import as_frames, raster, rows
 from pyspark.sql import functions as F
@@ -147,13 +148,111 @@ def test_shifted_output_matches_its_source(spark):
     assert result.matches
 
 
+FRAMES = "anim long, step long, canvas_w int, canvas_h int, rect_x int, rect_y int, rect_w int, rect_h int, dispose string, blend string, rgba binary"
+
+
+def pages_of(spark, frames, **sizes):
+    pages = composite.whole_pages(composite.replay_disposal(spark.createDataFrame(frames, FRAMES), ["anim"], **sizes), ["anim"])
+    return {(r.anim, r.step): (r.width, r.height, bytes(r.rgba)) for r in pages.collect()}
+
+
 def test_disposal_previous_restores(spark):
-    patches = spark.createDataFrame([(1, s, 0, 0, v, 0, 0, 255) for s, v in enumerate([10, 20, 30])], "anim long, step long, x int, y int, r int, g int, b int, a int")
-    frames = spark.createDataFrame(
-        [(1, 0, 0, 0, 1, 1, "none", "source"), (1, 1, 0, 0, 1, 1, "previous", "source"), (1, 2, 5, 5, 1, 1, "none", "over")],
-        "anim long, step long, rect_x int, rect_y int, rect_w int, rect_h int, dispose string, blend string",
-    )
-    assert rows(composite.replay_disposal(patches, frames, ["anim"]), "step", "r") == [(0, 10), (1, 20), (2, 10)]
+    rects = [(0, 0, "none", "source"), (0, 0, "previous", "source"), (5, 5, "none", "over")]
+    frames = [(1, s, 6, 6, x, y, 1, 1, d, b, bytearray([v, 0, 0, 255])) for s, (v, (x, y, d, b)) in enumerate(zip((10, 20, 30), rects))]
+    pages = pages_of(spark, frames)
+    assert [(s, page[2][0]) for (_, s), page in sorted(pages.items())] == [(0, 10), (1, 20), (2, 10)]
+    assert all(page[:2] == (6, 6) and len(page[2]) == 144 for page in pages.values()) and pages[1, 2][2][-4] == 30
+
+
+def replayed(frames):
+    """Pages of one animation, a frame after the other on the whole canvas."""
+    canvas, out = None, []
+    for _, step, cw, ch, x, y, w, h, dispose, blend, rgba in frames:
+        canvas = np.zeros((ch, cw, 4), dtype=np.uint8) if canvas is None else canvas
+        page, patch = canvas.copy(), np.frombuffer(bytes(rgba), dtype=np.uint8).reshape(h, w, 4)
+        for dy in range(max(0, -y), min(h, ch - y)):
+            for dx in range(max(0, -x), min(w, cw - x)):
+                t, u = patch[dy, dx].astype(int), canvas[y + dy, x + dx].astype(int)
+                if blend == "source" or t[3] == 255:
+                    page[y + dy, x + dx] = t
+                elif t[3]:
+                    weight = t[3] * 255 + u[3] * (255 - t[3])
+                    page[y + dy, x + dx] = [*((2 * (t[:3] * t[3] * 255 + u[:3] * u[3] * (255 - t[3])) + weight) // (2 * weight)), (2 * weight + 255) // 510]
+        out.append(page.tobytes())
+        if dispose != "previous":
+            canvas = page.copy()
+            if dispose == "background":
+                canvas[max(y, 0) : max(y + h, 0), max(x, 0) : max(x + w, 0)] = 0
+    return out
+
+
+def random_animation(rng, anim, steps, width, height):
+    for step in range(steps):
+        w, h = int(rng.integers(1, width + 1)), int(rng.integers(1, height + 1))
+        x, y = int(rng.integers(-2, width)), int(rng.integers(-2, height))
+        patch = rng.integers(0, 256, (h, w, 4), dtype=np.uint8)
+        patch[:, :, 3] = rng.choice([0, 1, 100, 254, 255], (h, w))
+        yield anim, step, width, height, x, y, w, h, str(rng.choice(["none", "background", "previous"])), str(rng.choice(["source", "over", "over"])), bytearray(patch.tobytes())
+
+
+@pytest.mark.parametrize("tile, chunk", [(32, 128), (3, 4), (5, 1)])
+def test_replay_in_tiles_and_chunks_equals_one_pass(spark, tile, chunk):
+    rng = np.random.default_rng(tile)
+    animations = [list(random_animation(rng, i, n, w, h)) for i, (n, w, h) in enumerate([(17, 7, 5), (1, 3, 3), (9, 1, 8)])]
+    pages = pages_of(spark, [f for a in animations for f in a], tile=tile, chunk=chunk)
+    assert pages == {(i, s): (a[0][2], a[0][3], page) for i, a in enumerate(animations) for s, page in enumerate(replayed(a))}
+
+
+def test_programs_compose_in_any_grouping():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        some = []
+        for _ in range(6):
+            inside = rng.permutation(9)[: rng.integers(0, 9)]
+            patch = rng.integers(0, 256, (len(inside), 4), dtype=np.uint8)
+            patch[:, 3] = rng.choice([0, 7, 255], len(inside))
+            some.append(composite.Program.step(9, inside, patch, str(rng.choice(["none", "none", "background", "previous"])), str(rng.choice(["source", "over"]))))
+        canvas, cut = rng.integers(0, 256, (9, 4), dtype=np.uint8), int(rng.integers(1, 6))
+        left, right = composite.Program.keep(9), composite.Program.keep(9)
+        for one in some[:cut]:
+            left = left.then(one)
+        for one in some[cut:]:
+            right = right.then(one)
+        want = canvas
+        for one in some:
+            want = one.apply(want)
+        assert (left.then(right).apply(canvas) == want).all() and (right.apply(left.apply(canvas)) == want).all()
+
+
+def test_long_animation_needs_little_memory(spark):
+    def make(batches):
+        for batch in batches:
+            for step in batch.column(0).to_pylist():
+                patch = np.full((2, 1024, 4), (step % 251, 0, 0, 128 if step % 5 else 255), dtype=np.uint8)
+                yield pa.RecordBatch.from_pydict({
+                    "anim": pa.array([1]), "step": pa.array([step]), "canvas_w": pa.array([1024], pa.int32()), "canvas_h": pa.array([2], pa.int32()),
+                    "rect_x": pa.array([0], pa.int32()), "rect_y": pa.array([0], pa.int32()), "rect_w": pa.array([1024], pa.int32()), "rect_h": pa.array([2], pa.int32()),
+                    "dispose": ["none"], "blend": ["over"], "rgba": [patch.tobytes()],
+                })
+
+    frames = spark.range(0, composite.MAX_FRAMES, 1, 16).mapInArrow(make, FRAMES)
+    tiles = composite.replay_disposal(frames, ["anim"])
+    last = tiles.groupBy("step").agg(F.sum(F.length("rgba")).alias("n"), F.min(F.substring(F.hex("rgba"), 1, 8)).alias("low"), F.max(F.substring(F.hex("rgba"), -8, 8)).alias("high"))
+    about = last.agg(F.count("*").alias("steps"), F.min("n").alias("n"), F.count_if(F.col("low") != F.col("high")).alias("uneven")).first()
+    assert (about.steps, about.n, about.uneven) == (composite.MAX_FRAMES, 1024 * 2 * 4, 0)
+    assert composite.frame_limit(frames, ["anim"]).count() == 0
+    assert [r.code for r in composite.frame_limit(frames.unionByName(frames.limit(1)), ["anim"]).collect()] == ["FRAME_LIMIT"]
+
+
+def test_layers_fold_in_order(spark):
+    rng = np.random.default_rng(9)
+    stack = rng.integers(0, 256, (3, 4, 5, 4), dtype=np.uint8)
+    rows_in = [(1, i, 5, 4, bytearray(layer.tobytes())) for i, layer in enumerate(stack)]
+    got = composite.composite_layers(spark.createDataFrame(rows_in[::-1], "grp long, idx long, width int, height int, rgba binary"), ["grp"], "idx").first()
+    want = np.zeros((20, 4), dtype=np.uint8)
+    for layer in stack:
+        want = composite.over(layer.reshape(-1, 4), want)
+    assert bytes(got.rgba) == want.tobytes() and (got.width, got.height) == (5, 4)
 
 
 def test_source_over_rounds_half_up(spark):
