@@ -201,6 +201,45 @@ def retain_components(stats: DataFrame, policy: str, minimum: int = 1, frames: D
     return report.withColumn("code", code)
 
 
+RETAINED = "frame_key long, clip_id long, left int, top int, width int, height int, rgba binary, code string"
+
+
+def retained_pixels(
+    frames: DataFrame, background: Column, policy: str, minimum: int = 1, tolerance: int = 0, clear_matches: bool = True
+) -> DataFrame:
+    """``RETAINED``: what survives the policy, cropped to its box, all else transparent; a code instead where nothing may pass."""
+    if policy not in POLICIES:
+        raise ValueError(f"retention policy must be one of {POLICIES}")
+
+    def crop(raster, runs):
+        y, x0, x1, labels = runs
+        sizes = np.bincount(np.unique(labels, return_inverse=True)[1], weights=x1 - x0 + 1).astype(np.int64) if len(y) else np.empty(0, dtype=np.int64)
+        names = np.unique(labels)
+        eligible = sizes >= minimum
+        if not eligible.any():
+            return (None,) * 5 + ("NO_COMPONENT",)
+        if policy == "reject-multiple" and eligible.sum() > 1:
+            return (None,) * 5 + ("MULTIPLE_COMPONENTS",)
+        kept = names[[int(np.argmax(sizes))]] if policy == "largest" else names[eligible]
+        mine = np.isin(labels, kept)
+        y, x0, x1 = y[mine], x0[mine], x1[mine]
+        mask = np.zeros((raster.shape[0], raster.shape[1] + 1), dtype=np.int8)
+        np.add.at(mask, (y, x0), 1), np.add.at(mask, (y, x1 + 1), -1)
+        left, top, right, bottom = int(x0.min()), int(y.min()), int(x1.max()), int(y.max())
+        inside = np.cumsum(mask, axis=1)[top : bottom + 1, left : right + 1] > 0
+        return left, top, right - left + 1, bottom - top + 1, (raster[top : bottom + 1, left : right + 1] * inside[:, :, None]).tobytes(), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clips = dict(zip(batch.column("frame_key").to_pylist(), batch.column("clip_id").to_pylist()))
+            for frame_key, raster, runs in _labelled(batch, tolerance, clear_matches, None):
+                row = (frame_key, clips[frame_key], *crop(raster, runs))
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [p.split()[0] for p in RETAINED.split(", ")])
+
+    return _keyed(frames, background).mapInArrow(run, RETAINED)
+
+
 def build_candidates(stats: DataFrame, groups: DataFrame, low: int, high: int, frames: DataFrame | None = None) -> DataFrame:
     """Grouped and single components as candidates with weighted centroids, and the count-in-range verdict.
 

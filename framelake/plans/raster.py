@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelake.functions import color as C
-from framelake.operators import compare, components, composite, inspect
+from framelake.operators import compare, components, composite, inspect, tiles
 from framelake.operators import pixels as P
 from framelake.plans import fixtures as X
 from framelake.plans.catalog import query
@@ -566,6 +566,14 @@ def a4(spark, sf_dir):
     return components.component_stats(runs(spark, sf_dir)).select("frame_key", "clip_id", "label", "pixel_count")
 
 
+@query("a4_tiled_components", "pixels", f"{COMPONENTS} SELECT frame_key, clip_id, label, pixel_count, l AS left, t AS top, r AS right, b AS bottom FROM comp")
+def a4_tiled(spark, sf_dir):
+    """The frames as boards of four tiles."""
+    key = F.struct(*[F.lit(0).alias(c) for c in C.CHANNELS])
+    found = tiles.tiled_runs(tiles.cut_tiles(X.packed_frames(spark, sf_dir), 5), key, side=5)
+    return components.component_stats(found).select("frame_key", "clip_id", "label", "pixel_count", "left", "top", "right", "bottom")
+
+
 @query("a5_component_stats", "pixels", f"""{COMPONENTS} SELECT frame_key, clip_id, label, component_id, pixel_count, l AS left, t AS top, r AS right, b AS bottom,
   round(cx,6) AS centroid_x, round(cy,6) AS centroid_y, noise FROM named""")
 def a5(spark, sf_dir):
@@ -589,6 +597,16 @@ def a6(spark, sf_dir):
     return components.retain_components(components.component_stats(runs(spark, sf_dir)), "largest", 3, X.packed_frames(spark, sf_dir))
 
 
+@query("a6_retained_pixels", "pixels", f"""{COMPONENTS}, k AS (SELECT * FROM comp WHERE pixel_count>=3 QUALIFY row_number() OVER (PARTITION BY frame_key ORDER BY pixel_count DESC, label)=1),
+  g AS (SELECT k.frame_key, k.l, k.t, k.r-k.l+1 AS w, k.b-k.t+1 AS h, string_agg(CASE WHEN m.label=k.label THEN p.hex ELSE '00000000' END, '' ORDER BY p.y, p.x) AS hex
+    FROM k JOIN (SELECT *, {HEXES} AS hex FROM pixels) p ON p.frame_key=k.frame_key AND p.x BETWEEN k.l AND k.r AND p.y BETWEEN k.t AND k.b LEFT JOIN labelled m ON m.frame_key=p.frame_key AND m.x=p.x AND m.y=p.y GROUP BY ALL)
+  SELECT e.frame_key, clip_id, l AS left, t AS top, CAST(w AS INT) AS width, CAST(h AS INT) AS height, sha256(unhex(hex)) AS sha256, CASE WHEN g.frame_key IS NULL THEN 'NO_COMPONENT' END AS code
+  FROM {EVERY} e LEFT JOIN g ON g.frame_key=e.frame_key""")
+def a6_pixels(spark, sf_dir):
+    key = F.struct(*[F.lit(0).alias(c) for c in C.CHANNELS])
+    return digest(components.retained_pixels(X.packed_frames(spark, sf_dir), key, "largest", 3))
+
+
 CANDIDATES = f"""{COMPONENTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY frame_key ORDER BY pixel_count DESC, label) AS rk FROM named WHERE NOT noise),
   tagged AS (SELECT *, CASE WHEN rk<=2 THEN 'candidate-0001' END AS gid FROM ranked),
   numbered AS (SELECT *, row_number() OVER (PARTITION BY frame_key, gid IS NULL ORDER BY label) AS nth FROM tagged),

@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import as_frames, raster, rows
 from pyspark.sql import functions as F
 
+from framelake.operators import components, tiles
 from framelake.operators import components as K
 from framelake.operators import pixels as P
 
@@ -192,3 +194,79 @@ def test_an_ambiguous_key_is_a_failure_row_and_not_an_exception(spark):
     colour = F.when(F.col("frame_key") == 0, key((0, 255, 0, 255))).otherwise(key((9, 9, 0, 255)))
     assert {r.frame_key for r in K.component_runs(frames, colour, 8, minimum_dominance=24).collect()} == {0}
     assert rows(K.ambiguous_keys(frames, colour), "frame_key", "code") == [(1, "KEY_AMBIGUOUS")]
+
+
+def board_runs(spark, pixels, side, key, **options):
+    frames = as_frames(spark, pixels)
+    got = tiles.tiled_runs(tiles.cut_tiles(frames, side), key, side=side, **options)
+    return rows(got, "frame_key", "label", "y", "x0", "x1"), rows(components.component_runs(frames, key, **options), "frame_key", "label", "y", "x0", "x1")
+
+
+@pytest.mark.parametrize("side", [1, 7, 64])
+def test_tiles_are_labelled_as_in_one_pass(spark, side):
+    rng = np.random.default_rng(side)
+    boards = []
+    for width, height, share in ((23, 17, 0.6), (64, 3, 0.7), (9, 40, 0.5)):
+        board = raster(width, height, (0, 0, 0, 0))
+        board[rng.random((height, width)) < share] = (9, 9, 9, 255)
+        boards.append(board)
+    spiral = raster(15, 15, (0, 0, 0, 0))
+    for ring in range(0, 7, 2):
+        spiral[ring : 15 - ring, ring] = spiral[ring : 15 - ring, 14 - ring] = spiral[14 - ring, ring : 15 - ring] = (5, 5, 5, 255)
+        spiral[ring, ring : 14 - ring] = (5, 5, 5, 255)
+    key = F.struct(*[F.lit(0).alias(c) for c in "rgba"])
+    tiled, whole = board_runs(spark, [*boards, spiral, raster(4, 4, (0, 0, 0, 0))], side, key)
+    assert tiled == whole and len({r[1] for r in whole}) > 20
+    green = F.struct(F.lit(0).alias("r"), F.lit(255).alias("g"), F.lit(0).alias("b"), F.lit(255).alias("a"))
+    spilled = raster(10, 10)
+    spilled[2:9, 3] = (20, 90, 30, 255)
+    spilled[4, 1:9] = (200, 10, 10, 255)
+    tiled, whole = board_runs(spark, [spilled], side, green, tolerance=8, clear_matches=False, minimum_dominance=24)
+    assert tiled == whole and whole
+
+
+def test_a_large_board_is_labelled_tile_by_tile(spark):
+    """A board of 64 MiB that no task holds: a comb whose teeth meet in the last line, and single pixels between them."""
+    side, count = 512, 8
+
+    def draw(batches):
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                x, y = number % count * side, number // count * side
+                columns = np.arange(x, x + side)
+                tile = np.zeros((side, side, 4), dtype=np.uint8)
+                tile[:, columns % 8 == 0] = 255
+                tile[::16, columns % 8 == 4] = 255
+                if y == (count - 1) * side:
+                    tile[-1] = 255
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([1]), pa.array([2]), *[pa.array([v], pa.int32()) for v in (side * count, side * count, x, y, side, side)], pa.array([tile.tobytes()], pa.binary())],
+                    [p.split()[0] for p in tiles.TILES.split(", ")],
+                )
+
+    board = spark.range(0, count * count, 1, 8).mapInArrow(draw, tiles.TILES)
+    key = F.struct(*[F.lit(0).alias(c) for c in "rgba"])
+    stats = components.component_stats(tiles.tiled_runs(board, key, whole=False))
+    across = side * count
+    big = stats.orderBy(F.desc("pixel_count")).first()
+    assert (big.label, big.pixel_count, big.left, big.top, big.right, big.bottom) == (0, across // 8 * (across - 1) + across, 0, 0, across - 1, across - 1)
+    assert stats.count() == 1 + (across // 8) * (across // 16)
+
+
+@pytest.mark.parametrize("policy, size, code", [("all", (6, 3), None), ("largest", (2, 2), None), ("reject-multiple", None, "MULTIPLE_COMPONENTS")])
+def test_retained_pixels_are_cropped_and_the_rest_is_clear(spark, policy, size, code):
+    board = raster(8, 5, (0, 0, 0, 0))
+    board[1:3, 1:3] = (7, 8, 9, 255)
+    board[2, 5:7] = (1, 2, 3, 128)
+    board[3, 6] = (4, 4, 4, 255)
+    board[4, 0] = (6, 6, 6, 255)
+    key = F.struct(*[F.lit(0).alias(c) for c in "rgba"])
+    got = components.retained_pixels(as_frames(spark, [board]), key, policy, 2).first()
+    assert got.code == code and (None if size is None else (got.width, got.height)) == size
+    if size:
+        want = np.zeros((size[1], size[0], 4), dtype=np.uint8)
+        want[0:2, 0:2] = (7, 8, 9, 255)
+        if policy == "all":
+            want[1, 4:6], want[2, 5] = (1, 2, 3, 128), (4, 4, 4, 255)
+        assert bytes(got.rgba) == want.tobytes() and (got.left, got.top) == (1, 1)
+    assert components.retained_pixels(as_frames(spark, [raster(2, 2, (0, 0, 0, 0))]), key, policy).first().code == "NO_COMPONENT"
