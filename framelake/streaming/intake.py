@@ -7,8 +7,15 @@ cleans up state.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from framelake.streaming.edits import ROCKSDB, interval_ms
 
 
 def continuity_failures(frames: DataFrame, lateness: str) -> DataFrame:
@@ -43,12 +50,64 @@ def continuity_failures(frames: DataFrame, lateness: str) -> DataFrame:
     return broken.unionByName(late_start)
 
 
-def pixel_originals(frames: DataFrame) -> DataFrame:
+class Originals(StatefulProcessor):
+    """The first frame of one clip and hash, and how many came in; an event-time timer forgets them ``expire_ms`` after the last."""
+
+    def __init__(self, expire_ms: int | None):
+        self.expire_ms = expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "idx long, original long, copies long, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        idx, original, copies, last = self.kept.get() if self.kept.exists() else (None, None, 0, -1)
+        before = last
+        for frame in rows:
+            at = frame["ts"].astype("datetime64[ms]").astype("int64") if self.expire_ms is not None else [0] * len(frame)
+            for i, first, n, t in zip(frame["idx"], frame["original"], frame["copies"], at):
+                copies, last = copies + int(n), max(last, int(t))
+                if idx is None or int(i) < idx:
+                    idx, original = int(i), int(first)
+        self.kept.update((idx, original, copies, last))
+        if self.expire_ms is not None and last != before:
+            if before >= 0:
+                self.handle.deleteTimer(before + self.expire_ms)
+            self.handle.registerTimer(last + self.expire_ms)
+        yield pd.DataFrame({"clip_id": [key[0]], "sha256": [key[1]], "original": [original], "copies": [copies]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per clip and hash of a task's batch: the first frame, the number and the last time."""
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([batch]).sort_by("idx")
+            wanted = [("idx", "min"), ("frame_id", "first"), ("frame_id", "count"), ("ts", "max")]
+            merged = table.group_by(["clip_id", "sha256"], use_threads=False).aggregate(wanted)
+            columns = [merged.column(c).combine_chunks() for c in ("clip_id", "sha256", "idx_min", "frame_id_first", "frame_id_count", "ts_max")]
+            yield pa.RecordBatch.from_arrays(columns, ["clip_id", "sha256", "idx", "original", "copies", "ts"])
+
+
+def pixel_originals(frames: DataFrame, expire: str | None = None) -> DataFrame:
     """Running table of distinct pixel hashes per clip: the original frame and how many copies came in.
 
-    Copies are merged map-side before they reach the state, so a hash shared by a third of all
-    frames arrives as one row per task.
+    frames(clip_id, idx, frame_id, sha256[, ts]), without nulls. Copies are merged in their task before they reach the state, so
+    a hash shared by a third of all frames arrives as one row per batch of a task. With ``expire``, as in "30 days", a hash is
+    forgotten once the watermark of ``ts`` has passed its last frame by that much, and the next frame with it is a new original;
+    without, the state grows with the distinct hashes.
     """
-    return frames.groupBy("clip_id", "sha256").agg(
-        F.min_by("frame_id", "idx").alias("original"), F.count(F.lit(1)).alias("copies")
-    )
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    typed = frames.select("clip_id", "idx", "frame_id", "sha256", "ts" if expire else F.lit(None).cast("timestamp").alias("ts"))
+    merged = typed.mapInArrow(_merged, "clip_id long, sha256 string, idx long, original long, copies long, ts timestamp")
+    out = "clip_id long, sha256 string, original long, copies long"
+    if expire is None:
+        return merged.groupBy("clip_id", "sha256").transformWithStateInPandas(Originals(None), out, "update", "None")
+    keyed = merged.withWatermark("ts", "0 seconds").groupBy("clip_id", "sha256")
+    return keyed.transformWithStateInPandas(Originals(interval_ms(frames.sparkSession, expire)), out, "update", "EventTime")

@@ -77,6 +77,54 @@ def test_an_edit_behind_a_decided_one_is_stale(spark, tmp_path):
     assert rows(got, "seq", "head", "status") == [(3, "a", 409), (5, "a", 200), (6, "c", 200)]
 
 
+def batches(spark, parts, schema, folder):
+    """A stream that brings ``parts`` one after the other."""
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(folder / f"x={number}"))
+    return spark.readStream.schema(schema + ", x int").option("maxFilesPerTrigger", 1).parquet(str(folder)).drop("x")
+
+
+def test_edits_of_a_large_batch_are_ordered_in_the_state_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(edits, "IN_MEMORY", 7)
+    monkeypatch.setattr(edits, "ANSWER", 3)
+    log = [(1, n, "root" if n == 0 else f"s{n - 1}", f"s{n}", "root") for n in range(40)]
+    log[20] = (1, 20, "old", "s20", "root")
+    schema = "run_id long, seq long, base_sha string, sha256 string, root_sha string"
+    got = run(edits.accept_edits(batches(spark, [log[::-1]], schema, tmp_path / "in")), spark, tmp_path / "q")
+    want = [(n, 200 if n < 20 else 409) for n in range(40)]
+    assert sorted(rows(got, "seq", "status")) == want
+
+
+def test_held_edits_are_put_in_order_and_late_ones_answered(spark, tmp_path):
+    schema = "run_id long, seq long, base_sha string, sha256 string, root_sha string, second long"
+    parts = [
+        [(1, 2, "a", "b", "root", 20), (2, 1, "root", "z", "root", 20)],  # arrives before the edit it is based on
+        [(1, 1, "root", "a", "root", 15)],
+        [(9, 1, "root", "q", "root", 200)],
+        [(1, 3, "b", "c", "root", 30), (9, 2, "q", "r", "root", 400)],  # later than the watermark: answered at once
+        [(9, 3, "r", "s", "root", 900)],
+    ]
+    stream_ = batches(spark, parts, schema, tmp_path / "in").withColumn("ts", F.timestamp_seconds(F.col("second") + 1_700_000_000))
+    got = run(edits.accept_edits(stream_, hold="10 seconds"), spark, tmp_path / "q")
+    found = rows(got, "run_id", "seq", "head", "status")
+    assert [r for r in found if r[0] == 1] == [(1, 1, "a", 200), (1, 2, "b", 200), (1, 3, "c", 200)]
+    assert (2, 1, "z", 200) in found and (9, 1, "q", 200) in found
+    assert (9, 3, "s", 200) not in found  # still held: its time has not passed
+
+
+def test_originals_are_forgotten_after_their_time(spark, tmp_path):
+    schema = "clip_id long, idx long, frame_id long, sha256 string, second long"
+    parts = [[(1, 0, 10, "a", 0), (1, 1, 11, "a", 1), (1, 2, 12, "b", 2)], [(2, 0, 20, "a", 100)], [(2, 1, 21, "c", 101)], [(1, 3, 13, "a", 102)]]
+    for number, (expire, kept) in enumerate(((None, (10, 3)), ("10 seconds", (13, 1)))):
+        stream_ = batches(spark, parts, schema, tmp_path / f"in{number}").withColumn("ts", F.timestamp_seconds(F.col("second") + 1_700_000_000))
+        seen = []
+        keep = lambda batch, n: seen.extend((n, *r) for r in rows(batch, "clip_id", "sha256", "original", "copies"))  # noqa: E731, B023
+        query = intake.pixel_originals(stream_, expire).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / f"cp{number}")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        last = {(c, s): (o, n) for _, c, s, o, n in sorted(seen)}
+        assert last == {(1, "a"): kept, (1, "b"): (12, 1), (2, "a"): (20, 1), (2, "c"): (21, 1)}
+
+
 def test_a_frame_whose_predecessor_never_comes_is_reported(spark, tmp_path):
     schema = "clip_id long, idx long, frame_id long, start_ms long, duration_ms long, second long"
     frame = lambda i, second: (1, i, i, i * 50, 50, second)
