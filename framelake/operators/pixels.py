@@ -287,18 +287,23 @@ def trunc_half(value: Column) -> Column:
     return (F.signum(value) * F.floor(F.abs(value) / 2)).cast("int")
 
 
-def apply_edit(pixels: DataFrame, size: int, turns: Column, scale: Column, dx: Column, dy: Column, canvas: int) -> DataFrame:
+def apply_edit(
+    pixels: DataFrame, size: int | tuple, turns: Column, scale: Column, dx: Column, dy: Column, canvas: int | tuple[int, int]
+) -> DataFrame:
     """Clockwise quarter turns, integer scale, centring with truncation, translation; off-canvas pixels dropped.
 
-    ``size`` is the side of the square source raster.
+    ``size`` is the side of square source rasters or their (width, height), numbers or columns; ``canvas`` likewise, in numbers.
     """
-    x, y, last = F.col("x"), F.col("y"), size - 1
-    turn = F.pmod(turns, F.lit(4))
-    rx = F.when(turn == 1, last - y).when(turn == 2, last - x).when(turn == 3, y).otherwise(x)
-    ry = F.when(turn == 1, x).when(turn == 2, last - y).when(turn == 3, last - x).otherwise(y)
-    start = trunc_half(F.lit(canvas) - F.lit(size) * scale)
+    width, height = (F.lit(v) if isinstance(v, int) else v for v in (size if isinstance(size, tuple) else (size, size)))
+    across, down = canvas if isinstance(canvas, tuple) else (canvas, canvas)
+    x, y, turn = F.col("x"), F.col("y"), F.pmod(turns, F.lit(4))
+    rx = F.when(turn == 1, height - 1 - y).when(turn == 2, width - 1 - x).when(turn == 3, y).otherwise(x)
+    ry = F.when(turn == 1, x).when(turn == 2, height - 1 - y).when(turn == 3, width - 1 - x).otherwise(y)
+    on_side = turn % 2 == 1
+    left = trunc_half(F.lit(across) - F.when(on_side, height).otherwise(width) * scale)
+    top = trunc_half(F.lit(down) - F.when(on_side, width).otherwise(height) * scale)
     placed = (
-        pixels.withColumns({"_rx": rx, "_ry": ry, "_s": scale, "_left": start + dx, "_top": start + dy})
+        pixels.withColumns({"_rx": rx, "_ry": ry, "_s": scale, "_left": left + dx, "_top": top + dy})
         .withColumn("_dx", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
         .withColumn("_dy", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
     )
@@ -306,7 +311,7 @@ def apply_edit(pixels: DataFrame, size: int, turns: Column, scale: Column, dx: C
     ty = F.col("_top") + F.col("_ry") * F.col("_s") + F.col("_dy")
     others = [c for c in pixels.columns if c not in ("x", "y")]
     return placed.select(*others, tx.cast("int").alias("x"), ty.cast("int").alias("y")).filter(
-        (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < canvas) & (F.col("y") < canvas)
+        (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < across) & (F.col("y") < down)
     )
 
 

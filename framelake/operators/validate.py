@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def scale_consistency(pairs: DataFrame) -> DataFrame:
     """Every frame of a clip must come out at one and the same whole-number scale.
 
-    pairs(clip_id, src_width, src_height, out_width, out_height)
+    pairs(clip_id, src_width, src_height, out_width, out_height); a frame without a size, being empty, is broken.
     """
     whole = (F.col("out_width") % F.col("src_width") == 0) & (F.col("out_height") % F.col("src_height") == 0)
     sx = F.floor(F.col("out_width") / F.col("src_width"))

@@ -61,26 +61,25 @@ def v21(spark, sf_dir):
 
 
 def run_warnings(spark, sf_dir):
-    """Loop seams awaiting review, and plain notices."""
-    events = X.table(spark, sf_dir, "events").filter("event_type='signup'")
-    return events.select(
-        F.col("user_id").alias("run_id"), F.when(F.col("value") > 55, "HUMAN_REVIEW_REQUIRED").otherwise("NOTICE").alias("code"),
-        (F.col("value") > 90).alias("requires_review"),
+    """One warning per event: those awaiting review, and plain notices."""
+    return X.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run_id"), F.when(F.col("value") > 150, "HUMAN_REVIEW_REQUIRED").otherwise("NOTICE").alias("code"),
+        (F.col("value") > 180).alias("requires_review"),
     )
 
 
-@query("a20_exit_class", "failures", f"""WITH {CLASSIFIED}, f AS (SELECT run_id, max(CASE WHEN value<80 AND correction NOT IN {REVIEW_SQL} THEN 3 ELSE 2 END) AS m FROM classified WHERE value>70 GROUP BY run_id),
-  w AS (SELECT user_id AS run_id, max(CASE WHEN value>55 THEN 1 ELSE 0 END) AS m FROM events WHERE event_type='signup' GROUP BY 1)
+@query("a20_exit_class", "failures", f"""WITH {CLASSIFIED}, f AS (SELECT run_id, max(CASE WHEN value<80 AND correction NOT IN {REVIEW_SQL} THEN 3 ELSE 2 END) AS m FROM classified GROUP BY run_id),
+  w AS (SELECT user_id AS run_id, max(CASE WHEN value>150 THEN 1 ELSE 0 END) AS m FROM events GROUP BY 1)
   SELECT run_id, CASE WHEN greatest(coalesce(f.m,0), coalesce(w.m,0))=3 THEN 3 WHEN greatest(coalesce(f.m,0), coalesce(w.m,0))>0 THEN 4 ELSE 0 END AS exit_class
   FROM (SELECT DISTINCT user_id AS run_id FROM events) LEFT JOIN f USING (run_id) LEFT JOIN w USING (run_id)""")
 def a20(spark, sf_dir):
-    failed = classified(spark, sf_dir).filter("value>70").withColumn("requires_review", F.col("value") >= 80)
+    failed = classified(spark, sf_dir).withColumn("requires_review", F.col("value") >= 80)
     runs = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"))
     return learning.exit_class(failed, run_warnings(spark, sf_dir), runs)
 
 
 @query("v18_promotion_eligible", "", """WITH r AS (SELECT user_id AS run_id, max(value)<200 AS passed, count(*)>40 AS proven FROM events GROUP BY 1),
-  w AS (SELECT user_id AS run_id, bool_or(value>55) AS o FROM events WHERE event_type='signup' GROUP BY 1)
+  w AS (SELECT user_id AS run_id, bool_or(value>150) AS o FROM events GROUP BY 1)
   SELECT run_id, coalesce(o,false) AS review_required, passed AND proven AND NOT coalesce(o,false) AS eligible FROM r LEFT JOIN w USING (run_id)""")
 def v18(spark, sf_dir):
     reports = X.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id")).agg(
@@ -269,12 +268,12 @@ def coded(df, code):
     return df.select(code.alias("code"))
 
 
-@query("u4_all_failures", "failures", f"""WITH {CLASSIFIED} SELECT 'classified' AS rule_set, run_id, idx, code, correction, CAST(NULL AS BIGINT) AS revision FROM classified WHERE correction='repad'
+@query("u4_all_failures", "failures", f"""WITH {CLASSIFIED} SELECT 'classified' AS rule_set, run_id, idx, code, correction, CAST(NULL AS BIGINT) AS revision FROM classified
   UNION ALL SELECT 'chain', run_id, NULL, 'BROKEN_CHAIN', NULL, revision FROM ({ORACLES['w6_verify_revision_chain']}) WHERE NOT valid""")
 def u4(spark, sf_dir):
     broken = records.w6(spark, sf_dir).filter("NOT valid").select("run_id", F.lit("BROKEN_CHAIN").alias("code"), "revision")
-    repads = classified(spark, sf_dir).filter("correction='repad'").select("run_id", "idx", "code", "correction")
-    return validate.all_failures({"classified": repads, "chain": broken})
+    found = classified(spark, sf_dir).select("run_id", "idx", "code", "correction")
+    return validate.all_failures({"classified": found, "chain": broken})
 
 
 @query("v9_contract_run_v1", "pixels runtime_pixels", report_sql({

@@ -90,10 +90,9 @@ def p6(spark, sf_dir):
 
 @query("p7_upscale_nearest", "pixels", """SELECT frame_key, x, y, r, g, b, a FROM (
   SELECT frame_key, CAST(x*2+dx AS INT) AS x, CAST(y*2+dy AS INT) AS y, r, g, b, a
-  FROM pixels, (VALUES (0),(1)) u(dx), (VALUES (0),(1)) w(dy)) WHERE a>0""")
+  FROM pixels, (VALUES (0),(1)) u(dx), (VALUES (0),(1)) w(dy))""")
 def p7(spark, sf_dir):
-    visible = X.pixels(spark, sf_dir).filter("a>0").drop("clip_id")
-    return P.upscale_nearest(visible, 2)
+    return P.upscale_nearest(X.pixels(spark, sf_dir).drop("clip_id"), 2)
 
 
 @query("p8_collapse_grid", "runtime_pixels", f"""SELECT frame_key, clip_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, r, g, b, a,
@@ -168,12 +167,11 @@ def p11_pixels(spark, sf_dir):
     SELECT *, CAST(1+clip_id%2 AS INT) AS s,
       CASE turn WHEN 1 THEN 7-y WHEN 2 THEN 7-x WHEN 3 THEN y ELSE x END AS rx,
       CASE turn WHEN 1 THEN x WHEN 2 THEN 7-y WHEN 3 THEN 7-x ELSE y END AS ry
-    FROM (SELECT *, clip_id%4 AS turn FROM pixels WHERE a>0)),
+    FROM (SELECT *, clip_id%4 AS turn FROM pixels)),
   (VALUES (0),(1)) u(dx), (VALUES (0),(1)) w(dy) WHERE dx<s AND dy<s) WHERE x BETWEEN 0 AND 10 AND y BETWEEN 0 AND 10""")
 def p12(spark, sf_dir):
-    visible = X.pixels(spark, sf_dir).filter("a>0")
     return P.apply_edit(
-        visible, SIDE,
+        X.pixels(spark, sf_dir), SIDE,
         turns=F.col("clip_id").cast("int") % 4 - 4,
         scale=(1 + F.col("clip_id") % 2).cast("int"),
         dx=(F.col("frame_key") % 3 - 1).cast("int"),
@@ -364,15 +362,14 @@ def a12(spark, sf_dir):
     return P.frame_hash(X.packed_frames(spark, sf_dir)).select("frame_key", "clip_id", "sha256")
 
 
-@query("a16_scale_consistency", "pixels", f"""WITH {BOX}, derived AS (SELECT frame_key, clip_id, CASE WHEN frame_key%9=0 THEN w*3 ELSE w*2 END AS ow, h*2 AS oh, w, h FROM box),
-  scaled AS (SELECT frame_key, clip_id, ow%w=0 AND oh%h=0 AND ow//w>=1 AND ow//w=oh//h AS ok, ow//w AS s FROM derived)
+@query("a16_scale_consistency", "pixels", f"""WITH {BOX}, derived AS (SELECT frame_key, clip_id, CASE WHEN frame_key%9=0 THEN w*3 ELSE w*2 END AS ow, h*2 AS oh, w, h FROM {EVERY} LEFT JOIN box USING (frame_key, clip_id)),
+  scaled AS (SELECT frame_key, clip_id, coalesce(ow%w=0 AND oh%h=0 AND ow//w>=1 AND ow//w=oh//h, false) AS ok, ow//w AS s FROM derived)
   SELECT clip_id, count(*) FILTER (NOT ok) AS broken_frames, count(DISTINCT s) FILTER (ok) AS scales,
   CASE WHEN count(*) FILTER (NOT ok)>0 OR count(DISTINCT s) FILTER (ok)>1 THEN 'GLOBAL_SCALE_DRIFT' END AS code FROM scaled GROUP BY clip_id""")
 def a16(spark, sf_dir):
     from framelake.operators.validate import scale_consistency
 
-    box = boxes(spark, sf_dir).filter(F.col("width").isNotNull())
-    pairs = box.select(
+    pairs = boxes(spark, sf_dir).select(
         "frame_key", "clip_id", F.col("width").alias("src_width"), F.col("height").alias("src_height"),
         F.when(F.col("frame_key") % 9 == 0, F.col("width") * 3).otherwise(F.col("width") * 2).alias("out_width"),
         (F.col("height") * 2).alias("out_height"),

@@ -328,3 +328,18 @@ def test_placed_pixels_move_scale_and_stop_at_the_canvas(spark):
     assert rows(fitted, "frame_key", "width", "height", "code") == [(0, 3, 4, None), (1, 3, 4, None)]
     lost = P.fitted_frames(frames, P.fit_canvas(P.explode_pixels(frames), 2, 2), 2, 2)
     assert rows(lost, "frame_key", "rgba", "code")[0] == (0, None, "CANVAS_OVERFLOW")
+
+
+@pytest.mark.parametrize("turns", [0, 1, 2, 3, -1])
+def test_edits_of_frames_that_are_not_square(spark, turns):
+    rng = np.random.default_rng(turns + 9)
+    source = rng.integers(0, 256, (3, 5, 4), dtype=np.uint8)
+    pixels = P.explode_pixels(as_frames(spark, [source]).withColumns({"w": F.col("width"), "h": F.col("height")}), ("frame_key", "w", "h"))
+    got = P.apply_edit(pixels, (F.col("w"), F.col("h")), F.lit(turns), F.lit(2), F.lit(1), F.lit(-2), (9, 12))
+    turned = np.rot90(source, -turns).repeat(2, axis=0).repeat(2, axis=1)
+    left, top = int((9 - turned.shape[1]) / 2) + 1, int((12 - turned.shape[0]) / 2) - 2
+    want = [
+        (left + x, top + y, *turned[y, x].tolist())
+        for y in range(turned.shape[0]) for x in range(turned.shape[1]) if 0 <= left + x < 9 and 0 <= top + y < 12
+    ]
+    assert sorted(tuple(r) for r in got.select("x", "y", "r", "g", "b", "a").collect()) == sorted(want)
