@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelake.operators.runs import Rule, differs, failures, judged, missing
+
 
 def scale_consistency(pairs: DataFrame) -> DataFrame:
     """Every frame of a clip must come out at one and the same whole-number scale.
@@ -49,49 +51,70 @@ def intermediate_colours(source: DataFrame, output: DataFrame) -> DataFrame:
     return merged.groupBy("frame_key").agg(F.sum("fresh").alias("intermediate"))
 
 
-def flat_frame_failures(
-    canonical: DataFrame, runtime: DataFrame, records: DataFrame, intermediate: DataFrame, blocks: DataFrame,
-    size: tuple[int, int], scale: int, pivot: tuple[int, int], margin: int = 1,
+def flat_rules(size: tuple[int, int], scale: int, pivot: tuple[int, int], margin: int = 1) -> list[Rule]:
+    """The per-frame rules of a flat run over the rows of ``flat_frame_facts``."""
+    w, h = size
+
+    def clipped(p: str, width: int, height: int, m: int, stage: str) -> Rule:
+        box = ", ".join(f"{p}_{n}" for n in ("left", "top", "right", "bottom"))
+        broken = f"{p}_left < {m} or {p}_top < {m} or {p}_right >= {width - m} or {p}_bottom >= {height - m}"
+        return Rule("CLIPPED_FOREGROUND", stage, broken, f"concat_ws(',', {box})", f"'{m},{m},{width - m - 1},{height - m - 1}'")
+
+    def sized(p: str, width: int, height: int, stage: str) -> Rule:
+        return Rule("CANVAS_SIZE", stage, f"{p}_image_width <> {width} or {p}_image_height <> {height}", f"concat_ws('x', {p}_image_width, {p}_image_height)", f"'{width}x{height}'")
+
+    recorded, measured = (f"concat_ws(',', {', '.join(f'{p}_{n}' for n in ('left', 'top', 'width', 'height'))})" for p in ("rec", "c"))
+    return [
+        missing("FRAME_COUNT", "runtime-missing", "r_sha256"),
+        missing("METADATA_MISMATCH", "record-missing", "recorded"),
+        missing("INTERMEDIATE_COLORS", "source-missing", "intermediate"),
+        sized("c", w, h, "canonical"),
+        differs("BASELINE_DRIFT", "canonical", "c_bottom", str(pivot[1] - 1)),
+        clipped("c", w, h, margin, "canonical"),
+        Rule("METADATA_MISMATCH", "normalization", "rec_left <> c_left or rec_top <> c_top or rec_width <> c_width or rec_height <> c_height", recorded, measured),
+        Rule("PALETTE_DRIFT", "canonical", "c_drift_colours > 0", "c_drift_colours", "0"),
+        sized("r", w * scale, h * scale, "runtime"),
+        Rule("NON_INTEGER_SCALE", "runtime", f"r_image_width % {w} <> 0 or r_image_height % {h} <> 0 or r_image_width * {h} <> r_image_height * {w}",
+             "concat_ws('x', r_image_width, r_image_height)", f"'a multiple of {w}x{h}'"),
+        differs("BASELINE_DRIFT", "runtime", "r_bottom", str(pivot[1] * scale - 1)),
+        clipped("r", w * scale, h * scale, margin * scale, "runtime"),
+        Rule("BACKGROUND_REMAINS", "runtime", "r_border_pixels > 0 or r_key_pixels > 0", "r_border_pixels + r_key_pixels", "0"),
+        Rule("INTERMEDIATE_COLORS", "runtime", "intermediate > 0 or not matches", "intermediate", "0"),
+        Rule("PALETTE_DRIFT", "runtime", "r_drift_colours > 0", "r_drift_colours", "0"),
+        differs("SOURCE_HASH_MISMATCH", "metadata", "rec_sha256", "c_sha256"),
+        differs("TIMING_MISMATCH", "metadata", "frame_duration", "duration"),
+        Rule("LANDMARK_DRIFT", "canonical", "abs(landmark_x - target_x) > 0 or abs(landmark_y - target_y) > 0",
+             "concat_ws(',', landmark_x, landmark_y)", "concat_ws(',', target_x, target_y)"),
+    ]
+
+
+def flat_frame_facts(
+    canonical: DataFrame, runtime: DataFrame, records: DataFrame, intermediate: DataFrame, blocks: DataFrame, landmarks: DataFrame | None = None
 ) -> DataFrame:
-    """Per-frame rules of a flat run.
+    """One row per canonical frame with everything the rules read; parts that a frame lacks are null, and no frame is lost.
 
     canonical, runtime: frame_measures; records(frame_key, rec_left, rec_top, rec_width, rec_height,
     rec_sha256, frame_duration, duration); intermediate(frame_key, intermediate);
-    blocks(frame_key, mismatches, matches).
+    blocks(frame_key, mismatches, matches); landmarks(frame_key, landmark_x, landmark_y, target_x, target_y), where the frame's landmark lies
+    after placement and where the contract wants it.
     """
-    w, h = size
     c = canonical.select("frame_key", "clip_id", *[F.col(n).alias(f"c_{n}") for n in canonical.columns if n not in ("frame_key", "clip_id")])
     r = runtime.select("frame_key", *[F.col(n).alias(f"r_{n}") for n in runtime.columns if n not in ("frame_key", "clip_id")])
-    wide = c.join(r, "frame_key").join(records, "frame_key").join(intermediate, "frame_key").join(
-        blocks.select("frame_key", "matches"), "frame_key"
-    )
-    col = F.col
+    wide = c.join(r, "frame_key", "left").join(records.withColumn("recorded", F.lit(True)), "frame_key", "left")
+    wide = wide.join(intermediate, "frame_key", "left").join(blocks.select("frame_key", "matches"), "frame_key", "left")
+    if landmarks is None:
+        return wide.withColumns({n: F.lit(None).cast("int") for n in ("landmark_x", "landmark_y", "target_x", "target_y")})
+    return wide.join(landmarks, "frame_key", "left")
 
-    def clipped(p: str, width, height, m: int):
-        return (col(f"{p}_left") < m) | (col(f"{p}_top") < m) | (col(f"{p}_right") >= width - m) | (col(f"{p}_bottom") >= height - m)
 
-    rules = {
-        ("CANVAS_SIZE", "canonical"): (col("c_image_width") != w) | (col("c_image_height") != h),
-        ("BASELINE_DRIFT", "canonical"): col("c_bottom") != pivot[1] - 1,
-        ("CLIPPED_FOREGROUND", "canonical"): clipped("c", w, h, margin),
-        ("METADATA_MISMATCH", "normalization"): (col("rec_left") != col("c_left")) | (col("rec_top") != col("c_top"))
-        | (col("rec_width") != col("c_width")) | (col("rec_height") != col("c_height")),
-        ("PALETTE_DRIFT", "canonical"): col("c_drift_colours") > 0,
-        ("CANVAS_SIZE", "runtime"): (col("r_image_width") != w * scale) | (col("r_image_height") != h * scale),
-        ("NON_INTEGER_SCALE", "runtime"): (col("r_image_width") % w != 0) | (col("r_image_height") % h != 0)
-        | (col("r_image_width") * h != col("r_image_height") * w),
-        ("BASELINE_DRIFT", "runtime"): col("r_bottom") != pivot[1] * scale - 1,
-        ("CLIPPED_FOREGROUND", "runtime"): clipped("r", w * scale, h * scale, margin * scale),
-        ("BACKGROUND_REMAINS", "runtime"): (col("r_border_pixels") > 0) | (col("r_key_pixels") > 0),
-        ("INTERMEDIATE_COLORS", "runtime"): (col("intermediate") > 0) | ~col("matches"),
-        ("PALETTE_DRIFT", "runtime"): col("r_drift_colours") > 0,
-        ("SOURCE_HASH_MISMATCH", "metadata"): col("rec_sha256") != col("c_sha256"),
-        ("TIMING_MISMATCH", "metadata"): col("frame_duration") != col("duration"),
-    }
-    found = F.array_compact(F.array(*[
-        F.when(broken, F.struct(F.lit(code).alias("code"), F.lit(stage).alias("stage"))) for (code, stage), broken in rules.items()
-    ]))
-    return wide.select("clip_id", "frame_key", F.explode(found).alias("f")).select("clip_id", "frame_key", "f.*")
+def flat_frame_failures(
+    canonical: DataFrame, runtime: DataFrame, records: DataFrame, intermediate: DataFrame, blocks: DataFrame,
+    size: tuple[int, int], scale: int, pivot: tuple[int, int], margin: int = 1, landmarks: DataFrame | None = None,
+) -> DataFrame:
+    """(clip_id, frame_key, code, stage) of the per-frame rules of a flat run; ``runs.failures`` also has what was measured."""
+    facts = flat_frame_facts(canonical, runtime, records, intermediate, blocks, landmarks)
+    found = failures(judged(facts, flat_rules(size, scale, pivot, margin)), ["clip_id", "frame_key"])
+    return found.select("clip_id", "frame_key", "code", "stage")
 
 
 def flat_clip_failures(clips: DataFrame, size: tuple[int, int], scale: int, pivot: tuple[int, int]) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framelake.operators import compare, corrections, learning, production, validate
+from framelake.operators import compare, corrections, learning, production, runs, validate
 from framelake.operators import pixels as P
+from framelake.operators.runs import Rule
 from framelake.plans import fixtures as X
 from framelake.plans import raster, records, timelines
 from framelake.plans.catalog import ORACLES, query
@@ -276,6 +277,52 @@ def u4(spark, sf_dir):
     return validate.all_failures({"classified": found, "chain": broken})
 
 
+#: A run is an order, its artifacts are the order's lines; parts may be missing.
+RUN_FACTS = """SELECT row_number() OVER () AS n, o_orderkey AS run_id, l_partkey AS clip_id, l_linenumber AS ord, CAST(l_quantity*10 AS BIGINT) AS duration_ms, CAST(round(l_discount*100) AS BIGINT) AS drift,
+  CAST(round(l_tax*100) AS BIGINT) AS tax, p_size AS canvas, s_suppkey AS socket_id, l_suppkey AS wanted_socket FROM lineitem JOIN orders ON o_orderkey=l_orderkey
+  LEFT JOIN part ON p_partkey=l_partkey LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal>=0) s ON s_suppkey=l_suppkey"""
+RUN_RULES = [
+    Rule("SOCKET_MISSING", "contract", "socket_id is null", "'missing'", "wanted_socket"),
+    Rule("TIMING_MISMATCH", "metadata", "duration_ms not between 30 and 480", "duration_ms", "'30..480'"),
+    Rule("CANVAS_SIZE", "canonical", "canvas > 48", "canvas", "'at most 48'"),
+    Rule("PALETTE_DRIFT", "canonical", "drift > 9", "drift", "'at most 9'"),
+    Rule("LOOP_SEAM", "preview", "tax > 6", "tax", "'at most 6'", review=True),
+]
+RUN_FOUND = " UNION ALL ".join(
+    f"SELECT n, run_id, clip_id, ord, '{r.code}' AS code, '{r.stage}' AS stage, CAST({r.actual} AS VARCHAR) AS actual, CAST({r.expected} AS VARCHAR) AS expected, {str(r.review).lower()} AS review FROM facts WHERE {r.broken}"
+    for r in RUN_RULES
+)
+
+
+def run_ledger(spark, sf_dir):
+    lines, orders, parts, suppliers = (X.table(spark, sf_dir, t) for t in ("lineitem", "orders", "part", "supplier"))
+    sockets = suppliers.where("s_acctbal >= 0").select(F.col("s_suppkey").alias("socket_id"))
+    wide = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+    wide = wide.join(sockets, F.col("l_suppkey") == F.col("socket_id"), "left")
+    facts = wide.select(
+        F.col("o_orderkey").alias("run_id"), F.col("l_partkey").alias("clip_id"), F.col("l_linenumber").alias("ord"), (F.col("l_quantity") * 10).cast("long").alias("duration_ms"),
+        F.round(F.col("l_discount") * 100).cast("long").alias("drift"), F.round(F.col("l_tax") * 100).cast("long").alias("tax"), F.col("p_size").alias("canvas"),
+        "socket_id", F.col("l_suppkey").alias("wanted_socket"),
+    )
+    return runs.judged(facts, RUN_RULES)
+
+
+@query("v9_run_failures", "", f"WITH facts AS ({RUN_FACTS}) SELECT * EXCLUDE (n) FROM ({RUN_FOUND})")
+def v9_failures(spark, sf_dir):
+    return runs.failures(run_ledger(spark, sf_dir), ["run_id", "clip_id", "ord"])
+
+
+@query("v9_run_verdicts", "", f"""WITH facts AS ({RUN_FACTS}), found AS ({RUN_FOUND}),
+  n AS (SELECT run_id, count(*) AS artifacts FROM facts GROUP BY run_id),
+  f AS (SELECT run_id, count(*) FILTER (NOT review) AS failures, count(*) FILTER (review) AS reviews, count(DISTINCT n) FILTER (NOT review) AS broken,
+    string_agg(DISTINCT code, ',' ORDER BY code) FILTER (NOT review) AS codes FROM found GROUP BY run_id)
+  SELECT o_orderkey AS run_id, coalesce(artifacts,0) AS artifacts, coalesce(broken,0) AS broken_artifacts, coalesce(failures,0) AS failures, coalesce(reviews,0) AS reviews, coalesce(codes,'') AS codes,
+    coalesce(failures,0)=0 AS passed, CASE WHEN coalesce(failures,0)>0 THEN 3 WHEN coalesce(reviews,0)>0 THEN 4 ELSE 0 END AS exit_class
+  FROM orders LEFT JOIN n ON n.run_id=o_orderkey LEFT JOIN f ON f.run_id=o_orderkey""")
+def v9_verdicts(spark, sf_dir):
+    return runs.verdicts(run_ledger(spark, sf_dir), X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id")))
+
+
 @query("v9_contract_run_v1", "pixels runtime_pixels", report_sql({
     "flat": ("code", ORACLES["v8_flat_frame_rules"]),
     "coverage": ("'METADATA_MISMATCH'", ORACLES["j5_ordered_coverage"]),
