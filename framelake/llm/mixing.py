@@ -7,7 +7,8 @@ r is below (budget - what the earlier ones hold) / (weight of it and the later o
 
 ``plan`` queues the documents. Each source's documents are shuffled by a hash of the id and queued
 ``most`` times over; a copy's virtual finish time is the words its source has queued so far, divided
-by the source's target. All copies are ordered by that time and cut where the budget ends. Time only
+by the source's target. All copies are ordered by that time and cut where the budget ends; the copy that
+crosses it is taken if that comes nearer, so the total is within half a document of the budget. Time only
 rises along a source's queue, so what the cut takes of a source is a prefix of each pass: one key per
 source and pass. Documents are then taken by comparing their key with their source's cuts.
 
@@ -97,7 +98,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
 
 
 def _before_cut(timed: DataFrame, budget: float) -> Column:
-    """Whether a copy is taken: the order is by finish, then source; copies are taken while they fit the budget.
+    """Whether a copy is taken: the order is by finish, then source; copies are taken if more than half of them fits the budget.
 
     The time axis is cut into slices, the slice in which the budget ends into slices again, until few
     copies are left in it; only those are put in order.
@@ -115,7 +116,7 @@ def _before_cut(timed: DataFrame, budget: float) -> Column:
             break
         low, width = low + over.slice * width, width / SLICES
     running = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("finish", "source_rank", "pass", "key"))
-    placed = edge.withColumn("_fits", running + used <= budget)
+    placed = edge.withColumn("_fits", 2 * (running + used) - F.col("size") < 2 * budget)
     last = placed.where("_fits").orderBy(F.desc("finish"), F.desc("source_rank")).first()
     if last is None:
         return F.col("finish") < edge.agg(F.min("finish")).first()[0]

@@ -168,7 +168,7 @@ WITH d AS (
 ), g AS (
   SELECT *, sum(size) OVER (ORDER BY finish, rank, pass, key) AS running, (SELECT sum(size) FROM u) AS everything FROM f
 ), k AS (
-  SELECT source, key, CAST(count(*) FILTER (WHERE running <= 1.5::DOUBLE * everything) AS BIGINT) AS copies FROM g GROUP BY source, key
+  SELECT source, key, CAST(count(*) FILTER (WHERE 2 * running - size < 2 * 1.5::DOUBLE * everything) AS BIGINT) AS copies FROM g GROUP BY source, key
 )
 SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target,
        CAST(CASE WHEN d.size > 0 THEN coalesce(k.copies, 0) * d.size ELSE 0 END AS BIGINT) AS taken
