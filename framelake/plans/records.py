@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import hashing as H
 from framelake.functions import text as S
-from framelake.operators import compare, paths, provenance, settings
+from framelake.operators import compare, documents, paths, provenance, settings
 from framelake.plans import fixtures as X
 from framelake.plans.catalog import query
 
@@ -282,3 +282,30 @@ def u1(spark, sf_dir):
     return compare.set_difference(
         X.view(spark, sf_dir, "artifacts_left"), X.view(spark, sf_dir, "artifacts_right"), ["path", "sha256"]
     )
+
+
+#: One document per order: its lines, and under every line a source that may hold keys and paths it must not.
+DOCUMENTS_SQL = """SELECT l_orderkey AS doc, to_json(struct(l_orderkey AS id, collect_list(struct(l_linenumber AS line, CASE WHEN l_linenumber=3 THEN 1 END AS odd,
+    struct(CASE WHEN l_suppkey%2=0 THEN concat('/private/', l_suppkey) ELSE concat('runs/', l_suppkey) END AS path, CASE WHEN l_quantity>40 THEN 'x' END AS api_key, CASE WHEN l_linenumber<>5 THEN 1 END AS sha) AS source)) AS lines)) AS text
+  FROM lineitem GROUP BY l_orderkey"""
+SHAPES = ["id", "lines", "lines[].line", "lines[].source", "lines[].source.path", "lines[].source.sha"]
+
+
+def nested(spark, sf_dir):
+    lines = X.table(spark, sf_dir, "lineitem")
+    return documents.walk(spark.sql(DOCUMENTS_SQL.replace("FROM lineitem", "FROM {lines}"), lines=lines), ["doc"], "text")
+
+
+@query("v14_closed_schema_nested", "", """SELECT l_orderkey AS doc, CASE WHEN l_linenumber=3 THEN 'lines[].odd' END AS a, CASE WHEN l_quantity>40 THEN 'lines[].source.api_key' END AS b,
+  CASE WHEN l_linenumber=5 THEN 'lines[].source.sha' END AS c FROM lineitem""".join(["WITH e AS (", """)
+  SELECT doc, place, problem, count(*) AS n FROM (SELECT doc, a AS place, 'unknown' AS problem FROM e UNION ALL SELECT doc, b, 'unknown' FROM e UNION ALL SELECT doc, c, 'missing' FROM e) WHERE place IS NOT NULL GROUP BY ALL"""]))
+def v14_nested(spark, sf_dir):
+    found = documents.closed_schema(nested(spark, sf_dir), ["doc"], SHAPES)
+    place = F.regexp_replace("place", r"\[\d+\]", "[]").alias("place")
+    return found.select("doc", place, "problem").groupBy("doc", "place", "problem").agg(F.count("*").alias("n"))
+
+
+@query("p18_private_content_nested", "", """SELECT doc, problem, count(*) AS n FROM (
+  SELECT l_orderkey AS doc, 'secret-key' AS problem FROM lineitem WHERE l_quantity>40 UNION ALL SELECT l_orderkey, 'private-path' FROM lineitem WHERE l_suppkey%2=0) GROUP BY ALL""")
+def p18_nested(spark, sf_dir):
+    return documents.private_content(nested(spark, sf_dir), ["doc"]).groupBy("doc", "problem").agg(F.count("*").alias("n"))
