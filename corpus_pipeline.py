@@ -3,6 +3,13 @@
 ``STAGES`` lists the stages in order; each takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last keep the columns of
 documents.
+
+Nulls: a null text is an empty one; it passes the first two stages unchanged, is linked with nothing, has no
+words to be mixed and so leaves in the mix, like every text without words. Rows with a null id are judged like others;
+those of one source share a place in the mixing queue. A null source is a source of its own, a null language or length is
+kept. Repeated rows are one document for line dedup and near copies (one stays), and are classified and packed one by one.
+An empty table gives an empty result at every stage. Extra columns are kept up to the last stage, whatever their names:
+results of the stages are never taken from, or put into, a column of documents but text and n_chars.
 """
 
 from __future__ import annotations

@@ -10,10 +10,10 @@ similar if the edit similarity of their normal forms, 1 - distance / longer leng
 * The 192 bits are cut into blocks. A key is two equal blocks, so two lines whose differing bits leave some
   pair of blocks intact meet for certain; which others meet is a matter of chance with a fixed seed. Blocks grow with the
   logarithm of the number of lines, so that a key is shared by few lines at any size, and the number of keys
-  with them, so that a pair that differs in ``USUAL`` bits of 64 misses all keys with a chance of ``MISS`` (until
+  with them, so that a pair that differs in ``USUAL`` bits of 64 (more for short lines) misses all keys with a chance of ``MISS`` (until
   all pairs of blocks are used). README has the measured recall by size.
 * Pairs that meet are candidates if the shorter has ``SIMILAR`` of the other's length, without which they cannot be
-  similar, and one SimHash differs in ``GATE`` bits or fewer. All candidates are decided by their texts.
+  similar, and their SimHashes differ in few bits (``GATES``, ``ALL_BITS``). All candidates are decided by their texts.
 
 Of a key's lines a forest of the candidates is verified first. Where a verified pair is missing to unite what
 the forest unites, a second pass forms every remaining candidate between different components of those lines and verifies it.
@@ -50,8 +50,15 @@ MIN_WORDS = 1
 #: Lines of fewer characters are similar only if equal: one edit is more than a fifth of four characters, but not of five.
 MIN_CHARS = 4
 COARSE, FINE, LONG_WORD = 8, 10, 12
-SIMHASHES, USUAL, MISS = 3, 8, 0.03
-GATE, TIGHT = 14, 4
+SIMHASHES, MISS = 3, 0.03
+#: Bits of 64 in which similar lines are taken to differ.
+USUAL = {"coarse": 8, "fine": 11}
+#: How many of the three SimHashes decide whether a pair is a candidate, and the bits they may differ in. Few words leave
+#: few bits to chance, so all lines over words are told apart by one; short lines of one language share most pairs of characters.
+GATES = {"coarse": (1, 14), "fine": (3, 37)}
+#: Bits of all 192 in which a candidate may differ.
+ALL_BITS = 40
+TIGHT = 4
 #: Lines that share a key by chance, at most; rows of a key that are linked before they are sent.
 CROWD, LOCAL_RUN = 64, 32
 #: Runs of one key up to this size are compared shift by shift, larger ones row by row.
@@ -68,8 +75,8 @@ def normal(line: bytes) -> bytes:
 
 
 _SEEDS = T.mixed(np.arange(1, SIMHASHES + 1, dtype=np.uint64))
-#: A byte as eight counters of 16 bits: bit i of the byte is counter i.
-_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint16).view(np.uint64)
+#: A byte as eight counters, of 8 or 16 bits each: bit i of the byte is counter i.
+_COUNTERS = {t: np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(t).view(np.uint64) for t in (np.uint8, np.uint16)}
 
 
 def simhashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -80,15 +87,21 @@ def simhashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """
     starts = np.cumsum(sizes) - sizes
     out = np.empty((len(sizes), SIMHASHES), dtype=np.uint64)
-    wide = np.flatnonzero(sizes >= 1 << 16)  # too many for the counters
-    for k, seed in enumerate(_SEEDS):
-        hashes = T.mixed(flat + seed)
-        counters = _COUNTERS[hashes.view(np.uint8)].reshape(-1, 16)
-        ones = np.add.reduceat(counters, starts, axis=0).view(np.uint16).reshape(-1, 64)
-        out[:, k] = np.packbits(2 * ones.astype(np.int64) > sizes[:, None], axis=1).view(np.uint64).ravel()
-        for i in wide.tolist():
-            bits = np.unpackbits(hashes[starts[i] : starts[i] + sizes[i]].view(np.uint8).reshape(-1, 8), axis=1)
-            out[i, k] = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > sizes[i]).view(np.uint64)[0]
+    for kind, few, many in ((np.uint8, 1, 1 << 8), (np.uint16, 1 << 8, 1 << 16)):
+        mine = np.flatnonzero((sizes >= few) & (sizes < many))
+        if not len(mine):
+            continue
+        own = flat if len(mine) == len(sizes) else np.concatenate([flat[s : s + n] for s, n in zip(starts[mine].tolist(), sizes[mine].tolist())])
+        begin = np.cumsum(sizes[mine]) - sizes[mine]
+        half = (sizes[mine] // 2).astype(kind)[:, None]
+        for k, seed in enumerate(_SEEDS):
+            counters = _COUNTERS[kind][T.mixed(own + seed).view(np.uint8)].reshape(len(own), -1)
+            ones = np.add.reduceat(counters, begin, axis=0).view(kind).reshape(-1, 64)
+            out[mine, k] = np.packbits(ones > half, axis=1).view(np.uint64).ravel()
+    for i in np.flatnonzero(sizes >= 1 << 16).tolist():  # too many for the counters
+        for k, seed in enumerate(_SEEDS):
+            bits = np.unpackbits(T.mixed(flat[starts[i] : starts[i] + sizes[i]] + seed).view(np.uint8).reshape(-1, 8), axis=1)
+            out[i, k] = np.packbits(bits.sum(axis=0, dtype=np.int64) > sizes[i] // 2).view(np.uint64)[0]
     return out
 
 
@@ -137,8 +150,8 @@ def lines(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for start in range(0, len(texts), 64):
-                which, number, forms = _lines(texts[start : start + 64])
+            for start in range(0, len(texts), 16):
+                which, number, forms = _lines(texts[start : start + 16])
                 if not forms:
                     continue
                 words, chars, coarse, fine = signatures(forms)
@@ -154,11 +167,11 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, LINE)
 
 
-def blocks(count: int) -> tuple[int, list[tuple[int, int]]]:
+def blocks(count: int, kind: str = "coarse") -> tuple[int, list[tuple[int, int]]]:
     """Bits of a block, and the pairs of blocks that are the keys, for ``count`` lines."""
     width = max(8, math.ceil((math.log2(max(count, 2)) - math.log2(CROWD)) / 2))
     number = 64 * SIMHASHES // width
-    wanted = math.ceil(math.log(MISS) / math.log(1 - (1 - USUAL / 64) ** (2 * width)))
+    wanted = math.ceil(math.log(MISS) / math.log(1 - (1 - USUAL[kind] / 64) ** (2 * width)))
     rng, chosen = np.random.default_rng(width), {}
     while len(chosen) < min(wanted, number * (number - 1) // 2):
         for a, b in rng.permutation(number)[: number // 2 * 2].reshape(-1, 2).tolist():  # each block in about as many keys
@@ -175,8 +188,9 @@ def block(sims: np.ndarray, width: int, number: int) -> np.ndarray:
     return out & np.uint64((1 << width) - 1)
 
 
-def close(a: np.ndarray, b: np.ndarray, bits: int = GATE) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= bits
+def close(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Whether rows of SimHashes differ in ``bits`` or fewer, all together."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= bits
 
 
 def fit_length(shorter: np.ndarray, longer: np.ndarray, least: float) -> np.ndarray:
@@ -191,7 +205,7 @@ def tight_links(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, least: floa
     for start, n in zip(edge[sizes >= LOCAL_RUN].tolist(), sizes[sizes >= LOCAL_RUN].tolist()):
         rest = np.arange(start, start + n)
         while len(rest) >= LOCAL_RUN:
-            near = close(sim[rest], sim[rest[0]], TIGHT) & fit_length(np.minimum(chars[rest], chars[rest[0]]), np.maximum(chars[rest], chars[rest[0]]), least)
+            near = close(sim[rest], sim[rest[0]], TIGHT * sim.shape[1]) & fit_length(np.minimum(chars[rest], chars[rest[0]]), np.maximum(chars[rest], chars[rest[0]]), least)
             near[0] = False
             stays[rest[near]] = False
             left.append(np.full(int(near.sum()), rest[0])), right.append(rest[near])
@@ -200,7 +214,7 @@ def tight_links(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, least: floa
     return stays, np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def near_pairs(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, group: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, group: np.ndarray | None, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Candidates among rows in order of (key, chars): of each key a forest, or, with ``group``, all between two groups."""
     left, right = [], []
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -211,10 +225,10 @@ def near_pairs(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, group: np.nd
         live = live[(key[live] == key[live + step]) & fit_length(chars[live], chars[live + step], least)]
         if not len(live):
             break
-        at = live[close(sim[live], sim[live + step])]
+        at = live[close(sim[live], sim[live + step], bits)]
         left.append(at), right.append(at + step)
     for start, n in zip(edge[sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist()):
-        for a, found in _row_by_row(sim[start : start + n], chars[start : start + n], group is None, least):
+        for a, found in _row_by_row(sim[start : start + n], chars[start : start + n], group is None, bits, least):
             left.append(np.full(len(found), start + a)), right.append(start + found)
     none = np.empty(0, dtype=np.int64)
     left, right = np.concatenate([none, *left]), np.concatenate([none, *right])
@@ -226,12 +240,12 @@ def near_pairs(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, group: np.nd
     return np.concatenate([left[~busy], kept[:, 0]]), np.concatenate([right[~busy], kept[:, 1]])
 
 
-def _row_by_row(sim: np.ndarray, chars: np.ndarray, tree: bool, least: float):
+def _row_by_row(sim: np.ndarray, chars: np.ndarray, tree: bool, bits: int, least: float):
     """Each row of a long run with its candidates; for a tree, what is reached leaves the rest, so near copies need few looks."""
     reach = np.searchsorted(chars, np.floor(chars / least + 1e-9), side="right")
     if not tree:
         for a in range(len(sim)):
-            found = a + 1 + np.flatnonzero(close(sim[a + 1 : reach[a]], sim[a]))
+            found = a + 1 + np.flatnonzero(close(sim[a + 1 : reach[a]], sim[a], bits))
             if len(found):
                 yield a, found
         return
@@ -241,7 +255,7 @@ def _row_by_row(sim: np.ndarray, chars: np.ndarray, tree: bool, least: float):
         while queue and len(rest):
             a = queue.pop()
             low, high = np.searchsorted(rest, np.searchsorted(chars, np.ceil(chars[a] * least - 1e-9))), np.searchsorted(rest, reach[a])
-            hit = low + np.flatnonzero(close(sim[rest[low:high]], sim[a]))
+            hit = low + np.flatnonzero(close(sim[rest[low:high]], sim[a], bits))
             if len(hit):
                 found = rest[hit]
                 yield a, found
@@ -256,7 +270,8 @@ def alike(distinct: DataFrame, kind: str, count: int, least: float = SIMILAR, bu
     """
     rows = distinct.where(F.col(kind).isNotNull())
     grouped = "component" in distinct.columns
-    width, keys = blocks(count)
+    width, keys = blocks(count, kind)
+    sketches, bits = GATES[kind]
     buckets = max(1, math.ceil(rows.count() * len(keys) / bucket_rows))
 
     def send(batches):
@@ -280,7 +295,7 @@ def alike(distinct: DataFrame, kind: str, count: int, least: float = SIMILAR, bu
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             short = (key >> np.uint64(32)).astype(np.uint32)
             order = np.lexsort((chars, short, bucket))
-            sim = np.ascontiguousarray(sims[order, 0])
+            sim = np.ascontiguousarray(sims[order, :sketches])
             left = right = np.empty(0, dtype=np.int64)
             if not grouped:
                 stays, left, right = tight_links(key[order], sim, chars[order], least)
@@ -301,17 +316,32 @@ def alike(distinct: DataFrame, kind: str, count: int, least: float = SIMILAR, bu
         read = lambda rows, c, t: np.frombuffer(b"".join(map(X._unzip, rows.column(c).to_pylist())), dtype=t)
         known = read(linked, "nodes", np.int64), read(linked, "keys", np.int64)
         node, key, sim, chars = (read(plain, c, t) for c, t in (("nodes", np.int64), ("keys", np.uint32), ("sims", np.uint64), ("chars", np.int32)))
+        sim = sim.reshape(-1, sketches)
         order = np.lexsort((chars, key))
         node, key, sim, chars = node[order], key[order], sim[order], chars[order].astype(np.int64)
         left = right = np.empty(0, dtype=np.int64)
         if len(key):
-            left, right = near_pairs(key, sim, chars, read(plain, "groups", np.int64)[order] if grouped else None, least)
+            left, right = near_pairs(key, sim, chars, read(plain, "groups", np.int64)[order] if grouped else None, bits, least)
         return pa.table({"a": np.concatenate([node[left], known[0]]), "b": np.concatenate([node[right], known[1]])})
 
     sent = rows.select("node", "chars", kind, *(["component"] if grouped else []))
     sent = sent.mapInArrow(send, "bucket long, nodes binary, keys binary, sims binary, chars binary, groups binary")
     edges = sent.groupBy("bucket").applyInArrow(match, "a long, b long").where("a <> b")
-    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return edges if sketches == SIMHASHES else _near_in_all(edges.distinct(), rows.select("node", F.col(kind).alias("sims")))
+
+
+def _near_in_all(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``lines`` (node, sims) that differ in ``ALL_BITS`` bits or fewer of all their SimHashes."""
+    side = lambda n: lines.select(F.col("node").alias(f"_{n}"), F.col("sims").alias(f"sims_{n}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).select("a", "b", "sims_a", "sims_b")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, SIMHASHES) for c in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(close(x, y, ALL_BITS)))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -353,6 +383,9 @@ def similar(a: str, b: str, least: float = SIMILAR) -> bool:
     a, b = a[start:], b[start:]
     end = common(a[::-1], b[::-1])
     a, b = a[: len(a) - end], b[: len(b) - end]
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
+        return True  # word for word they are no further apart than that
     if abs(len(a) - len(b)) > most or len(set(zip(a, a[1:])) - set(zip(b, b[1:]))) > 2 * most:
         return False  # an edit takes away two neighbours at most
     return distance(a, b, most) <= most
