@@ -171,8 +171,8 @@ def dominates(better: tuple[int, ...], worse: tuple[int, ...]) -> bool:
 def fillings(room: int, left: list[int], counts: dict[int, int], width: int = WIDTH) -> list[tuple[int, ...]]:
     """Undominated sets of pieces for ``room``, fullest first; ``left`` holds the lengths in rising order.
 
-    At most ``width`` sets of each number of pieces up to four are looked at, those with the largest
-    first pieces; a set is then filled up until nothing more fits.
+    At most ``width`` first pieces are tried, the largest, then a third as many (at least one) at each deeper level,
+    and ``4 * width`` sets are looked at in all; ``width`` of them come back. A set is filled up until nothing more fits.
     """
     found: list[tuple[int, ...]] = []
 
