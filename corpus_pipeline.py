@@ -14,6 +14,8 @@ results of the stages are never taken from, or put into, a column of documents b
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +24,42 @@ from framelake.llm import text as T
 from framelake.llm.queries import tokenizer_path
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keeping_extras(stage):
+    """The stage with extra columns out of its way: they are renamed before it and take their names again after it."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c.lower() in OWN else f"_extra_{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), sf_dir)
+        return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    return run
+
+
+@keeping_extras
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on this corpus' labels, doesn't call toxic."""
     model = toxicity.fit(docs, T.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, docs.columns).where("predicted = 0").select(*docs.columns)
 
 
+@keeping_extras
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; a document of which nothing is left goes."""
     kept = line_dedup.dedup(docs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@keeping_extras
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, a similarity of 0.8 or more)."""
     return jaccard.representatives(docs, width=5, least=80).select(*docs.columns)
 
 
+@keeping_extras
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources by weight; a document taken twice is two rows."""
     return mixing.mixture(docs)
