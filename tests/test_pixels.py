@@ -236,7 +236,7 @@ def test_long_animation_needs_little_memory(spark):
                 })
 
     frames = spark.range(0, composite.MAX_FRAMES, 1, 16).mapInArrow(make, FRAMES)
-    tiles = composite.replay_disposal(frames, ["anim"])
+    tiles = composite.replay_disposal(frames, ["anim"], tile=128)
     last = tiles.groupBy("step").agg(F.sum(F.length("rgba")).alias("n"), F.min(F.substring(F.hex("rgba"), 1, 8)).alias("low"), F.max(F.substring(F.hex("rgba"), -8, 8)).alias("high"))
     about = last.agg(F.count("*").alias("steps"), F.min("n").alias("n"), F.count_if(F.col("low") != F.col("high")).alias("uneven")).first()
     assert (about.steps, about.n, about.uneven) == (composite.MAX_FRAMES, 1024 * 2 * 4, 0)
