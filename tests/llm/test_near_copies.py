@@ -173,7 +173,7 @@ def plain_dedup(rows):
     return kept, gone, links
 
 
-@pytest.mark.parametrize("short_run, gate", [(256, 14), (4, 14), (3, 30)])
+@pytest.mark.parametrize("short_run, gate", [(256, 14), (3, 30)])
 def test_line_dedup_equals_brute_force(spark, monkeypatch, short_run, gate):
     monkeypatch.setattr(line_dedup, "SHORT_RUN", short_run)
     monkeypatch.setitem(line_dedup.GATES, "coarse", (1, gate))
