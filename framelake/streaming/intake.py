@@ -53,7 +53,7 @@ def continuity_failures(frames: DataFrame, lateness: str) -> DataFrame:
 class Originals(StatefulProcessor):
     """The first frame of one clip and hash, and how many came in; an event-time timer forgets them ``expire_ms`` after the last."""
 
-    def __init__(self, expire_ms: int | None):
+    def __init__(self, expire_ms: int):
         self.expire_ms = expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -64,13 +64,13 @@ class Originals(StatefulProcessor):
         idx, original, copies, last = self.kept.get() if self.kept.exists() else (None, None, 0, -1)
         before = last
         for frame in rows:
-            at = frame["ts"].astype("datetime64[ms]").astype("int64") if self.expire_ms is not None else [0] * len(frame)
+            at = frame["ts"].astype("datetime64[ms]").astype("int64")
             for i, first, n, t in zip(frame["idx"], frame["original"], frame["copies"], at):
                 copies, last = copies + int(n), max(last, int(t))
                 if idx is None or int(i) < idx:
                     idx, original = int(i), int(first)
         self.kept.update((idx, original, copies, last))
-        if self.expire_ms is not None and last != before:
+        if last != before:
             if before >= 0:
                 self.handle.deleteTimer(before + self.expire_ms)
             self.handle.registerTimer(last + self.expire_ms)
@@ -99,15 +99,18 @@ def pixel_originals(frames: DataFrame, expire: str | None = None) -> DataFrame:
     """Running table of distinct pixel hashes per clip: the original frame and how many copies came in.
 
     frames(clip_id, idx, frame_id, sha256[, ts]), without nulls. Copies are merged in their task before they reach the state, so
-    a hash shared by a third of all frames arrives as one row per batch of a task. With ``expire``, as in "30 days", a hash is
-    forgotten once the watermark of ``ts`` has passed its last frame by that much, and the next frame with it is a new original;
-    without, the state grows with the distinct hashes.
+    a hash shared by a third of all frames arrives as one row per batch of a task. Without ``expire`` this is a streaming
+    aggregation, whose state grows with the distinct hashes. With it, as in "30 days", a hash is forgotten once the watermark
+    of ``ts`` has passed its last frame by that much, and the next frame with it is a new original; every hash of a micro-batch
+    is then a call of Python, some 2 ms.
     """
     frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    typed = frames.select("clip_id", "idx", "frame_id", "sha256", "ts" if expire else F.lit(None).cast("timestamp").alias("ts"))
+    if expire is None:
+        first = F.min(F.struct("idx", F.col("frame_id").alias("original"))).alias("first")
+        kept = frames.groupBy("clip_id", "sha256").agg(first, F.count(F.lit(1)).alias("copies"))
+        return kept.select("clip_id", "sha256", "first.original", "copies")
+    typed = frames.select("clip_id", "idx", "frame_id", "sha256", "ts")
     merged = typed.mapInArrow(_merged, "clip_id long, sha256 string, idx long, original long, copies long, ts timestamp")
     out = "clip_id long, sha256 string, original long, copies long"
-    if expire is None:
-        return merged.groupBy("clip_id", "sha256").transformWithStateInPandas(Originals(None), out, "update", "None")
     keyed = merged.withWatermark("ts", "0 seconds").groupBy("clip_id", "sha256")
     return keyed.transformWithStateInPandas(Originals(interval_ms(frames.sparkSession, expire)), out, "update", "EventTime")
