@@ -29,6 +29,12 @@ def stable_hash(text: Column) -> Column:
     return F.sha2(canonical_json(text), 256)
 
 
+def packed_hash(value: Column) -> Column:
+    """A hex SHA-256 as its 32 bytes, half the text; any other text as its own bytes and 33 zeros, so none is taken for another."""
+    other = F.concat(F.encode(value, "UTF-8"), F.lit(bytes(33)))
+    return F.when(value.rlike("\\A[a-f0-9]{64}\\z"), F.unhex(value)).otherwise(other)
+
+
 def signer(key: bytes, domain: str):
     """Column function: HMAC-SHA256 over domain, NUL and canonical JSON.
 

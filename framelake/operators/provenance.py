@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators.ordered import Scan, hot_join, ordered_scan
+from framelake.functions.hashing import packed_hash
+from framelake.operators.ordered import Scan, ordered_scan
 
 
 def verify_artifacts(manifest: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -107,18 +108,21 @@ def verify_ancestry(approvals: DataFrame, edits: DataFrame, sources: DataFrame,
 
     approvals(approval_id, edit_id, source_id, project_id, edit_sha, source_sha, project_sha);
     edits(edit_id, sha256), sources(source_id, sha256), projects(project_id, sha256).
-    """
-    def attach(df: DataFrame, side: DataFrame, key: str, name: str) -> DataFrame:
-        return hot_join(df, side.select(key, F.col("sha256").alias(name)), [key], ["approval_id"], "left", counted=approvals)
 
-    chained = attach(approvals, edits, "edit_id", "edit_now")
-    chained = attach(chained, sources, "source_id", "source_now")
-    chained = attach(chained, projects, "project_id", "project_now")
+    The hashes travel as 32 bytes, and each only until it has been compared. A parent that many approvals share is split by
+    AQE's skew join.
+    """
+    parts = {"source": sources, "project": projects, "edit": edits}
+    ids = [f"{p}_id" for p in parts]
+    checked = approvals.select("approval_id", *ids, *[packed_hash(F.col(f"{p}_sha")).alias(f"{p}_sha") for p in parts])
+    for part, side in parts.items():
+        key, recorded = f"{part}_id", F.col(f"{part}_sha")
+        checked = checked.join(side.select(key, packed_hash(F.col("sha256")).alias("_now")), key, "left")
+        checked = checked.withColumn(f"{part}_wrong", ~recorded.eqNullSafe(F.col("_now"))).drop(key, f"{part}_sha", "_now")
     codes = F.array_compact(F.array(*[
-        F.when(~F.col(f"{p}_sha").eqNullSafe(F.col(f"{p}_now")), f"{p.upper()}_HASH_MISMATCH")
-        for p in ("project", "source", "edit")
+        F.when(F.col(f"{p}_wrong"), f"{p.upper()}_HASH_MISMATCH") for p in ("project", "source", "edit")
     ]))
-    return chained.select("approval_id", F.array_join(codes, ",").alias("codes")).filter(F.col("codes") != "")
+    return checked.filter("project_wrong OR source_wrong OR edit_wrong").select("approval_id", F.array_join(codes, ",").alias("codes"))
 
 
 def eligible_for_production(selections: DataFrame, approvals: DataFrame) -> DataFrame:

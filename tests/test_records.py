@@ -228,3 +228,22 @@ def test_production_contract_status(spark, change, code):
     projects = spark.createDataFrame([(7, "anchor")], "project_id long, anchor_sha string")
     actions = spark.createDataFrame([("walk", "walks", "loop", ["actor"])], "action_id string, semantic string, loop_mode string, tracks array<string>")
     assert production.contract_status(edits, approvals, projects, actions).first().code == code
+
+
+def test_ancestry_compares_any_text_and_sends_each_hash_once(spark):
+    import hashlib
+
+    sha = lambda n: hashlib.sha256(str(n).encode()).hexdigest()
+    recorded = [sha(1), sha(1).upper(), None, "", sha(2), sha(1)[:32]]
+    approvals = spark.createDataFrame(
+        [(i, 1, 1, None if i == 3 else 1, r, r, sha(1)) for i, r in enumerate(recorded)],
+        "approval_id long, edit_id long, source_id long, project_id long, edit_sha string, source_sha string, project_sha string",
+    )
+    side = lambda name, now: spark.createDataFrame([(1, now)], f"{name} long, sha256 string")
+    found = provenance.verify_ancestry(approvals, side("edit_id", sha(1)), side("source_id", None), side("project_id", sha(1)))
+    both = "SOURCE_HASH_MISMATCH,EDIT_HASH_MISMATCH"
+    want = [(0, "SOURCE_HASH_MISMATCH"), (1, both), (2, "EDIT_HASH_MISMATCH"), (3, f"PROJECT_HASH_MISMATCH,{both}"), (4, both), (5, both)]
+    assert rows(found) == want
+    # One read of the approvals, not one more for the counts of each parent.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("project_sha") and plan.count("Aggregate") == 0
