@@ -63,3 +63,20 @@ def test_a_document_that_is_too_deep_is_refused(spark):
     assert documents.walk(deep, ["doc"], "text", 6).count() == 6
     with pytest.raises(ValueError):
         documents.walk(deep, ["doc"], "text", 4)
+
+
+def test_texts_are_made_once_and_judged_without_a_shuffle(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(doc):
+        made.add(1)
+        return json.dumps({"id": doc, "clips": [{"id": "x", "frames": [{"n": [1, "[{\"]"]}]}]})
+
+    docs = spark.range(20).select(F.col("id").alias("doc"), text(F.col("id")).alias("text"))
+    found = documents.walk(docs, ["doc"], "text")
+    unknown = documents.closed_schema(found, ["doc"], [*SHAPES, "name"])
+    assert unknown.groupBy("place", "problem").count().orderBy("place").collect() == [("name", "missing", 20), ("note", "missing", 20)]
+    assert found.count() == 20 * 10
+    assert made.value == 20
+    assert "Exchange" not in unknown._jdf.queryExecution().executedPlan().toString()
