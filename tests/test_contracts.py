@@ -288,3 +288,13 @@ def test_a_frame_without_members_lacks_every_required_track(spark):
     frames = spark.createDataFrame([(1, "a"), (1, "b")], "clip_id long, frame_id string")
     missing = R.missing_required(members, ["actor", "lamp"], frames)
     assert rows(missing, "frame_id", "missing_track") == [("a", "lamp"), ("b", "actor"), ("b", "lamp")]
+
+
+def test_heavy_rows_are_dealt_to_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    from framelake import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    spark.range(5_000).coalesce(8).write.parquet(str(tmp_path / "t"))
+    dealt = session.use_all_cores(spark.read.parquet(str(tmp_path / "t")), "id")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 5_000 and max(sizes) < 200
