@@ -5,12 +5,16 @@ Packed frames are joined one row per frame and compared in place, so no pixel is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import color as C
 from framelake.operators import buffers as B
 from framelake.operators.ordered import hot_join
+from framelake.operators.provenance import json_leaves
 
 
 def _pairs(source: DataFrame, output: DataFrame) -> DataFrame:
@@ -106,6 +110,35 @@ def document_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
     return both.withColumn("state", state).filter(F.col("state").isNotNull()).select(*keys, "path", "expected", "actual", "state")
 
 
+def pair_diff(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """What ``document_diff`` finds between two JSON texts of one row: (key, path, expected, actual, state).
+
+    Both are flattened where the row is, so no leaf is shuffled.
+    """
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for at, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                sides: dict[str, tuple[list, list]] = {}
+                for side, text in enumerate((a, b)):
+                    for path, value in json_leaves(text):
+                        sides.setdefault(path, ([], []))[side].append(value)
+                for path, (expected, actual) in sides.items():
+                    if not actual:
+                        new = [(path, e, None, "missing") for e in expected]
+                    elif not expected:
+                        new = [(path, None, v, "unexpected") for v in actual]
+                    else:
+                        new = [(path, e, v, "changed") for e in expected for v in actual if e != v]
+                    rows += [at] * len(new)
+                    found += new
+            columns = [pa.array([f[i] for f in found], pa.string()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], [key, "path", "expected", "actual", "state"])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.select(key, left, right).mapInArrow(differences, f"{key} {kind}, path string, expected string, actual string, state string")
+
+
 def set_difference(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:
     """Rows listed on one side more often than on the other, with the surplus; one aggregation, no join."""
     tagged = expected.select(*columns, F.lit(1).alias("_w")).unionByName(actual.select(*columns, F.lit(-1).alias("_w")))

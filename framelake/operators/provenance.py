@@ -131,35 +131,39 @@ def eligible_for_production(selections: DataFrame, approvals: DataFrame) -> Data
     return selections.join(granted, "frame_key", "left_semi")
 
 
-def flatten_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, path, value) per JSON leaf; a small recursive walk per document.
-
-    Text that is no JSON (or null) gives one row with the path ``!`` and no value.
-    """
+def json_leaves(text: str | None) -> list[tuple[str, str | None]]:
+    """(path, value) per leaf of a JSON text; ``!`` without a value for text that is no JSON."""
     import json
 
-    import pandas as pd
+    out: list[tuple[str, str | None]] = []
 
-    def walk(value, path, out):
+    def walk(value, path):
         if isinstance(value, dict) and value:
             for k in value:
-                walk(value[k], f"{path}.{k}" if path else k, out)
+                walk(value[k], f"{path}.{k}" if path else k)
         elif isinstance(value, list) and value:
             for i, item in enumerate(value):
-                walk(item, f"{path}[{i}]", out)
+                walk(item, f"{path}[{i}]")
         else:
             out.append((path, json.dumps(value, ensure_ascii=False, separators=(",", ":"))))
 
+    try:
+        walk(json.loads(text), "")
+    except (TypeError, ValueError):
+        return [("!", None)]
+    return out
+
+
+def flatten_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, value) per JSON leaf; a small recursive walk per document.
+
+    Text that is no JSON (or null) gives one row with the path ``!`` and no value.
+    """
+    import pandas as pd
+
     def leaves(batches):
         for batch in batches:
-            rows = []
-            for k, t in zip(batch[key], batch[text]):
-                found: list[tuple[str, str | None]] = []
-                try:
-                    walk(json.loads(t), "", found)
-                except (TypeError, ValueError):
-                    found = [("!", None)]
-                rows.extend((k, p, v) for p, v in found)
+            rows = [(k, p, v) for k, t in zip(batch[key], batch[text]) for p, v in json_leaves(t)]
             yield pd.DataFrame(rows, columns=[key, "path", "value"])
 
     return documents.select(key, text).mapInPandas(leaves, f"{key} {documents.schema[key].dataType.simpleString()}, path string, value string")

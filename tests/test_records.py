@@ -247,3 +247,16 @@ def test_ancestry_compares_any_text_and_sends_each_hash_once(spark):
     # One read of the approvals, not one more for the counts of each parent.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("project_sha") and plan.count("Aggregate") == 0
+
+
+def test_pairs_of_documents_are_compared_in_place(spark):
+    texts = [
+        ('{"a":1,"b":[1,{"c":null}],"e":{}}', '{"b":[1,{"c":2},3],"a":1.0}'), ('{"a.b":1,"a":{"b":2}}', '{"a":{"b":2}}'),
+        ("{broken", "{}"), (None, "[]"), ('{"x":true}', '{"x":1}'), ('{"x":"é"}', '{"x":"é"}'),
+    ]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id long, l string, r string")
+    flat = lambda c: provenance.flatten_documents(docs, "id", c)
+    found = compare.pair_diff(docs, "id", "l", "r")
+    columns = ("id", "path", "expected", "actual", "state")
+    assert rows(found, *columns) == rows(compare.document_diff(flat("l"), flat("r"), ["id"]), *columns)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
