@@ -270,3 +270,21 @@ def test_retained_pixels_are_cropped_and_the_rest_is_clear(spark, policy, size,
             want[1, 4:6], want[2, 5] = (1, 2, 3, 128), (4, 4, 4, 255)
         assert bytes(got.rgba) == want.tobytes() and (got.left, got.top) == (1, 1)
     assert components.retained_pixels(as_frames(spark, [raster(2, 2, (0, 0, 0, 0))]), key, policy).first().code == "NO_COMPONENT"
+
+
+def test_many_small_boards_are_united_together(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "UNITED", 40)
+    monkeypatch.setattr(tiles, "SENT", 700)
+    key = F.struct(*[F.lit(0).alias(c) for c in "rgba"])
+    rng = np.random.default_rng(5)
+    boards = []
+    for n in range(60):
+        board = raster(7 + n % 6, 9 + n % 4, (0, 0, 0, 0))
+        board[rng.random(board.shape[:2]) < 0.6] = (9, 9, 9, 255)
+        boards.append(board)
+    tiled, whole = board_runs(spark, boards, 4, key)
+    assert tiled == whole and len({r[0] for r in whole}) == 60
+    # No call of Python for each tile, nor for each board.
+    found = tiles.tiled_runs(tiles.cut_tiles(as_frames(spark, boards), 4), key, side=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and "pmod(xxhash64(frame_key" in plan
