@@ -82,15 +82,18 @@ def attachment_failures(outputs: DataFrame, tracks: DataFrame, sockets: DataFram
     tracks(track_id, kind, attach_to); sockets(clip_id, socket_id).
     """
     contracted = tracks.select("track_id", F.col("kind").alias("want_kind"), F.col("attach_to").alias("want_socket"))
-    owned = sockets.select("clip_id", F.col("socket_id").alias("want_socket"), F.lit(True).alias("has_socket")).distinct()
-    joined = hot_join(outputs, contracted, ["track_id"], ["clip_id", "frame_id"], "left")
-    joined = hot_join(joined, owned, ["clip_id", "want_socket"], ["frame_id"], "left")
+    owned = sockets.select("clip_id", F.col("socket_id").alias("attach_to")).distinct().withColumn("has_socket", F.lit(True))
+    # Sockets are asked about only where the output has the contracted one, so its own is looked up, before the track is.
+    moved = ((F.col("dx") != F.col("frame_dx")) | (F.col("dy") != F.col("frame_dy"))).alias("moved")
+    slim = outputs.select("clip_id", "frame_id", "track_id", "kind", "attach_to", moved)
+    joined = slim.join(owned, ["clip_id", "attach_to"], "left")
+    joined = hot_join(joined, contracted, ["track_id"], ["clip_id", "frame_id"], "left", counted=outputs)
     code = (
         F.when(F.col("want_kind").isNull(), "SOURCE_HASH_MISMATCH")
         .when((F.col("kind") != F.col("want_kind")) | ~F.col("attach_to").eqNullSafe(F.col("want_socket")), "SOURCE_HASH_MISMATCH")
         .when(F.col("want_socket").isNotNull() & F.col("has_socket").isNull(), "SOCKET_ATTACHMENT")
         .when(
-            (F.col("dx") != F.col("frame_dx")) | (F.col("dy") != F.col("frame_dy")),
+            F.col("moved"),
             F.when(F.col("want_socket").isNull(), "LANDMARK_DRIFT").otherwise("SOCKET_ATTACHMENT"),
         )
     )
