@@ -119,6 +119,22 @@ def verify_ancestry(approvals: DataFrame, edits: DataFrame, sources: DataFrame,
         key, recorded = f"{part}_id", F.col(f"{part}_sha")
         checked = checked.join(side.select(key, packed_hash(F.col("sha256")).alias("_now")), key, "left")
         checked = checked.withColumn(f"{part}_wrong", ~recorded.eqNullSafe(F.col("_now"))).drop(key, f"{part}_sha", "_now")
+    return ancestry_codes(checked)
+
+
+def parent_differs(rows: DataFrame, part: str, parents: DataFrame, recorded: Column, now: Column, how: str = "left") -> DataFrame:
+    """``rows`` with ``{part}_wrong``: whether ``recorded`` disagrees with ``now`` of the parent that ``{part}_id`` names.
+
+    ``now`` reads columns of ``parents``, whose key goes by the name of ``parent``. Both are computed where row and parent have
+    met, so hashes that follow from other columns are not sent with them. A parent that is missing has no hash.
+    """
+    met = rows.join(parents.withColumnRenamed(f"{part}_id", "parent"), F.col(f"{part}_id") == F.col("parent"), how)
+    found = F.when(F.col("parent").isNotNull(), now)
+    return met.withColumn(f"{part}_wrong", ~recorded.eqNullSafe(found)).drop("parent")
+
+
+def ancestry_codes(checked: DataFrame) -> DataFrame:
+    """(approval_id, codes) of the approvals with a wrong project, source or edit."""
     codes = F.array_compact(F.array(*[
         F.when(F.col(f"{p}_wrong"), f"{p.upper()}_HASH_MISMATCH") for p in ("project", "source", "edit")
     ]))

@@ -249,6 +249,31 @@ def test_ancestry_compares_any_text_and_sends_each_hash_once(spark):
     assert plan.count("project_sha") and plan.count("Aggregate") == 0
 
 
+def test_parents_are_compared_where_they_meet(spark):
+    rows_ = spark.createDataFrame([(1, 7, "a"), (2, 7, None), (3, 8, "a"), (4, 9, "a"), (5, None, None)], "n long, edit_id long, sha string")
+    parents = spark.createDataFrame([(7, "a"), (8, None)], "edit_id long, kept string")
+    found = provenance.parent_differs(rows_, "edit", parents, F.col("sha"), F.col("kept"))
+    assert rows(found, "n", "edit_wrong") == [(1, False), (2, True), (3, True), (4, True), (5, False)]
+    assert rows(provenance.parent_differs(rows_, "edit", parents, F.col("sha"), F.col("kept"), "inner"), "n") == [(1,), (2,), (3,)]
+
+
+def test_ancestry_reads_each_table_once_and_sends_no_hash(spark):
+    import re
+
+    from framelake.plans.records import j14
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = j14(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert plan.count("FileScan parquet") == 4
+    made = re.findall(r"Exchange hashpartitioning[^\n]*\n[^\n]*Project \[([^\n]*)\]", plan)
+    assert made and not any(re.search(r"sha2\((?:(?! AS ).)*\) AS \w*(?:sha|now|sha256)#", p) for p in made)
+
+
 def test_pairs_of_documents_are_compared_in_place(spark):
     texts = [
         ('{"a":1,"b":[1,{"c":null}],"e":{}}', '{"b":[1,{"c":2},3],"a":1.0}'), ('{"a.b":1,"a":{"b":2}}', '{"a":{"b":2}}'),
