@@ -217,6 +217,13 @@ def tight_links(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, least: floa
 def near_pairs(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, group: np.ndarray | None, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Candidates among rows in order of (key, chars): of each key a forest, or, with ``group``, all between two groups."""
     left, right = [], []
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        if group is not None:  # at once: a large group of near copies has most of its pairs inside one component
+            apart = group[a] != group[b]
+            a, b = a[apart], b[apart]
+        left.append(a), right.append(b)
+
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(edge, len(key)))
     live = np.flatnonzero(np.repeat(sizes <= SHORT_RUN, sizes))
@@ -226,15 +233,14 @@ def near_pairs(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, group: np.nd
         if not len(live):
             break
         at = live[close(sim[live], sim[live + step], bits)]
-        left.append(at), right.append(at + step)
+        add(at, at + step)
     for start, n in zip(edge[sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist()):
         for a, found in _row_by_row(sim[start : start + n], chars[start : start + n], group is None, bits, least):
-            left.append(np.full(len(found), start + a)), right.append(start + found)
+            add(np.full(len(found), start + a), start + found)
     none = np.empty(0, dtype=np.int64)
     left, right = np.concatenate([none, *left]), np.concatenate([none, *right])
     if group is not None:
-        apart = group[left] != group[right]
-        return left[apart], right[apart]
+        return left, right
     busy = np.repeat(np.bincount(np.searchsorted(edge, left, side="right") - 1, minlength=len(edge)) > 2, sizes)[left]
     kept = np.array(forest(zip(left[busy].tolist(), right[busy].tolist()), len(key)), dtype=np.int64).reshape(-1, 2)
     return np.concatenate([left[~busy], kept[:, 0]]), np.concatenate([right[~busy], kept[:, 1]])

@@ -303,3 +303,18 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             assert sum(r.text == long for r in got) >= 1 and sum(r.text is None for r in got) == (name != "mixing")
         else:
             assert docs.agg(F.sum("length")).first()[0] > 60_000
+
+
+def test_pairs_inside_one_component_are_not_held():
+    """A large group of near copies under one key, all but one row of it in one component already."""
+    import tracemalloc
+
+    n = 4_000
+    sims = np.zeros((n, 1), dtype=np.uint64)
+    group = np.where(np.arange(n) == n - 1, 1, 0)
+    tracemalloc.start()
+    left, right = line_dedup.near_pairs(np.zeros(n, dtype=np.uint32), sims, np.full(n, 50, dtype=np.int64), group, 14, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(left.tolist(), right.tolist())) == [(i, n - 1) for i in range(n - 1)]
+    assert peak < 20e6
