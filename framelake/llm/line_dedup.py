@@ -64,6 +64,8 @@ CROWD, LOCAL_RUN = 64, 32
 #: Runs of one key up to this size are compared shift by shift, larger ones row by row.
 SHORT_RUN = 256
 BUCKET_ROWS = 500_000
+#: Normal forms that a task remembers as measured, at most; forgotten ones are measured again.
+MOST_SEEN = 200_000
 FEW = 200_000
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 LINE = "doc_id long, text_hash long, line int, h1 long, h2 long, words int, chars int, coarse binary, fine binary"
@@ -144,23 +146,31 @@ def _lines(texts: list[str | None]) -> tuple[list[int], list[int], list[bytes]]:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``LINE`` of every line with a normal form, from the scan's own tasks. ``docs``: doc_id, text_hash, text."""
+    """``LINE`` of every line with a normal form, from the scan's own tasks. ``docs``: doc_id, text_hash, text.
+
+    A task measures a normal form where it first meets it; in repeated lines, words, chars and SimHashes are null.
+    """
     T.bounded_batches(docs.sparkSession)
 
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for start in range(0, len(texts), 16):
                 which, number, forms = _lines(texts[start : start + 16])
                 if not forms:
                     continue
-                words, chars, coarse, fine = signatures(forms)
-                keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, forms)), dtype="<i8").reshape(-1, 2)
-                at = pa.array(np.array(which) + start)
+                digests = list(map(xxhash.xxh3_128_digest, forms))
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                new = np.array([d not in seen and not seen.add(d) for d in digests])
+                words, chars, coarse, fine = signatures([f for f, n in zip(forms, new) if n]) if new.any() else ([], [], [], [])
+                keys = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                at, place = pa.array(np.array(which) + start), pa.array(np.cumsum(new) - 1, pa.int64(), mask=~new)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(keys[:, 0].copy()),
-                     pa.array(keys[:, 1].copy()), pa.array(words, pa.int32()), pa.array(chars, pa.int32()), pa.array(coarse, pa.binary()),
-                     pa.array(fine, pa.binary())],
+                     pa.array(keys[:, 1].copy()), pa.array(words, pa.int32()).take(place), pa.array(chars, pa.int32()).take(place),
+                     pa.array(coarse, pa.binary()).take(place), pa.array(fine, pa.binary()).take(place)],
                     ["doc_id", "text_hash", "line", "h1", "h2", "words", "chars", "coarse", "fine"],
                 )
 
@@ -269,6 +279,16 @@ def _row_by_row(sim: np.ndarray, chars: np.ndarray, tree: bool, bits: int, least
                 rest = np.delete(rest, hit)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers zipped byte by byte of all, the high bytes apart from the low ones, which packs numbers of few bits tightly."""
+    return X._zip(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def numbers(raw: bytes, kind) -> np.ndarray:
+    """The numbers of ``planes``."""
+    return np.frombuffer(X._unzip(raw), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def alike(distinct: DataFrame, kind: str, count: int, least: float = SIMILAR, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Candidates (a, b) among ``distinct`` (node, chars, ``kind``); ``count`` lines decide the keys.
 
@@ -309,9 +329,12 @@ def alike(distinct: DataFrame, kind: str, count: int, least: float = SIMILAR, bu
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cut))
             parts = [slice(cut[b], cut[b + 1]) for b in full]
-            columns = [node[order], short[order], sim, chars[order].astype(np.int32)] + ([group[order]] if grouped else [])
-            packed = [pa.array([X._zip(c[p].tobytes()) for p in parts] + ([X._zip(x.tobytes())] if len(left) else []), pa.binary()) for c, x in zip(columns[:2], (left, right))]
-            packed += [pa.array([X._zip(c[p].tobytes()) for p in parts] + ([None] if len(left) else []), pa.binary()) for c in columns[2:]]
+            rising = lambda x: planes(np.diff(x, prepend=x.dtype.type(0)))
+            plain = lambda x: X._zip(x.tobytes())
+            columns = [(node[order], planes), (short[order], rising), (sim, plain), (chars[order].astype(np.int32), planes)]
+            columns += [(group[order], planes)] if grouped else []
+            last = [[planes(left)], [planes(right)]] + [[None]] * 3 if len(left) else [[]] * 5
+            packed = [pa.array([make(c[p]) for p in parts] + end, pa.binary()) for (c, make), end in zip(columns, last)]
             packed += [] if grouped else [pa.nulls(len(packed[0]), pa.binary())]
             where = np.append(full, number % buckets) if len(left) else full
             yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), *packed], ["bucket", "nodes", "keys", "sims", "chars", "groups"])
@@ -319,9 +342,11 @@ def alike(distinct: DataFrame, kind: str, count: int, least: float = SIMILAR, bu
     def match(bucket: pa.Table) -> pa.Table:
         linked = bucket.filter(bucket.column("sims").is_null())
         plain = bucket.filter(bucket.column("sims").is_valid())
-        read = lambda rows, c, t: np.frombuffer(b"".join(map(X._unzip, rows.column(c).to_pylist())), dtype=t)
+        read = lambda rows, c, t: np.concatenate([np.empty(0, dtype=t), *[numbers(x, t) for x in rows.column(c).to_pylist()]])
         known = read(linked, "nodes", np.int64), read(linked, "keys", np.int64)
-        node, key, sim, chars = (read(plain, c, t) for c, t in (("nodes", np.int64), ("keys", np.uint32), ("sims", np.uint64), ("chars", np.int32)))
+        node, chars = read(plain, "nodes", np.int64), read(plain, "chars", np.int32)
+        key = np.concatenate([np.empty(0, dtype=np.uint32), *[np.cumsum(numbers(x, np.uint32), dtype=np.uint32) for x in plain.column("keys").to_pylist()]])
+        sim = np.frombuffer(b"".join(map(X._unzip, plain.column("sims").to_pylist())), dtype=np.uint64)
         sim = sim.reshape(-1, sketches)
         order = np.lexsort((chars, key))
         node, key, sim, chars = node[order], key[order], sim[order], chars[order].astype(np.int64)
@@ -475,7 +500,7 @@ def removals(docs: DataFrame, least: float = SIMILAR, min_words: int = MIN_WORDS
     """(doc_id, text_hash, gone): the line numbers to remove. ``docs``: doc_id, text_hash, text."""
     every = T.stored(lines(docs), "lines")
     place = F.struct("doc_id", "text_hash", "line")
-    distinct = every.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("words", "chars", "coarse", "fine")])
+    distinct = every.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("times"), *[F.first(c, ignorenulls=True).alias(c) for c in ("words", "chars", "coarse", "fine")])
     distinct = T.stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
     found = T.stored(similar_lines(docs, distinct.where((F.col("words") >= min_words) & (F.col("chars") >= MIN_CHARS)), least), "line-components")
     grouped = distinct.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("node", "component", "place")

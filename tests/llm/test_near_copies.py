@@ -318,3 +318,22 @@ def test_pairs_inside_one_component_are_not_held():
     tracemalloc.stop()
     assert sorted(zip(left.tolist(), right.tolist())) == [(i, n - 1) for i in range(n - 1)]
     assert peak < 20e6
+
+
+def test_repeated_lines_are_measured_once_a_task(spark, monkeypatch):
+    text = "the quick brown fox jumps over the lazy dog today\nab cd\nThe quick brown fox, jumps over the lazy dog today!"
+    docs = spark.createDataFrame([(i, i, text) for i in range(40)], "doc_id long, text_hash long, text string").coalesce(1)
+    got = line_dedup.lines(docs).collect()
+    assert len(got) == 120 and sum(r.words is not None for r in got) == 2 and sum(r.coarse is not None for r in got) == 1
+    gone = line_dedup.removals(docs).collect()
+    assert sorted((r.doc_id, sorted(r.gone)) for r in gone) == [(0, [2])] + [(i, [0, 1, 2]) for i in range(1, 40)]
+
+
+def test_numbers_of_planes_are_the_same_and_packed_tightly():
+    rng = np.random.default_rng(1)
+    for kind in (np.int64, np.uint32, np.int32):
+        for n in (0, 1, 5_000):
+            values = rng.integers(0, 1 << 20, n).astype(kind)
+            packed = line_dedup.planes(values)
+            assert line_dedup.numbers(packed, kind).tolist() == values.tolist()
+            assert n < 5_000 or len(packed) < 0.95 * len(line_dedup.X._zip(values.tobytes()))
