@@ -66,7 +66,11 @@ SHORT_RUN = 256
 BUCKET_ROWS = 500_000
 #: Normal forms that a task remembers as measured, at most; forgotten ones are measured again.
 MOST_SEEN = 200_000
+#: Characters of the texts that are measured at once; a longer text is alone.
+HELD_CHARS = 1 << 17
 FEW = 200_000
+#: Words that two lines are looked ahead for the next equal ones.
+AHEAD = 10
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 LINE = "doc_id long, text_hash long, line int, h1 long, h2 long, words int, chars int, coarse binary, fine binary"
 
@@ -77,8 +81,8 @@ def normal(line: bytes) -> bytes:
 
 
 _SEEDS = T.mixed(np.arange(1, SIMHASHES + 1, dtype=np.uint64))
-#: A byte as eight counters, of 8 or 16 bits each: bit i of the byte is counter i.
-_COUNTERS = {t: np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(t).view(np.uint64) for t in (np.uint8, np.uint16)}
+#: A byte as eight counters of 16 bits each: bit i of the byte is counter i. Its unpacked bits are counters of 8 bits.
+_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint16).view(np.uint64)
 
 
 def simhashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -97,7 +101,8 @@ def simhashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         begin = np.cumsum(sizes[mine]) - sizes[mine]
         half = (sizes[mine] // 2).astype(kind)[:, None]
         for k, seed in enumerate(_SEEDS):
-            counters = _COUNTERS[kind][T.mixed(own + seed).view(np.uint8)].reshape(len(own), -1)
+            raw = T.mixed(own + seed).view(np.uint8)
+            counters = (np.unpackbits(raw).view(np.uint64) if kind is np.uint8 else _COUNTERS[raw]).reshape(len(own), -1)
             ones = np.add.reduceat(counters, begin, axis=0).view(kind).reshape(-1, 64)
             out[mine, k] = np.packbits(ones > half, axis=1).view(np.uint64).ravel()
     for i in np.flatnonzero(sizes >= 1 << 16).tolist():  # too many for the counters
@@ -107,9 +112,52 @@ def simhashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+#: A random number for each byte, and the base of the polynomial that tells the places of a word's bytes.
+_BYTES, _BASE = T.mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0xD1342543DE82EF95)
+_BYTES[[10, 32]] = 0
+
+
+def _ends(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The forms as bytes, each followed by a line end; where their words end; how many words each has."""
+    raw = np.frombuffer(b"\n".join([*forms, b""]), dtype=np.uint8)
+    ends = np.flatnonzero((raw == 32) | (raw == 10))
+    return raw, ends, np.diff(np.flatnonzero(raw[ends] == 10), prepend=-1)
+
+
+def word_hashes(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words that end at ``ends``, all at once."""
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    sizes = ends + 1 - starts
+    powers = np.full(int(sizes.max()), _BASE)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    place = np.arange(len(raw)) - np.repeat(starts, sizes)
+    return T.mixed(np.add.reduceat(_BYTES[raw] * powers[place], starts))
+
+
+def _kinds(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of lines, and how many each line has; a key is the line's number over ``bits`` bits of feature."""
+    keys = np.sort(keys)
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    return keys & np.uint64((1 << bits) - 1), np.bincount((keys >> np.uint64(bits)).astype(np.int64))
+
+
+def _numbered(sizes: np.ndarray, bits: int) -> np.ndarray:
+    return np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(bits), sizes)
+
+
 def _coarse(forms: list[bytes]) -> np.ndarray:
-    kinds = [set(f.split()) for f in forms]
-    return simhashes(T.hashed([w for k in kinds for w in k]), np.array([len(k) for k in kinds]))
+    """SimHashes over distinct words. Of a word's hash 48 bits are used, next to the number of its line."""
+    raw, ends, words = _ends(forms)
+    features, sizes = _kinds(_numbered(words, 48) | word_hashes(raw, ends) >> np.uint64(16), 48)
+    return simhashes(T.mixed(features), sizes)
+
+
+def _fine(forms: list[bytes]) -> np.ndarray:
+    """SimHashes over distinct pairs of neighbouring characters; the ends count as characters."""
+    runs = [_pairs_of(f.decode("utf-8", "replace")) for f in forms]
+    features, sizes = _kinds(_numbered(np.array([len(r) for r in runs]), 42) | np.concatenate(runs), 42)
+    return simhashes(T.mixed(features), sizes)
 
 
 def _pairs_of(form: str) -> np.ndarray:
@@ -118,20 +166,19 @@ def _pairs_of(form: str) -> np.ndarray:
     return (codes[:-1] << np.uint64(21)) | codes[1:]
 
 
-def _fine(forms: list[str]) -> np.ndarray:
-    kinds = [np.unique(_pairs_of(f)) for f in forms]
-    return simhashes(T.mixed(np.concatenate(kinds)), np.array([len(k) for k in kinds]))
-
-
 def signatures(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes | None], list[bytes | None]]:
     """Numbers of words and characters, and the SimHashes over words and over characters of normal forms; none where not used."""
-    texts = [f.decode("utf-8", "replace") for f in forms]
-    chars, words = np.array([len(t) for t in texts]), np.array([f.count(b" ") + 1 for f in forms])
+    raw, ends, words = _ends(forms)
+    last = ends[np.cumsum(words) - 1]
+    chars = np.add.reduceat((raw & 0xC0) != 0x80, np.concatenate([[0], last[:-1] + 1]), dtype=np.int64) - 1
     out = []
-    for chosen, make, given in ((words >= COARSE, _coarse, forms), ((words <= FINE) | (chars > LONG_WORD * words), _fine, texts)):
-        chosen &= chars >= MIN_CHARS
-        made = iter(make([g for g, c in zip(given, chosen) if c]) if chosen.any() else [])
-        out.append([next(made).tobytes() if c else None for c in chosen])
+    for chosen, make in ((words >= COARSE, _coarse), ((words <= FINE) | (chars > LONG_WORD * words), _fine)):
+        at = np.flatnonzero(chosen & (chars >= MIN_CHARS)).tolist()
+        out.append([None] * len(forms))
+        for start in range(0, len(at), 1 << 16):
+            part = at[start : start + (1 << 16)]
+            for i, sims in zip(part, make([forms[i] for i in part])):
+                out[-1][i] = sims.tobytes()
     return words, chars, *out
 
 
@@ -139,8 +186,9 @@ def _lines(texts: list[str | None]) -> tuple[list[int], list[int], list[bytes]]:
     """Text number, line number and normal form of all lines that have one."""
     which, number, forms = [], [], []
     for i, text in enumerate(texts):
-        for j, line in enumerate((text or "").encode("utf-8", "replace").split(b"\n")):
-            if form := normal(line):
+        plain = (text or "").encode("utf-8", "replace").lower().translate(None, _MARKS)  # the marks don't include line ends
+        for j, line in enumerate(plain.split(b"\n")):
+            if form := b" ".join(line.split()):
                 which.append(i), number.append(j), forms.append(form)
     return which, number, forms
 
@@ -156,8 +204,10 @@ def lines(docs: DataFrame) -> DataFrame:
         seen: set[bytes] = set()
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for start in range(0, len(texts), 16):
-                which, number, forms = _lines(texts[start : start + 16])
+            held = np.cumsum([len(t or "") for t in texts]) // HELD_CHARS
+            cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(texts)]
+            for start, end in zip(cuts, cuts[1:]):
+                which, number, forms = _lines(texts[start:end])
                 if not forms:
                     continue
                 digests = list(map(xxhash.xxh3_128_digest, forms))
@@ -203,6 +253,16 @@ def close(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= bits
 
 
+def _few_bits(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """``close`` for rows of one SimHash, given as numbers, too."""
+    return np.bitwise_count(a ^ b) <= bits if a.ndim == 1 else close(a, b, bits)
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The order of keys below 2**32; equal ones keep theirs."""
+    return (np.sort(keys << np.uint64(32) | np.arange(len(keys), dtype=np.uint64)) & np.uint64((1 << 32) - 1)).astype(np.int64)
+
+
 def fit_length(shorter: np.ndarray, longer: np.ndarray, least: float) -> np.ndarray:
     return longer - shorter <= np.floor((1 - least) * longer + 1e-9)
 
@@ -236,14 +296,23 @@ def near_pairs(key: np.ndarray, sim: np.ndarray, chars: np.ndarray, group: np.nd
 
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(edge, len(key)))
-    live = np.flatnonzero(np.repeat(sizes <= SHORT_RUN, sizes))
-    for step in range(1, min(SHORT_RUN, int(sizes.max(initial=1)))):
-        live = live[live + step < len(key)]
-        live = live[(key[live] == key[live + step]) & fit_length(chars[live], chars[live + step], least)]
-        if not len(live):
-            break
-        at = live[close(sim[live], sim[live + step], bits)]
-        add(at, at + step)
+    # How many of the next rows have the key and may have the length; the length is decided for those that are close.
+    most = np.minimum(np.floor(chars / least + 1), (1 << 32) - 1).astype(np.uint64)
+    at = key.astype(np.uint64) << np.uint64(32)
+    ahead = np.searchsorted(at | chars.astype(np.uint64), at | most, side="right") - 1 - np.arange(len(key))
+    ahead[np.repeat(sizes > SHORT_RUN, sizes)] = 0
+    sim_or_sims = sim[:, 0] if sim.shape[1] == 1 else sim
+    live = None
+    for step in range(1, int(ahead.max(initial=0)) + 1):
+        if live is None and 4 * np.count_nonzero(ahead >= step) < len(key):
+            live = np.flatnonzero(ahead >= step)
+        if live is None:
+            hit = np.flatnonzero(_few_bits(sim_or_sims[:-step], sim_or_sims[step:], bits) & (ahead[:-step] >= step))
+        else:
+            live = live[ahead[live] >= step]
+            hit = live[_few_bits(sim_or_sims[live], sim_or_sims[live + step], bits)]
+        hit = hit[fit_length(chars[hit], chars[hit + step], least)]
+        add(hit, hit + step)
     for start, n in zip(edge[sizes > SHORT_RUN].tolist(), sizes[sizes > SHORT_RUN].tolist()):
         for a, found in _row_by_row(sim[start : start + n], chars[start : start + n], group is None, bits, least):
             add(np.full(len(found), start + a), start + found)
@@ -298,7 +367,7 @@ def alike(distinct: DataFrame, kind: str, count: int, least: float = SIMILAR, bu
     grouped = "component" in distinct.columns
     width, keys = blocks(count, kind)
     sketches, bits = GATES[kind]
-    buckets = max(1, math.ceil(rows.count() * len(keys) / bucket_rows))
+    parts = max(1, math.ceil(rows.count() / bucket_rows))  # buckets of one pair of blocks
 
     def send(batches):
         held, size = [], 0
@@ -316,27 +385,26 @@ def alike(distinct: DataFrame, kind: str, count: int, least: float = SIMILAR, bu
     def parcels(held):
         node, chars, sims, group = (np.concatenate(x) for x in zip(*held))
         for number, (one, two) in enumerate(keys):
-            raw = (block(sims, width, one) << np.uint64(width) | block(sims, width, two)) + np.uint64(number << 2 * width)
-            key = T.mixed(raw)
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            short = (key >> np.uint64(32)).astype(np.uint32)
-            order = np.lexsort((chars, short, bucket))
+            key = T.mixed(block(sims, width, one) << np.uint64(width) | block(sims, width, two)) >> np.uint64(32)
+            order = _order(key)
+            key = key[order]
+            short, bucket = key.astype(np.uint32), (key * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # ranges of keys
             sim = np.ascontiguousarray(sims[order, :sketches])
             left = right = np.empty(0, dtype=np.int64)
             if not grouped:
-                stays, left, right = tight_links(key[order], sim, chars[order], least)
-                left, right, order, sim = node[order[left]], node[order[right]], order[stays], sim[stays]
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                stays, left, right = tight_links(key, sim, chars[order], least)
+                left, right, order, sim, short, bucket = node[order[left]], node[order[right]], order[stays], sim[stays], short[stays], bucket[stays]
+            cut = np.searchsorted(bucket, np.arange(parts + 1))
             full = np.flatnonzero(np.diff(cut))
-            parts = [slice(cut[b], cut[b + 1]) for b in full]
+            pieces = [slice(cut[b], cut[b + 1]) for b in full]
             rising = lambda x: planes(np.diff(x, prepend=x.dtype.type(0)))
             plain = lambda x: X._zip(x.tobytes())
-            columns = [(node[order], planes), (short[order], rising), (sim, plain), (chars[order].astype(np.int32), planes)]
+            columns = [(node[order], planes), (short, rising), (sim, plain), (chars[order].astype(np.int32), planes)]
             columns += [(group[order], planes)] if grouped else []
             last = [[planes(left)], [planes(right)]] + [[None]] * 3 if len(left) else [[]] * 5
-            packed = [pa.array([make(c[p]) for p in parts] + end, pa.binary()) for (c, make), end in zip(columns, last)]
+            packed = [pa.array([make(c[p]) for p in pieces] + end, pa.binary()) for (c, make), end in zip(columns, last)]
             packed += [] if grouped else [pa.nulls(len(packed[0]), pa.binary())]
-            where = np.append(full, number % buckets) if len(left) else full
+            where = number * parts + (np.append(full, 0) if len(left) else full)
             yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), *packed], ["bucket", "nodes", "keys", "sims", "chars", "groups"])
 
     def match(bucket: pa.Table) -> pa.Table:
@@ -348,7 +416,7 @@ def alike(distinct: DataFrame, kind: str, count: int, least: float = SIMILAR, bu
         key = np.concatenate([np.empty(0, dtype=np.uint32), *[np.cumsum(numbers(x, np.uint32), dtype=np.uint32) for x in plain.column("keys").to_pylist()]])
         sim = np.frombuffer(b"".join(map(X._unzip, plain.column("sims").to_pylist())), dtype=np.uint64)
         sim = sim.reshape(-1, sketches)
-        order = np.lexsort((chars, key))
+        order = np.argsort(key.astype(np.uint64) << np.uint64(32) | chars.astype(np.uint64))
         node, key, sim, chars = node[order], key[order], sim[order], chars[order].astype(np.int64)
         left = right = np.empty(0, dtype=np.int64)
         if len(key):
@@ -407,6 +475,45 @@ def common(a: str, b: str) -> int:
     return low
 
 
+def aligned(x: list[str], y: list[str], most: int, exact: bool = False) -> int:
+    """An upper bound of the edit distance of two lines of words, each followed by a space; larger than ``most`` where it gives up.
+
+    Equal words are matched in order; where they part, the nearest equal words ahead end the gap, and a gap costs
+    its longer side, or, if ``exact``, its own distance.
+    """
+    i = j = cost = 0
+    n, m = len(x), len(y)
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        p, q = n - i, m - j
+        for d in range(1, AHEAD):
+            ways = [k for k in range(d + 1) if i + k < n and j + d - k < m and x[i + k] == y[j + d - k]]
+            if ways:
+                p = min(ways, key=lambda k: abs(2 * k - d))
+                q = d - p
+                break
+        else:
+            d = min(p, q, 1)
+            p = q = d
+        left, right = "".join([w + " " for w in x[i : i + p]]), "".join([w + " " for w in y[j : j + q]])
+        cost += distance(left, right, most) if exact else max(len(left), len(right))
+        if cost > most:
+            return cost
+        i, j = i + p, j + q
+    return cost + sum(map(len, x[i:])) + n - i + sum(map(len, y[j:])) + m - j
+
+
+def surely(a: str, b: str, least: float = SIMILAR) -> bool:
+    """True where words in order show that the edit similarity is ``least`` or more; False leaves it open."""
+    most = math.floor((1 - least) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    return aligned(x, y, most) <= most or aligned(x, y, most, exact=True) <= most
+
+
 def similar(a: str, b: str, least: float = SIMILAR) -> bool:
     """Edit similarity of ``least`` or more; a common start and end need no distance."""
     most = math.floor((1 - least) * max(len(a), len(b)) + 1e-9)
@@ -414,9 +521,6 @@ def similar(a: str, b: str, least: float = SIMILAR) -> bool:
     a, b = a[start:], b[start:]
     end = common(a[::-1], b[::-1])
     a, b = a[: len(a) - end], b[: len(b) - end]
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
-        return True  # word for word they are no further apart than that
     if abs(len(a) - len(b)) > most or len(set(zip(a, a[1:])) - set(zip(b, b[1:]))) > 2 * most:
         return False  # an edit takes away two neighbours at most
     return distance(a, b, most) <= most
@@ -443,15 +547,19 @@ def forms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     if wanted.count() <= FEW:
         asked = F.broadcast(asked)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
-    split = docs.join(asked, same).select(F.split("text", "\n", -1).alias("parts"), F.explode("asked").alias("a"))
-    raw = split.select(F.col("a.node").alias("node"), F.get("parts", F.col("a.line")).alias("raw"))
+    held = docs.join(asked, same).select("text", F.col("asked.line").alias("line"), F.col("asked.node").alias("node"))
+    T.bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            made = [normal((r or "").encode("utf-8", "replace")).decode("utf-8") for r in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], ["node", "form"])
+            nodes, made = [], []
+            for text, line, node in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = (text or "").encode("utf-8", "replace").split(b"\n")
+                nodes += node
+                made += [normal(parts[i]).decode("utf-8") for i in line]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.string())], ["node", "form"])
 
-    return raw.mapInArrow(run, "node long, form string").dropDuplicates(["node"])
+    return held.mapInArrow(run, "node long, form string").dropDuplicates(["node"])
 
 
 def verified(candidates: DataFrame, placed: DataFrame, least: float) -> DataFrame:
@@ -464,25 +572,105 @@ def verified(candidates: DataFrame, placed: DataFrame, least: float) -> DataFram
             if not len(batch):
                 continue
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            longer = np.array([max(len(x), len(y)) for x, y in zip(left, right)])
-            may = possible(profiles(left), profiles(right), longer, least).tolist()
-            fit = pa.array([m and similar(x, y, least) for m, x, y in zip(may, left, right)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(fit)
+            fit = [surely(x, y, least) for x, y in zip(left, right)]
+            if open_ := [i for i, f in enumerate(fit) if not f]:
+                x, y = [left[i] for i in open_], [right[i] for i in open_]
+                may = possible(profiles(x), profiles(y), np.array([max(len(v), len(w)) for v, w in zip(x, y)]), least)
+                for i, m, v, w in zip(open_, may.tolist(), x, y):
+                    fit[i] = m and similar(v, w, least)
+            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _firsts(h1, h2, known, doc, text, line, times, words, chars, has, coarse, fine) -> list[np.ndarray]:
+    """Of the occurrences of each line the first, with the number of all and what any of them has measured."""
+    order = np.lexsort((line, text, doc, known, h2, h1))
+    new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))
+    at, measured = order[new], np.flatnonzero(words[order] >= 0)
+    group = (np.cumsum(new) - 1)[measured]
+    once = np.append(True, group[1:] != group[:-1])[: len(group)]
+    group, source = group[once], order[measured[once]]
+    out = [x[at] for x in (h1, h2, known, doc, text, line)] + [np.add.reduceat(times[order], np.flatnonzero(new))]
+    for x, none in ((words, -1), (chars, -1), (has, 0), (coarse, 0), (fine, 0)):
+        made = np.full((len(at), *x.shape[1:]), none, dtype=x.dtype)
+        made[group] = x[source]
+        out.append(made)
+    return out
+
+
+def distinct_lines(every: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row per line (h1, h2): its first place, how often it occurs, its measures. A task sends each of its lines once a parcel."""
+    buckets = max(1, math.ceil(every.count() / bucket_rows))
+    kinds = (np.uint64, np.uint64, np.uint8, np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, np.uint8)
+
+    def send(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= 200_000:
+                yield parcel(held)
+                held, size = [], 0
+        if size:
+            yield parcel(held)
+
+    def sims_of(column) -> tuple[np.ndarray, np.ndarray]:
+        there = np.array(column.is_valid())
+        out = np.zeros((len(there), SIMHASHES), dtype=np.uint64)
+        out[there] = np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype=np.uint64).reshape(-1, SIMHASHES)
+        return there, out
+
+    def parcel(held):
+        rows = pa.Table.from_batches(held)
+        whole = lambda c, none: np.array(rows.column(c).fill_null(none))
+        (is_coarse, coarse), (is_fine, fine) = sims_of(rows.column("coarse")), sims_of(rows.column("fine"))
+        columns = _firsts(
+            whole("h1", 0).view(np.uint64), whole("h2", 0).view(np.uint64), np.array(rows.column("doc_id").is_valid()).astype(np.uint8),
+            whole("doc_id", 0), whole("text_hash", 0), whole("line", 0), np.ones(len(rows), dtype=np.int64),
+            whole("words", -1), whole("chars", -1), (is_coarse + 2 * is_fine).astype(np.uint8), coarse, fine,
+        )
+        bucket = ((columns[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ranges of h1
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cut))
+        packed = [pa.array([planes(c[cut[b] : cut[b + 1]]) for b in full], pa.binary()) for c in columns[:-2]]
+        for bit, sims in zip((1, 2), columns[-2:]):
+            mine = [sims[cut[b] : cut[b + 1]][columns[-3][cut[b] : cut[b + 1]] & bit > 0] for b in full]
+            packed.append(pa.array([X._zip(m.tobytes()) for m in mine], pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), *packed], ["bucket", *names])
+
+    def merge(bucket: pa.Table) -> pa.Table:
+        columns = [np.concatenate([numbers(x, k) for x in bucket.column(n).to_pylist()]) for n, k in zip(names, kinds)]
+        for bit, name in ((1, "c10"), (2, "c11")):
+            sims = np.zeros((len(columns[0]), SIMHASHES), dtype=np.uint64)
+            sims[columns[9] & bit > 0] = np.frombuffer(b"".join(map(X._unzip, bucket.column(name).to_pylist())), dtype=np.uint64).reshape(-1, SIMHASHES)
+            columns.append(sims)
+        h1, h2, known, doc, text, line, times, words, chars, has, coarse, fine = _firsts(*columns)
+        place = [pa.array(doc, mask=known == 0), pa.array(text), pa.array(line)]
+        out = {"h1": h1.view(np.int64), "h2": h2.view(np.int64), "place": pa.StructArray.from_arrays(place, ["doc_id", "text_hash", "line"]), "times": times}
+        out |= {"words": pa.array(words, mask=words < 0), "chars": pa.array(chars, mask=chars < 0)}
+        for bit, name, sims in ((1, "coarse", coarse), (2, "fine", fine)):
+            raw, size = sims.tobytes(), 8 * SIMHASHES
+            out[name] = pa.array([raw[i * size : (i + 1) * size] if h else None for i, h in enumerate((has & bit > 0).tolist())], pa.binary())
+        return pa.table(out)
+
+    names = [f"c{i}" for i in range(12)]
+    sent = every.mapInArrow(send, "bucket long, " + ", ".join(f"{n} binary" for n in names))
+    shape = "h1 long, h2 long, place struct<doc_id: long, text_hash: long, line: int>, times long, words int, chars int, coarse binary, fine binary"
+    return sent.groupBy("bucket").applyInArrow(merge, shape)
+
+
 def similar_lines(docs: DataFrame, distinct: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(node, component) of the lines of ``distinct`` that are similar to another, directly or through others."""
     count = distinct.count()
 
-    def decided(candidates: DataFrame) -> DataFrame:
+    def decided(candidates: DataFrame, among: DataFrame) -> DataFrame:
         named = candidates.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-        wanted = distinct.join(named, F.col("node") == F.col("_node")).select("node", "place.*")
+        wanted = T.stored(among.join(named, F.col("node") == F.col("_node")).select("node", "place.*"), "wanted-lines")
         return T.stored(verified(candidates, T.stored(forms(docs, wanted), "line-forms"), least), "line-links")
 
     first = T.stored(alike(distinct, "coarse", count, least).unionAll(alike(distinct, "fine", count, least)).distinct(), "near-lines")
-    links = decided(first)
+    links = decided(first, distinct)
     found = T.stored(connected_components(links), "line-groups")
 
     # Lines that candidates unite and verified pairs don't: what else is between them is decided too.
@@ -491,17 +679,16 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, least: float = SIMILAR)
     state = state.select(F.col("node").alias("_node"), F.col("component").alias("_cluster"), F.coalesce("_found", "node").alias("component"))
     parted = state.groupBy(F.col("_cluster").alias("_open")).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     state = state.join(parted.where("n > 2 and low <> high").select("_open"), F.col("_cluster") == F.col("_open"))
-    still = T.stored(distinct.join(state, F.col("node") == F.col("_node")).select("node", "chars", "coarse", "fine", "component"), "open-lines")
+    still = T.stored(distinct.join(state, F.col("node") == F.col("_node")).select("node", "place", "chars", "coarse", "fine", "component"), "open-lines")
     more = alike(still, "coarse", count, least).unionAll(alike(still, "fine", count, least)).distinct().join(first, ["a", "b"], "left_anti")
-    return connected_components(links.unionAll(decided(T.stored(more, "more-near-lines"))))
+    return connected_components(links.unionAll(decided(T.stored(more, "more-near-lines"), still)))
 
 
 def removals(docs: DataFrame, least: float = SIMILAR, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, gone): the line numbers to remove. ``docs``: doc_id, text_hash, text."""
     every = T.stored(lines(docs), "lines")
     place = F.struct("doc_id", "text_hash", "line")
-    distinct = every.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("times"), *[F.first(c, ignorenulls=True).alias(c) for c in ("words", "chars", "coarse", "fine")])
-    distinct = T.stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
+    distinct = T.stored(distinct_lines(every).withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
     found = T.stored(similar_lines(docs, distinct.where((F.col("words") >= min_words) & (F.col("chars") >= MIN_CHARS)), least), "line-components")
     grouped = distinct.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("node", "component", "place")
     keeper = grouped.groupBy(F.col("component").alias("_c")).agg(F.min("place").alias("keeper"))
@@ -524,6 +711,6 @@ def dedup(docs: DataFrame, least: float = SIMILAR, min_words: int = MIN_WORDS) -
     joined = rest.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash() == F.col("_hash")), "left")
     parts = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    joined = joined.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)))
+    joined = joined.withColumn("n_lines", F.coalesce(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0))).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)))
     joined = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
     return joined.drop("_id", "_hash", "gone")

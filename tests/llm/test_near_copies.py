@@ -337,3 +337,39 @@ def test_numbers_of_planes_are_the_same_and_packed_tightly():
             packed = line_dedup.planes(values)
             assert line_dedup.numbers(packed, kind).tolist() == values.tolist()
             assert n < 5_000 or len(packed) < 0.95 * len(line_dedup.X._zip(values.tobytes()))
+
+
+def test_words_of_all_lines_are_hashed_at_once():
+    """A word has one hash wherever it stands, and others have others; repeats in a line count once."""
+    rng = random.Random(5)
+    words = list({"".join(rng.choice("abé中") for _ in range(rng.randrange(1, 9))).encode() for _ in range(3000)})
+    forms = [b" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    raw, ends, counts = line_dedup._ends(forms)
+    flat = [w for f in forms for w in f.split()]
+    assert counts.tolist() == [len(f.split()) for f in forms]
+    hashes = dict(zip(flat, line_dedup.word_hashes(raw, ends).tolist()))
+    assert len(set(hashes.values())) == len(hashes) and [hashes[w] for w in flat] == line_dedup.word_hashes(raw, ends).tolist()
+    assert line_dedup._coarse([b"x y x z", b"z y x"]).tolist()[0] == line_dedup._coarse([b"z y x"]).tolist()[0]
+
+
+def test_edited_lines_need_no_full_distance():
+    """Words in order accept most similar lines, and never one that isn't similar."""
+    pairs = edited_pairs(3, 20, 60)
+    sure = [line_dedup.surely(a, b) for a, b in pairs]
+    assert sum(sure) >= 0.7 * len(pairs)
+    for (a, _), (b, _) in itertools.pairwise(pairs):
+        assert not line_dedup.surely(a, b) or line_dedup.similar(a, b)
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = (" ".join(rng.choice(("ab", "abc", "é", "xyz", "abd")) for _ in range(rng.randrange(1, 12))) for _ in range(2))
+        assert line_dedup.similar(a, b) or not line_dedup.surely(a, b)
+
+
+def test_distinct_lines_keep_the_first_place_and_all_measures(spark):
+    text = "the quick brown fox jumps over the lazy dog today\nab cd\nab cd"
+    docs = spark.createDataFrame([(i, (i or 0) % 7, text) for i in (None, *range(60))], "doc_id long, text_hash long, text string").where("doc_id is null or doc_id > 3")
+    every = T.stored(line_dedup.lines(docs.repartition(5)), "test-lines")
+    got = {r.words: r for r in line_dedup.distinct_lines(every, bucket_rows=1).collect()}
+    assert sorted(got) == [2, 10] and got[10].times == 57 and got[2].times == 114
+    assert tuple(got[10].place)[0] is None and got[10].place.line == 0 and got[2].place.line == 1
+    assert got[10].coarse is not None and got[2].coarse is None and got[2].fine is not None and got[10].chars == 49
